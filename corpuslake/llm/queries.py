@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from corpuslake.llm import mixing, nearest, simhash
+from corpuslake.llm import language, mixing, nearest, quality, simhash, toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (mixing.op6_source_mixing, nearest.op8_block_matrix_knn, simhash.op9_simhash_dedup)}
+    found = (
+        language.op1_language_id,
+        quality.op5_quality_fm,
+        mixing.op6_source_mixing,
+        nearest.op8_block_matrix_knn,
+        simhash.op9_simhash_dedup,
+        toxicity.op10_toxicity,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslake.llm.common import table, written
 from corpuslake.llm.graph import components
@@ -63,7 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for each row; fp is a signed 64-bit number. Null and empty texts have fp 0."""
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(_fingerprints, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 def bit_groups(sample: np.ndarray, m: int) -> list[list[int]]:
