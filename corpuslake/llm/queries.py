@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpuslake.llm import language, mixing, nearest, quality, simhash, toxicity
+from corpuslake.llm import decontaminate, language, mixing, nearest, quality, simhash, toxicity
 
 
 def queries() -> dict:
     found = (
         language.op1_language_id,
+        decontaminate.op4_decontamination,
         quality.op5_quality_fm,
         mixing.op6_source_mixing,
         nearest.op8_block_matrix_knn,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": mixing.ORACLE, "op8_block_matrix_knn": nearest.ORACLE}
+    return {"op4_decontamination": decontaminate.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_block_matrix_knn": nearest.ORACLE}
