@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from corpuslake.llm import decontaminate, language, mixing, nearest, quality, simhash, toxicity
+from corpuslake.llm import decontaminate, language, mixing, nearest, quality, simhash, substrings, suffixes, toxicity
 
 
 def queries() -> dict:
     found = (
         language.op1_language_id,
+        substrings.op3_substring_dedup,
         decontaminate.op4_decontamination,
         quality.op5_quality_fm,
         mixing.op6_source_mixing,
+        suffixes.op7_suffix_dedup,
         nearest.op8_block_matrix_knn,
         simhash.op9_simhash_dedup,
         toxicity.op10_toxicity,
