@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpuslake.llm import decontaminate, language, mixing, nearest, quality, simhash, substrings, suffixes, toxicity
+from corpuslake.llm import decontaminate, langmodel, language, mixing, nearest, quality, simhash, substrings, suffixes, toxicity
 
 
 def queries() -> dict:
     found = (
         language.op1_language_id,
+        langmodel.op2_lm_scoring,
         substrings.op3_substring_dedup,
         decontaminate.op4_decontamination,
         quality.op5_quality_fm,
