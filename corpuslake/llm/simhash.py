@@ -196,12 +196,24 @@ def simhash_components(docs: DataFrame, radius: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the least doc_id stays.
 
-    Rows that share that id are one document; one of them stays. A null id loses to any other.
+    Among rows of one id the least text hash decides, and of equal rows one stays. A null id
+    loses to any other. Edge cases as in ``simhash_components``.
     """
-    found = simhash_components(docs.select("doc_id", "text"), radius)
-    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    kept = docs.join(keep.distinct(), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    digest = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    rows = docs.select(F.struct("doc_id", digest.alias("digest")).alias("doc_id"), "text")
+    rows = written(fingerprints(rows), "fingerprints").distinct()
+    classes = written(rows.groupBy("fp").agg(_least_row("doc_id")), "fingerprint-classes")
+    nodes = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = classes.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    keep = rooted.groupBy("root").agg(_least_row("doc_id")).select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.digest").alias("__digest"))
+    named = docs.withColumn("__own", digest)
+    kept = named.join(keep, named["doc_id"].eqNullSafe(keep["__id"]) & (named["__own"] == keep["__digest"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__own"]).drop("__own")
+
+
+def _least_row(name: str) -> Column:
+    """The least (doc_id, digest), null ids last."""
+    return F.min_by(name, F.struct(F.col(name)["doc_id"].isNull(), F.col(name)["doc_id"], F.col(name)["digest"])).alias(name)
 
 
 def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:
