@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.llm.common import fold, table
-from corpuslake.llm.fitting import FIT_DOCUMENTS, labelled_sample
+from corpuslake.llm.fitting import labelled_sample
 from corpuslake.llm.numtext import class_table, pieces, prefix_hash, range_hash, spans
 
+#: Labelled documents that are fitted on, at most about.
+FIT_DOCUMENTS = 8000
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4)
@@ -88,18 +90,24 @@ def fit(texts: list[bytes], y: list[int], steps: int = 80, rate: float = 0.08, s
         before = len(known)
         number = np.array([known.setdefault(x, len(known)) for x in h.tolist()])
         new = number >= before
-        bag_sizes.append(sizes[new])
-        bag_ids.append(ids[np.repeat(new, sizes)])
+        bag_sizes.append(sizes[new].astype(np.int32))
+        bag_ids.append(ids[np.repeat(new, sizes)].astype(np.int32))
         # New words are numbered in the order of their hashes, as their bags are.
-        rows.append(row)
-        words.append(number[word])
+        word = number[word]
+        if SEGMENT == 1:
+            # A word says the same each time it stands in a document: once is enough to learn from.
+            pair = np.unique(row * (1 << 32) + word)
+            row, word = pair >> 32, pair & ((1 << 32) - 1)
+        rows.append(row.astype(np.int32))
+        words.append(word.astype(np.int32))
     if not rows:
         return np.zeros(BUCKETS, np.float32), -2.0
     ids, sizes, row, word = map(np.concatenate, (bag_ids, bag_sizes, rows, words))
-    segment = _segments(row)
+    del bag_ids, bag_sizes, rows, words, known
+    segment = _segments(row).astype(np.int32)
     first = np.flatnonzero(np.diff(segment, prepend=-1))
     of = row[first]
-    grams = np.add.reduceat(sizes[word], first).astype(np.float64)
+    grams = np.add.reduceat(sizes[word], first).astype(np.float32)
     doc_first = np.flatnonzero(np.diff(of, prepend=-1))
     docs = of[doc_first]
     target = y_[docs]
@@ -108,17 +116,18 @@ def fit(texts: list[bytes], y: list[int], steps: int = 80, rate: float = 0.08, s
     rng = np.random.default_rng(seed)
     emb, out, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.array([0.5, -0.5])
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (emb, out, bias)]
-    where = np.repeat(np.arange(len(sizes)), sizes)
+    where = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     for step in range(1, steps + 1):
         # Half of the buckets rest in each step, so that no single n-gram carries a word.
         keep = 2.0 * (rng.random(BUCKETS) < 0.5)
         z = emb @ (out[:, 1] - out[:, 0]) * keep
-        seg = np.add.reduceat(_sums(z[ids], sizes)[word], first) / grams + bias[1] - bias[0]
+        z = z.astype(np.float32)
+        seg = np.add.reduceat(_sums(z[ids], sizes)[word], first) / grams + np.float32(bias[1] - bias[0])
         top = np.maximum.reduceat(seg, doc_first)
         soft = np.exp(seg - np.repeat(top, per_doc))
         total = np.add.reduceat(soft, doc_first)
         p = 1 / (1 + np.exp(-np.clip(top + np.log(total), -30, 30)))
-        d = np.repeat((p - target) * weight / total, per_doc) * soft
+        d = np.repeat(((p - target) * weight / total).astype(np.float32), per_doc) * soft
         by_word = np.bincount(word, weights=(d / grams)[segment], minlength=len(sizes))
         dz = np.bincount(ids, weights=by_word[where], minlength=BUCKETS) * keep
         both = np.stack([-dz, dz], axis=1)
