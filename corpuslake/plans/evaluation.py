@@ -1 +1,199 @@
-"""Queries of this section."""
+"""Queries over retrieval evaluation, judges and experiment runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpuslake.operators import evaluation
+from corpuslake.plans.registry import query
+from corpuslake.plans.views import view
+
+
+def _hits(spark, sf_dir):
+    return view(spark, sf_dir, "retrieved")
+
+
+def _expected(spark, sf_dir):
+    return _hits(spark, sf_dir).where("relevant").select("query_id", "item")
+
+
+def _golden(spark, sf_dir):
+    """One golden item for each query: the next vector but four."""
+    return view(spark, sf_dir, "embeddings").where("vec_id % 10 > 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 5).alias("item"))
+
+
+_TOP = "SELECT * FROM {retrieved} WHERE rank <= 8"
+
+
+def _top(spark, sf_dir):
+    return _hits(spark, sf_dir).where("rank <= 8")
+
+
+@query("SELECT query_id, round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 6) AS recall FROM {retrieved} WHERE relevant GROUP BY 1")
+def k1_recall_at_k(spark, sf_dir):
+    return evaluation.recall_at_k(_hits(spark, sf_dir), _expected(spark, sf_dir), 5).select("query_id", F.round("recall", 6).alias("recall"))
+
+
+@query("SELECT query_id, coalesce(1.0::DOUBLE / min(CASE WHEN relevant THEN rank END), 0) AS rr FROM {retrieved} GROUP BY 1")
+def k2_mrr(spark, sf_dir):
+    return evaluation.reciprocal_rank(_hits(spark, sf_dir))
+
+
+_NDCG = """SELECT query_id, CASE WHEN count(*) FILTER (WHERE relevant) = 0 THEN 0 ELSE sum(CASE WHEN relevant THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END)
+  / list_sum(list_transform(generate_series(1, count(*) FILTER (WHERE relevant)), lambda i: 1 / log2(i + 1.0::DOUBLE))) END AS ndcg FROM {retrieved} WHERE rank <= 8 GROUP BY 1"""
+
+
+@query(f"SELECT query_id, round(ndcg, 6) AS ndcg FROM ({_NDCG})")
+def k3_ndcg_at_k(spark, sf_dir):
+    return evaluation.ndcg_at_k(_hits(spark, sf_dir), 8).select("query_id", F.round("ndcg", 6).alias("ndcg"))
+
+
+@query(f"""
+WITH r AS (SELECT query_id, avg(CASE WHEN rank <= 8 THEN 1 ELSE 0 END) AS recall FROM {{retrieved}} WHERE relevant GROUP BY 1),
+m AS (SELECT query_id, coalesce(1.0::DOUBLE / min(CASE WHEN relevant THEN rank END), 0) AS rr FROM {{retrieved}} GROUP BY 1), n AS ({_NDCG})
+SELECT round(avg(coalesce(recall, 0)), 4) AS recall, round(avg(rr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg FROM m LEFT JOIN r USING (query_id) LEFT JOIN n USING (query_id)""")
+def k4_ir_metrics(spark, sf_dir):
+    return evaluation.ir_metrics(_hits(spark, sf_dir), _expected(spark, sf_dir), 8)
+
+
+_G = "(SELECT vec_id AS query_id, vec_id + 5 AS item FROM {embeddings} WHERE vec_id % 10 > 0)"
+_FOUND = f"SELECT g.query_id, h.rank FROM {_G} g LEFT JOIN ({_TOP}) h ON g.query_id = h.query_id AND g.item = h.item"
+
+
+@query(f"SELECT round(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1 END), 4) AS hit_rate FROM ({_FOUND})")
+def k5_hit_rate(spark, sf_dir):
+    return evaluation.hit_rate(_top(spark, sf_dir), _golden(spark, sf_dir))
+
+
+@query(f"SELECT round(avg(coalesce(1.0::DOUBLE / rank, 0)), 4) AS mrr FROM ({_FOUND})")
+def k6_qa_mrr(spark, sf_dir):
+    return evaluation.golden_mrr(_top(spark, sf_dir), _golden(spark, sf_dir))
+
+
+@query("SELECT round(quantile_cont(s, 0.5), 6) AS p50 FROM (SELECT query_id, max(score) AS s FROM {retrieved} GROUP BY 1)")
+def k7_p50_top_score(spark, sf_dir):
+    return evaluation.median_top_score(_hits(spark, sf_dir))
+
+
+@query(f"""
+WITH f AS ({_FOUND}), v AS (SELECT round(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1 END), 4) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 4) AS mrr FROM f),
+p AS (SELECT round(quantile_cont(s, 0.5), 6) AS p50 FROM (SELECT query_id, max(score) AS s FROM ({_TOP}) GROUP BY 1)),
+z AS (SELECT round(avg(CASE WHEN vec_id IN (SELECT query_id FROM ({_TOP})) THEN 0 ELSE 1 END), 4) AS zero_share FROM {{embeddings}})
+SELECT *, hit_rate >= 0.7 AND mrr >= 0.5 AND zero_share <= 0.1 AND p50 >= 0.45 AS passed FROM v, p, z""")
+def k8_qa_verdict(spark, sf_dir):
+    queries = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"))
+    return evaluation.verdict(queries, _top(spark, sf_dir), _golden(spark, sf_dir))
+
+
+@query(f"SELECT query_id, string_agg(item, ',' ORDER BY rank) AS retrieved FROM ({_TOP}) GROUP BY 1")
+def k9_qa_probe(spark, sf_dir):
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"].cast("string"))
+    return _top(spark, sf_dir).groupBy("query_id").agg(F.array_join(ordered, ",").alias("retrieved"))
+
+
+def _examples(spark, sf_dir):
+    """Turns of a conversation as question, answer and contexts."""
+    conv = view(spark, sf_dir, "conversations")
+    first = F.min_by("text", "turn")
+    all_ = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 60).alias("t")))), lambda x: x["t"])
+    return conv.groupBy(F.col("conv_id").alias("query_id")).agg(first.alias("question"), F.max_by("text", "turn").alias("answer"), F.max_by("text", "turn").alias("truth"), all_.alias("contexts"))
+
+
+@query("""
+WITH e AS (SELECT conv_id, arg_min(text, turn) AS q, arg_max(text, turn) AS a, list(substr(text, 1, 60) ORDER BY turn) AS c FROM {conversations} WHERE turn IN (SELECT DISTINCT turn FROM {conversations}) GROUP BY 1),
+p AS (SELECT conv_id, q, a, array_to_string(c, chr(10) || '---' || chr(10)) AS plain, array_to_string(list_transform(c, lambda x, i: '[' || i || '] ' || x), chr(10)) AS numbered, chr(10) || chr(10) AS nn, chr(10) || chr(10) || 'Reply with one number from 0.0 to 1.0.' AS tail FROM e)
+SELECT conv_id AS query_id, 'faithfulness' AS metric, md5('How far does the context support the answer?' || nn || 'Context:' || chr(10) || plain || nn || 'Answer:' || chr(10) || a || tail) AS h FROM p
+UNION ALL SELECT conv_id, 'answer_relevancy', md5('How far does the answer address the question?' || nn || 'Question:' || chr(10) || q || nn || 'Answer:' || chr(10) || a || tail) FROM p
+UNION ALL SELECT conv_id, 'context_precision', md5('What share of the contexts bears on the question?' || nn || 'Question:' || chr(10) || q || nn || 'Contexts:' || chr(10) || numbered || tail) FROM p
+UNION ALL SELECT conv_id, 'context_recall', md5('What share of the expected answer do the contexts hold?' || nn || 'Question:' || chr(10) || q || nn || 'Expected answer:' || chr(10) || a || nn || 'Contexts:' || chr(10) || numbered || tail) FROM p""")
+def k10_judge_prompts(spark, sf_dir):
+    return evaluation.judge_prompts(_examples(spark, sf_dir)).select("query_id", "metric", F.md5(F.col("prompt").cast("binary")).alias("h"))
+
+
+@query()
+def k11_judge_scores(spark, sf_dir):
+    judged = evaluation.judge(evaluation.judge_prompts(_examples(spark, sf_dir)))
+    return judged.select("query_id", "metric", evaluation.parse_score(F.col("reply")).alias("score"))
+
+
+_REPLY = "CASE event_id % 6 WHEN 0 THEN 'Score: ' || CAST(user_id AS VARCHAR) || '%' WHEN 1 THEN 'I say 0.' || CAST(event_id % 97 AS VARCHAR) WHEN 2 THEN 'Yes' WHEN 3 THEN 'about ' || CAST(event_id % 130 AS VARCHAR) WHEN 4 THEN 'partial match' ELSE event_type END"
+
+
+@query(f"""
+WITH r AS (SELECT event_id, {_REPLY} AS t FROM {{events}}), w AS (SELECT *, string_split_regex(lower(t), '\\s+') AS ws,
+  CAST(nullif(regexp_extract(t, '(\\d+(?:\\.\\d+)?)\\s*%', 1), '') AS DOUBLE) AS pc, CAST(nullif(regexp_extract(t, '\\b(\\d?\\.\\d+)\\b', 1), '') AS DOUBLE) AS de, CAST(nullif(regexp_extract(t, '\\b(\\d+)\\b', 1), '') AS DOUBLE) AS wh FROM r)
+SELECT event_id, CAST(CASE {' '.join(f"WHEN list_contains(ws, '{k}') THEN {v}" for k, v in evaluation.SCORE_WORDS.items())} WHEN pc IS NOT NULL THEN least(1.0, pc / 100) WHEN de <= 1 THEN de WHEN de <= 100 THEN de / 100
+  WHEN wh <= 1 THEN wh WHEN wh <= 10 THEN wh / 10 WHEN wh <= 100 THEN wh / 100 ELSE 0.5 END AS DOUBLE) AS score FROM w""".replace("{{events}}", "{events}"))
+def k12_parse_score(spark, sf_dir):
+    n = F.col("event_id")
+    reply = (
+        F.when(n % 6 == 0, F.concat(F.lit("Score: "), F.col("user_id").cast("string"), F.lit("%"))).when(n % 6 == 1, F.concat(F.lit("I say 0."), (n % 97).cast("string")))
+        .when(n % 6 == 2, "Yes").when(n % 6 == 3, F.concat(F.lit("about "), (n % 130).cast("string"))).when(n % 6 == 4, "partial match").otherwise(F.col("event_type"))
+    )
+    return view(spark, sf_dir, "events").select("event_id", evaluation.parse_score(reply).alias("score"))
+
+
+_VALUES = "SELECT l_returnflag AS metric, l_discount AS value FROM {lineitem}"
+
+
+@query(f"SELECT metric, round(avg(value), 4) AS mean FROM ({_VALUES}) GROUP BY 1")
+def k13_eval_summary(spark, sf_dir):
+    values = view(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("metric"), F.col("l_discount").alias("value"))
+    return evaluation.metric_stats(values).select("metric", "mean")
+
+
+@query(f"SELECT metric, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most, count(*) AS n FROM ({_VALUES}) GROUP BY 1")
+def k14_per_example_stats(spark, sf_dir):
+    values = view(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("metric"), F.col("l_discount").alias("value"))
+    return evaluation.metric_stats(values)
+
+
+_VARIANTS = [("dense_only", 1.0, 0.0), ("default", 0.7, 0.3), ("dense_heavy", 0.9, 0.1), ("sparse_heavy", 0.3, 0.7)]
+
+
+@query("""
+WITH h AS (SELECT query_id, item, rank AS dense_rank, CASE WHEN item % 3 > 0 THEN 13 - rank END AS sparse_rank FROM {retrieved}),
+v AS (SELECT * FROM (VALUES ('dense_only', 1.0::DOUBLE, 0.0::DOUBLE), ('default', 0.7, 0.3), ('dense_heavy', 0.9, 0.1), ('sparse_heavy', 0.3, 0.7)) t(variant, dense, sparse)),
+s AS (SELECT variant, query_id, item, coalesce(dense / (60 + dense_rank), 0) + coalesce(sparse / (60 + sparse_rank), 0) AS score FROM h, v),
+r AS (SELECT variant, query_id, item, row_number() OVER (PARTITION BY variant, query_id ORDER BY score DESC, item) AS rank FROM s WHERE score > 0)
+SELECT variant, query_id, string_agg(item, ',' ORDER BY rank) AS items FROM r WHERE rank <= 5 GROUP BY 1, 2""")
+def k17_parameter_sweep(spark, sf_dir):
+    hits = _hits(spark, sf_dir).select("query_id", "item", F.col("rank").alias("dense_rank"), F.when(F.col("item") % 3 > 0, 13 - F.col("rank")).alias("sparse_rank"))
+    swept = evaluation.sweep(hits, _VARIANTS).where("rank <= 5")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"].cast("string"))
+    return swept.groupBy("variant", "query_id").agg(F.array_join(ordered, ",").alias("items"))
+
+
+@query("""SELECT r.run_id, r.metric, r.value, b.value AS base, round(r.value - b.value, 6) AS delta FROM {runs} r LEFT JOIN (SELECT metric, value FROM {runs} WHERE run_id = 'run0') b ON r.metric = b.metric
+WHERE r.run_id IN ('run1', 'run2', 'run33')""")
+def k19_compare_runs(spark, sf_dir):
+    return evaluation.compare_runs(view(spark, sf_dir, "runs"), "run0", ["run1", "run2", "run33", "unknown"])
+
+
+@query("SELECT metric, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most, count(*) AS n FROM {runs} GROUP BY 1")
+def a14_export_eval_results(spark, sf_dir):
+    return evaluation.metric_stats(view(spark, sf_dir, "runs"))
+
+
+@query("SELECT run_id FROM {runs} GROUP BY 1 ORDER BY max(run_id = 'baseline') DESC, min(ts), run_id LIMIT 1")
+def a15_baseline_run(spark, sf_dir):
+    return evaluation.baseline_of(view(spark, sf_dir, "runs"))
+
+
+@query("SELECT run_id, max(CASE WHEN metric = 'A' THEN value END) AS \"A\", max(CASE WHEN metric = 'N' THEN value END) AS \"N\", max(CASE WHEN metric = 'R' THEN value END) AS \"R\" FROM {runs} GROUP BY 1")
+def a16_export_runs_csv(spark, sf_dir):
+    return evaluation.runs_wide(view(spark, sf_dir, "runs"), ["A", "N", "R"])
+
+
+@query("""SELECT conv_id, turn, unnest(list_filter([CASE WHEN role = 'user' AND length(text) < 60 THEN 'empty query' END, CASE WHEN length(text) < 100 THEN 'empty answer' END], lambda x: x IS NOT NULL)) AS error FROM {conversations}""")
+def c13_validate_golden(spark, sf_dir):
+    errors = F.array(F.when((F.col("role") == "user") & (F.length("text") < 60), "empty query"), F.when(F.length("text") < 100, "empty answer"))
+    return view(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.filter(errors, lambda x: x.isNotNull())).alias("error"))
+
+
+@query("""SELECT p_partkey, unnest(list_filter([CASE WHEN p_size % 10 <= 0 THEN 'chunk_size must be positive' END, CASE WHEN p_partkey % 20 >= p_size % 10 THEN 'overlap must be less than chunk_size' END,
+  CASE WHEN p_retailprice > 1500 THEN 'weights add up to more than 1' END], lambda x: x IS NOT NULL)) AS error FROM {part}""")
+def c14_validate_experiment_params(spark, sf_dir):
+    size, overlap = F.col("p_size") % 10, F.col("p_partkey") % 20
+    errors = F.array(F.when(size <= 0, "chunk_size must be positive"), F.when(overlap >= size, "overlap must be less than chunk_size"), F.when(F.col("p_retailprice") > 1500, "weights add up to more than 1"))
+    return view(spark, sf_dir, "part").select("p_partkey", F.explode(F.filter(errors, lambda x: x.isNotNull())).alias("error"))
