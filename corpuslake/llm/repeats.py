@@ -182,12 +182,17 @@ def remove_repeats(docs: DataFrame, alphabet: Alphabet, resolve: Callable, keep:
 
     each = found.select("k1", "k2", F.explode(F.arrays_zip("at", "key", "content")).alias("u")).select("k1", "k2", "u.*")
     again = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Each small table below is stored before it is joined: both sides of the join are then
+    # dealt out for it alone, and Spark can split the tasks of a gram that very many units share.
+    again = written(again, "repeated-grams")
     shared = written(each.join(again, "key"), "shared-units")
     by_content = shared.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("one"))
     by_content = written(by_content, "unit-contents")
     contested = by_content.groupBy("key").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
+    contested = written(contested, "contested-grams")
     # "full" units are repeated as a whole; one of each content around a contested gram is looked into.
     state = by_content.join(contested, "key", "left").where("n > 1 OR contents > 1")
+    state = written(state, "unit-states")
     marked = shared.join(state, ["key", "content"]).select(
         "k1", "k2", "at", "key", (F.col("n") > 1).alias("full"),
         F.when((F.col("k1") == F.col("one")) & F.col("contents").isNotNull(), F.when(F.col("contents") > GROUP_LIMIT, F.lit(2)).otherwise(F.lit(1))).otherwise(F.lit(0)).alias("look"),
