@@ -1 +1,42 @@
-"""Queries of this section."""
+"""Batch twins of the streaming operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpuslake.plans.registry import query
+from corpuslake.plans.views import view
+from corpuslake.streaming import events as ev
+
+
+@query("""SELECT path FROM {files} WHERE NOT (contains(path, '.tmp') OR contains(path, '.swp') OR contains(path, '.~') OR contains(path, '~$') OR contains(path, '.git') OR contains(path, '__pycache__'))
+AND lower(regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]+)$', 1)) IN ('pdf', 'docx', 'xlsx', 'pptx', 'txt', 'md')""")
+def n1_stream_file_events(spark, sf_dir):
+    return view(spark, sf_dir, "files").where(ev.watched(F.col("path"))).select("path")
+
+
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) <= INTERVAL '30 seconds' THEN 0 ELSE 1 END AS new FROM {events}),
+s AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT event_type AS key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY event_type, run""")
+def n2_debounce_events(spark, sf_dir):
+    found = ev.debounce(view(spark, sf_dir, "events").withColumn("key", F.col("event_type")), "key")
+    return found.select("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("SELECT event_type, strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS start, count(*) AS n, round(avg(value), 4) AS mean FROM {events} GROUP BY 1, 2")
+def n5_stream_query_metrics(spark, sf_dir):
+    found = ev.windowed(view(spark, sf_dir, "events"), ["event_type"], "1 day", F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return found.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+@query("""SELECT event_type, strftime(time_bucket(INTERVAL '10 seconds', ts) - to_seconds(10 * CAST(k AS INT)), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n
+FROM {events}, (SELECT unnest(generate_series(0, 5)) AS k) GROUP BY 1, 2""")
+def n6_stream_sliding_usage(spark, sf_dir):
+    found = ev.windowed(view(spark, sf_dir, "events"), ["event_type"], "60 seconds", F.count(F.lit(1)).alias("n"), slide="10 seconds")
+    return found.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM {events}")
+def n7_stream_dedup(spark, sf_dir):
+    return ev.distinct(view(spark, sf_dir, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
