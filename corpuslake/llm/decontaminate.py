@@ -123,7 +123,7 @@ class Lookup:
         for item, terms in zip(found["item"], found["terms"], strict=True):
             groups.setdefault(tuple(terms), set()).add(item)
         self.items = [sorted(v) for v in groups.values()]
-        self.length = np.array([len(k) for k in groups])
+        self.length = np.array([len(k) for k in groups], np.int64)
         flat = np.searchsorted(vocabulary, np.array([t for k in groups for t in k], np.int64).astype(np.uint64))
         window = np.repeat(np.arange(len(self.length)), self.length)
         offset = np.arange(len(flat)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
@@ -137,7 +137,7 @@ class Lookup:
 
     def find(self, row: np.ndarray, place: np.ndarray, term: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, start and window of every occurrence among postings sorted by row and place."""
-        times = (self.start[1:] - self.start[:-1])[term]
+        times = (self.start[1:] - self.start[:-1])[term].astype(np.int64)
         hit = np.flatnonzero(times)
         times = times[hit]
         nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -217,7 +217,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep=("doc_id
         some = index.mapInArrow(run, schema).select("kept.*", "n_words", "spans", "items")
         found = some if found is None else found.unionByName(some)
     if slices > 1:
-        merge = F.udf(_merged, spans_type)
+        merge = F.udf(_merged, spans_type, useArrow=False)
         found = found.groupBy(*keep_).agg(F.max("n_words").alias("n_words"), merge(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return found.select(*keep, "n_words", "spans", "items")
 
