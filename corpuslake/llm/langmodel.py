@@ -29,14 +29,14 @@ from pyspark.sql import types as T
 
 from corpuslake.llm.common import fold, table, written
 
-#: Frequent words that are sent to the tasks.
+#: Frequent words that are sent to the tasks, at most.
 FREQUENT = 1 << 17
 #: Of these, words that get a class by their neighbours, and neighbours that are counted.
 CLASSED, NEIGHBOURS = 8192, 32
 CLUSTERS, BINS, RARE = 9, 3, 4
 CLASSES = 32
 ROWS = 1 << 15
-STEP = 8192
+STEP = 16384
 #: Tokens that one task of the training descends over, on average, at least.
 TASK_TOKENS = 2_000_000
 _BLOCK = 512
@@ -71,31 +71,33 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Vocabulary:
+class Vocabulary(dict):
     """Numbers of tokens: frequent words by rank, then the end, the start, and rare words by checksum."""
 
     def __init__(self, words: list[bytes]):
-        self.number = {w: i for i, w in enumerate(words)}
+        super().__init__(zip(words, range(len(words)), strict=True))
         self.end, self.start, self.rare = len(words), len(words) + 1, len(words) + 2
 
+    def __missing__(self, word: bytes) -> int:
+        return self.rare + (zlib.crc32(word) & 0xFFFFF)
+
+    def __reduce__(self):
+        return Vocabulary, (list(self),)
+
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Start, start, tokens, end of each text in a row; the text of each; the rare words met, in order."""
-        ids: list[int] = []
-        sizes, rare = [], []
-        get, end, start, base = self.number.get, self.end, self.start, self.rare
-        for t in texts:
-            words = tokens(t)
-            own = [get(w, -1) for w in words]
-            if -1 in own:
-                for i, n in enumerate(own):
-                    if n < 0:
-                        own[i] = base + (zlib.crc32(words[i]) & 0xFFFFF)
-                        rare.append(words[i])
-            ids += (start, start)
-            ids += own
-            ids.append(end)
-            sizes.append(len(own) + 3)
-        return np.array(ids, np.int64), np.repeat(np.arange(len(texts)), sizes), rare
+        words: list[bytes] = []
+        sizes = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            own = tokens(t)
+            sizes[i] = len(own)
+            words += own
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        doc = np.arange(len(texts))
+        ids = np.full(len(words) + 3 * len(texts), self.start, np.int64)
+        ids[np.arange(len(words)) + np.repeat(3 * doc + 2, sizes)] = numbers
+        ids[np.cumsum(sizes) + 3 * doc + 2] = self.end
+        return ids, np.repeat(doc, sizes + 3), [words[i] for i in np.flatnonzero(numbers >= self.rare).tolist()]
 
 
 def _features(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -106,7 +108,10 @@ def _features(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _probabilities(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[f[0]] + weights[f[1]] + weights[f[2]] + bias
+    z = weights.take(f[0], axis=0)
+    z += weights.take(f[1], axis=0)
+    z += weights.take(f[2], axis=0)
+    z += bias
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
@@ -136,7 +141,7 @@ def neighbour_counts(docs: DataFrame, model: Model) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(rows * wide, np.int64)
-        for _, texts in _batches(batches, 0, 1 << 19):
+        for _, texts in _batches(batches, 0, 1 << 21):
             ids, _, _ = vocabulary.encode(texts)
             at = np.flatnonzero(ids < rows)
             total += np.bincount(ids[at] * wide + np.minimum(ids[at - 1], NEIGHBOURS), minlength=len(total))
@@ -191,7 +196,7 @@ def train(docs: DataFrame, model: Model, rate: float = 0.5) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, speed, seen = np.zeros((ROWS, CLASSES), np.float32), np.full(ROWS, 1e-2, np.float32), np.zeros(ROWS, np.float32)
-        for _, texts in _batches(batches, 0, 1 << 18):
+        for _, texts in _batches(batches, 0, 1 << 19):
             ids, _, _ = vocabulary.encode(texts)
             where = np.flatnonzero(ids != vocabulary.start)
             for i in range(0, len(where), STEP):
@@ -200,10 +205,10 @@ def train(docs: DataFrame, model: Model, rate: float = 0.5) -> None:
                 p = _probabilities(w, bias, f)
                 p[np.arange(len(at)), classes(ids[at])] -= 1
                 for own in f:
-                    order = np.argsort(own, kind="stable")
+                    order = np.argsort(own.astype(np.uint16), kind="stable")
                     rows = own[order]
                     first = np.flatnonzero(np.diff(rows, prepend=-1))
-                    g = np.add.reduceat(p[order], first, axis=0)
+                    g = np.add.reduceat(p.take(order, axis=0), first, axis=0)
                     rows, times = rows[first], np.diff(first, append=len(rows))
                     speed[rows] += np.einsum("ij,ij->i", g, g) / CLASSES
                     w[rows] -= rate / 3 * g / np.sqrt(speed[rows])[:, None]
@@ -237,16 +242,20 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     counts = written(word_counts(docs), "word-counts")
     ends = docs.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
-    order = np.lexsort((np.array([bytes(w) for w in top["word"].to_pylist()], object), -top["c"].to_numpy())) if top.num_rows else np.zeros(0, np.int64)
-    words = [bytes(w) for w in top["word"].take(pa.array(order)).to_pylist()]
+    # Frequent words are those of the highest counts that together are no more than FREQUENT,
+    # in steps of a tenth; the steps are few, so nothing is sorted or gathered to find them.
+    step = F.floor(F.log("c") / F.log(F.lit(1.1)))
+    ladder = sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"])
+    sums = np.cumsum([r["n"] for r in ladder])
+    fits = int(np.searchsorted(sums, FREQUENT, side="right"))
+    least = ladder[fits - 1]["step"] if fits else 1 << 30
+    top = counts.where(step >= least).toArrow()
+    order = np.lexsort((np.array(top["word"].to_pylist(), object), -top["c"].to_numpy())) if top.num_rows else np.zeros(0, np.int64)
+    words = top["word"].take(pa.array(order)).to_pylist()
     model = Model(words, top["c"].to_numpy()[order].astype(np.int64), total + ends, distinct + (ends > 0), ends)
     if words:
         assign_classes(model, neighbour_counts(docs, model))
-    least = model.counts[-1] if len(words) == FREQUENT else 0
-    last = words[-1] if words else b""
-    # Words outside the frequent ones: fewer occurrences, or as many and later in order.
-    others = counts.where((F.col("c") < F.lit(int(least))) | ((F.col("c") == F.lit(int(least))) & (F.col("word") > F.lit(last))))
+    others = counts.where(step < least)
     rare = others.groupBy((F.crc32("word").bitwiseAND(F.lit(0xFFFFF)) % RARE).alias("r")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"))
     class_totals(model, {r["r"]: (r["v"], r["n"]) for r in rare.collect()})
     train(docs, model)
