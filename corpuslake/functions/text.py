@@ -48,7 +48,7 @@ def fenced(text: Column, language: Column) -> Column:
 def wordperfect_text(content: Column) -> Column:
     """Latin-1 text of a binary: what cannot be printed becomes a space, runs of three spaces or more one."""
     text = F.decode(content, "ISO-8859-1")
-    return stripped(F.regexp_replace(F.regexp_replace(text, r"[^\x20-\x7E\xA0-\xFF\n\r\t]", " "), " {3,}", " "))
+    return stripped(F.regexp_replace(F.regexp_replace(text, r"[^\x20-\x7E\x80-\xFF\n\r\t]", " "), " {3,}", " "))
 
 
 def title(label: Column) -> Column:

@@ -206,3 +206,17 @@ def assemble_prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
 def l2_normalised(vector: Column) -> Column:
     n = norm(vector)
     return F.transform(vector, lambda x: F.try_divide(x.cast("double"), n))
+
+
+def parse_report(report: Column) -> Column:
+    """Hits in a markdown report as an array of structs: source_file, score, chunk_id, product, text."""
+    field = lambda s, p: F.trim(F.regexp_extract(s, p, 1))
+    head = r"^(.+?)\s+\(relevance:\s+([\d.]+)%\)"
+    one = lambda s: F.struct(
+        F.coalesce(F.nullif(F.regexp_extract(s, head, 1), F.lit("")), F.substring_index(s, "\n", 1)).alias("source_file"),
+        F.coalesce(F.nullif(F.regexp_extract(s, head, 2), F.lit("")).cast("double") / 100, F.lit(0.0)).alias("score"),
+        field(s, r"(?m)^\*\*ID:\*\*.*?`([^`]+)`").alias("chunk_id"), field(s, r"(?m)^\*\*Product:\*\*(.*)$").alias("product"),
+        F.coalesce(F.get(F.split(s, "\n\n"), F.lit(1)), F.lit("")).alias("text"),
+    )
+    sections = F.split(report, r"\n###\s*\[\d+\]\s+")
+    return F.transform(F.slice(sections, 2, F.greatest(F.size(sections) - 1, F.lit(0))), lambda s: one(F.trim(s)))

@@ -200,3 +200,18 @@ def runs_of(frame: DataFrame, key: str, order: Sequence[str], flag: Column) -> D
     marked = frame.withColumn("flag", F.coalesce(flag, F.lit(False))).withColumn("r", F.row_number().over(w))
     good = marked.where("flag").withColumn("island", F.col("r") - F.row_number().over(w))
     return good.groupBy(key, "island").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count(F.lit(1)).alias("n")).drop("island")
+
+
+def extractor_audit(outcomes: DataFrame, kind: str, worst: int = 5) -> DataFrame:
+    """Of each kind of file: percent read by the first extractor, by the second, by none, mean
+    seconds, and the largest files that none could read."""
+    lost = ~F.col("first") & ~F.col("second")
+    share = lambda c: F.round(100.0 * F.count_if(c) / F.count(F.lit(1)), 4)
+    order = Window.partitionBy(kind).orderBy(F.desc("file_size"), "path")
+    top = outcomes.where(lost).withColumn("r", F.row_number().over(order)).where(F.col("r") <= worst)
+    top = top.groupBy(kind).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: x["path"]), ",").alias("largest_failures"))
+    found = outcomes.groupBy(kind).agg(
+        F.count(F.lit(1)).alias("files"), share(F.col("first")).alias("primary_share"), share(~F.col("first") & F.col("second")).alias("fallback_share"),
+        share(lost).alias("failed_share"), F.round(F.avg("seconds"), 4).alias("mean_seconds"),
+    )
+    return found.join(top, kind, "left").withColumn("largest_failures", F.coalesce("largest_failures", F.lit("")))

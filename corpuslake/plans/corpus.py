@@ -109,6 +109,25 @@ def b2_code_sections(spark, sf_dir):
     return docs.select("doc_id", F.sha2(tx.fenced(F.col("text"), F.col("lang")), 256).alias("h"))
 
 
+@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '[^\x{00}-\x{FF}]', '?', 'g'), '[^\x20-\x7E\x{80}-\x{FF}\n\r\t]', ' ', 'g'), ' {{3,}}', ' ', 'g'),
+  '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) AS h FROM {pages}""")
+def b8_wordperfect_text(spark, sf_dir):
+    pages = view(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", r"[^\x00-\xFF]", "?"))
+    return pages.select("page_id", F.md5(tx.wordperfect_text(F.encode("html", "ISO-8859-1")).cast("binary")).alias("h"))
+
+
+@query("""WITH o AS (SELECT path, file_size, file_type, doc_id % 10 < 7 AS first, doc_id % 10 < 9 AS second, CAST(1 + doc_id % 40 AS DOUBLE) AS s FROM {registry})
+SELECT file_type, count(*) AS files, round(100.0::DOUBLE * count(*) FILTER (WHERE first) / count(*), 4) AS primary_share, round(100.0::DOUBLE * count(*) FILTER (WHERE NOT first AND second) / count(*), 4) AS fallback_share,
+  round(100.0::DOUBLE * count(*) FILTER (WHERE NOT first AND NOT second) / count(*), 4) AS failed_share, round(avg(s), 4) AS mean_seconds,
+  coalesce((SELECT string_agg(path, ',' ORDER BY file_size DESC, path) FROM (SELECT * FROM o x WHERE x.file_type = o.file_type AND NOT first AND NOT second ORDER BY file_size DESC, path LIMIT 5)), '') AS largest_failures FROM o GROUP BY 1""")
+def b12_extractor_audit(spark, sf_dir):
+    from corpuslake.operators.tables import extractor_audit
+
+    n = F.col("doc_id") % 10
+    outcomes = view(spark, sf_dir, "registry").select("path", "file_size", "file_type", (n < 7).alias("first"), (n < 9).alias("second"), (1 + F.col("doc_id") % 40).cast("double").alias("seconds"))
+    return extractor_audit(outcomes, "file_type")
+
+
 _MD = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'g'), '</p>', chr(10) || chr(10), 'g'), '</li>', chr(10), 'g'), '<[^>]+>', '', 'g')"
 for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("nbsp", " "), ("amp", "&")):
     _MD = f"replace({_MD}, '&{_name};', '{_char}')"

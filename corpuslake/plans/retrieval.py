@@ -229,3 +229,24 @@ def g5_distances(spark, sf_dir):
     both = a.join(a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
     x, y = F.col("a"), F.col("b")
     return both.select("vec_id", *[F.round(f(x, y), 6).alias(n) for n, f in (("dot", retrieval.dot), ("cosine", retrieval.cosine), ("euclid", retrieval.euclidean), ("manhattan", retrieval.manhattan))])
+
+
+@query("""SELECT conv_id, turn, role || '.md' AS source_file, (turn % 10) / 10.0::DOUBLE AS score, 'c' || turn AS chunk_id, 'P' || conv_id AS product, md5(replace(text, chr(10), ' ')) AS h FROM {conversations}""")
+def h24_parse_search_report(spark, sf_dir):
+    turns = view(spark, sf_dir, "conversations").withColumn("text", F.trim(F.translate("text", "\n", " ")))
+    hit = F.concat(
+        F.lit("\n### [1] "), "role", F.lit(".md (relevance: "), F.format_string("%.1f", (F.col("turn") % 10) * 10.0), F.lit("%)\n**ID:** `c"), F.col("turn").cast("string"),
+        F.lit("`\n**Product:** P"), F.col("conv_id").cast("string"), F.lit("\n\n"), "text", F.lit("\n\n---"))
+    report = turns.groupBy("conv_id").agg(F.concat(F.lit("# Results"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", hit.alias("hit")))), lambda x: x["hit"]), "")).alias("report"))
+    found = report.select("conv_id", F.explode(retrieval.parse_report(F.col("report"))).alias("r")).select("conv_id", "r.*")
+    return found.select("conv_id", F.substring("chunk_id", 2, 9).cast("long").alias("turn"), "source_file", F.round("score", 4).alias("score"), "chunk_id", "product", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query("SELECT doc_id, true AS fell_back, false AS failed FROM {documents}")
+def g3_embed_with_fallback(spark, sf_dir):
+    found = embedding.embed(view(spark, sf_dir, "documents").select("doc_id", "text"), "text", _down, embedding.hash_provider)
+    return found.select("doc_id", F.col("vector").isNotNull().alias("fell_back"), F.col("error").isNotNull().alias("failed"))
+
+
+def _down(texts):
+    raise ConnectionError("provider is down")
