@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontaminate.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_block_matrix_knn": nearest.ORACLE}
+    return {"op3_substring_dedup": substrings.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_block_matrix_knn": nearest.ORACLE}

@@ -71,3 +71,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, keep=("doc_id",), wit
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.col("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS p FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT p FROM win GROUP BY p HAVING count(*) > 1),
+hit AS (SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS pos FROM win JOIN again USING (p)),
+words AS (SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY pos) AS t FROM words ANTI JOIN hit USING (r, pos) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM hit GROUP BY r) USING (r)
+"""
