@@ -356,3 +356,15 @@ def j22_sync_result_counts(spark, sf_dir):
 @query("SELECT product, count(*) AS n FROM {registry} GROUP BY 1")
 def j23_documents_per_product(spark, sf_dir):
     return _reg(spark, sf_dir).groupBy("product").agg(F.count(F.lit(1)).alias("n"))
+
+
+_OK = "list_contains(['pdf', 'docx', 'txt', 'md', 'py', 'json', 'xlsx'], lower(regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]+)$', 1)))"
+
+
+@query(f"""WITH f AS (SELECT f.path, f.text, f.length, r.status AS old, {_OK.replace('path', 'f.path')} AS fits FROM {{files}} f JOIN {{registry}} r ON f.path = r.path)
+SELECT path, CASE WHEN old = 'ok' THEN 'ok' WHEN fits AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 30 THEN 'ok' ELSE 'error' END AS status FROM f""")
+def j16_ingest_corpus(spark, sf_dir):
+    from corpuslake.operators.ingest import ingest_corpus
+
+    _, registry = ingest_corpus(view(spark, sf_dir, "files").select("path", "text", "length"), _reg(spark, sf_dir).select("path", "sha256", "status"))
+    return registry.select("path", "status")
