@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import fold
 
 #: The sample holds about this many labelled documents at most, chosen by a hash of the id...
-FIT_DOCUMENTS = 12_000
+FIT_DOCUMENTS = 8_000
 #: ...none of them longer than this many characters, so that it fits one machine.
 FIT_CHARS = 50_000
 
@@ -28,5 +30,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
     rows = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS).select("doc_id", F.col("text").cast("binary").alias("text"), *extra)
     # The chosen ids are bounded by ``bound``, so they can be sent to every task.
-    found = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    return found["text"].to_pylist(), [int(y > 0) for y in found["y"].to_pylist()], {c: found[c].to_pylist() for c in extra}
+    found = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow()
+    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    texts, y, more = found["text"].to_pylist(), found["y"].to_pylist(), {c: found[c].to_pylist() for c in extra}
+    del found
+    pa.default_memory_pool().release_unused()
+    return [texts[i] for i in order], [int(y[i] > 0) for i in order], {c: [v[i] for i in order] for c, v in more.items()}

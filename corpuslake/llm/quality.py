@@ -109,6 +109,7 @@ def fit(texts: list[bytes], y: list[int], metadata: list[list[float]], epochs: i
     if not len(y) or y_.min() == y_.max():
         return (2.0 if not len(y) or y_[0] else -2.0), w, v * 0
     offsets, ids, vals = features(texts, metadata)
+    ids = ids.astype(np.int32)
     gw, gv, gb = np.full(size, 1e-3), np.full(v.shape, 1e-3), 1e-3
     for _ in range(epochs):
         order = rng.permutation(len(y_))
@@ -156,6 +157,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep=("doc_id",), metadat
     """
     texts, y, extra = labelled_sample(docs, labels, "quality", parts, held, bound, metadata)
     model = fit(texts, y, [extra[c] for c in metadata])
+    del texts
     model = (float(model[0]), model[1].astype(np.float32), model[2].astype(np.float32))
     kept = F.struct(*[F.col(c) for c in keep]).alias("kept")
     rows = docs.select(kept, F.col("text").cast("binary").alias("text"), *[F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(metadata)])

@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.llm.common import fold, table
-from corpuslake.llm.fitting import labelled_sample
+from corpuslake.llm.fitting import FIT_DOCUMENTS, labelled_sample
 from corpuslake.llm.numtext import class_table, pieces, prefix_hash, range_hash, spans
 
-#: Labelled documents that are fitted on, at most about.
-FIT_DOCUMENTS = 8000
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4)
@@ -166,6 +164,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keep=("doc_id",), parts:
     """
     texts, y, _ = labelled_sample(docs, labels, "toxic", parts, held, bound)
     model = fit(texts, y)
+    del texts
     kept = F.struct(*[F.col(c) for c in keep]).alias("kept")
     rows = docs.select(kept, F.col("text").cast("binary").alias("text"))
 
