@@ -57,19 +57,26 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: flo
     rows equal in both are interchangeable. Empty input gives empty output. Other columns of
     ``docs`` are ignored unless named in ``keep``.
     """
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     names = list(dict.fromkeys(keep))
     kept = F.struct(*[F.col(c) for c in names]).alias("kept")
-    sized = written(docs.select(kept, F.col("source"), size.alias("size"), sort_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id").alias("tie")), "sizes")
+    slim = ["source", size, sort_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id").alias("tie")]
+    sized = written(docs.select(*slim), "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    targets = source_targets(per_source, weights, share, cap).withColumnRenamed("source", "of")
-    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
+    # The two small tables are stored, so that Spark knows their sizes and moves the texts only
+    # once, to their buckets, unless there are very many sources.
+    targets = written(source_targets(per_source, weights, share, cap).withColumnRenamed("source", "of"), "targets")
     unit = F.conv(F.substring("key", 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    rows = rows.withColumn("bucket", F.floor(unit * F.ceil(F.col("source_rows") / BUCKET_ROWS)))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.join(targets, F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
+        return rows.withColumn("bucket", F.floor(unit * F.ceil(F.col("source_rows") / BUCKET_ROWS)))
+
     # Words before each bucket of a source: one small row for each bucket.
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    buckets = dealt(sized).groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(F.col("source").alias("of"), F.col("bucket").alias("nth"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
+    buckets = written(buckets.select(F.col("source").alias("of"), F.col("bucket").alias("nth"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead")), "buckets")
+    rows = dealt(docs.select(kept, *slim))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(buckets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("nth")), "inner")

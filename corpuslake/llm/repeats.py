@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.llm.common import written
+from corpuslake.llm.common import released, written
 from corpuslake.llm.numtext import _power_table, mixed, prefix_hash, range_hash, spans
 
 #: Contents around one gram beyond which its windows are dealt out by their whole sequence.
@@ -198,7 +198,9 @@ def remove_repeats(docs: DataFrame, alphabet: Alphabet, resolve: Callable, keep:
         F.when((F.col("k1") == F.col("one")) & F.col("contents").isNotNull(), F.when(F.col("contents") > GROUP_LIMIT, F.lit(2)).otherwise(F.lit(1))).otherwise(F.lit(0)).alias("look"),
     )
     per_doc = marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "key", "full", "look")).alias("marks"))
+    per_doc = written(per_doc, "marks")
     involved = written(named.join(per_doc, ["k1", "k2"]), "involved-documents")
+    released(again, shared, by_content, contested, state)
 
     def unpack(at: int) -> tuple[int, int, int]:
         return at >> 24, (at >> 24) + ((at >> 12) & 0xFFF), (at >> 24) + (at & 0xFFF)

@@ -205,10 +205,12 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     classes = written(rows.groupBy("fp").agg(_least_row("doc_id")), "fingerprint-classes")
     nodes = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = classes.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    keep = rooted.groupBy("root").agg(_least_row("doc_id")).select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.digest").alias("__digest"))
-    named = docs.withColumn("__own", digest)
-    kept = named.join(keep, named["doc_id"].eqNullSafe(keep["__id"]) & (named["__own"] == keep["__digest"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__own"]).drop("__own")
+    keep = rooted.groupBy("root").agg(_least_row("doc_id")).select("doc_id.*")
+    # Keys without nulls: the join and the choice among equal rows then share one exchange.
+    own = lambda d: [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.xxhash64(d, F.col("doc_id").isNull()).alias("__row")]
+    keep = written(keep.select(*own("digest")), "kept-rows")
+    named = docs.select(*docs.columns, *own(digest))
+    return named.join(keep, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"]).select(*docs.columns)
 
 
 def _least_row(name: str) -> Column:
