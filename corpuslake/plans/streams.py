@@ -24,9 +24,9 @@ def n2_debounce_events(spark, sf_dir):
     return found.select("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query("SELECT event_type, strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS start, count(*) AS n, round(avg(value), 4) AS mean FROM {events} GROUP BY 1, 2")
+@query("SELECT event_type, strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS start, count(*) AS n, round(sum(value), 2) AS total FROM {events} GROUP BY 1, 2")
 def n5_stream_query_metrics(spark, sf_dir):
-    found = ev.windowed(view(spark, sf_dir, "events"), ["event_type"], "1 day", F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    found = ev.windowed(view(spark, sf_dir, "events"), ["event_type"], "1 day", F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return found.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
