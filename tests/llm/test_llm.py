@@ -6,6 +6,7 @@ import math
 import os
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -230,7 +231,7 @@ def test_nearest(spark):
     got = nearest.nearest(df, df.where("vec_id % 20 = 0"), 20).collect()
     want = set()
     for q in range(0, 300, 20):
-        s = [sum(float(a) * float(b) for a, b in zip(v[q], x)) for x in v]
+        s = [reduce(lambda t, ab: t + float(ab[0]) * float(ab[1]), zip(v[q], x), 0.0) for x in v]
         best = sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:20]
         want |= {(q, r + 1, i, s[i]) for r, i in enumerate(best)}
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
