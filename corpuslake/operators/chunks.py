@@ -123,3 +123,27 @@ def related_documents(labelled: DataFrame, key: str, hints: str, most: int) -> D
     each = each.join(rare, "label", "left_semi")
     pairs = each.alias("a").join(each.alias("b"), "label").where(F.col(f"a.{key}") < F.col(f"b.{key}"))
     return pairs.groupBy(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+
+
+def related_classes(labelled: DataFrame, key: str, hints: str) -> tuple[DataFrame, DataFrame]:
+    """All pairs of documents that share hint labels, without making pairs within a common label.
+
+    Documents with the same set of labels are one class. Returns (key, class_id, links), links
+    being the number of other documents with at least one label in common, and pairs of classes
+    (a, b, shared, links) with their common labels and the document pairs that they stand for;
+    a = b for the pairs within a class. Rows of one key count as one document; null keys have
+    no pairs and are left out.
+    """
+    each = labelled.where(F.col(key).isNotNull()).select(key, F.explode_outer(hints).alias("label"))
+    sets = each.groupBy(key).agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    members = sets.select(key, F.sha2(F.array_join("labels", "\x1f").cast("binary"), 256).alias("class_id"), "labels")
+    classes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.first("labels").alias("labels"))
+    held = classes.select("class_id", "n", F.explode("labels").alias("label"))
+    both = held.alias("a").join(held.alias("b"), "label").where("a.class_id <= b.class_id")
+    found = both.groupBy(F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b"), F.col("a.n").alias("m"), F.col("b.n").alias("n")).agg(F.count(F.lit(1)).alias("shared"))
+    inner = F.col("a") == F.col("b")
+    ways = found.select(F.explode(F.when(inner, F.array(F.struct(F.col("a").alias("class_id"), (F.col("n") - 1).alias("links")))).otherwise(
+        F.array(F.struct(F.col("a").alias("class_id"), F.col("n").alias("links")), F.struct(F.col("b").alias("class_id"), F.col("m").alias("links"))))).alias("w")).select("w.*")
+    members = members.drop("labels").join(ways.groupBy("class_id").agg(F.sum("links").alias("links")), "class_id", "left")
+    pairs = found.select("a", "b", "shared", F.when(inner, F.expr("m * (m - 1) div 2")).otherwise(F.col("m") * F.col("n")).alias("links")).where("links > 0")
+    return members.select(key, "class_id", F.coalesce("links", F.lit(0)).alias("links")), pairs

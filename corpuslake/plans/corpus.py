@@ -458,3 +458,24 @@ k AS (SELECT label FROM e GROUP BY 1 HAVING count(*) <= 60), s AS (SELECT * FROM
 SELECT a.path AS a, b.path AS b, count(*) AS shared FROM s a JOIN s b ON a.label = b.label AND a.path < b.path GROUP BY 1, 2""")
 def f10_related_documents(spark, sf_dir):
     return chunks.related_documents(_labelled(spark, sf_dir), "path", "hints", 60)
+
+
+_CLASSES = f"""e AS (SELECT DISTINCT path, unnest({_HINTS}) AS label FROM {{registry}}),
+m AS (SELECT path, sha256(string_agg(label, chr(31) ORDER BY label)) AS class_id FROM e GROUP BY 1)"""
+
+
+@query(f"""
+WITH {_CLASSES}, z AS (SELECT class_id, count(*) AS n FROM m GROUP BY 1), l AS (SELECT DISTINCT class_id, label FROM e JOIN m USING (path)),
+t AS (SELECT DISTINCT a.class_id AS a, b.class_id AS b FROM l a JOIN l b USING (label))
+SELECT path, class_id, CAST(links AS BIGINT) AS links FROM m JOIN (SELECT a AS class_id, sum(n) - 1 AS links FROM t JOIN z ON z.class_id = b GROUP BY 1) USING (class_id)""")
+def f10_related_members(spark, sf_dir):
+    return chunks.related_classes(_labelled(spark, sf_dir), "path", "hints")[0]
+
+
+@query(f"""
+WITH {_CLASSES}, z AS (SELECT class_id, count(*) AS n FROM m GROUP BY 1), l AS (SELECT DISTINCT class_id, label FROM e JOIN m USING (path)),
+t AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS shared FROM l a JOIN l b ON a.label = b.label AND a.class_id <= b.class_id GROUP BY 1, 2),
+p AS (SELECT a, b, shared, CASE WHEN a = b THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS links FROM t JOIN z x ON x.class_id = a JOIN z y ON y.class_id = b)
+SELECT * FROM p WHERE links > 0""")
+def f10_related_classes(spark, sf_dir):
+    return chunks.related_classes(_labelled(spark, sf_dir), "path", "hints")[1]

@@ -158,3 +158,16 @@ def test_dense_topk_edges(spark):
     c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "chunk_id int, vector array<double>")
     assert [(r.query_id, r.chunk_id, r["rank"]) for r in retrieval.dense_topk(q, c, 5).collect()] == [(1, 1, 1), (1, 2, 2)]
     assert retrieval.dense_topk(q.where("false"), c, 5).count() == 0
+
+
+def test_related_classes_lose_no_link(spark):
+    # Label "all" is on more than 60 documents; "x" is on three of them.
+    labels = {f"d{i:02}": ["all"] + (["x"] if i < 3 else []) for i in range(70)} | {"e": ["y"], "f": ["y", "x"], "none": []}
+    df = spark.createDataFrame(list(labels.items()), "path string, hints array<string>")
+    members, classes = (d.collect() for d in chunks.related_classes(df, "path", "hints"))
+    want = {(a, b): len(set(labels[a]) & set(labels[b])) for a in labels for b in labels if a < b and set(labels[a]) & set(labels[b])}
+    of = {r.path: r.class_id for r in members}
+    shared = {frozenset((r.a, r.b)): r.shared for r in classes}
+    assert {(a, b): shared[frozenset((of[a], of[b]))] for a in of for b in of if a < b and frozenset((of[a], of[b])) in shared} == want
+    assert {r.path: r.links for r in members} == {p: sum(p in pair for pair in want) for p in labels}
+    assert sum(r.links for r in classes) == len(want)
