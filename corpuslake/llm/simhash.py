@@ -199,21 +199,32 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     Among rows of one id the least text hash decides, and of equal rows one stays. A null id
     loses to any other. Edge cases as in ``simhash_components``.
     """
-    digest = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    digest = row_digest()
     rows = docs.select(F.struct("doc_id", digest.alias("digest")).alias("doc_id"), "text")
     rows = written(fingerprints(rows), "fingerprints").distinct()
-    classes = written(rows.groupBy("fp").agg(_least_row("doc_id")), "fingerprint-classes")
+    classes = written(rows.groupBy("fp").agg(least_row("doc_id")), "fingerprint-classes")
     nodes = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = classes.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    keep = rooted.groupBy("root").agg(_least_row("doc_id")).select("doc_id.*")
-    # Keys without nulls: the join and the choice among equal rows then share one exchange.
-    own = lambda d: [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.xxhash64(d, F.col("doc_id").isNull()).alias("__row")]
-    keep = written(keep.select(*own("digest")), "kept-rows")
-    named = docs.select(*docs.columns, *own(digest))
+    return keep_rows(docs, rooted.groupBy("root").agg(least_row("doc_id")).select("doc_id.*"))
+
+
+def row_digest() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+
+
+def row_key(doc_id: Column, digest: Column) -> list[Column]:
+    """Keys without nulls: the join and the choice among equal rows then share one exchange."""
+    return [F.coalesce(doc_id.cast("string"), F.lit("")).alias("__id"), F.xxhash64(digest, doc_id.isNull()).alias("__row")]
+
+
+def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs`` named by ``keep`` (doc_id, digest); of equal rows one."""
+    keep = written(keep.select(*row_key(F.col("doc_id"), F.col("digest"))), "kept-rows")
+    named = docs.select(*docs.columns, *row_key(F.col("doc_id"), row_digest()))
     return named.join(keep, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"]).select(*docs.columns)
 
 
-def _least_row(name: str) -> Column:
+def least_row(name: str) -> Column:
     """The least (doc_id, digest), null ids last."""
     return F.min_by(name, F.struct(F.col(name)["doc_id"].isNull(), F.col(name)["doc_id"], F.col(name)["digest"])).alias(name)
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuslake.llm import decontaminate, graph, langmodel, language, mixing, nearest, numtext, quality, queries, repeats, simhash, substrings, suffixes, toxicity
+from corpuslake.llm import decontaminate, graph, langmodel, language, mixing, nearest, numtext, quality, queries, repeats, similar, simhash, substrings, suffixes, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, row long, kept string, fp string"
@@ -129,6 +129,36 @@ def test_simhash(spark, texts):
     assert simhash.simhash_components(docs_of(spark, texts).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_pipeline_near_duplicates(spark, block, monkeypatch):
+    """Against all pairs on planted copies, most of them more than two SimHash bits apart."""
+    monkeypatch.setattr(similar, "BLOCK_SHINGLES", block)
+    rng = np.random.default_rng(4)
+    texts = [None, "", " ", "a b", "A  b", "a c"]
+    for _ in range(12):
+        base = [f"w{n}" for n in rng.integers(0, 5000, 150)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 6, 9):
+            copy = list(base)
+            for at in rng.integers(0, 150, edits):
+                copy[at] = f"z{rng.integers(0, 9999)}"
+            texts.append(" ".join(copy))
+    runs = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [runs((t or "").lower().split()) for t in texts]
+    root = list(range(len(sets)))
+    far = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or len(x & y) >= 0.8 * len(x | y):
+                far += (simhash.fingerprint(texts[i] and texts[i].encode()) ^ simhash.fingerprint(texts[j] and texts[j].encode())).bit_count() > 2
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert far > 12
+    kept = corpus_pipeline.near_duplicate(spark, docs_of(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    assert corpus_pipeline.near_duplicate(spark, docs_of(spark, texts).where("false"), "").count() == 0
+
+
 @pytest.mark.parametrize("limit", [64, 2])
 def test_links_find_all_components(spark, limit):
     rng = np.random.default_rng(2)
