@@ -158,6 +158,12 @@ def h16_chunk_context(spark, sf_dir):
     return retrieval.context(turns, turns.where("chunk_index = 2"), 1).select("document", "target", "chunk_index")
 
 
+@query("""SELECT c.conv_id AS document, t.turn AS target, c.turn AS chunk_index FROM {conversations} c JOIN {conversations} t ON c.conv_id = t.conv_id AND c.turn BETWEEN t.turn - 1 AND t.turn + 1""")
+def h16_every_chunk_context(spark, sf_dir):
+    turns = view(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document"), F.col("turn").alias("chunk_index"), "text")
+    return retrieval.context(turns, turns, 1).select("document", "target", "chunk_index")
+
+
 @query("SELECT conv_id, count(*) AS chunk_count, arg_min(role, turn) AS first_role FROM {conversations} GROUP BY 1")
 def h17_list_documents(spark, sf_dir):
     return view(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.min_by("role", "turn").alias("first_role"))

@@ -171,3 +171,12 @@ def test_related_classes_lose_no_link(spark):
     assert {(a, b): shared[frozenset((of[a], of[b]))] for a in of for b in of if a < b and frozenset((of[a], of[b])) in shared} == want
     assert {r.path: r.links for r in members} == {p: sum(p in pair for pair in want) for p in labels}
     assert sum(r.links for r in classes) == len(want)
+
+
+def test_context_of_every_turn(spark, tmp_path):
+    from corpuslake.plans.registry import queries
+
+    turns = [(c, t, "user", "x") for c, n in ((1, 4), (2, 1), (3, 2)) for t in range(n)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [tuple(r) for r in queries()["h16_every_chunk_context"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((a[0], a[1], b[1]) for a in turns for b in turns if a[0] == b[0] and abs(a[1] - b[1]) <= 1)
