@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Where that is unset (tests on one machine) a temporary folder is made once and
-    remembered in the session.
+    remembered in the session; on a cluster, whose executors would not see it, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("corpuslake.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local:")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-corpuslake-", dir="/tmp")
         spark.conf.set("corpuslake.shared.dir", found)
     return found
 
 
+#: Tables stored since each open ``scratch`` began.
+_open: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: cuts the lineage, so that a lost
     executor costs a reread and no step runs twice."""
@@ -37,6 +48,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes what ``written`` has stored inside it once it is left."""
+    own: list[DataFrame] = []
+    _open.append(own)
+    try:
+        yield
+    finally:
+        _open.pop()
+        released(*own)
+
+
+def finished(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, stored; the tables stored on the way are deleted."""
+    with scratch():
+        out = written(make(), name)
+        _open[-1].pop()
+    if _open:
+        _open[-1].append(out)
     return out
 
 
@@ -55,3 +90,14 @@ def text_of(col: Column) -> Column:
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes in a binary column each; a longer text stands alone."""
+    for whole in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < whole.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
+            yield whole.slice(at, end - at)
+            at = end

@@ -1,53 +1,79 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
 Suffixes begin at words and count for their first 35 words, the window. They are split into
-memory-sized groups by a prefix of their anchor (see repeats), longer where a group would be
-too large. A group's suffix tree is held as its sorted leaves: lexicographic ranks of the
-suffixes' first 1, 2, 4, ... words, each level naming the tree's nodes at that depth. An
-internal node at depth 35 or more is a set of at least two leaves with one rank at that
-depth; its leaves are occurrences of a repeat.
+groups by the six words at their anchor (see repeats), or by the whole window where such a
+group would be too large for a task. The suffix tree of the groups that a task holds is built from
+sorted suffixes: ranks of their first 1, 2, 4, ... words put the leaves in lexicographic
+order, the same ranks give the common prefixes of neighbours, and runs of neighbours with a
+common prefix are the internal nodes. A node as deep as the window is a repeat, and its leaves
+are the places where that occurs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from corpuslake.llm.common import table
+from corpuslake.llm.common import finished, table
 from corpuslake.llm.repeats import Alphabet, remove_repeats
 
 WINDOW = 35
 GRAM = 6
 
 
-def deep_nodes(words: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """For each suffix of ``words`` at ``starts``: the number of its node at ``depth``, in
-    lexicographic order. ``words`` are numbers; every suffix has ``depth`` words."""
-    node, length = np.unique(words, return_inverse=True)[1].astype(np.int64), 1
-    while length * 2 <= depth:
-        # A node of twice the depth is a node and the node of the suffix that far on.
-        pair = np.full(len(words), -1, np.int64)
-        pair[: len(words) - length] = node[: len(words) - length] * (len(words) + 1) + node[length:]
-        node = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        length *= 2
-    pair = node[starts] * (len(words) + 1) + node[starts + depth - length]
-    return np.unique(pair, return_inverse=True)[1]
+class SuffixTree:
+    """The suffix tree, down to ``depth`` words, of the suffixes of ``words`` at ``starts``.
 
+    ``words`` are numbers in the order of the words; every suffix has ``depth`` words.
+    leaves: the suffixes in lexicographic order; common: words that each shares with the leaf
+    before it, 0 for the first.
+    """
 
-def resolver(depth: int):
+    def __init__(self, words: np.ndarray, starts: np.ndarray, depth: int):
+        levels = [words]
+        while (length := 1 << len(levels)) <= depth:
+            # The rank of twice as many words is that of the first half and of the second.
+            half, n = levels[-1], len(words) - length // 2
+            pair = half * (len(words) + 1)
+            pair[:n] += half[length // 2 :]
+            levels.append(np.unique(pair, return_inverse=True)[1].astype(np.int64))
+        length = 1 << (len(levels) - 1)
+        key = levels[-1][starts] * (len(words) + 1) + levels[-1][starts + depth - length]
+        self.depth, self.leaves = depth, np.argsort(key, kind="stable")
+        x, y = starts[self.leaves[:-1]], starts[self.leaves[1:]]
+        shared = np.zeros(len(x), np.int64)
+        same = key[self.leaves[:-1]] == key[self.leaves[1:]]
+        for k in range(len(levels) - 1, -1, -1):
+            fits = ~same & (shared + (1 << k) <= depth)
+            at = np.where(fits, shared, 0)
+            shared += (fits & (levels[k][x + at] == levels[k][y + at])) << k
+        shared[same] = depth
+        self.common = np.append(0, shared) if len(starts) else shared
+
+    def nodes(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First leaf, last leaf and depth of the topmost internal nodes of ``least`` words or more."""
+        deep = np.append(self.common >= least, False)
+        edge = np.flatnonzero(np.diff(deep.view(np.int8), prepend=np.int8(0)))
+        first, last = edge[::2] - 1, edge[1::2] - 1
+        return first, last, np.minimum.reduceat(np.append(self.common, 0), edge)[::2] if len(edge) else first
+
+
+def resolver(window: int):
     def resolve(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, body: list[bytes]) -> list[np.ndarray]:
         split = [b.split(b" ") for b in body]
-        names: dict[bytes, int] = {}
-        words = np.array([names.setdefault(w, len(names)) for ws in split for w in ws], np.int64)
         sizes = np.array([len(ws) for ws in split])
+        flat = [w for ws in split for w in ws]
+        number = {w: i for i, w in enumerate(sorted(set(flat)))}
+        words = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
         first = np.cumsum(sizes) - sizes
         count = hi - lo + 1
         row = np.repeat(np.arange(len(body)), count)
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        node = deep_nodes(words, first[row] + nth, depth)
-        leaves = np.bincount(node)
-        hit = leaves[node] > 1
+        tree = SuffixTree(words, first[row] + nth, window)
+        hit = np.zeros(len(row), bool)
+        # Equal windows have equal anchors, so no node joins suffixes of two groups.
+        for a, b, _ in zip(*tree.nodes(window), strict=True):
+            hit[tree.leaves[a : b + 1]] = True
         # Windows stand in text order; distances to the anchor run the other way.
         return [h[::-1] for h in np.split(hit, np.cumsum(count)[:-1])]
 
@@ -69,8 +95,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, keep=("doc_id",), wit
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    found = substring_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.col("kept_sha256"))
+    found = finished("substring-dedup", lambda: substring_dedup(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 ORACLE = r"""

@@ -6,16 +6,17 @@ polynomial hashes, so a comparison takes a logarithmic number of steps; all comp
 merge round run at once in numpy. What stands before the anchors is sorted likewise, read
 backwards. Common prefixes of neighbours then tell, for every distance between a window and
 its anchor, which windows agree on both sides. Hash agreements of neighbours are verified on
-the bytes; should one fail, its batch is sorted by plain byte comparison.
+the bytes; should one fail, its batch is sorted by plain byte comparison. Only distinct units
+are sorted: units that are equal as a whole, and windows of too large groups, are told apart
+by 128-bit BLAKE2 digests (see repeats), not by a polynomial hash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from corpuslake.llm.common import table
+from corpuslake.llm.common import finished, table
 from corpuslake.llm.numtext import _power_table, prefix_hash
 from corpuslake.llm.repeats import Alphabet, remove_repeats
 
@@ -152,5 +153,5 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, keep=("doc_id",), with_t
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    found = suffix_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept_sha256"))
+    found = finished("suffix-dedup", lambda: suffix_dedup(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

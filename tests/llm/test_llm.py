@@ -4,6 +4,7 @@ and extra columns with clashing names."""
 import hashlib
 import math
 import os
+import time
 import zlib
 from collections import Counter
 from functools import reduce
@@ -79,6 +80,54 @@ def test_equal_rows_repeat_each_other(spark):
     assert substrings.substring_dedup(docs_of(spark, [line]).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("remover", [substrings.substring_dedup, suffixes.suffix_dedup])
+def test_many_equal_rows(spark, remover):
+    """2000 rows equal in (null) id and text, and one other that holds the same passage."""
+    line = " ".join(f"w{i}" for i in range(1500))
+    same = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(line).alias("text"), F.lit("a").alias("k1"))
+    df = same.unionAll(spark.createDataFrame([(1, "new " + line[:3000], "b"), (2, None, "c"), (2, None, "c"), (3, "short", "d"), (3, "short", "d")], "doc_id long, text string, k1 string"))
+    began = time.monotonic()
+    got = Counter((r.doc_id, r[1], r.n_removed, r.kept_text) for r in remover(df, with_text=True).collect())
+    assert time.monotonic() - began < 60
+    words = remover is substrings.substring_dedup
+    n = 1500 if words else len(line)
+    rest = "new " + line[:3000]
+    want = brute_repeats([line, line, rest], 35 if words else 400, words)[2]
+    assert got[(None, n, n, "")] == 2000 and got[(2, 0, 0, None)] == 2 and got[(3, 1 if words else 5, 0, "short")] == 2
+    assert [k[1:3] for k in got if k[0] == 1] == [want[:2]]
+
+
+def test_units_of_a_long_text_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    words = np.char.add("w", rng.integers(0, 10**5, 2_500_000).astype(str))
+    text = " ".join(words.tolist()).encode() + b" " + b"x" * 9000
+    del words
+    for alphabet in (repeats.Alphabet(True, 35, 6), repeats.Alphabet(False, 400, 64)):
+        tracemalloc.start()
+        first, last, anchor, _ = repeats.units(alphabet, line := alphabet.line(text))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 14 * len(text) and last[-1] == line.n - alphabet.size and (anchor >= last).all()
+        assert (first[1:] == last[:-1] + 1).all()
+
+
+def test_suffix_tree_has_sorted_leaves_and_common_prefixes():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 3, 300)
+    starts = rng.permutation(300 - 11)[:200]
+    tree = substrings.SuffixTree(words, starts, 11)
+    lines = [tuple(words[s : s + 11].tolist()) for s in starts[tree.leaves]]
+    assert lines == sorted(lines)
+    share = lambda a, b: next((i for i in range(11) if a[i] != b[i]), 11)
+    assert tree.common.tolist() == [0, *map(share, lines[:-1], lines[1:])]
+    first, last, depth = tree.nodes(5)
+    assert all(len({x[:d] for x in lines[a : b + 1]}) == 1 and d >= 5 for a, b, d in zip(first, last, depth))
+    assert sum(last - first + 1) == sum(c > 1 for x in lines for c in [sum(y[:5] == x[:5] for y in lines)])
+    assert len(substrings.SuffixTree(words, starts[:0], 11).nodes(5)[0]) == 0
+
+
 def test_suffix_sort_is_lexicographic():
     rng = np.random.default_rng(0)
     parts = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(0, 40, 200)]
