@@ -7,12 +7,16 @@ second is a softmax over the words of the class by their counts, with a share fo
 words in the rare classes. Counts, classes and weights are gathered over all training texts:
 
 1. word counts, with partial sums in each task;
-2. how often each frequent word follows each of the most frequent ones; words with like
+2. every text once as the numbers of its tokens, stored; the steps below read those;
+3. how often each frequent word follows each of the most frequent ones; words with like
    neighbours form classes (k-means), split by frequency;
-3. distributed gradient updates: each task descends over its own tokens, and the tasks'
+4. distributed gradient updates: each task descends over its own tokens, and the tasks'
    weights are averaged, each feature by how often a task saw it;
-4. scoring in sparse numpy batches. Frequent words, a fixed number of them, are sent to the
-   tasks; all others are looked up by a join on the word.
+5. scoring in sparse numpy batches. Frequent words, a bounded number of bounded length, are
+   sent to the tasks; all others are looked up by a join on the word.
+
+The rows of hashed features grow with the training tokens, one for TOKENS_A_ROW of them, up
+to what a task holds (2 ** MOST_BITS).
 """
 
 from __future__ import annotations
@@ -23,20 +27,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.llm.common import fold, table, written
+from corpuslake.llm.common import finished, fold, slices, table, written
 
-#: Frequent words that are sent to the tasks, at most.
-FREQUENT = 1 << 17
+#: Frequent words that are sent to the tasks, at most, and their bytes.
+FREQUENT, FREQUENT_BYTES = 1 << 17, 128
 #: Of these, words that get a class by their neighbours, and neighbours that are counted.
 CLASSED, NEIGHBOURS = 8192, 32
 CLUSTERS, BINS, RARE = 9, 3, 4
 CLASSES = 32
-ROWS = 1 << 15
+#: Rows of hashed features: powers of two.
+LEAST_BITS, MOST_BITS, TOKENS_A_ROW = 15, 20, 1024
 STEP = 16384
+#: Bytes of text, and tokens, that are looked at together.
+TEXT_BYTES, BATCH_TOKENS = 1 << 19, 1 << 17
 #: Tokens that one task of the training descends over, on average, at least.
 TASK_TOKENS = 2_000_000
 _BLOCK = 512
@@ -46,24 +53,12 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of about ``limit`` bytes of text."""
-    for whole in batches:
-        texts = whole.column(column).to_pylist()
-        at = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= limit or i == len(texts) - 1:
-                yield whole.slice(at, i + 1 - at), texts[at : i + 1]
-                at, size = i + 1, 0
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over the texts of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _batches(batches, 0, 8 << 20):
+        for b in slices(batches, 0, 8 << 20):
             found: Counter = Counter()
-            for t in texts:
+            for t in b.column(0).to_pylist():
                 found.update(tokens(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
 
@@ -84,26 +79,64 @@ class Vocabulary(dict):
     def __reduce__(self):
         return Vocabulary, (list(self),)
 
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Start, start, tokens, end of each text in a row; the text of each; the rare words met, in order."""
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Numbers of all tokens, how many each text has, the rare words met and how many of those."""
         words: list[bytes] = []
         sizes = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             own = tokens(t)
             sizes[i] = len(own)
             words += own
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        doc = np.arange(len(texts))
-        ids = np.full(len(words) + 3 * len(texts), self.start, np.int64)
-        ids[np.arange(len(words)) + np.repeat(3 * doc + 2, sizes)] = numbers
+        numbers = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        rare = np.flatnonzero(numbers >= self.rare)
+        per_text = np.bincount(np.repeat(np.arange(len(texts)), sizes)[rare], minlength=len(texts))
+        return numbers, sizes, [words[i] for i in rare.tolist()], per_text
+
+    def lines(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Start, start, tokens, end of each text in a row; the text of each."""
+        sizes = np.diff(lists.offsets.to_numpy())
+        doc = np.arange(len(sizes))
+        ids = np.full(int(sizes.sum()) + 3 * len(sizes), self.start, np.int64)
+        ids[np.arange(int(sizes.sum())) + np.repeat(3 * doc + 2, sizes)] = lists.flatten().to_numpy()
         ids[np.cumsum(sizes) + 3 * doc + 2] = self.end
-        return ids, np.repeat(doc, sizes + 3), [words[i] for i in np.flatnonzero(numbers >= self.rare).tolist()]
+        return ids, np.repeat(doc, sizes + 3)
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], learns: Column) -> DataFrame:
+    """The stored numbers of all texts: kept, learns, row (a number of its own), ids and the rare words."""
+    known = F.struct(*[F.col(c) for c in keep]).alias("kept")
+    rows = docs.select(known, F.coalesce(learns, F.lit(False)).alias("learns"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2, TEXT_BYTES):
+            ids, sizes, rare, per_text = shared.value.encode(b.column(2).to_pylist())
+            lists = [pa.ListArray.from_arrays(_offsets(sizes), pa.array(ids)), pa.ListArray.from_arrays(_offsets(per_text), pa.array(rare, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["kept", "learns", "ids", "rare"])
+
+    schema = T.StructType([rows.schema["kept"], T.StructField("learns", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.BinaryType()))])
+    return written(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "token-numbers")
+
+
+def _token_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about BATCH_TOKENS tokens in a column of number lists."""
+    for whole in batches:
+        ends = whole.column(column).offsets.to_numpy().astype(np.int64)
+        at = 0
+        while at < whole.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + BATCH_TOKENS, "right")) - 1)
+            yield whole.slice(at, end - at)
+            at = end
 
 
-def _features(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _features(ids: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     """Hashed features of the tokens at ``at``: one row of three numbers each."""
     one, two = ids[at - 1].astype(np.uint64), ids[at - 2].astype(np.uint64)
-    mix = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)).astype(np.int32)
+    mix = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
     return np.stack([mix(one * np.uint64(4) + np.uint64(1)), mix((two * np.uint64(1 << 22) + one) * np.uint64(4) + np.uint64(2)), mix(two * np.uint64(4) + np.uint64(3))])
 
 
@@ -118,15 +151,23 @@ def _probabilities(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.n
     return z
 
 
+def _by_row(own: np.ndarray) -> np.ndarray:
+    """A stable order of row numbers below 2**32, by two passes over 16 bits each."""
+    order = np.argsort(own.astype(np.uint16), kind="stable")
+    high = (own >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
 class Model:
-    """What scoring needs, all of fixed size."""
+    """What scoring needs, all of bounded size."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, ends: int):
         self.words, self.counts = words, counts
         self.total, self.distinct, self.ends = total, distinct, ends
         self.vocabulary = Vocabulary(words)
         self.word_class = np.zeros(len(words), np.int8)
-        self.weights = np.zeros((ROWS, CLASSES), np.float32)
+        self.bits = min(MOST_BITS, max(LEAST_BITS, (max(1, -(-total // TOKENS_A_ROW)) - 1).bit_length()))
+        self.weights = np.zeros((1 << self.bits, CLASSES), np.float32)
 
     def classes_of(self, ids: np.ndarray) -> np.ndarray:
         """Class 0 is the end, the last RARE ones are those of words without a class of their own."""
@@ -135,21 +176,21 @@ class Model:
         return np.where(ids >= v.rare, rare, np.where(ids == v.end, 0, self.word_class[np.minimum(ids, max(0, len(self.words) - 1))] if len(self.words) else 0))
 
 
-def neighbour_counts(docs: DataFrame, model: Model) -> np.ndarray:
+def neighbour_counts(numbers: DataFrame, model: Model) -> np.ndarray:
     """How often each of the CLASSED words follows each of the NEIGHBOURS, or any other token."""
     vocabulary, rows, wide = model.vocabulary, min(CLASSED, len(model.words)), NEIGHBOURS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(rows * wide, np.int64)
-        for _, texts in _batches(batches, 0, 1 << 21):
-            ids, _, _ = vocabulary.encode(texts)
+        for b in _token_batches(batches, 0):
+            ids, _ = vocabulary.lines(b.column(0))
             at = np.flatnonzero(ids < rows)
             total += np.bincount(ids[at] * wide + np.minimum(ids[at - 1], NEIGHBOURS), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
 
     out = np.zeros(rows * wide)
-    found = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = numbers.where("learns").select("ids").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(rows, wide)
 
@@ -190,22 +231,24 @@ def class_totals(model: Model, rare: dict[int, tuple[int, int]]) -> None:
     model.class_size = n + v + unknown
 
 
-def train(docs: DataFrame, model: Model, rate: float = 0.5) -> None:
-    """One pass of gradient updates over all texts of ``docs``, in parallel, then averaged."""
-    vocabulary, bias, classes = model.vocabulary, model.bias, model.classes_of
+def train(numbers: DataFrame, model: Model, rate: float = 0.5) -> None:
+    """One pass of gradient updates over all texts that are learnt from, in parallel, then averaged."""
+    bits, size = model.bits, 1 << model.bits
+    shared = numbers.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, speed, seen = np.zeros((ROWS, CLASSES), np.float32), np.full(ROWS, 1e-2, np.float32), np.zeros(ROWS, np.float32)
-        for _, texts in _batches(batches, 0, 1 << 19):
-            ids, _, _ = vocabulary.encode(texts)
+        bias, classes, vocabulary = shared.value.bias, shared.value.classes_of, shared.value.vocabulary
+        w, speed, seen = np.zeros((size, CLASSES), np.float32), np.full(size, 1e-2, np.float32), np.zeros(size, np.float32)
+        for b in _token_batches(batches, 0):
+            ids, _ = vocabulary.lines(b.column(0))
             where = np.flatnonzero(ids != vocabulary.start)
             for i in range(0, len(where), STEP):
                 at = where[i : i + STEP]
-                f = _features(ids, at)
+                f = _features(ids, at, bits)
                 p = _probabilities(w, bias, f)
                 p[np.arange(len(at)), classes(ids[at])] -= 1
                 for own in f:
-                    order = np.argsort(own.astype(np.uint16), kind="stable")
+                    order = _by_row(own)
                     rows = own[order]
                     first = np.flatnonzero(np.diff(rows, prepend=-1))
                     g = np.add.reduceat(p.take(order, axis=0), first, axis=0)
@@ -213,13 +256,13 @@ def train(docs: DataFrame, model: Model, rate: float = 0.5) -> None:
                     speed[rows] += np.einsum("ij,ij->i", g, g) / CLASSES
                     w[rows] -= rate / 3 * g / np.sqrt(speed[rows])[:, None]
                     seen[rows] += times
-        for b in range(0, ROWS, _BLOCK):
+        for b in range(0, size, _BLOCK):
             if seen[b : b + _BLOCK].any():
                 part = np.concatenate((w[b : b + _BLOCK] * seen[b : b + _BLOCK, None], seen[b : b + _BLOCK, None]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], names=["block", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One running sum for each block: there are ROWS / _BLOCK of them.
+        # One running sum for each block: there are 2 ** MOST_BITS / _BLOCK of them at most.
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for block, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -229,23 +272,22 @@ def train(docs: DataFrame, model: Model, rate: float = 0.5) -> None:
 
     kind = "block int, part binary"
     tasks = max(1, -(-model.total // TASK_TOKENS))
-    parts = docs.select(F.col("text").cast("binary").alias("text")).coalesce(tasks).mapInArrow(run, kind)
+    parts = numbers.where("learns").select("ids").coalesce(tasks).mapInArrow(run, kind)
     parts = parts.repartition(F.col("block"), F.spark_partition_id() % 16).mapInArrow(add, kind)
     for r in parts.repartition("block").mapInArrow(add, kind).collect():
         part = np.frombuffer(r["part"], np.float32).reshape(_BLOCK, CLASSES + 1)
         model.weights[r["block"] : r["block"] + _BLOCK] = part[:, :-1] / np.maximum(part[:, -1:], 1e-6)
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the texts of ``docs``, and the stored counts of all words (word, c)."""
-    docs = docs.select("text")
+def vocabulary_of(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """A model that knows the counts of the texts of ``docs``, and the stored counts of its rare words (word, c)."""
     counts = written(word_counts(docs), "word-counts")
     ends = docs.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # Frequent words are those of the highest counts that together are no more than FREQUENT,
     # in steps of a tenth; the steps are few, so nothing is sorted or gathered to find them.
-    step = F.floor(F.log("c") / F.log(F.lit(1.1)))
-    ladder = sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"])
+    step = F.when(F.length("word") <= FREQUENT_BYTES, F.floor(F.log("c") / F.log(F.lit(1.1)))).otherwise(F.lit(-1))
+    ladder = sorted(counts.where(step >= 0).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"])
     sums = np.cumsum([r["n"] for r in ladder])
     fits = int(np.searchsorted(sums, FREQUENT, side="right"))
     least = ladder[fits - 1]["step"] if fits else 1 << 30
@@ -253,26 +295,22 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     order = np.lexsort((np.array(top["word"].to_pylist(), object), -top["c"].to_numpy())) if top.num_rows else np.zeros(0, np.int64)
     words = top["word"].take(pa.array(order)).to_pylist()
     model = Model(words, top["c"].to_numpy()[order].astype(np.int64), total + ends, distinct + (ends > 0), ends)
-    if words:
-        assign_classes(model, neighbour_counts(docs, model))
-    others = counts.where(step < least)
+    return model, counts.where(step < least)
+
+
+def fit(numbers: DataFrame, model: Model, others: DataFrame) -> None:
+    """Classes and weights of ``model`` from the encoded texts that are learnt from."""
+    if model.words:
+        assign_classes(model, neighbour_counts(numbers, model))
     rare = others.groupBy((F.crc32("word").bitwiseAND(F.lit(0xFFFFF)) % RARE).alias("r")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"))
     class_totals(model, {r["r"]: (r["v"], r["n"]) for r in rare.collect()})
-    train(docs, model)
-    return model, others
+    train(numbers, model)
 
 
-def score(docs: DataFrame, model: Model, others: DataFrame, keep=("doc_id",)) -> DataFrame:
-    """The columns ``keep``, n_tokens, n_known, train_tokens, base_score and score (log10) of every row.
-
-    Null and empty texts are scored for their end alone. Repeated rows score alike. Without
-    training texts every token is unknown. Empty input gives empty output.
-    """
-    known = F.struct(*[F.col(c) for c in keep]).alias("kept")
-    rows = docs.select(known, F.col("text").cast("binary").alias("text"))
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    tail = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("rare", T.ArrayType(T.BinaryType()))]
+def score(numbers: DataFrame, model: Model, others: DataFrame, keep=("doc_id",)) -> DataFrame:
+    """The columns ``keep``, n_tokens, n_known, train_tokens, base_score and score (log10) of every encoded row."""
+    shared = numbers.sparkSession.sparkContext.broadcast(model)
+    tail = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -280,30 +318,27 @@ def score(docs: DataFrame, model: Model, others: DataFrame, keep=("doc_id",)) ->
         floor = np.log10(m.total + m.distinct + 1)
         own_base = np.append(np.log10(m.counts + 1.0), [np.log10(m.ends + 1.0)])
         size = np.log10(np.maximum(1.0, m.class_size))
-        for b, texts in _batches(batches, 1, 1 << 18):
-            ids, row, rare = v.encode(texts)
+        for b in _token_batches(batches, 2):
+            ids, row = v.lines(b.column(2))
             where = np.flatnonzero(ids != v.start)
-            n = np.bincount(row[where], minlength=len(texts))
+            n = np.bincount(row[where], minlength=b.num_rows)
             got = ids[where] < v.rare
             frequent = np.where(got, own_base[np.minimum(ids[where], v.end)], 0.0)
-            base = np.bincount(row[where], weights=frequent - floor, minlength=len(texts))
+            base = np.bincount(row[where], weights=frequent - floor, minlength=b.num_rows)
             lp = np.empty(len(where))
             for i in range(0, len(where), STEP):
                 at = where[i : i + STEP]
                 c = m.classes_of(ids[at])
-                p = _probabilities(m.weights, m.bias, _features(ids, at))[np.arange(len(at)), c]
+                p = _probabilities(m.weights, m.bias, _features(ids, at, m.bits))[np.arange(len(at)), c]
                 lp[i : i + STEP] = np.log10(np.maximum(p, 1e-30)) - size[c]
-            model_score = np.bincount(row[where], weights=lp + frequent, minlength=len(texts))
-            seen = np.bincount(row[where], weights=got & ((ids[where] != v.end) | (m.ends > 0)), minlength=len(texts)).astype(np.int64)
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(row[where], weights=~got, minlength=len(texts))))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, pa.array(rare, pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(seen), pa.array(base), pa.array(model_score), lists], names=["kept", *[c for c, _ in tail]])
-
-    scored = rows.mapInArrow(run, T.StructType([rows.schema["kept"], *[T.StructField(c, k) for c, k in tail]]))
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    found = scored.select("row", F.explode("rare").alias("word")).join(others, "word")
+            model_score = np.bincount(row[where], weights=lp + frequent, minlength=b.num_rows)
+            seen = np.bincount(row[where], weights=got & ((ids[where] != v.end) | (m.ends > 0)), minlength=b.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(seen), pa.array(base), pa.array(model_score)], names=["kept", "row", *[c for c, _ in tail]])
+
+    scored = numbers.select("kept", "row", "ids").mapInArrow(run, T.StructType([numbers.schema["kept"], T.StructField("row", T.LongType()), *[T.StructField(c, k) for c, k in tail]]))
+    found = numbers.select("row", F.explode("rare").alias("word")).join(others, "word")
     found = found.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("more_known"))
-    out = scored.select("kept", "n_tokens", "n_known", "base", "score", "row").join(found, "row", "left")
+    out = scored.join(found, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         *[F.col(f"kept.{c}").alias(c) for c in keep], "n_tokens",
@@ -313,8 +348,22 @@ def score(docs: DataFrame, model: Model, others: DataFrame, keep=("doc_id",)) ->
     )
 
 
+def lm_scores(docs: DataFrame, learns: Column, keep=("doc_id",)) -> DataFrame:
+    """The columns ``keep``, n_tokens, n_known, train_tokens, base_score and score (log10) of every
+    row of ``docs``, from a model of the rows for which ``learns`` is true.
+
+    Null and empty texts are scored for their end alone. Repeated rows score alike. Without
+    training texts every token is unknown. Words of any length are counted; those beyond
+    FREQUENT_BYTES are never sent to tasks. Empty input gives empty output; other columns are
+    ignored unless named in ``keep``.
+    """
+    model, others = vocabulary_of(docs.where(learns).select("text"))
+    numbers = encoded(docs, model.vocabulary, list(keep), learns)
+    fit(numbers, model, others)
+    return score(numbers, model, others, keep)
+
+
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model, others = fit(docs.where(fold(F.col("doc_id"), 7) != 2))
-    found = score(docs, model, others)
-    return found.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2
+    found = finished("lm-scores", lambda: lm_scores(docs, ~held))
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -375,30 +375,61 @@ def test_factorisation_identity():
     assert abs(got[0] - want) < 1e-9
 
 
+def brute_lm(model, counts, texts):
+    """log10 probability of each text, token by token, with plain loops over the features' rows."""
+    v, out = model.vocabulary, []
+    rows = lambda x: ((x * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> (64 - model.bits)
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        line = [v.start, v.start, *[v[w] for w in words], v.end]
+        total = 0.0
+        for i in range(2, len(line)):
+            one, two = line[i - 1], line[i - 2]
+            z = model.bias.astype(float) + sum(model.weights[rows(x)].astype(float) for x in (one * 4 + 1, (two * 2**22 + one) * 4 + 2, two * 4 + 3))
+            p = np.exp(z - z.max())
+            c = int(model.classes_of(np.array([line[i]]))[0])
+            n = model.ends if i == len(line) - 1 else counts.get(words[i - 2], 0)
+            total += math.log10(p[c] / p.sum()) + math.log10((n + 1) / max(1, model.class_size[c]))
+        out.append(total)
+    return out
+
+
 @have
-def test_lm_scores(spark, texts, monkeypatch):
+@pytest.mark.parametrize("least_bits", [15, 17])
+def test_lm_scores(spark, texts, least_bits, monkeypatch):
     monkeypatch.setattr(langmodel, "FREQUENT", 300)
     monkeypatch.setattr(langmodel, "CLASSED", 200)
+    monkeypatch.setattr(langmodel, "LEAST_BITS", least_bits)
+    texts = [*texts, "q" * 5000 + " the", "q" * 5000]
     docs = docs_of(spark, texts)
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
-    train = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
-    model, others = langmodel.fit(train)
-    got = {r.doc_id: r for r in langmodel.score(docs, model, others).collect()}
+    learns = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    model, others = langmodel.vocabulary_of(docs.where(learns))
+    numbers = langmodel.encoded(docs, model.vocabulary, ["doc_id", "row"], learns)
+    langmodel.fit(numbers, model, others)
+    got = {r.doc_id: r for r in langmodel.score(numbers, model, others, ["doc_id", "row"]).collect()}
+    assert all(r.row == 1 for r in got.values())
     words = [(t or "").encode().lower().split() for t in texts]
     counts = Counter(w for ws, h in zip(words, held) if not h for w in ws)
     ends = held.count(False)
     n, v = sum(counts.values()) + ends, len(counts) + 1
+    scores = brute_lm(model, counts, texts)
     for i, ws in enumerate(words):
         base = sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in ws) + math.log10((ends + 1) / (n + v + 1))
         r = got[i]
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.n_tokens == len(ws) + 1 and r.train_tokens == n
-        assert r.n_known == sum(w in counts for w in ws) + 1 and r.score < 0
+        assert r.n_known == sum(w in counts for w in ws) + 1 and abs(r.score - scores[i]) < 1e-4 * max(1, abs(scores[i]))
     assert sum(got[i].score - got[i].base_score for i, h in enumerate(held) if h) > 0
     # All words together, and what is left for unknown ones, have probability one at most.
     share = sum(math.exp(b) for b in model.bias - np.logaddexp.reduce(model.bias))
     assert abs(share - 1) < 1e-4
-    none, rest = langmodel.fit(docs.where("false"))
-    assert {r.n_known for r in langmodel.score(docs, none, rest).collect()} == {0}
+
+
+def test_lm_scores_without_training_or_rows(spark):
+    docs = docs_of(spark, ["a b", None, "a b"])
+    none = sorted(langmodel.lm_scores(docs, F.lit(False)).collect(), key=lambda r: r.doc_id)
+    assert {(r.n_known, r.train_tokens) for r in none} == {(0, 0)} and none[0].score == none[2].score
+    assert langmodel.lm_scores(docs.where("false"), F.lit(True)).count() == 0
 
 
 @have
