@@ -4,7 +4,8 @@ Every letter has a random vector of +1 and -1. A trigram's vector binds its lett
 first permuted twice, the second once, the third as it is, multiplied element by element
 (word boundaries count as a letter). A text's vector is the bundle (sum) of its trigrams'
 vectors, damped by the square root of their counts; a language's prototype is the bundle of
-its training texts. A text gets the language whose centred prototype has the largest cosine.
+its training texts, each weighted to about unit length. A text gets the language whose centred
+prototype has the largest cosine with its vector.
 """
 
 from __future__ import annotations
@@ -71,8 +72,8 @@ def _trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
 
 
 def _weights(counts: np.ndarray) -> np.ndarray:
-    """Weights of a text's trigrams in its bundle, which they give unit length: bound random
-    vectors are nearly orthogonal, so a bundle's length is that of its weights."""
+    """Weights of a text's trigrams in its bundle, of about unit length: bound random vectors
+    are nearly orthogonal, so a bundle's length is about that of its weights."""
     w = np.sqrt(counts)
     return w / np.sqrt((w * w).sum())
 
@@ -86,40 +87,41 @@ class Space:
         self.first, self.second = np.roll(self.letters, 2, axis=1), np.roll(self.letters, 1, axis=1)
 
     def bind(self, t: np.ndarray) -> np.ndarray:
-        """Unit vectors of trigrams."""
-        bound = self.first[t // (LETTERS * LETTERS)] * self.second[t // LETTERS % LETTERS] * self.letters[t % LETTERS]
-        return bound / np.float32(np.sqrt(self.dim))
+        """Vectors of trigrams."""
+        return self.first[t // (LETTERS * LETTERS)] * self.second[t // LETTERS % LETTERS] * self.letters[t % LETTERS]
 
     def bundle(self, t: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return sum((weights[i : i + 4096].astype(np.float32) @ self.bind(t[i : i + 4096]) for i in range(0, len(t), 4096)), np.zeros(self.dim))
+        return sum((weights[i : i + 4096].astype(np.float32) @ self.bind(t[i : i + 4096]).astype(np.float32) for i in range(0, len(t), 4096)), np.zeros(self.dim, np.float32))
 
 
 class Comparer:
-    """Inner products of texts' bundles with prototypes.
+    """Cosines of texts' vectors with prototypes. The trigrams met first are kept bound."""
 
-    The product is linear, so that of a bundle is the weighted sum of its trigrams' products;
-    those are kept once bound and compared.
-    """
-
-    def __init__(self, protos: np.ndarray, dim: int = DIM):
+    def __init__(self, protos: np.ndarray, dim: int = DIM, room: int = 1 << 15):
         self.space, self.protos = Space(dim), protos
-        self.place = np.zeros(LETTERS**3, np.int32)
-        self.known, self.used = np.zeros((4096, len(protos)), np.float32), 1
+        self.place = np.full(LETTERS**3, -1, np.int32)
+        self.bound, self.used = np.empty((room, dim), np.int8), 0
+
+    def bundle(self, t: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        place = self.place[t]
+        new = t[place < 0][: len(self.bound) - self.used]
+        if len(new):
+            self.bound[self.used : self.used + len(new)] = self.space.bind(new)
+            self.place[new] = np.arange(self.used, self.used + len(new))
+            self.used += len(new)
+            place = self.place[t]
+        kept = place >= 0
+        w, rows = (weights, place) if kept.all() else (weights[kept], place[kept])
+        w = w.astype(np.float32)
+        out = sum((w[i : i + 1024] @ self.bound[rows[i : i + 1024]].astype(np.float32) for i in range(0, len(rows), 1024)), np.zeros(self.space.dim, np.float32))
+        return out if len(rows) == len(t) else out + self.space.bundle(t[~kept], weights[~kept])
 
     def __call__(self, text: str | None) -> np.ndarray | None:
         found = _trigrams(text)
         if found is None:
             return None
-        t, n = found
-        new = t[self.place[t] == 0]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            while self.used + len(part) > len(self.known):
-                self.known = np.concatenate((self.known, np.zeros_like(self.known)))
-            self.known[self.used : self.used + len(part)] = self.space.bind(part) @ self.protos.T
-            self.place[part] = np.arange(self.used, self.used + len(part))
-            self.used += len(part)
-        return _weights(n).astype(np.float32) @ self.known[self.place[t]]
+        v = self.bundle(found[0], _weights(found[1]))
+        return self.protos @ v / max(1e-12, float(np.linalg.norm(v)))
 
 
 def prototypes(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:

@@ -151,10 +151,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep=("doc_id",), metadat
     """The columns ``keep`` of every row of ``docs``, and score: the probability of quality 1.
 
     Fitted on a bounded sample of labelled rows outside fold ``held`` (see fitting). Inputs are
-    the text and the numbers in the columns ``metadata``. Null and empty texts get a score too.
+    the text and the numbers in the columns ``metadata``, of which those that ``docs`` lacks are
+    left out. Null and empty texts get a score too.
     Without labels, or with one class only, the score is constant. Ties and repeated rows are
     scored alike. Empty input gives empty output.
     """
+    metadata = [c for c in metadata if c in docs.columns]
     texts, y, extra = labelled_sample(docs, labels, "quality", parts, held, bound, metadata)
     model = fit(texts, y, [extra[c] for c in metadata])
     del texts

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuslake.llm import decontaminate, graph, langmodel, language, mixing, nearest, numtext, quality, queries, repeats, similar, simhash, substrings, suffixes, toxicity
+from corpuslake.llm import decontaminate, fitting, graph, langmodel, language, mixing, nearest, numtext, quality, queries, repeats, similar, simhash, substrings, suffixes, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, row long, kept string, fp string"
@@ -366,6 +366,84 @@ def test_classifiers(spark, name, label, fold, held, mod):
     assert scorer(plain.where("false"), labels).count() == 0
 
 
+def test_language_cosines_against_brute_force():
+    """Letter vectors bound and bundled one trigram at a time; few of them kept bound."""
+    rng = np.random.default_rng(2)
+    protos = rng.normal(size=(3, 64)).astype(np.float32)
+    space = language.Space(64)
+    for text in ("the ñandú of The", "aaaa", "x"):
+        grams = Counter()
+        line = [0]
+        for ch in text:
+            c = language._letter(ord(ch))
+            if c or line[-1]:
+                line.append(c)
+        line += [0] if line[-1] else []
+        for a, b, c in zip(line, line[1:], line[2:]):
+            grams[(a, b, c)] += 1
+        v = np.zeros(64)
+        for (a, b, c), n in grams.items():
+            v += math.sqrt(n) * np.roll(space.letters[a], 2) * np.roll(space.letters[b], 1) * space.letters[c]
+        want = protos @ v / np.linalg.norm(v)
+        for room in (1 << 10, 2):
+            assert np.allclose(language.Comparer(protos, 64, room)(text), want, atol=1e-5)
+
+
+def test_toxicity_score_against_brute_force():
+    rng = np.random.default_rng(3)
+    model = rng.normal(size=toxicity.BUCKETS).astype(np.float32), np.array([-1.0, 0.5, 0.2])
+    texts = [b"Some w0rds; here are MORE of them than eight, so two runs, yes", b"one", b"", None]
+    got = toxicity.score(model, texts)
+    for text, p in zip(texts, got):
+        words = [w for w in "".join(c if c.isalnum() or c in "@$*" else " " for c in (text or b"").decode().lower()).split()]
+        bags = []
+        for w in words:
+            buf = np.frombuffer(w.encode(), np.uint8)
+            ids, _ = toxicity._bags(buf, np.array([0]), np.array([len(buf)]))
+            bags.append(model[0][ids].astype(float))
+        logits = []
+        for (n, gain), b in zip(toxicity.SCALES, model[1]):
+            for at in range(0, max(1, len(words)), n or max(1, len(words))):
+                part = np.concatenate([np.zeros(0), *bags[at : at + (n or len(words))]])
+                if len(part) or not n:
+                    logits.append(gain * (part.mean() if len(part) else 0.0) + b)
+        want = 1 / (1 + math.exp(-np.logaddexp.reduce(logits)))
+        assert abs(p - want) < 1e-6
+
+
+@have
+def test_toxicity_on_held_out_documents_and_misspellings():
+    import duckdb
+
+    sf = SF.replace("0.001", "0.1")
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    rows = duckdb.sql(f"SELECT d.doc_id, coalesce(text, ''), toxic FROM '{sf}/documents.parquet' d JOIN '{sf}/labels.parquet' USING (doc_id) WHERE toxic IS NOT NULL ORDER BY 1").fetchall()
+    held = [zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in rows]
+    model = toxicity.fit([r[1].encode() for r, h in zip(rows, held) if not h], [r[2] for r, h in zip(rows, held) if not h], passes=60)
+    test = [r for r, h in zip(rows, held) if h]
+    p = toxicity.score(model, [r[1].encode() for r in test]) >= 0.5
+    y = np.array([r[2] for r in test]) > 0
+    assert p[y].mean() > 0.9 and p[~y].mean() < 0.05
+    clean = [r[1] for r in test if not r[2] and 200 < len(r[1]) < 2500][:20]
+    caught = [np.mean(toxicity.score(model, [(t + " " + w).encode() for t in clean]) >= 0.5) > 0.5 for w in ("stuppid", "disgustin", "moronn", "stup1d", "tra5h", "id1ot", "idiiot", "trrash")]
+    assert sum(caught) >= 4, caught
+
+
+def test_labelled_sample_is_bounded_and_repeatable(spark, monkeypatch):
+    docs = docs_of(spark, [f"text number {i} " + "x" * i for i in range(60)])
+    docs = docs.unionAll(docs.withColumn("text", F.concat("text", F.lit(" other"))))
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(60)] + [(None, 1, None), (3, 0, None)], "doc_id long, quality int, toxic int")
+    texts, y, extra = fitting.labelled_sample(docs, labels, "quality", 4, 2, extra=("n_chars",))
+    want = {f"text number {i} ".encode() + b"x" * i: i % 2 for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert dict(zip(texts, y)) == want and len(extra["n_chars"]) == len(texts)
+    assert fitting.labelled_sample(docs.repartition(5), labels, "quality", 4, 2, extra=("n_chars",))[0] == texts
+    monkeypatch.setattr(fitting, "FIT_BYTES", 500)
+    few = fitting.labelled_sample(docs, labels, "quality", 4, 2)[0]
+    assert 0 < sum(map(len, few)) <= 500 and few == texts[: len(few)]
+    assert fitting.labelled_sample(docs, labels, "toxic", 4, 2) == ([], [], {})
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(6)
     w, v = rng.normal(size=9), rng.normal(size=(9, 3))
