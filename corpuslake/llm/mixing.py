@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import WORD, table, written
+from corpuslake.llm.common import WORD, finished, table, written
 
 #: Rows that one bucket of a source holds on average.
 BUCKET_ROWS = 8192
@@ -42,8 +42,10 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap:
     return w.select("source", "source_size", "source_rows", F.coalesce(target, F.col("cap")).alias("target"))
 
 
-def sort_key(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def sort_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """Hash-random, of id and text, so that rows without an id have keys of their own."""
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest).cast("binary"))
 
 
 def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, keep=("doc_id",)) -> DataFrame:
@@ -53,15 +55,17 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: flo
     (words taken, repeats counted), epochs (whole passes over the source) and cut (true for
     the one document per source of which only the first words are taken in the last pass).
 
-    A null text has size 0; null is a source of its own; equal ids are ordered by size, and
-    rows equal in both are interchangeable. Empty input gives empty output. Other columns of
+    A null text has size 0; null is a source of its own; rows of one id are ordered by a hash of
+    their texts, and rows equal in both are interchangeable. Empty input gives empty output. Other columns of
     ``docs`` are ignored unless named in ``keep``.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     names = list(dict.fromkeys(keep))
     kept = F.struct(*[F.col(c) for c in names]).alias("kept")
-    slim = ["source", size, sort_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id").alias("tie")]
-    sized = written(docs.select(*slim), "sizes")
+    slim = ["source", size, sort_key(F.col("doc_id"), F.col("text"), seed).alias("key"), F.col("doc_id").alias("tie")]
+    # Sizes and keys are made once, unless the texts are to be returned: those are moved only once then.
+    whole = docs.select(kept, *slim)
+    sized = written(whole.drop("kept") if "text" in names else whole, "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     # The two small tables are stored, so that Spark knows their sizes and moves the texts only
     # once, to their buckets, unless there are very many sources.
@@ -76,7 +80,7 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: flo
     buckets = dealt(sized).groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = written(buckets.select(F.col("source").alias("of"), F.col("bucket").alias("nth"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead")), "buckets")
-    rows = dealt(docs.select(kept, *slim))
+    rows = dealt(whole if "text" in names else sized)
     inside = Window.partitionBy("source", "bucket").orderBy("key", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(buckets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("nth")), "inner")
@@ -94,12 +98,13 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: flo
 
 
 def op6_source_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    found = finished("mix", lambda: mix_sources(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
 per_source AS (

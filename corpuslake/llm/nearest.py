@@ -1,15 +1,18 @@
 """Nearest neighbours by largest inner product, as a block matrix join.
 
 Queries and candidates are packed into blocks; each query block meets each candidate block
-once, in a tile. A tile multiplies int8 codes (exactly, as small whole numbers in a float
-matrix product), bounds every product's quantisation error, and keeps a pair only if its
-upper bound reaches the k-th best lower bound that the query has seen in the task so far.
-Surviving pairs are recomputed from the original vectors in double precision and merged in a
-running top-k per query; the tasks' top-k lists are merged by a final rank.
+once, in a tile. The tiles are dealt into tasks by ranges of query blocks and groups of
+candidate blocks: a task holds the query blocks of its range, a bounded number of bytes, and
+reads the candidate blocks of its group one after the other. A tile multiplies int8 codes (exactly,
+as small whole numbers in a float matrix product), bounds every product's quantisation error,
+and keeps a pair only if its upper bound reaches the k-th best that the query has seen in the
+task so far. Surviving pairs are recomputed from the original vectors in double precision and
+merged in a heap of k for each query; the tasks' lists are merged by a final rank.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import table, written
+from corpuslake.llm.common import finished, table, written
 
 QUERY_BLOCK = 512
 ROW_BLOCK = 4096
+#: Bytes of query vectors that a task holds.
+QUERY_BYTES = 32 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -45,44 +50,69 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def _survivors(q: np.ndarray, qi: np.ndarray, v: np.ndarray, vi: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a tile's pairs whose upper bound reaches the query's k-th best:
+    the k-th lower bound in the tile, or ``floor`` if that is more."""
+    qc, qs, ql = _quantised(q)
+    vc, vs, vl = _quantised(v)
+    dim = q.shape[1]
+    # Whole numbers below 2**24 for up to 1040 components at a time: exact in float32.
+    tile = sum(qc[:, j : j + 1024].astype(np.float32) @ vc[:, j : j + 1024].astype(np.float32).T for j in range(0, dim, 1024)).astype(np.float64)
+    mid = tile * qs[:, None] * vs[None, :]
+    bound = 0.5 * (ql[:, None] * vs[None, :] + qs[:, None] * vl[None, :]) + 0.25 * dim * qs[:, None] * vs[None, :]
+    bound = bound * (1 + 1e-9) + 1e-300
+    other = qi[:, None] != vi[None, :]
+    if len(v) >= k:
+        low = np.where(other, mid - bound, -np.inf)
+        floor = np.maximum(floor, np.partition(low, len(v) - k, axis=1)[:, len(v) - k])
+    return np.nonzero(other & (mid + bound >= floor[:, None]))
+
+
+class Heaps:
+    """The k best (score, vec_id) of each of some queries: the worst on top, of ties the larger vec_id."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+        self.floor = np.full(len(ids), -np.inf)
+
+    def add(self, row: np.ndarray, vec_id: np.ndarray, score: np.ndarray) -> None:
+        for i, v, s in zip(row.tolist(), vec_id.tolist(), score.tolist(), strict=True):
+            heap = self.heaps[i]
+            if len(heap) < self.k:
+                heapq.heappush(heap, (s, -v))
+            else:
+                heapq.heappushpop(heap, (s, -v))
+        for i in np.unique(row).tolist():
+            if len(self.heaps[i]) == self.k:
+                self.floor[i] = self.heaps[i][0][0]
+
+    def rows(self) -> pd.DataFrame:
+        found = [(q, -v, s) for q, heap in zip(self.ids.tolist(), self.heaps, strict=True) for s, v in heap]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+
 def _tiles(k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, pd.DataFrame] = {}  # of each query block
+        held: list[tuple[np.ndarray, Heaps]] = []
         for f in frames:
             for r in f.itertuples(index=False):
-                q = np.frombuffer(r.q_vec, np.float64).reshape(-1, r.dim)
-                v = np.frombuffer(r.v_vec, np.float64).reshape(-1, r.dim)
-                qi, vi = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.v_ids, np.int64)
-                qc, qs, ql = _quantised(q)
-                vc, vs, vl = _quantised(v)
-                # Whole numbers below 2**24 for up to 1040 components at a time: exact in float32.
-                tile = sum(qc[:, j : j + 1024].astype(np.float32) @ vc[:, j : j + 1024].astype(np.float32).T for j in range(0, r.dim, 1024)).astype(np.float64)
-                mid = tile * qs[:, None] * vs[None, :]
-                bound = 0.5 * (ql[:, None] * vs[None, :] + qs[:, None] * vl[None, :]) + 0.25 * r.dim * qs[:, None] * vs[None, :]
-                bound = bound * (1 + 1e-9) + 1e-300
-                other = qi[:, None] != vi[None, :]
-                low = np.where(other, mid - bound, -np.inf)
-                old = best.get(r.qb)
-                floor = np.full(len(q), -np.inf)
-                if low.shape[1] >= k:
-                    floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-                if old is not None:
-                    kth = old.groupby("query_id")["score"].nsmallest(1).droplevel(1)[old.groupby("query_id").size() >= k]
-                    floor = np.maximum(floor, pd.Series(qi).map(kth).fillna(-np.inf).to_numpy())
-                i, j = np.nonzero(other & (mid + bound >= floor[:, None]))
-                found = pd.DataFrame({"query_id": qi[i], "vec_id": vi[j], "score": _exact(q[i], v[j])})
-                both = found if old is None else pd.concat([old, found], ignore_index=True)
-                both = both.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-                best[r.qb] = both[both.groupby("query_id").cumcount() < k]
-        for b in best.values():
-            yield b
+                ids, vecs = np.frombuffer(r.ids, np.int64), np.frombuffer(r.vecs, np.float64).reshape(-1, r.dim)
+                if r.kind == 0:
+                    held.append((vecs, Heaps(ids, k)))
+                    continue
+                for q, heaps in held:
+                    if q.shape[1] == r.dim:
+                        i, j = _survivors(q, heaps.ids, vecs, ids, heaps.floor, k)
+                        heaps.add(i, ids[j], _exact(q[i], vecs[j]))
+        for _, heaps in held:
+            yield heaps.rows()
 
     return run
 
 
-def _packed(kind: str):
+def _packed(rows: int):
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = QUERY_BLOCK if kind == "q" else ROW_BLOCK
         for f in frames:
             for dim, same in f.groupby(f["vec"].map(len)):
                 for at in range(0, len(same), rows):
@@ -92,28 +122,44 @@ def _packed(kind: str):
     return pack
 
 
+def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int, int]:
+    """The stored blocks of ``rows``, numbered from 0 without gaps; how many there are and their largest size in bytes."""
+    packed = written(rows.mapInPandas(_packed(size), "dim int, ids binary, vecs binary").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), name)
+    sizes = packed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("vecs")).alias("bytes")).orderBy("part").collect()
+    # One row for each stored part: where its blocks begin.
+    starts = np.cumsum([0] + [r["n"] for r in sizes]).tolist()
+    begins = rows.sparkSession.createDataFrame([(r["part"], s) for r, s in zip(sizes, starts, strict=False)], "part int, start long")
+    nth = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return packed.join(begins, "part").select("dim", "ids", "vecs", nth.alias("nth")), starts[-1], max((r["bytes"] for r in sizes), default=0)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of ``queries`` (vec_id, embedding) the
+    """(query_id, rank, vec_id, score): for each vec_id of ``queries`` (vec_id, embedding) the
     ``k`` rows of ``vectors`` with the largest inner product, ties to the smaller vec_id.
 
     A row never meets itself (equal vec_id); if there are fewer than ``k`` candidates all are
     returned. Null, zero or non-finite vectors, and null ids, take no part. Vectors of
-    different lengths never meet. Repeated rows of one vec_id all compete. Empty tables give
-    empty output; other columns are ignored.
+    different lengths never meet. Repeated rows of one vec_id all compete as candidates; of
+    repeated query ids the one with the least vector asks. Empty tables give empty output; other
+    columns are ignored.
     """
     def clean(df):
         vec = F.transform("embedding", lambda x: x.cast("double"))
         return df.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"))
 
-    packed = "dim int, ids binary, vecs binary"
-    q = written(clean(queries).coalesce(8).mapInPandas(_packed("q"), packed).withColumn("qb", F.monotonically_increasing_id()), "query-blocks")
-    v = written(clean(vectors).mapInPandas(_packed("v"), packed).withColumn("vb", F.monotonically_increasing_id()), "row-blocks")
-    # Blocks of rows are dealt into groups; every block of queries is sent once to every group.
-    groups = max(1, min(v.count(), max(vectors.sparkSession.sparkContext.defaultParallelism * 2, v.count() // 16)))
-    q = q.select("dim", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vec"), "qb", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    v = v.select(F.col("dim").alias("v_dim"), F.col("ids").alias("v_ids"), F.col("vecs").alias("v_vec"), "vb")
-    v = v.withColumn("g", F.pmod(F.xxhash64("vb"), F.lit(groups)).cast("int"))
-    tiles = q.join(v, (q["g"] == v["g"]) & (q["dim"] == v["v_dim"])).select("qb", "dim", "q_ids", "q_vec", "v_ids", "v_vec")
+    asked = clean(queries).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    q, n_q, q_bytes = _blocks(asked, QUERY_BLOCK, "query-blocks")
+    v, n_v, _ = _blocks(clean(vectors), ROW_BLOCK, "row-blocks")
+    # Query blocks by ranges that a task can hold; groups of row blocks for as many tasks as keep
+    # the cluster busy, or of 16 blocks where there are more.
+    held = max(1, QUERY_BYTES // max(1, q_bytes))
+    ranges = max(1, -(-n_q // held))
+    groups = max(1, min(n_v, max(-(-vectors.sparkSession.sparkContext.defaultParallelism * 2 // ranges), n_v // 16)))
+    one = F.floor(F.col("nth") / held).cast("int")
+    q = q.select(F.lit(0).alias("kind"), "dim", "ids", "vecs", F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: g * ranges + one)).alias("task"))
+    g = F.pmod("nth", F.lit(groups)).cast("int")
+    v = v.select(F.lit(1).alias("kind"), "dim", "ids", "vecs", F.explode(F.transform(F.sequence(F.lit(0), F.lit(ranges - 1)), lambda r: g * ranges + r)).alias("task"))
+    tiles = q.unionAll(v).repartitionById(groups * ranges, "task").sortWithinPartitions("kind").select("kind", "dim", "ids", "vecs")
     local = tiles.mapInPandas(_tiles(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -121,7 +167,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
 def op8_block_matrix_knn(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return nearest(rows, rows.where("vec_id % 20 = 0"))
+    return finished("nearest", lambda: nearest(rows, rows.where("vec_id % 20 = 0")))
 
 
 ORACLE = """

@@ -292,7 +292,13 @@ def test_mixing_meets_budgets(spark, texts):
 
 def test_mixing_edges(spark):
     rows = spark.createDataFrame([(1, None, None), (2, "a b", None), (None, "c", "s"), (None, "c", "s")], "doc_id long, text string, source string")
-    assert sum(r.taken for r in mixing.mix_sources(rows).collect()) in (5, 6, 7)
+    # Two words in the null source, which weighs 1, and two in "s", which weighs 3 and is full at twice its size.
+    got = mixing.mix_sources(rows).collect()
+    assert sorted((r.source or "", r.target) for r in got) == [("", 2.0), ("", 2.0), ("s", 4.0), ("s", 4.0)]
+    assert sorted((r.source or "", r.taken) for r in got) == [("", 0), ("", 2), ("s", 2), ("s", 2)]
+    many = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    keys = many.select(mixing.sort_key(F.col("doc_id"), F.col("text"), 17).alias("k")).distinct().count()
+    assert keys == 300 and sum(r.taken for r in mixing.mix_sources(many).collect()) == 900
     assert mixing.mix_sources(rows.where("doc_id = 1")).first().taken == 0
     assert mixing.mix_sources(rows.where("false")).count() == 0
 
@@ -300,13 +306,16 @@ def test_mixing_edges(spark):
 # Nearest neighbours
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("query_bytes", [32 << 20, 1000])
+def test_nearest(spark, query_bytes, monkeypatch):
     rng = np.random.default_rng(4)
     v = np.round(rng.normal(size=(300, 16)), 2).astype(np.float32)
     v[10] = v[20]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (920, [0.0] * 16), (940, [float("nan")] * 16), (960, [1.0, None] * 8), (None, v[0].tolist()), (980, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    nearest.ROW_BLOCK = 64
+    monkeypatch.setattr(nearest, "ROW_BLOCK", 64)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(nearest, "QUERY_BYTES", query_bytes)
     got = nearest.nearest(df, df.where("vec_id % 20 = 0"), 20).collect()
     want = set()
     for q in range(0, 300, 20):
@@ -316,6 +325,11 @@ def test_nearest(spark):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
     few = nearest.nearest(df.where("vec_id < 3"), df.where("vec_id = 0"), 20)
     assert few.count() == 2 and nearest.nearest(df.where("false"), df.where("false")).count() == 0
+    assert nearest.nearest(df, df.where("false")).count() == 0 == nearest.nearest(df.where("false"), df).count()
+    # Repeated rows compete each for itself, repeated queries ask once.
+    twice = df.unionAll(df.where("vec_id IN (0, 7)").withColumn("note", F.lit(1)).drop("note"))
+    best = nearest.nearest(twice, twice.where("vec_id = 0"), 300).collect()
+    assert len(best) == 300 and [r["rank"] for r in sorted(best, key=lambda r: r["rank"])] == list(range(1, 301)) and sum(r.vec_id == 7 for r in best) == 2
 
 
 def test_quantisation_bound_holds():
