@@ -44,7 +44,8 @@ LEAST_BITS, MOST_BITS, TOKENS_A_ROW = 15, 20, 1024
 STEP = 16384
 #: Bytes of text, and tokens, that are looked at together.
 TEXT_BYTES, BATCH_TOKENS = 1 << 19, 1 << 17
-#: Tokens that one task of the training descends over, on average, at least.
+#: Tokens that one task of the training descends over, on average, at least; as many times more as
+#: there are more rows than the least, so that what the tasks send to be averaged grows with the tokens.
 TASK_TOKENS = 2_000_000
 _BLOCK = 512
 
@@ -271,7 +272,7 @@ def train(numbers: DataFrame, model: Model, rate: float = 0.5) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([s.astype(np.float32).tobytes()], pa.binary())], names=["block", "part"])
 
     kind = "block int, part binary"
-    tasks = max(1, -(-model.total // TASK_TOKENS))
+    tasks = max(1, -(-model.total // (TASK_TOKENS << (bits - LEAST_BITS))))
     parts = numbers.where("learns").select("ids").coalesce(tasks).mapInArrow(run, kind)
     parts = parts.repartition(F.col("block"), F.spark_partition_id() % 16).mapInArrow(add, kind)
     for r in parts.repartition("block").mapInArrow(add, kind).collect():
