@@ -6,7 +6,7 @@ shuffle. Paths are relative to the document root, with ``/`` between parts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Document types in falling priority, each with its patterns.
@@ -178,10 +178,36 @@ def version_of(path: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(place, F.lit("")), "(?i)" + p, 0), F.lit("")) for place in places for p in VERSION_PATTERNS])
 
 
-def classify(path: Column, override: Column | None = None) -> dict[str, Column]:
-    """All labels of a path by name."""
-    product = product_of(path, override)
+def classify(path: Column, override: Column | None = None, product: Column | None = None) -> dict[str, Column]:
+    """All labels of a path by name. ``product``: a column that holds ``product_of(path)`` already,
+    so that its many tests run once and not for each label that rests on it."""
+    own = product_of(path) if product is None else product
+    chosen = own if override is None else F.coalesce(F.nullif(override, F.lit("")), own)
     return {
-        "doc_type": doc_type_of(path), "product": product, "vendor": vendor_of(path, product), "subsystem": subsystem_of(path),
-        "module": module_of(path, product_of(path)), "version": version_of(path),
+        "doc_type": doc_type_of(path), "product": chosen, "vendor": vendor_of(path, chosen), "subsystem": subsystem_of(path),
+        "module": module_of(path, own), "version": version_of(path),
     }
+
+
+def classified(files: DataFrame, path: str = "path", override: str | None = None) -> DataFrame:
+    """``files`` with all labels of their paths."""
+    once = files.withColumn("__product", product_of(F.col(path)))
+    labels = classify(F.col(path), F.col(override) if override else None, F.col("__product"))
+    return once.select(*[c for c in files.columns if c not in labels], *[c.alias(n) for n, c in labels.items()])
+
+
+def enrich_gaps(rows: DataFrame, properties: DataFrame, path: str = "path") -> DataFrame:
+    """``rows`` with vendor, product and doc_type filled from document properties (path, title, author,
+    subject, keywords) where they are null, empty, ``geral`` or ``document``; nothing else changes, and
+    rows without properties stay as they are."""
+    words = F.filter(F.array("title", "subject", "author", "keywords"), lambda x: F.coalesce(x, F.lit("")) != "")
+    text = F.regexp_replace(F.array_join(words, " "), r"[_\-/\\\\]", " ")
+    known = properties.select(F.col(path).alias("__path"), text.alias("__text")).dropDuplicates(["__path"])
+    both = rows.join(known, F.col(path) == F.col("__path"), "left")
+    use = F.trim(F.coalesce("__text", F.lit(""))) != ""
+    concrete = F.when(~F.coalesce("product", F.lit("")).isin("", "geral"), F.col("product"))
+    both = both.withColumn("__product", F.when(use, F.coalesce(concrete, product_of(F.col("__text")))))
+    found = {"vendor": vendor_of(F.col("__text"), F.coalesce(concrete, F.lit(""))), "product": F.col("__product"), "doc_type": doc_type_of(F.col("__text"))}
+    gap = lambda c: use & F.coalesce(F.col(c), F.lit("")).isin("", "geral", "document")
+    filled = {c: F.when(gap(c), F.coalesce(F.nullif(v, F.lit("")), F.col(c))).otherwise(F.col(c)) for c, v in found.items()}
+    return both.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in rows.columns])

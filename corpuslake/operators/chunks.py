@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +41,41 @@ def settings_by_type(file_type: Column) -> tuple[Column, Column]:
     return pick(0), pick(1)
 
 
+def split_semantic(text: str, words: int) -> list[str]:
+    """As ``chunk_semantic``, for one text."""
+    out: dict[int, list[str]] = {}
+    before = 0
+    for para in text.split("\n"):
+        if para.strip():
+            out.setdefault(before // words, []).append(para)
+            before += len(para.split())
+    return ["\n".join(out[i]) for i in sorted(out)]
+
+
+def create_strategy(name: str, **options: int) -> Callable[[str, str], list[str]]:
+    """A function from (text, file type) to chunks: ``fixed`` or its alias ``overlap``, ``recursive``, or
+    ``semantic``; any other name is an error. options: chunk_size, chunk_overlap (or overlap), max_tokens."""
+    size, overlap = options.get("chunk_size", 600), options.get("chunk_overlap", options.get("overlap", 80))
+    if name in ("fixed", "overlap"):
+        return lambda text, _: [text[i : i + size] for i in range(0, len(text), max(1, size - overlap))]
+    if name == "recursive":
+        return lambda text, _: split_recursive(text, size, overlap)
+    if name == "semantic":
+        return lambda text, _: split_semantic(text, options.get("max_tokens", 512))
+    raise ValueError(f"unknown strategy: {name}")
+
+
+def chunk_with(sections: DataFrame, split: Callable[[str, str], list[str]], file_type: str | None = None) -> DataFrame:
+    """The rows of ``sections``, one for each chunk that a strategy makes of its text (in Arrow
+    batches), with pos and chunk; chunks shorter than SHORTEST once stripped are dropped."""
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([[c for c in split(t or "", k or "txt") if len(c.strip()) >= SHORTEST] for t, k in zip(texts, kinds, strict=True)])
+
+    kind = F.col(file_type) if file_type else F.lit("txt")
+    return sections.select(*[c for c in sections.columns if c != "text"], F.posexplode(cut("text", kind)).alias("pos", "chunk"))
+
+
 def drop_short(chunks: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     return chunks.where(F.length(stripped(F.col("chunk"))) >= shortest)
 
@@ -103,26 +141,37 @@ def chunk_semantic(sections: DataFrame, key: str, words: int) -> DataFrame:
 
 
 def top_terms(chunks: DataFrame, key: str, text: str, k: int = 8) -> DataFrame:
-    """(key, terms): the ``k`` most frequent terms of each chunk, ties by first occurrence."""
-    each = chunks.select(key, F.posexplode(terms(F.col(text))).alias("pos", "term"))
-    counts = each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    order = Window.partitionBy(key).orderBy(F.desc("n"), "first")
-    best = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-    return best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("t")).select(key, F.transform("t", lambda x: x["term"]).alias("terms"))
+    """(key, terms): the ``k`` most frequent terms of each chunk, ties by first occurrence. Rows
+    without a term are left out. Counted inside the row, in Arrow batches: nothing is shuffled."""
+    @F.pandas_udf("array<string>")
+    def most(found: pd.Series) -> pd.Series:
+        # Counter keeps the order of first occurrence, and its sort is stable.
+        return found.map(lambda t: [w for w, _ in Counter(t.tolist()).most_common(k)] if t is not None else [])
+
+    return chunks.select(key, terms(F.col(text)).alias("t")).where(F.size("t") > 0).select(key, most("t").alias("terms"))
 
 
 def topic_counts(labelled: DataFrame, topics: str) -> DataFrame:
     return labelled.select(F.explode(topics).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
-def related_documents(labelled: DataFrame, key: str, hints: str, most: int) -> DataFrame:
-    """Pairs of documents that share hint labels, and how many; labels on more than ``most``
-    documents tell nothing apart and are left to ``topic_counts``."""
-    each = labelled.select(key, F.explode(F.array_distinct(hints)).alias("label"))
-    rare = each.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("label")
-    each = each.join(rare, "label", "left_semi")
-    pairs = each.alias("a").join(each.alias("b"), "label").where(F.col(f"a.{key}") < F.col(f"b.{key}"))
-    return pairs.groupBy(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+def related_chunks(chunks: DataFrame, most: int = 100, shown: int = 200) -> DataFrame:
+    """The first ``most`` chunks of each doc_graph_id (by source_file and chunk_index), with previews
+    of ``shown`` characters: what a chunk of that document graph is related to."""
+    order = Window.partitionBy("doc_graph_id").orderBy("source_file", "chunk_index")
+    first = chunks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    preview = F.when(F.length("chunk") > shown, F.concat(F.substring("chunk", 1, shown), F.lit("..."))).otherwise(F.col("chunk"))
+    return first.select("doc_graph_id", "place", "source_file", "chunk_index", preview.alias("preview"))
+
+
+def related_documents(labelled: DataFrame, key: str, hints: str) -> DataFrame:
+    """Pairs of documents that share hint labels, and how many, between representatives: (a, b,
+    shared, links) with the least key of each class of documents of equal labels (see
+    ``related_classes``) and the number of document pairs that each row stands for."""
+    members, pairs = related_classes(labelled, key, hints)
+    least = members.groupBy("class_id").agg(F.min(key).alias("least"))
+    both = pairs.join(least.select(F.col("class_id").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("class_id").alias("b"), F.col("least").alias("y")), "b")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "links")
 
 
 def related_classes(labelled: DataFrame, key: str, hints: str) -> tuple[DataFrame, DataFrame]:

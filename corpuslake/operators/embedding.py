@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.operators.retrieval import cosine, ranked
+from corpuslake.operators.retrieval import block_hits, ranked
 
 DIM = 64
 
@@ -59,20 +59,59 @@ def embed_distinct(texts: DataFrame, column: str, *providers) -> DataFrame:
     return keyed.join(once.select("__key", "vector", "error"), "__key").drop("__key")
 
 
-def lsh_topk(queries: DataFrame, chunks: DataFrame, k: int, planes: int = 6, tables: int = 12, seed: int = 3) -> DataFrame:
-    """Approximate cosine top-k: random hyperplanes deal vectors into buckets of several tables;
-    queries are compared exactly with what shares one of their buckets."""
-    size = F.size("vector")
-    dim = queries.select(size.alias("d")).first()
-    normals = np.random.default_rng(seed).normal(size=(tables, planes, dim[0] if dim else 1))
-
-    @F.pandas_udf("array<int>")
-    def signature(v: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(a, np.float64) for a in v]) if len(v) else np.zeros((0, normals.shape[2]))
-        bits = np.einsum("tpd,nd->ntp", normals, x) > 0
-        return pd.Series(list((bits @ (1 << np.arange(planes))).astype(np.int32)))
-
-    deal = lambda df, id_, v: df.select(id_, F.col("vector").alias(v), F.posexplode(signature("vector")).alias("table", "bucket"))
-    q, c = deal(queries, "query_id", "q"), deal(chunks, "chunk_id", "v")
-    pairs = q.join(c, ["table", "bucket"]).dropDuplicates(["query_id", "chunk_id"])
-    return ranked(pairs.select("query_id", "chunk_id", cosine(F.col("q"), F.col("v")).alias("score")), k)
+#: Vectors that cells are fitted on, and queries by which the probed share is chosen.
+FIT_VECTORS, FIT_QUERIES = 8192, 128
+
+
+def _unit(frame: DataFrame, most: int) -> np.ndarray:
+    """At most ``most`` vectors, chosen by a hash of what they hold, of unit length."""
+    rows = frame.where(F.col("vector").isNotNull() & (F.size("vector") > 0)).select(F.xxhash64("vector").alias("h"), "vector").orderBy("h").limit(most).collect()
+    if not rows:
+        return np.zeros((0, 0))
+    v = np.array([r["vector"] for r in rows], np.float64)
+    return v / np.maximum(1e-12, np.linalg.norm(v, axis=1, keepdims=True))
+
+
+def fit_cells(sample: np.ndarray, k: int, target: float, seed: int = 3) -> tuple[np.ndarray, int]:
+    """Centres of cells and how many a query must probe for ``target`` of its ``k`` nearest, as
+    measured on the sample itself."""
+    rng = np.random.default_rng(seed)
+    centres = sample[rng.choice(len(sample), max(1, min(len(sample), int(2 * len(sample) ** 0.5))), replace=False)]
+    for _ in range(8):
+        home = (sample @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, home, sample)
+        centres = np.where(np.bincount(home, minlength=len(centres))[:, None] > 0, sums, centres)
+        centres = centres / np.maximum(1e-12, np.linalg.norm(centres, axis=1, keepdims=True))
+    home = (sample @ centres.T).argmax(axis=1)
+    asked = sample[rng.choice(len(sample), min(len(sample), FIT_QUERIES), replace=False)]
+    near = np.argsort(-(asked @ sample.T), axis=1, kind="stable")[:, 1 : k + 1]
+    order = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)
+    needed = np.take_along_axis(place, home[near], axis=1)
+    probes = next((p for p in range(1, len(centres)) if (needed < p).mean() >= target), len(centres))
+    return centres, probes
+
+
+def ann_topk(queries: DataFrame, chunks: DataFrame, k: int, threshold: float = -1.0, target: float = 0.95) -> DataFrame:
+    """Approximate cosine top-k by inverted cells: every chunk lies in the cell of its nearest
+    centre, and a query is compared exactly with the chunks of its nearest cells.
+
+    Centres are fitted on FIT_VECTORS chunks at most, and as many cells are probed as bring
+    ``target`` of the nearest within reach on that sample. All chunks are indexed.
+    """
+    sample = _unit(chunks, FIT_VECTORS)
+    if not len(sample):
+        return ranked(queries.select("query_id").join(chunks.select("chunk_id").limit(0)).withColumn("score", F.lit(0.0)), k)
+    centres, probes = fit_cells(sample, k, target)
+
+    def cells(n: int):
+        @F.pandas_udf("array<int>")
+        def run(v: pd.Series) -> pd.Series:
+            x = np.array([np.zeros(centres.shape[1]) if a is None or len(a) != centres.shape[1] else np.asarray(a, np.float64) for a in v]).reshape(len(v), -1)
+            return pd.Series(list(np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+        return run("vector")
+
+    q = queries.select(F.explode(cells(probes)).alias("cell"), "query_id", "vector")
+    return ranked(block_hits(q, chunks.select(cells(1)[0].alias("cell"), "chunk_id", "vector"), k, threshold), k)

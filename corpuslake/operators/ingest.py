@@ -11,6 +11,14 @@ from corpuslake.functions import text as tx
 from corpuslake.operators import chunks, embedding, tables, validation
 
 
+def write_chunks(chunks: DataFrame, path: str, collection: str = "collection", files: int | None = None) -> None:
+    """Persist chunks as Parquet, a folder for each collection. The collections that ``chunks`` has are
+    replaced whole, others stay, so that writing again gives the same tables. ``files`` deals each
+    collection into about so many files by chunk_id; without it tasks write what they hold."""
+    rows = chunks.repartition(files, collection, F.pmod(F.xxhash64("chunk_id"), F.lit(files))) if files else chunks
+    rows.write.partitionBy(collection).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
 def ingest_corpus(files: DataFrame, registry: DataFrame, old_chunks: DataFrame | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """Chunks and registry after ingesting ``files`` (path, text, length).
 
@@ -23,7 +31,7 @@ def ingest_corpus(files: DataFrame, registry: DataFrame, old_chunks: DataFrame |
     todo = hashed.join(plan.where("action <> 'no changes'").select("path"), "path", "left_semi")
     path, length = F.col("path"), F.col("length")
     checked = validation.validate(todo, [validation.check_exists(path, length), validation.check_extension(path), validation.check_size(length)], skip_warnings=True)
-    labelled = checked.where("valid").select("path", "sha256", "text", *[c.alias(n) for n, c in paths.classify(path).items()])
+    labelled = paths.classified(checked.where("valid").select("path", "sha256", "text"))
     cut = chunks.chunk_recursive(labelled, *chunks.DEFAULT_SETTING)
     cut = chunks.number_chunks(cut, "path", "pos").drop("pos")
     labels = [F.col(c) for c in ("product", "module", "subsystem", "doc_type", "vendor")]

@@ -90,3 +90,12 @@ def repeats_within(log: DataFrame, seconds: int, *key: str) -> DataFrame:
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
     marked = log.select(F.coalesce(gap <= seconds * 1_000_000, F.lit(False)).alias("hit"))
     return marked.agg(F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("repeats"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("share"))
+
+
+def last_n_percentiles(samples: DataFrame, last: int = 1000) -> DataFrame:
+    """Count and p50, p95 and p99 (the least value that at least that share of the values does not
+    exceed) of the last ``last`` samples (operation, ts, id, value) of each operation."""
+    recent_ = samples.withColumn("r", F.row_number().over(Window.partitionBy("operation").orderBy(F.desc("ts"), F.desc("id")))).where(F.col("r") <= last)
+    held = recent_.groupBy("operation").agg(F.array_sort(F.collect_list("value")).alias("held"))
+    at = lambda p: F.element_at("held", F.ceil(F.lit(p) * F.size("held")).cast("int"))
+    return held.select("operation", F.size("held").cast("long").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))

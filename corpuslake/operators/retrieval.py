@@ -7,6 +7,7 @@ Frames: queries (query_id, text or vector), chunks (chunk_id, text or vector, la
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -50,40 +51,51 @@ def ranked(hits: DataFrame, k: int, *parts: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, threshold: float = 0.35, part: str | None = None, block: int = 512) -> DataFrame:
-    """Cosine top-k of every query (query_id, vector) over ``chunks`` (chunk_id, vector), scores
-    of at least ``threshold``.
+#: Queries, and chunks, that meet in one task at a time, about.
+QUERY_BLOCK, CHUNK_BLOCK = 512, 8192
 
-    A block join: queries are packed into blocks of bounded size, each block meets each Arrow
-    batch of chunks in one matrix product, and only each batch's ``k`` best go on to the final
-    rank. With ``part`` the k best of each value of that column are kept.
+
+def block_hits(queries: DataFrame, chunks: DataFrame, k: int, threshold: float, part: str | None = None) -> DataFrame:
+    """Cosine hits of queries (cell, query_id, vector) among the chunks (cell, chunk_id, vector) of
+    their cell: of each block of chunks the ``k`` best of at least ``threshold``, or all with ``part``.
+
+    Within a cell queries are dealt into blocks and chunks into groups of bounded size, so that no
+    task gets a whole side; each block meets each group once, in one matrix product.
     """
-    fields = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}" + (f", {part} {chunks.schema[part].dataType.simpleString()}" if part else "")
-    q = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("q"))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))).cast("int")
-    packed = q.groupBy(number.alias("b")).agg(F.collect_list("query_id").alias("ids"), F.collect_list("q").alias("qs"))
-    blocks = packed.count()
-
-    def score(frames):
-        for f in frames:
-            for _, g in f.groupby("b"):
-                ids, qs = list(g["ids"].iloc[0]), np.array([np.asarray(v) for v in g["qs"].iloc[0]])
-                v = np.array([np.asarray(x) for x in g["vector"]], np.float64)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = (qs / np.linalg.norm(qs, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-                s = np.where(np.isfinite(s) & (s >= threshold), s, -np.inf)
-                if part is None and s.shape[1] > k:
-                    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None]
-                    s = np.where(s >= least, s, -np.inf)
-                i, j = np.nonzero(np.isfinite(s))
-                out = {"query_id": [ids[x] for x in i], "chunk_id": g["chunk_id"].to_numpy()[j]}
-                if part:
-                    out[part] = g[part].to_numpy()[j]
-                yield pd.DataFrame(out | {"score": s[i, j]})
-
-    # Each chunk is sent once to each block of queries.
-    wide = chunks.select("chunk_id", "vector", *[part] * bool(part), F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("b"))
-    hits = wide.join(packed, "b").mapInPandas(score, f"{fields}, score double")
+    dtype = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"query_id {dtype(queries, 'query_id')}, chunk_id {dtype(chunks, 'chunk_id')}" + (f", {part} {dtype(chunks, part)}" if part else "") + ", score double"
+    some = lambda df: df.where(F.col("vector").isNotNull() & (F.size("vector") > 0))
+    blocks, groups = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-chunks.count() // CHUNK_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = some(queries).select("cell", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("s"), every(groups).alias("g"), "query_id", "vector")
+    c = some(chunks).select("cell", every(blocks).alias("s"), F.pmod(F.xxhash64("chunk_id"), F.lit(groups)).cast("int").alias("g"), "chunk_id", "vector", *[part] * bool(part))
+
+    def unit(f: pd.DataFrame) -> np.ndarray:
+        v = np.array([np.asarray(x, np.float64) for x in f["vector"]])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(cs):
+            return pd.DataFrame({n: [] for n in ("query_id", "chunk_id", *[part] * bool(part), "score")})
+        s = unit(qs) @ unit(cs).T
+        s = np.where(np.isfinite(s) & (s >= threshold), s, -np.inf)
+        if part is None and s.shape[1] > k:
+            s = np.where(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None], s, -np.inf)
+        i, j = np.nonzero(np.isfinite(s))
+        out = {"query_id": qs["query_id"].to_numpy()[i], "chunk_id": cs["chunk_id"].to_numpy()[j]}
+        if part:
+            out[part] = cs[part].to_numpy()[j]
+        return pd.DataFrame(out | {"score": s[i, j]})
+
+    return q.groupBy("cell", "s", "g").cogroup(c.groupBy("cell", "s", "g")).applyInPandas(score, schema)
+
+
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, threshold: float = 0.35, part: str | None = None) -> DataFrame:
+    """Cosine top-k of every query (query_id, vector) over ``chunks`` (chunk_id, vector), scores of at
+    least ``threshold``, by a block join. With ``part`` the k best of each value of that column are kept."""
+    one = F.lit(0).alias("cell")
+    hits = block_hits(queries.select(one, "query_id", "vector"), chunks.select(one, "chunk_id", "vector", *[part] * bool(part)), k, threshold, part)
     return ranked(hits, k, *[part] * bool(part))
 
 
@@ -94,14 +106,16 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     return each.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
-def sparse_topk(queries: DataFrame, index: DataFrame, totals: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 top-k of queries (query_id, text) over ``postings``; ``totals`` has one row of
-    the number of chunks (n) and their mean length (avgdl).
+def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Okapi BM25 top-k of queries (query_id, text) over ``chunks`` (chunk_id, text).
 
-    Only postings of terms that some query asks for are joined and counted.
+    Terms that no query asks for are dropped before anything is counted or shuffled.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    used = index.join(asked.select("term").distinct(), "term", "left_semi")
+    words = chunks.select("chunk_id", terms(F.col(text)).alias("t")).select("chunk_id", F.size("t").alias("length"), "t")
+    totals = words.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
+    each = words.select("chunk_id", "length", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    used = each.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = used.join(df, "term").join(F.broadcast(totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -110,10 +124,6 @@ def sparse_topk(queries: DataFrame, index: DataFrame, totals: DataFrame, k: int,
     return ranked(hits, k)
 
 
-def totals_of(chunks: DataFrame, text: str = "text") -> DataFrame:
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms(F.col(text)))).alias("avgdl"))
-
-
 def rrf_fuse(dense: DataFrame, sparse: DataFrame, k: int, w_dense: float = 0.7, w_sparse: float = 0.3, constant: int = 60) -> DataFrame:
     """Weighted reciprocal rank fusion of two hit lists."""
     part = lambda df, w: df.select("query_id", "chunk_id", (F.lit(w) / (constant + F.col("rank"))).alias("score"))
@@ -121,10 +131,51 @@ def rrf_fuse(dense: DataFrame, sparse: DataFrame, k: int, w_dense: float = 0.7,
     return ranked(both, k).withColumn("fusion", F.lit("rrf"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, index: DataFrame, totals: DataFrame, k: int) -> DataFrame:
-    """Both searches over-fetch min(4k, 50), are fused and cut to ``k``; queries have text and vector."""
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int, w_dense: float = 0.7, w_sparse: float = 0.3, threshold: float = 0.35) -> DataFrame:
+    """Both searches over-fetch min(4k, 50), are fused and cut to ``k``; queries and chunks have text and vector."""
     more = min(4 * k, 50)
-    return rrf_fuse(dense_topk(queries, chunks, more), sparse_topk(queries, index, totals, more), k)
+    return rrf_fuse(dense_topk(queries, chunks, more, threshold), sparse_topk(queries, chunks, more), k, w_dense, w_sparse)
+
+
+@dataclass(frozen=True)
+class SearchOptions:
+    """What a search is asked for. collections: names to search and merge; empty for one list."""
+
+    k: int = 5
+    threshold: float = 0.35
+    hybrid: bool = False
+    rerank: bool = False
+    collections: tuple[str, ...] = ()
+    filters: dict = field(default_factory=dict)
+
+
+def search(queries: DataFrame, chunks: DataFrame, options: SearchOptions, scorer: Callable[[str, str], float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hits (query_id, chunk_id, score, rank) and one log row (query_id, path, result_count,
+    max_score) for every query, those without a hit included.
+
+    Several collections are searched densely and merged by rank; else the search is hybrid or
+    dense as asked, and reranked if asked. Unknown collections are an error. queries and chunks
+    have vector, and text where the path needs it.
+    """
+    found = matching(chunks, **options.filters)
+    if options.collections:
+        unknown = sorted(set(options.collections) - {r[0] for r in chunks.where(F.col("collection").isin(*options.collections)).select("collection").distinct().collect()})
+        if unknown:
+            raise ValueError(f"unknown collections: {', '.join(unknown)}")
+        path, found = "multi", found.where(F.col("collection").isin(*options.collections))
+        hits = merge_collections(dense_topk(queries, found, options.k, options.threshold, part="collection"), options.k)
+    else:
+        path = "hybrid" if options.hybrid else "dense"
+        more = min(4 * options.k, 50) if options.rerank else options.k
+        hits = hybrid(queries, found, more, threshold=options.threshold) if options.hybrid else dense_topk(queries, found, more, options.threshold)
+        if options.rerank:
+            path += "+rerank"
+            texts = hits.select("query_id", "chunk_id").join(found.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+            hits = rerank(texts, options.k, scorer or overlap_scorer)
+    hits = hits.select("query_id", "chunk_id", "score", "rank")
+    counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("result_count"), F.max("score").alias("max_score"))
+    log = queries.select("query_id").join(counts, "query_id", "left")
+    return hits, log.select("query_id", F.lit(path).alias("path"), F.coalesce("result_count", F.lit(0)).alias("result_count"), "max_score")
 
 
 def min_max(hits: DataFrame, *parts: str) -> DataFrame:
@@ -208,6 +259,9 @@ def l2_normalised(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.try_divide(x.cast("double"), n))
 
 
+# Fixed formats: the patterns of ``parse_report`` are those in which such reports are printed.
+
+
 def parse_report(report: Column) -> Column:
     """Hits in a markdown report as an array of structs: source_file, score, chunk_id, product, text."""
     field = lambda s, p: F.trim(F.regexp_extract(s, p, 1))

@@ -241,7 +241,7 @@ def c12_format_bytes(spark, sf_dir):
 
 
 def _labels(spark, sf_dir):
-    return view(spark, sf_dir, "files").select("path", *[c.alias(n) for n, c in paths.classify(F.col("path")).items()])
+    return paths.classified(view(spark, sf_dir, "files").select("path"))
 
 
 @query(_plain(_CLASSIFIED + f"SELECT path, {_DOC_TYPE} AS doc_type FROM c"))
@@ -446,18 +446,20 @@ def f8_explore_topic(spark, sf_dir):
     return _labelled(spark, sf_dir).where(F.array_contains("topics", "Connectors")).select("path").distinct().orderBy("path").limit(100)
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview FROM {documents} ORDER BY doc_id LIMIT 100")
-def f9_related_chunks(spark, sf_dir):
-    preview = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
-    return view(spark, sf_dir, "documents").orderBy("doc_id").limit(100).select("doc_id", preview.alias("preview"))
+def _graph_chunks(spark, sf_dir):
+    """Chunks of the registered documents with their graph ids."""
+    reg = view(spark, sf_dir, "registry").select("doc_id", F.col("path").alias("source_file"), tx.graph_id(F.col("path"), F.col("product")).alias("doc_graph_id"))
+    docs = view(spark, sf_dir, "documents").select("doc_id", "text").join(reg, "doc_id")
+    return chunks.chunk_fixed(docs, 600, 80).withColumnRenamed("pos", "chunk_index")
 
 
-@query(f"""
-WITH e AS (SELECT DISTINCT path, unnest({_HINTS}) AS label FROM {{registry}}),
-k AS (SELECT label FROM e GROUP BY 1 HAVING count(*) <= 60), s AS (SELECT * FROM e JOIN k USING (label))
-SELECT a.path AS a, b.path AS b, count(*) AS shared FROM s a JOIN s b ON a.label = b.label AND a.path < b.path GROUP BY 1, 2""")
-def f10_related_documents(spark, sf_dir):
-    return chunks.related_documents(_labelled(spark, sf_dir), "path", "hints", 60)
+@query(f"""WITH c AS (SELECT substr(sha256(path || '::' || product), 1, 16) AS doc_graph_id, path AS source_file, pos AS chunk_index, chunk
+  FROM ({_pieces(600, 80)}) JOIN {{registry}} USING (doc_id) WHERE length(chunk) >= 30),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_graph_id ORDER BY source_file, chunk_index) AS INT) AS place FROM c)
+SELECT doc_graph_id, place, source_file, chunk_index, md5(CASE WHEN length(chunk) > 200 THEN substr(chunk, 1, 200) || '...' ELSE chunk END) AS h FROM r WHERE place <= 100""")
+def f9_related_chunks(spark, sf_dir):
+    found = chunks.related_chunks(_graph_chunks(spark, sf_dir))
+    return found.select("doc_graph_id", "place", "source_file", "chunk_index", F.md5(F.col("preview").cast("binary")).alias("h"))
 
 
 _CLASSES = f"""e AS (SELECT DISTINCT path, unnest({_HINTS}) AS label FROM {{registry}}),
@@ -479,3 +481,12 @@ p AS (SELECT a, b, shared, CASE WHEN a = b THEN x.n * (x.n - 1) // 2 ELSE x.n *
 SELECT * FROM p WHERE links > 0""")
 def f10_related_classes(spark, sf_dir):
     return chunks.related_classes(_labelled(spark, sf_dir), "path", "hints")[1]
+
+
+@query(f"""
+WITH {_CLASSES}, z AS (SELECT class_id, count(*) AS n, min(path) AS least FROM m GROUP BY 1), l AS (SELECT DISTINCT class_id, label FROM e JOIN m USING (path)),
+t AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS shared FROM l a JOIN l b ON a.label = b.label AND a.class_id <= b.class_id GROUP BY 1, 2),
+p AS (SELECT least(x.least, y.least) AS a, greatest(x.least, y.least) AS b, shared, CASE WHEN t.a = t.b THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS links FROM t JOIN z x ON x.class_id = t.a JOIN z y ON y.class_id = t.b)
+SELECT * FROM p WHERE links > 0""")
+def f10_related_documents(spark, sf_dir):
+    return chunks.related_documents(_labelled(spark, sf_dir), "path", "hints")

@@ -19,7 +19,7 @@ def _expected(spark, sf_dir):
 
 def _golden(spark, sf_dir):
     """One golden item for each query: the next vector but four."""
-    return view(spark, sf_dir, "embeddings").where("vec_id % 10 > 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 5).alias("item"))
+    return view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 5).alias("item"))
 
 
 _TOP = "SELECT * FROM {retrieved} WHERE rank <= 8"
@@ -56,7 +56,7 @@ def k4_ir_metrics(spark, sf_dir):
     return evaluation.ir_metrics(_hits(spark, sf_dir), _expected(spark, sf_dir), 8)
 
 
-_G = "(SELECT vec_id AS query_id, vec_id + 5 AS item FROM {embeddings} WHERE vec_id % 10 > 0)"
+_G = "(SELECT vec_id AS query_id, vec_id + 5 AS item FROM {embeddings})"
 _FOUND = f"SELECT g.query_id, h.rank FROM {_G} g LEFT JOIN ({_TOP}) h ON g.query_id = h.query_id AND g.item = h.item"
 
 
@@ -95,12 +95,12 @@ def _examples(spark, sf_dir):
     """Turns of a conversation as question, answer and contexts."""
     conv = view(spark, sf_dir, "conversations")
     first = F.min_by("text", "turn")
-    all_ = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 60).alias("t")))), lambda x: x["t"])
+    all_ = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))), lambda x: x["t"])
     return conv.groupBy(F.col("conv_id").alias("query_id")).agg(first.alias("question"), F.max_by("text", "turn").alias("answer"), F.max_by("text", "turn").alias("truth"), all_.alias("contexts"))
 
 
 @query("""
-WITH e AS (SELECT conv_id, arg_min(text, turn) AS q, arg_max(text, turn) AS a, list(substr(text, 1, 60) ORDER BY turn) AS c FROM {conversations} WHERE turn IN (SELECT DISTINCT turn FROM {conversations}) GROUP BY 1),
+WITH e AS (SELECT conv_id, arg_min(text, turn) AS q, arg_max(text, turn) AS a, list(text ORDER BY turn) AS c FROM {conversations} WHERE turn IN (SELECT DISTINCT turn FROM {conversations}) GROUP BY 1),
 p AS (SELECT conv_id, q, a, array_to_string(c, chr(10) || '---' || chr(10)) AS plain, array_to_string(list_transform(c, lambda x, i: '[' || i || '] ' || x), chr(10)) AS numbered, chr(10) || chr(10) AS nn, chr(10) || chr(10) || 'Reply with one number from 0.0 to 1.0.' AS tail FROM e)
 SELECT conv_id AS query_id, 'faithfulness' AS metric, md5('How far does the context support the answer?' || nn || 'Context:' || chr(10) || plain || nn || 'Answer:' || chr(10) || a || tail) AS h FROM p
 UNION ALL SELECT conv_id, 'answer_relevancy', md5('How far does the answer address the question?' || nn || 'Question:' || chr(10) || q || nn || 'Answer:' || chr(10) || a || tail) FROM p

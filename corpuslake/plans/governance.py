@@ -63,11 +63,11 @@ def m8_quota_report(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT event_type AS label, ts, value, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM {events})
+WITH s AS (SELECT user_id AS label, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events})
 SELECT label, strftime(time_bucket(INTERVAL '30 minutes', ts), '%Y-%m-%d %H:%M') AS start,
   round(sum(CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value ELSE value - before END) / 1800, 6) AS rate FROM s GROUP BY 1, 2""")
 def m9_counter_rate(spark, sf_dir):
-    samples = view(spark, sf_dir, "events").select(F.col("event_type").alias("label"), "ts", "value", F.col("event_id").alias("id"))
+    samples = view(spark, sf_dir, "events").select(F.col("user_id").alias("label"), "ts", "value", F.col("event_id").alias("id"))
     return metrics.counter_rate(samples, "30 minutes").select("label", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), F.round("rate", 6).alias("rate"))
 
 
@@ -114,9 +114,9 @@ def m13_sustained_alert(spark, sf_dir):
 
 
 @query("""SELECT event_id, used, greatest(0, 6 - used) AS remaining, used / 6.0::DOUBLE AS ratio FROM (
-  SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '60 seconds' PRECEDING AND CURRENT ROW) AS used FROM {events})""")
+  SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '60 seconds' PRECEDING AND CURRENT ROW) AS used FROM {events})""")
 def m14_provider_usage(spark, sf_dir):
-    return metrics.trailing(view(spark, sf_dir, "events"), "event_type", 60, 6).select("event_id", "used", "remaining", "ratio")
+    return metrics.trailing(view(spark, sf_dir, "events"), "user_id", 60, 6).select("event_id", "used", "remaining", "ratio")
 
 
 _ERROR_FLAG = "event_type = 'error'"

@@ -61,13 +61,13 @@ def i5_set_tags(spark, sf_dir):
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(substr(text, 1, 400), ' '), lambda x: lower(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '') AS l FROM {documents}),
+WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda x: lower(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '') AS l FROM {documents}),
 d AS (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM t)
 SELECT doc_id, CAST(len(l) AS INT) AS n, CASE WHEN len(list_filter(l, lambda x: length(x) > 50)) > 0 THEN 'tag too long' WHEN len(list_filter(l, lambda x: regexp_matches(x, '\s'))) > 0 THEN 'tag with white space'
   WHEN len(l) > 20 THEN 'too many tags' END AS error FROM d""")
 def i6_validate_tags(spark, sf_dir):
     docs = view(spark, sf_dir, "documents")
-    clean, error = tables.valid_tags(F.split(F.substring("text", 1, 400), " "))
+    clean, error = tables.valid_tags(F.split("text", " "))
     return docs.select("doc_id", F.size(clean).alias("n"), error.alias("error"))
 
 

@@ -11,7 +11,7 @@ from corpuslake.plans.views import oracle
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("logs", "corpus", "maintenance", "retrieval", "governance", "evaluation", "streams")
+MODULES = ("logs", "corpus", "maintenance", "retrieval", "governance", "evaluation", "streams", "sources")
 
 
 def query(sql: str | None = None):

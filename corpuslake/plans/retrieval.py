@@ -45,7 +45,7 @@ def h2_dense_topk(spark, sf_dir):
 
 @query()
 def h3_dense_topk_ann(spark, sf_dir):
-    return _hits(embedding.lsh_topk(_queries(spark, sf_dir), _vectors(spark, sf_dir), 10))
+    return _hits(embedding.ann_topk(_queries(spark, sf_dir), _vectors(spark, sf_dir), 10))
 
 
 _POST = f"""t AS (SELECT doc_id AS chunk_id, {_TERMS} AS t FROM {{documents}}),
@@ -66,7 +66,7 @@ def h4_sparse_vectors(spark, sf_dir):
 def _sparse(spark, sf_dir, k):
     docs = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     asked = view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.sparse_topk(asked, retrieval.postings(docs), retrieval.totals_of(docs), k)
+    return retrieval.sparse_topk(asked, docs, k)
 
 
 @query(f"WITH {_BM25}, r AS (SELECT *, {_RANK} FROM b) SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
@@ -95,7 +95,7 @@ def h7_hybrid_search(spark, sf_dir):
     chunks = embedding.embed(docs, "text")
     asked = view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     asked = embedding.embed(asked, "text")
-    return _hits(retrieval.hybrid(asked, chunks, retrieval.postings(docs), retrieval.totals_of(docs), 10))
+    return _hits(retrieval.hybrid(asked, chunks, 10))
 
 
 @query("""SELECT query_id, item AS chunk_id, round(CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS score
@@ -146,16 +146,35 @@ def h13_rerank(spark, sf_dir):
     return _hits(retrieval.rerank(hits.join(docs, "chunk_id").join(asked, "query_id"), 5, scorer))
 
 
+_KB1 = f"{_SCORES}, r AS (SELECT *, {_RANK} FROM s WHERE collection = 'kb1')"
+
+
+@query(f"""WITH {_KB1}, n AS (SELECT query_id, count(*) AS result_count, max(score) AS max_score FROM r WHERE rank <= 5 GROUP BY 1)
+SELECT vec_id AS query_id, 'dense' AS path, coalesce(result_count, 0) AS result_count, round(max_score, 6) AS max_score FROM {{embeddings}} LEFT JOIN n ON query_id = vec_id WHERE vec_id % 100 = 0""")
+def h14_search(spark, sf_dir):
+    options = retrieval.SearchOptions(k=5, threshold=0.1, filters={"collection": "kb1"})
+    _, log = retrieval.search(_queries(spark, sf_dir), _vectors(spark, sf_dir), options)
+    return log.withColumn("max_score", F.round("max_score", 6))
+
+
+@query(f"""WITH {_SCORES}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, chunk_id) AS INT) AS rank FROM s WHERE collection IN ('kb0', 'kb2')),
+m AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM k WHERE rank <= 5 GROUP BY 1, 2), r AS (SELECT *, {_RANK} FROM m)
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def h14_search_collections(spark, sf_dir):
+    options = retrieval.SearchOptions(k=5, threshold=0.1, collections=("kb0", "kb2"))
+    return _hits(retrieval.search(_queries(spark, sf_dir), _vectors(spark, sf_dir), options)[0])
+
+
 @query("""SELECT query_id, item AS chunk_id, printf('%.1f%%', round_even(100 * score, 1)) AS relevance FROM {retrieved} WHERE rank <= 3""")
 def h15_search_report_rows(spark, sf_dir):
     hits = view(spark, sf_dir, "retrieved").where("rank <= 3")
     return hits.select("query_id", F.col("item").alias("chunk_id"), F.format_string("%.1f%%", F.bround(100 * F.col("score"), 1)).alias("relevance"))
 
 
-@query("""SELECT c.conv_id AS document, t.turn AS target, c.turn AS chunk_index FROM {conversations} c JOIN {conversations} t ON c.conv_id = t.conv_id AND c.turn BETWEEN t.turn - 1 AND t.turn + 1 AND t.turn = 2""")
+@query("""SELECT c.conv_id AS document, t.turn AS target, c.turn AS chunk_index FROM {conversations} c JOIN {conversations} t ON c.conv_id = t.conv_id AND c.turn BETWEEN t.turn - 1 AND t.turn + 1""")
 def h16_chunk_context(spark, sf_dir):
     turns = view(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document"), F.col("turn").alias("chunk_index"), "text")
-    return retrieval.context(turns, turns.where("chunk_index = 2"), 1).select("document", "target", "chunk_index")
+    return retrieval.context(turns, turns, 1).select("document", "target", "chunk_index")
 
 
 @query("""SELECT c.conv_id AS document, t.turn AS target, c.turn AS chunk_index FROM {conversations} c JOIN {conversations} t ON c.conv_id = t.conv_id AND c.turn BETWEEN t.turn - 1 AND t.turn + 1""")
@@ -202,10 +221,10 @@ def h22_repeat_request_key(spark, sf_dir):
 
 
 @query(f"""
-WITH {_BM25}, r AS (SELECT *, {_RANK} FROM b), c AS (SELECT r.query_id, string_agg('[' || r.chunk_id || '] ' || substr(d.text, 1, 80), chr(10) ORDER BY rank) AS t FROM r JOIN {{documents}} d ON d.doc_id = r.chunk_id WHERE rank <= 3 GROUP BY 1)
+WITH {_BM25}, r AS (SELECT *, {_RANK} FROM b), c AS (SELECT r.query_id, string_agg('[' || r.chunk_id || '] ' || d.text, chr(10) ORDER BY rank) AS t FROM r JOIN {{documents}} d ON d.doc_id = r.chunk_id WHERE rank <= 3 GROUP BY 1)
 SELECT item_id AS query_id, md5('Answer from these passages only.' || chr(10) || chr(10) || coalesce(t, '') || chr(10) || chr(10) || 'Question: ' || text) AS h FROM {{benchmark}} LEFT JOIN c ON query_id = item_id""")
 def h23_assemble_prompt(spark, sf_dir):
-    docs = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 80).alias("text"))
+    docs = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     asked = view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     prompts = retrieval.assemble_prompts(asked, _sparse(spark, sf_dir, 3).join(docs, "chunk_id"))
     return prompts.select("query_id", F.md5(F.col("prompt").cast("binary")).alias("h"))

@@ -9,18 +9,20 @@ from corpuslake.plans.views import view
 from corpuslake.streaming import events as ev
 
 
-@query("""SELECT path FROM {files} WHERE NOT (contains(path, '.tmp') OR contains(path, '.swp') OR contains(path, '.~') OR contains(path, '~$') OR contains(path, '.git') OR contains(path, '__pycache__'))
-AND lower(regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]+)$', 1)) IN ('pdf', 'docx', 'xlsx', 'pptx', 'txt', 'md')""")
+_HIDDEN = " OR ".join(f"contains(path, '{part}')" for part in ev.IGNORED)
+
+
+@query(f"""SELECT path FROM {{files}} WHERE NOT ({_HIDDEN}) AND lower(regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]+)$', 1)) IN {ev.WATCHED}""")
 def n1_stream_file_events(spark, sf_dir):
     return view(spark, sf_dir, "files").where(ev.watched(F.col("path"))).select("path")
 
 
 @query("""
-WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) <= INTERVAL '30 seconds' THEN 0 ELSE 1 END AS new FROM {events}),
-s AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
-SELECT event_type AS key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY event_type, run""")
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '30 seconds' THEN 0 ELSE 1 END AS new FROM {events}),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT user_id AS key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, run""")
 def n2_debounce_events(spark, sf_dir):
-    found = ev.debounce(view(spark, sf_dir, "events").withColumn("key", F.col("event_type")), "key")
+    found = ev.debounce(view(spark, sf_dir, "events").withColumn("key", F.col("user_id")), "key")
     return found.select("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 

@@ -1,7 +1,8 @@
 """Knowledge-base frames that Spark derives from the given tables.
 
 Each view is one SQL text over the tables and other views, named in braces; it reads the same
-in Spark SQL and in DuckDB, so that a query and its SQL twin start from the same rows.
+in Spark SQL and in DuckDB, so that a query and its SQL twin start from the same rows. (Two
+functions have other names there: ``sha256``, and ``each_of(a, b)``, a row for each number.)
 """
 
 from __future__ import annotations
@@ -87,8 +88,7 @@ VIEWS = {
         SELECT q.vec_id AS query_id, c.vec_id AS item, c.label = q.label AS relevant,
           CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY (c.vec_id * 31 + q.vec_id * 17) % 101, c.vec_id) AS INT) AS rank,
           CAST(1000 - (c.vec_id * 31 + q.vec_id * 17) % 101 AS DOUBLE) / 1000 AS score
-        FROM {embeddings} q JOIN {embeddings} c ON (c.vec_id - q.vec_id) BETWEEN 1 AND 12
-        WHERE q.vec_id % 10 > 0""",
+        FROM (SELECT vec_id, label, each_of(1, 12) AS step FROM {embeddings}) q JOIN {embeddings} c ON c.vec_id = q.vec_id + q.step""",
     "runs": """
         SELECT 'run' || CAST(l_suppkey % 40 AS STRING) AS run_id, l_returnflag AS metric, round(avg(l_discount), 6) AS value, max(l_shipdate) AS ts
         FROM {lineitem} GROUP BY 1, 2""",
@@ -112,7 +112,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
     frames = {n: view(spark, sf_dir, n) for n in set(_NAME.findall(text))}
-    return spark.sql(re.sub(r"\bsha256\((\w+)\)", r"sha2(\1, 256)", text), **frames)
+    text = re.sub(r"\bsha256\((\w+)\)", r"sha2(\1, 256)", text)
+    return spark.sql(re.sub(r"\beach_of\(([^)]*)\)", r"explode(sequence(\1))", text), **frames)
 
 
 def oracle(sql: str) -> str:
@@ -125,4 +126,5 @@ def oracle(sql: str) -> str:
 
 
 def _plain(sql: str) -> str:
+    sql = re.sub(r"\beach_of\(([^)]*)\)", r"unnest(generate_series(\1))", sql)
     return _NAME.sub(r"\1", sql).replace("{{", "{").replace("}}", "}")

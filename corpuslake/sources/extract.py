@@ -133,6 +133,33 @@ def sections_of(path: str, content: bytes | None, depth: int = 0) -> list[tuple[
     return []
 
 
+PROPERTIES = ("title", "author", "subject", "keywords")
+
+
+def properties_of(path: str, content: bytes | None) -> tuple[str, str, str, str]:
+    """Title, author, subject and keywords among the core properties of a docx; else empty texts."""
+    found = dict.fromkeys(PROPERTIES, "")
+    if path.lower().endswith(".docx"):
+        try:
+            with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                for node in _tree(z, "docProps/core.xml"):
+                    name = {"creator": "author"}.get(_name(node.tag), _name(node.tag))
+                    if name in found:
+                        found[name] = node.text or ""
+        except Exception:  # whatever a broken file raises, it has no properties
+            pass
+    return tuple(found.values())
+
+
+def document_properties(files: DataFrame) -> DataFrame:
+    """(path, title, author, subject, keywords) of files (path, content)."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(p, *properties_of(p, c)) for p, c in zip(f["path"], f["content"], strict=True)], columns=["path", *PROPERTIES])
+
+    return files.select("path", "content").mapInPandas(run, "path string, title string, author string, subject string, keywords string")
+
+
 def extract_sections(files: DataFrame) -> DataFrame:
     """(path, section_no, source_path, page, text) of files (path, content)."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,3 +179,12 @@ def scan_documents(spark, root: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     found = found.withColumn("file_type", file_type_of(F.col("path"))).where("file_type IS NOT NULL")
     return found.select("path", "length", F.col("modificationTime").alias("modified"), "content", "file_type")
+
+
+def scan_ordered(spark, path: str) -> DataFrame:
+    """As ``scan_documents``, of one file or of a folder, by extension and then path."""
+    from pyspark.sql import functions as F
+
+    from corpuslake.functions.paths import extension_of
+
+    return scan_documents(spark, path).orderBy(extension_of(F.col("path")), "path")

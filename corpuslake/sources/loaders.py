@@ -11,12 +11,25 @@ DELIMITERS = (",", ";", "\t")
 
 
 def load_golden_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of examples; only ``.json`` is taken."""
+    """A JSON array of examples; only ``.json`` is taken. A file that is not there gives no example."""
     if not path.endswith(".json"):
         raise ValueError("golden datasets are .json or .csv")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], GOLDEN)
     return spark.read.schema(GOLDEN).option("multiLine", True).json(path)
 
 
+def add_examples(golden: DataFrame, new: DataFrame) -> DataFrame:
+    """``golden`` and the examples of ``new``; columns that ``new`` lacks are null."""
+    return golden.unionByName(new, allowMissingColumns=True).select(*golden.columns)
+
+
+def save_golden(golden: DataFrame, path: str) -> None:
+    """Write examples as lines of JSON, which ``spark.read.schema(GOLDEN).json`` reads again."""
+    golden.write.mode("overwrite").json(path)
+
+
 def load_golden_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header; the delimiter is the one that the first line has most of. Lists of
     documents are split at commas; metadata that is no JSON object is kept under ``raw``."""

@@ -3,13 +3,17 @@ streaming DataFrame with an event time ``ts`` and gives the same rows for both."
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpuslake.functions.paths import extension_of, name_of
+from corpuslake.operators import ingest, tables
 
 # Names that are never watched, and suffixes that are.
 IGNORED = (".tmp", ".swp", ".~", "~$", ".git", "__pycache__")
@@ -53,3 +57,127 @@ def each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpo
     come again after a failure, so ``act`` must give the same tables when it does."""
     writer = stream.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+class Snapshots:
+    """Tables kept as whole snapshots below a shared folder, the last complete one of each current.
+
+    A snapshot counts once Spark has marked it complete, so a batch that is cut short never leaves
+    half a table; a batch that comes again is applied to its own outcome, which the jobs below leave
+    as it is. The two last snapshots stay. One job at a time may write a table.
+    """
+
+    def __init__(self, spark, path: str, **schemas: str):
+        self.spark, self.path, self.schemas = spark, path, schemas
+
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _done(self, name: str) -> list[str]:
+        at, fs = self._fs(f"{self.path}/{name}")
+        if not fs.exists(at):
+            return []
+        found = sorted(s.getPath().getName() for s in fs.listStatus(at))
+        return [n for n in found if fs.exists(self._fs(f"{self.path}/{name}/{n}/_SUCCESS")[0])]
+
+    def read(self, name: str) -> DataFrame:
+        done = self._done(name)
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}/{done[-1]}") if done else self.spark.createDataFrame([], self.schemas[name])
+
+    def write(self, **frames: DataFrame) -> None:
+        for name, df in frames.items():
+            done = self._done(name)
+            df.write.parquet(f"{self.path}/{name}/{int(done[-1][:12]) + 1 if done else 0:012d}-{uuid.uuid4().hex}")
+        for name in frames:
+            for old in self._done(name)[:-2]:
+                at, fs = self._fs(f"{self.path}/{name}/{old}")
+                fs.delete(at, True)
+
+
+def remove_paths(chunks: DataFrame, registry: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks without those of the ``deleted`` paths, and the registry with these marked deleted."""
+    gone = deleted.select("path").distinct()
+    left = chunks.join(gone.withColumnRenamed("path", "source_file"), "source_file", "left_anti")
+    marked = registry.join(gone.withColumn("__gone", F.lit(True)), "path", "left")
+    return left, marked.withColumn("status", F.when(F.col("__gone"), "deleted").otherwise(F.col("status"))).select(*registry.columns)
+
+
+def delete_job(events: DataFrame, tables_: Snapshots, checkpoint: str) -> StreamingQuery:
+    """Delete events (path, event_type) take effect at once, without waiting for more."""
+    def act(batch: DataFrame, number: int) -> None:
+        left, marked = remove_paths(tables_.read("chunks"), tables_.read("registry"), batch)
+        tables_.write(chunks=left, registry=marked)
+
+    return each_batch(events.where("event_type = 'deleted'").select("path"), act, checkpoint)
+
+
+def ingest_job(files: DataFrame, tables_: Snapshots, checkpoint: str) -> StreamingQuery:
+    """Triggered files (path, text, length) are ingested again, changed or not; of several versions of
+    a path in one batch the longest counts, of equally long ones the greatest."""
+    def act(batch: DataFrame, number: int) -> None:
+        once = batch.groupBy("path").agg(F.max(F.struct("length", "text")).alias("f")).select("path", "f.text", "f.length")
+        chunks, registry = ingest.ingest_corpus(once, tables_.read("registry"), tables_.read("chunks"), force=True)
+        tables_.write(chunks=chunks, registry=registry)
+
+    return each_batch(files, act, checkpoint)
+
+
+def retained(log: DataFrame, now: Column, days: int) -> DataFrame:
+    """Rows of the last ``days`` before ``now``."""
+    return log.where(F.col("ts").cast("timestamp") >= now - F.make_interval(days=F.lit(days)))
+
+
+def retention_job(ticks: DataFrame, tables_: Snapshots, days: int, checkpoint: str) -> StreamingQuery:
+    """Each batch of ``ticks`` (ts) purges the log of what is older than ``days`` at its latest tick."""
+    def act(batch: DataFrame, number: int) -> None:
+        now = batch.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+        if now is not None:
+            tables_.write(log=retained(tables_.read("log"), F.lit(now), days))
+
+    return each_batch(ticks, act, checkpoint)
+
+
+def connector_job(raw: DataFrame, parse: Callable[[DataFrame], DataFrame], tables_: Snapshots, checkpoint: str) -> StreamingQuery:
+    """Landed JSON rows are parsed, the connector's state is upserted (the newest row of an id), and
+    each source's checkpoint advances to its latest time."""
+    def act(batch: DataFrame, number: int) -> None:
+        docs = parse(batch).select("source_key", "remote_id", "remote_url", F.col("remote_mtime").cast("long").alias("remote_mtime"))
+        new = docs.groupBy("source_key", "remote_id").agg(F.max_by(F.struct("remote_url", "remote_mtime"), F.struct(F.coalesce("remote_mtime", F.lit(0)), "remote_url")).alias("r")).select("source_key", "remote_id", "r.*")
+        state = tables.upsert(tables_.read("state"), new, "source_key", "remote_id")
+        tables_.write(state=state, checkpoints=tables.next_checkpoints(state))
+
+    return each_batch(raw, act, checkpoint)
+
+
+PERCENTILES = "operation string, n long, p50 double, p95 double, p99 double"
+
+
+def last_percentiles(samples: DataFrame, last: int = 1000) -> DataFrame:
+    """Count and percentiles (the least value that at least that share of the values does not exceed)
+    of the last ``last`` samples (operation, value) of each operation; in a stream, of those so far,
+    with a row for each operation that a batch brings. State is bounded by ``last`` for each operation."""
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        for f in frames:
+            held = (held + f.sort_values("ts", kind="stable")["value"].tolist())[-last:]
+        state.update((held,))
+        x = np.sort(np.array(held, float))
+        at = [float(x[max(0, int(np.ceil(p * len(x))) - 1)]) for p in (0.5, 0.95, 0.99)]
+        yield pd.DataFrame([(key[0], len(x), *at)], columns=["operation", "n", "p50", "p95", "p99"])
+
+    return samples.groupBy("operation").applyInPandasWithState(run, PERCENTILES, "held array<double>", "update", "NoTimeout")
+
+
+def late_flags(events: DataFrame, key: str, order: str, delay: str) -> DataFrame:
+    """``events`` with late: whether a row came (by ``order``) after one of its key that is more than
+    ``delay`` younger. The batch twin of a watermark held for each key."""
+    from pyspark.sql import Window
+
+    ahead = F.max(F.col("ts").cast("timestamp")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return events.withColumn("late", F.coalesce(F.col("ts").cast("timestamp") < ahead - F.expr(f"INTERVAL {delay}"), F.lit(False)))
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that the watermark has dropped, over the batches that ``query`` still reports."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])

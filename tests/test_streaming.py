@@ -33,3 +33,83 @@ def test_distinct_in_stream(spark, tmp_path):
     q = ev.distinct(stream, ["path"], "1 minute").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("once").count() == 1
+
+
+def _land(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+CHUNKS = "chunk_id string, source_file string, chunk_index int, text string, product string, doc_type string, vendor string, subsystem string, module string, version string, doc_graph_id string, graph_topics array<string>, graph_related array<string>, vector array<float>"
+REGISTRY = "path string, sha256 string, status string, chunks long, error_msg string"
+
+
+def test_ingest_and_delete_jobs_survive_restarts(spark, tmp_path):
+    state = ev.Snapshots(spark, str(tmp_path / "state"), chunks=CHUNKS, registry=REGISTRY)
+    files, src = "path string, text string, length long", str(tmp_path / "files")
+    body = lambda w: (w + " ") * 60
+    for texts in ({"a.txt": "one", "b.txt": "two"}, {"a.txt": "three", "c.exe": "no"}):
+        _land(spark, src, [(p, body(t), 240) for p, t in texts.items()], files)
+        # A new query over the same checkpoint takes up where the last one ended.
+        ev.ingest_job(spark.readStream.schema(files).parquet(src), state, str(tmp_path / "c1")).awaitTermination(120)
+    found = {r.path: r.status for r in state.read("registry").collect()}
+    assert found == {"a.txt": "ok", "b.txt": "ok", "c.exe": "error"}
+    assert {r.source_file: "three" in r.text for r in state.read("chunks").collect()} == {"a.txt": True, "b.txt": False}
+    gone = str(tmp_path / "events")
+    _land(spark, gone, [("a.txt", "deleted", None), ("b.txt", "modified", None)], SCHEMA)
+    ev.delete_job(spark.readStream.schema(SCHEMA).parquet(gone), state, str(tmp_path / "c2")).awaitTermination(120)
+    assert {r.path: r.status for r in state.read("registry").collect()}["a.txt"] == "deleted"
+    assert {r.source_file for r in state.read("chunks").collect()} == {"b.txt"}
+
+
+def test_retention_job(spark, tmp_path):
+    state = ev.Snapshots(spark, str(tmp_path / "state"), log="id long, ts timestamp")
+    state.write(log=spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-20 00:00:00")], "id long, t string").select("id", F.to_timestamp("t").alias("ts")))
+    ticks = str(tmp_path / "ticks")
+    _land(spark, ticks, [("x", "tick", None)], SCHEMA)
+    job = lambda: ev.retention_job(spark.readStream.schema(SCHEMA).parquet(ticks), state, 10, str(tmp_path / "c")).awaitTermination(60)
+    job()
+    assert state.read("log").count() == 2
+    spark.createDataFrame([("x", "tick", "2024-01-25 00:00:00")], "path string, event_type string, t string").select("path", "event_type", F.to_timestamp("t").alias("ts")).write.mode("append").parquet(ticks)
+    job()
+    assert [r.id for r in state.read("log").collect()] == [2]
+
+
+def test_connector_job(spark, tmp_path):
+    from corpuslake.sources import connectors
+
+    state = ev.Snapshots(spark, str(tmp_path / "state"), state="source_key string, remote_id string, remote_url string, remote_mtime long", checkpoints="source_key string, checkpoint string")
+    raw, page = str(tmp_path / "raw"), '{{"id": "{}", "version": {{"when": "2024-01-0{}T00:00:00Z"}}}}'
+    for rows in ([(page.format("p", 1),), (page.format("q", 2),)], [(page.format("p", 4),), (page.format("p", 3),)]):
+        _land(spark, raw, rows, "value string")
+        ev.connector_job(spark.readStream.schema("value string").parquet(raw), lambda df: connectors.remote_pages(df, "wiki", "b"), state, str(tmp_path / "c")).awaitTermination(60)
+    assert sorted((r.remote_id, r.remote_mtime) for r in state.read("state").collect()) == [("p", 1704326400), ("q", 1704153600)]
+    assert [r.checkpoint for r in state.read("checkpoints").collect()] == ["2024-01-04T00:00:00Z"]
+
+
+def test_last_percentiles_in_stream_and_batch(spark, tmp_path):
+    from corpuslake.operators import logs
+
+    src, schema = str(tmp_path / "in"), "operation string, ts long, value double"
+    rows = [("a", i, float(i * 37 % 101)) for i in range(50)] + [("b", 1, 5.0)]
+    for part in (rows[:30], rows[30:]):
+        _land(spark, src, part, schema)
+        q = ev.last_percentiles(spark.readStream.schema(schema).parquet(src), 20).writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={i}")))
+        q.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {r.operation: (r.n, r.p50, r.p95, r.p99) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("batch").collect()}
+    batch = logs.last_n_percentiles(spark.createDataFrame(rows, schema).withColumn("id", F.col("ts")), 20).collect()
+    assert got == {r.operation: (r.n, r.p50, r.p95, r.p99) for r in batch} and got["b"] == (1, 5.0, 5.0, 5.0)
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = lambda *r: spark.createDataFrame(r, "path string, event_type string, t string").select("path", "event_type", F.to_timestamp("t").alias("ts"))
+    dropped, parts = 0, [rows(("a", "x", "2024-01-01 10:00:00")), rows(("b", "x", "2024-01-01 10:00:05")), rows(("c", "x", "2024-01-01 08:00:00"), ("d", "x", "2024-01-01 10:00:06"))]
+    for df in parts:
+        df.coalesce(1).write.mode("append").parquet(src)
+        stream = ev.windowed(spark.readStream.schema(SCHEMA).parquet(src), [], "1 minute", F.count(F.lit(1)).alias("n"), late="10 minutes")
+        q = stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        dropped += ev.dropped_rows(q)
+    assert dropped == 1
+    all_ = spark.createDataFrame([(i, r.path, str(r.ts)) for i, df in enumerate(parts) for r in df.orderBy("path").collect()], "id long, path string, t string").select("id", "path", F.lit(1).alias("k"), F.to_timestamp("t").alias("ts"))
+    assert [r.path for r in ev.late_flags(all_, "k", "id", "10 MINUTES").where("late").collect()] == ["c"]
