@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.sources.stored import finished, released, scratch, shared_dir, written
+
+__all__ = ["finished", "fold", "released", "scratch", "shared_dir", "slices", "table", "text_of", "written"]
+
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,68 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset (tests on one machine) a temporary folder is made once and
-    remembered in the session; on a cluster, whose executors would not see it, that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("corpuslake.shared.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith(("local[", "local:")) and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-corpuslake-", dir="/tmp")
-        spark.conf.set("corpuslake.shared.dir", found)
-    return found
-
-
-#: Tables stored since each open ``scratch`` began.
-_open: list[list[DataFrame]] = []
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: cuts the lineage, so that a lost
-    executor costs a reread and no step runs twice."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpuslake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    if _open:
-        _open[-1].append(out)
-    return out
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """Deletes what ``written`` has stored inside it once it is left."""
-    own: list[DataFrame] = []
-    _open.append(own)
-    try:
-        yield
-    finally:
-        _open.pop()
-        released(*own)
-
-
-def finished(name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` returns, stored; the tables stored on the way are deleted."""
-    with scratch():
-        out = written(make(), name)
-        _open[-1].pop()
-    if _open:
-        _open[-1].append(out)
-    return out
-
-
-def released(*stored: DataFrame) -> None:
-    """Delete tables made by ``written`` that no later step reads."""
-    for df in stored:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_of(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 

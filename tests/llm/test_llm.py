@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuslake.llm import decontaminate, fitting, graph, langmodel, language, mixing, nearest, numtext, quality, queries, repeats, similar, simhash, substrings, suffixes, toxicity
+from corpuslake.llm import common, decontaminate, fitting, graph, langmodel, language, mixing, nearest, numtext, quality, queries, repeats, similar, simhash, substrings, suffixes, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, row long, kept string, fp string"
@@ -536,3 +536,63 @@ def test_pipeline_stages(spark):
     left = corpus_pipeline.decontaminate(spark, docs, SF)
     bad = decontaminate.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").count()
     assert left.count() == docs.count() - bad
+
+
+def edge_rows(spark):
+    """Nulls in every column, empty and repeated rows, ties, a long text and columns with clashing names."""
+    long = " ".join(f"w{i % 700}" for i in range(9000))
+    rows = [
+        (None, None, None, None, None), (None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "  ", None, "a", 2), (3, "one two", "en", None, 7),
+        (4, "one two", "en", None, 7), (None, "one two", "en", "b", 7), (5, long, "en", "b", len(long)), (6, long, "fr", "b", None), (6, long + " end", "fr", "b", 9),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.lit(1) for c in ("k1", "row", "kept", "size", "score", "bucket", "__row", "key")})
+
+
+def test_pipeline_stages_on_edge_rows(spark, tmp_path):
+    spark.createDataFrame([(3, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("q", "one two"), (None, None)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for df in (edge_rows(spark), edge_rows(spark).select(*corpus_pipeline.COLUMNS)):
+        out = {name: stage(spark, df, str(tmp_path)).collect() for name, stage in corpus_pipeline.STAGES}
+        n = df.count()
+        assert all(list(r.asDict()) == list(corpus_pipeline.COLUMNS) for name, rows in out.items() if name != "mix" for r in rows)
+        assert len(out["quality"]) == n and len(out["substrings"]) == n == len(out["mix"])
+        # One row without words, one of "one two" and one long one.
+        assert sorted((r.text or "").strip()[:7] for r in out["near_duplicates"]) == ["", "one two", "w0 w1 w"]
+        assert Counter(r.text for r in out["decontaminate"])["one two"] == 0 and len(out["decontaminate"]) == n - 3
+        left = {r.doc_id: r.text for r in out["substrings"] if r.doc_id in (3, 5)}
+        assert left == {3: "one two", 5: ""} and sum(r.text is None for r in out["substrings"]) == 2
+        assert sum(r.size for r in out["mix"]) == sum(len((r.text or "").split()) for r in df.collect())
+        for name, stage in corpus_pipeline.STAGES:
+            assert stage(spark, df.where("false"), str(tmp_path)).count() == 0, name
+
+
+@have
+def test_stage_tables_are_deleted(spark):
+    folder = common.shared_dir(spark).removeprefix("file://") + "/corpuslake"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    corpus_pipeline.run(spark, SF)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("stage-mix")
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op4", "op5", "op7", "op9", "op10"])
+def test_operators_on_edge_rows(spark, tmp_path, name):
+    """Every operator keeps every row, whatever is null, empty, equal or called like its own columns."""
+    labels = spark.createDataFrame([(3, 1, 0), (5, 0, 1), (5, None, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([("q", "one two"), (None, None)], "item_id string, text string")
+    run = {
+        "op1": lambda d: language.identify(d, *language.prototypes(d), keep=("doc_id", "kept", "row")),
+        "op2": lambda d: langmodel.lm_scores(d, F.lit(True), keep=("doc_id", "kept", "row")),
+        "op4": lambda d: decontaminate.contamination(d, items, keep=("doc_id", "kept", "__row")),
+        "op5": lambda d: quality.quality_scores(d, labels, keep=("doc_id", "kept", "row")),
+        "op7": lambda d: suffixes.suffix_dedup(d, keep=("doc_id", "kept", "k1")),
+        "op9": lambda d: simhash.simhash_components(d),
+        "op10": lambda d: toxicity.toxicity_scores(d, labels, keep=("doc_id", "kept", "row")),
+    }[name]
+    df = edge_rows(spark)
+    got = run(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in df.collect())
+    assert run(df.where("false")).count() == 0
+    bare = edge_rows(spark).drop("n_chars")
+    assert len(run(bare).collect()) == len(got)
