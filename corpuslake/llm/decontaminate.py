@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,8 +183,10 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep=("doc_id
     base = docs
     windows_, slices = _window_table(items, size)
     if slices > 1:
-        base = written(docs.select(*dict.fromkeys([*keep, "text"])).withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        keep_ = [*keep, "__row"]
+        # A row number of a name that no column has.
+        row = "_" + "_".join(docs.columns)
+        base = written(docs.select(*dict.fromkeys([*keep, "text"])).withColumn(row, F.monotonically_increasing_id()), "numbered")
+        keep_ = [*keep, row]
     else:
         keep_ = list(keep)
     found = None
@@ -217,19 +219,21 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep=("doc_id
         some = index.mapInArrow(run, schema).select("kept.*", "n_words", "spans", "items")
         found = some if found is None else found.unionByName(some)
     if slices > 1:
-        merge = F.udf(_merged, spans_type, useArrow=False)
-        found = found.groupBy(*keep_).agg(F.max("n_words").alias("n_words"), merge(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = found.groupBy(row).agg(
+            *[F.first(c).alias(c) for c in keep], F.max("n_words").alias("n_words"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        )
     return found.select(*keep, "n_words", "spans", "items")
 
 
-def _merged(spans_: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(spans_):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return out
+def _merged(spans_: Column) -> Column:
+    """Spans [start, end) in any order as spans that neither overlap nor touch."""
+    def add(out: Column, span: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        joined = F.array_append(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(last[0], F.greatest(last[1], span[1])))
+        return F.when(F.coalesce(span[0] <= last[1], F.lit(False)), joined).otherwise(F.array_append(out, span))
+
+    return F.aggregate(F.array_sort(spans_), F.array().cast("array<array<int>>"), add)
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, size: int = WINDOW, keep=("doc_id",)) -> DataFrame:

@@ -262,6 +262,13 @@ def test_decontamination(spark, texts):
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in got} == want
     decontaminate.SLICE_WINDOWS = 200_000
     assert not any(r.contaminated for r in decontaminate.contamination(docs_of(spark, texts), bench.where("false")).collect())
+    assert decontaminate.contamination(docs_of(spark, texts).where("false"), bench).count() == 0
+
+
+def test_spans_are_merged_whatever_their_order(spark):
+    rows = [([[5, 9], [0, 3], [2, 4], [9, 12], [20, 21]],), ([],), ([[1, 2], [1, 2]],)]
+    df = spark.createDataFrame(rows, "s array<array<int>>").select(decontaminate._merged(F.col("s")).alias("m"))
+    assert [r.m for r in df.collect()] == [[[0, 4], [5, 12], [20, 21]], [], [[1, 2]]]
 
 
 def test_proximity(spark):
