@@ -244,6 +244,9 @@ def remove_repeats(docs: DataFrame, alphabet: Alphabet, resolve: Callable, keep:
     # dealt out for it alone, and Spark can split the tasks of a gram that very many units share.
     again = written(again, "repeated-grams")
     shared = written(each.join(again, "key"), "shared-units")
+    # The units of all texts are read no more.
+    rows = written(found.drop("at", "key", *_CONTENT), "rows")
+    released(found)
     by_content = shared.groupBy("key", *_CONTENT).agg(F.sum("times").alias("n"), F.min(F.struct(*_ROW, "at")).alias("one"))
     by_content = written(by_content, "unit-contents")
     contested = by_content.groupBy("key").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
@@ -375,11 +378,11 @@ def remove_repeats(docs: DataFrame, alphabet: Alphabet, resolve: Callable, keep:
         text = [F.when(gone, F.lit("")).otherwise(F.col("text").cast("string")).alias("kept_text")] * with_text
         return rows.select("kept", "n", F.when(gone, F.col("n")).otherwise(none).alias("n_removed"), spans.alias("n_spans"), left.alias("kept_sha256"), *text)
 
-    plain = found.where("times = 1").join(per_doc.select(*_ROW), _ROW, "left_anti")
+    plain = rows.where("times = 1").join(per_doc.select(*_ROW), _ROW, "left_anti")
     if with_text:
         plain = plain.select(*_ROW, "n", "digest").join(named, _ROW)
     out = done.unionAll(as_result(plain, F.lit(False)))
     if have_copies:
-        doubled = found.where("times = 2").select(*_ROW, "n", "digest").join(named, _ROW)
+        doubled = rows.where("times = 2").select(*_ROW, "n", "digest").join(named, _ROW)
         out = out.unionAll(as_result(doubled, F.col("n") >= size))
     return out.select(*[F.col(f"kept.{c}").alias(c) for c in keep], *[c for c, _ in tail])
