@@ -22,4 +22,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substrings.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_block_matrix_knn": nearest.ORACLE}
+    found = {
+        "op3_substring_dedup": substrings.ORACLE,
+        "op4_decontamination": decontaminate.ORACLE,
+        "op6_source_mixing": mixing.ORACLE,
+        "op7_suffix_dedup": suffixes.ORACLE,
+        "op8_block_matrix_knn": nearest.ORACLE,
+    }
+    return found

@@ -155,3 +155,31 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, keep=("doc_id",), with_t
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     found = finished("suffix-dedup", lambda: suffix_dedup(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Bytes are taken in hexadecimal, in pieces, so that a window is found without reading its text from the start.
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n
+  FROM documents),
+pieces AS (
+  SELECT r, s, substr(x, 2 * s + 1, 2 * 1399) AS p FROM (SELECT r, x, unnest(range(0, greatest(n - 399, 0), 1000)) AS s FROM d)),
+windows AS (
+  SELECT r, s + i AS place, md5_number(substr(p, 2 * i + 1, 800)) AS h
+  FROM (SELECT r, s, p, unnest(range(0, len(p) // 2 - 399)) AS i FROM pieces)),
+repeated AS (SELECT r, place FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+numbered AS (
+  SELECT r, place, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY place) AS run
+  FROM (SELECT r, place, place - lag(place) OVER (PARTITION BY r ORDER BY place) AS gap FROM repeated)),
+runs AS (SELECT r, run, min(place) AS s, max(place) + 400 AS e FROM numbered GROUP BY r, run),
+ends AS (
+  SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS s, s AS e FROM runs
+  UNION ALL SELECT r, max(e), NULL FROM runs GROUP BY r),
+kept AS (
+  SELECT r, string_agg(substr(x, 2 * ends.s + 1, 2 * (coalesce(ends.e, n) - ends.s)), '' ORDER BY ends.s) AS k
+  FROM ends JOIN d USING (r) GROUP BY r),
+counts AS (SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM d LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
+"""

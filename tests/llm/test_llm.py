@@ -603,3 +603,17 @@ def test_operators_on_edge_rows(spark, tmp_path, name):
     assert run(df.where("false")).count() == 0
     bare = edge_rows(spark).drop("n_chars")
     assert len(run(bare).collect()) == len(got)
+
+
+@have
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_twins(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, SF).toPandas()[list(want.columns)]
+    shown = [sorted(map(repr, f.astype(object).values.tolist())) for f in (got, want)]
+    assert shown[0] == shown[1] and len(got)
