@@ -1,15 +1,17 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is built over the training texts and stored in the shared folder, partitioned by
-document: for each text the occurrences (term, position) of every term that any benchmark
-window uses. Collection counts of the terms come from the stored index. A window is then
-looked up in each partition of the index from its rarest term: each posting of that term,
-moved back by the term's offset, is a candidate start, and the candidates are intersected
-with the offset-adjusted postings of the other terms, rarest first, until all agree. Nothing
-but term counts is shuffled. The windows are sent to the tasks in slices of bounded size;
-a benchmark of any size takes as many slices as it needs.
-
-Terms are compared by 64-bit hashes of their bytes.
+The index is built once over the training texts and stored in the shared folder, partitioned
+by document: for each text the occurrences (term, position) of every term that any benchmark
+window uses. A term's number stands for the word itself: a word of a text is looked up by its
+hash and then compared byte by byte. Collection counts of the terms come from the stored
+index. A window is looked up from its rarest term: each posting of that term, moved back by
+the term's offset, is a candidate start, and the candidates are intersected with the
+offset-adjusted postings of the other terms, until all agree.
+
+Only the terms go to all tasks, and the windows too while they are few; a larger benchmark is
+joined with the postings of its windows' rarest terms, each with the terms around it, so the
+index is read as often for ten million windows as for ten. Should the terms take more than
+VOCABULARY_BYTES, the windows are dealt into as many parts as that needs, with an index each.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,71 +29,113 @@ from corpuslake.llm.common import table, written
 from corpuslake.llm.numtext import pieces, prefix_hash, range_hash, spans
 
 WINDOW = 13
-#: Windows that one slice sends to the tasks.
-SLICE_WINDOWS = 200_000
+#: Windows that are sent to the tasks; more are joined.
+TASK_WINDOWS = 200_000
+#: Bytes of terms, with 24 for each, that are sent to the tasks.
+VOCABULARY_BYTES = 1 << 25
+#: Words on either side within which proximity matches are reported.
+SLOP = 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Words are runs of ASCII digits and letters and of bytes beyond ASCII.
 _INSIDE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
-
-
-def _terms(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position in the row and hash of every word, in order; words of each row."""
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+class Vocabulary:
+    """Terms by number, in the order of their hashes."""
+
+    def __init__(self, words: list[bytes]):
+        data = np.frombuffer(b"".join(words) + b"\0", np.uint8)
+        size = np.array([len(w) for w in words], np.int64)
+        first = np.cumsum(size) - size
+        hashes = range_hash(prefix_hash(data), first, first + size)
+        order = np.argsort(hashes, kind="stable")
+        self.data, self.hash, self.first, self.size = data, hashes[order], first[order], size[order]
+        self.low = np.zeros(1 << 20, bool)
+        self.low[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        #: The most terms that share a hash.
+        self.sharing = int(np.unique(self.hash, return_counts=True)[1].max(initial=1))
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+    def find(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words buf[start:end] are terms, in order, and their numbers."""
+        h = range_hash(prefix_hash(buf), start, end)
+        maybe = np.flatnonzero(self.low[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        nth = np.searchsorted(self.hash, h[maybe])
+        which, number = [], []
+        for step in range(self.sharing if len(self) else 0):
+            i = np.minimum(nth + step, len(self) - 1)
+            ok = np.flatnonzero((self.hash[i] == h[maybe]) & (self.size[i] == end[maybe] - start[maybe]))
+            at, i = maybe[ok], i[ok]
+            size = self.size[i]
+            ahead = np.cumsum(size) - size
+            along = np.arange(size.sum()) - np.repeat(ahead, size)
+            same = buf[np.repeat(start[at], size) + along] == self.data[np.repeat(self.first[i], size) + along]
+            if len(ahead):
+                ok = np.logical_and.reduceat(same, ahead)
+                which.append(at[ok])
+                number.append(i[ok])
+        if not which:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        which, number = np.concatenate(which), np.concatenate(number)
+        order = np.argsort(which, kind="stable")
+        return which[order], number[order]
+
+
+def _postings(texts: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position in the row and number of every occurrence of a term, in order; words of each row."""
     words = np.zeros(len(texts), np.int64)
-    rows, places, hashes = [], [], []
+    out = [(np.zeros(0, np.int64),) * 3]
     for buf, row in pieces(texts):
         buf = _LOWER[buf]
         s, e = spans(buf, _INSIDE)
         r = row[s]
         first = np.flatnonzero(np.diff(r, prepend=-1))
         ahead = words[r[first]] - first
-        rows.append(r)
-        places.append(np.arange(len(r)) + np.repeat(ahead, np.diff(np.append(first, len(r)))))
-        hashes.append(range_hash(prefix_hash(buf), s, e))
+        place = np.arange(len(r)) + np.repeat(ahead, np.diff(np.append(first, len(r))))
+        which, number = vocabulary.find(buf, s, e)
+        out.append((r[which], place[which], number))
         words += np.bincount(r, minlength=len(texts))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), words
-    return np.concatenate(rows), np.concatenate(places), np.concatenate(hashes), words
+    return *(np.concatenate(x) for x in zip(*out, strict=True)), words
+
+
+def _lists(offsets_of: np.ndarray, n: int, *values: np.ndarray) -> list[pa.ListArray]:
+    """Lists of 32-bit numbers for ``n`` rows, from values sorted by the row that ``offsets_of`` names."""
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(offsets_of, minlength=n)))).astype(np.int32)
+    return [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in values]
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(item, terms): every distinct window of ``size`` words of each item (item_id, text); a
-    shorter item is one window, one without words has none. Terms are hashes."""
+    shorter item is one window, one without words has none."""
+    lower = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0)).alias("words"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
+    return words.where(F.size("words") > 0).select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("terms")).distinct()
+
+
+def numbered(found: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The windows with their terms as numbers of ``vocabulary``, which has them all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, _, h, words = _terms(b.column(1).to_pylist())
-            end = np.cumsum(words)
-            ids = b.column(0).to_pylist()
-            names, out = [], []
-            for i, n in enumerate(words.tolist()):
-                own = h[end[i] - n : end[i]].astype(np.int64)
-                for at in range(max(1, n - size + 1) if n else 0):
-                    names.append(ids[i])
-                    out.append(own[at : at + size].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.list_(pa.int64()))], names=["item", "terms"])
-
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "item string, terms array<bigint>").distinct()
-
-
-def build_index(docs: DataFrame, vocabulary: np.ndarray, kept: list[str]) -> DataFrame:
-    """The stored index: for each document n_words and its occurrences (terms, places) of the
-    sorted hashes in ``vocabulary``, by their numbers."""
+            row, _, number, _ = _postings(b.column(1).to_pylist(), vocabulary)
+            yield pa.RecordBatch.from_arrays([b.column(0), *_lists(row, b.num_rows, number)], names=["item", "terms"])
+
+    return found.select("item", F.array_join("terms", " ").cast("binary")).mapInArrow(run, "item string, terms array<int>")
+
+
+def build_index(docs: DataFrame, vocabulary: Vocabulary, kept: list[str]) -> DataFrame:
+    """The stored index: for each document n_words and the occurrences (terms, places) of the
+    terms in ``vocabulary``, by their numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << 20, bool)
-        seen[(vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                row, place, h, words = _terms(b.column(1).to_pylist())
-                maybe = np.flatnonzero(seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                number = np.searchsorted(vocabulary, h[maybe])
-                number[number == len(vocabulary)] = 0
-                real = vocabulary[number] == h[maybe]
-                where = maybe[real]
-                offsets = np.concatenate(([0], np.cumsum(np.bincount(row[where], minlength=b.num_rows)))).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (number[real], place[where])]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), *lists], names=["kept", "n_words", "terms", "places"])
+                row, place, number, words = _postings(b.column(1).to_pylist(), vocabulary)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), *_lists(row, b.num_rows, number, place)], names=["kept", "n_words", "terms", "places"])
 
     rows = docs.select(F.struct(*kept).alias("kept"), F.col("text").cast("binary").alias("text"))
     ints = T.ArrayType(T.IntegerType())
@@ -110,21 +153,21 @@ def collection_counts(index: DataFrame, terms: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["term", "n"])
 
     out = np.zeros(terms, np.int64)
-    for r in index.select("terms").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
+    found = index.select("terms").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
 class Lookup:
     """Windows as arrays of term numbers, each in the order from its rarest term on."""
 
-    def __init__(self, found: pd.DataFrame, vocabulary: np.ndarray, counts: np.ndarray):
+    def __init__(self, found: pa.Table, counts: np.ndarray):
         groups: dict[tuple, set] = {}
-        for item, terms in zip(found["item"], found["terms"], strict=True):
+        for item, terms in zip(found["item"].to_pylist(), found["terms"].to_pylist(), strict=True):
             groups.setdefault(tuple(terms), set()).add(item)
         self.items = [sorted(v) for v in groups.values()]
         self.length = np.array([len(k) for k in groups], np.int64)
-        flat = np.searchsorted(vocabulary, np.array([t for k in groups for t in k], np.int64).astype(np.uint64))
+        flat = np.array([t for k in groups for t in k], np.int64)
         window = np.repeat(np.arange(len(self.length)), self.length)
         offset = np.arange(len(flat)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
         order = np.lexsort((offset, counts[flat], window))
@@ -133,7 +176,7 @@ class Lookup:
         # From each term to the windows of which it is the rarest.
         rarest = self.terms[self.first]
         self.by_term = np.argsort(rarest, kind="stable")
-        self.start = np.searchsorted(rarest[self.by_term], np.arange(len(vocabulary) + 1))
+        self.start = np.searchsorted(rarest[self.by_term], np.arange(len(counts) + 1))
 
     def find(self, row: np.ndarray, place: np.ndarray, term: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, start and window of every occurrence among postings sorted by row and place."""
@@ -159,16 +202,25 @@ class Lookup:
         return r, at, w
 
 
-def _window_table(items: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """The stored windows and the number of slices they take."""
+def _parts(items: DataFrame, size: int) -> Iterator[tuple[DataFrame, Vocabulary, int, int]]:
+    """Windows as numbers, their terms, how many they are, and the number of parts: more than one
+    if the terms are too many to send."""
     found = written(windows(items, size), "windows")
-    return found, max(1, -(-found.count() // SLICE_WINDOWS))
+    weight = F.coalesce(F.sum(F.octet_length("term") + 24), F.lit(0))
+    terms = found.select(F.explode("terms").alias("term"))
+    parts = 1
+    if terms.distinct().agg(weight).first()[0] > VOCABULARY_BYTES:
+        parts = -(-terms.agg(weight).first()[0] // VOCABULARY_BYTES)
+    for i in range(parts):
+        part = found.where(F.pmod(F.xxhash64("terms"), F.lit(parts)) == i)
+        words = part.select(F.explode("terms").alias("term")).distinct().select(F.col("term").cast("binary")).toArrow()
+        vocabulary = Vocabulary(words["term"].to_pylist())
+        yield numbered(part, vocabulary), vocabulary, part.count(), parts
 
 
-def _window_slice(found: DataFrame, slices: int, i: int) -> tuple[pd.DataFrame, np.ndarray]:
-    """One slice of the windows and the sorted hashes of its terms."""
-    part = found.where(F.pmod(F.xxhash64("terms"), F.lit(slices)) == i).toPandas()
-    return part, np.unique(np.array([t for ts in part["terms"] for t in ts], np.int64).astype(np.uint64))
+def _row_name(columns: list[str]) -> str:
+    """A name that no column has."""
+    return "_" + "_".join(columns)
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep=("doc_id",)) -> DataFrame:
@@ -179,51 +231,95 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep=("doc_id
     Repeated items count once, a null item id as the empty string. With no items no document
     matches; empty documents give empty output.
     """
+    names, row = list(dict.fromkeys(keep)), _row_name(docs.columns)
+    base, rows, found = docs, None, None
+    for part, vocabulary, n, parts in _parts(items, size):
+        if parts == 1 and n <= TASK_WINDOWS:
+            index = build_index(docs, vocabulary, names)
+            return _looked_up(index, Lookup(part.toArrow(), collection_counts(index, len(vocabulary)))).select("kept.*", "n_words", "spans", "items")
+        if rows is None:
+            base = docs.withColumn(row, F.monotonically_increasing_id())
+            if parts > 1:
+                base = written(base.select(*dict.fromkeys([*names, "text", row])), "numbered")
+        index = build_index(base, vocabulary, [*names, row])
+        rows = index if rows is None else rows
+        near, anchored = _around(index, part, collection_counts(index, len(vocabulary)), size - 1, f"kept.{row}")
+        start = F.col("place") - F.col("offset")
+        hit = near.join(anchored, "anchor").where(F.slice("context", size - F.col("offset"), F.size("terms")) == F.col("terms"))
+        hit = hit.select("row", F.array(start, start + F.size("terms")).alias("span"), "item")
+        found = hit if found is None else found.unionByName(hit)
+    merged = found.groupBy("row").agg(_merged(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    # Stored, so that Spark knows their size and does not move the documents for a few.
+    merged = written(merged.withColumnRenamed("row", row), "matches")
+    rows = rows.select(F.col(f"kept.{row}").alias(row), "kept", "n_words").join(merged, row, "left")
+    return rows.select(*[F.col("kept")[c].alias(c) for c in names], "n_words", *[F.coalesce(c, F.array().cast(merged.schema[c].dataType)).alias(c) for c in ("spans", "items")])
+
+
+def _looked_up(index: DataFrame, lookup: Lookup) -> DataFrame:
+    """kept, n_words, spans and items of every row of the index."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            term, place = lists.flatten().to_numpy(zero_copy_only=False), b.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            r, at, w = lookup.find(row, place, term, b.column(1).to_numpy())
+            spans_, items_ = [[] for _ in range(b.num_rows)], [set() for _ in range(b.num_rows)]
+            for i in np.lexsort((at, r)).tolist():
+                s, e, own = int(at[i]), int(at[i] + lookup.length[w[i]]), spans_[r[i]]
+                if own and s <= own[-1][1]:
+                    own[-1][1] = max(own[-1][1], e)
+                else:
+                    own.append([s, e])
+                items_[r[i]].update(lookup.items[w[i]])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(spans_, pa.list_(pa.list_(pa.int32()))), pa.array([sorted(x) for x in items_], pa.list_(pa.string()))],
+                names=["kept", "n_words", "spans", "items"],
+            )
+
     spans_type = T.ArrayType(T.ArrayType(T.IntegerType()))
-    base = docs
-    windows_, slices = _window_table(items, size)
-    if slices > 1:
-        # A row number of a name that no column has.
-        row = "_" + "_".join(docs.columns)
-        base = written(docs.select(*dict.fromkeys([*keep, "text"])).withColumn(row, F.monotonically_increasing_id()), "numbered")
-        keep_ = [*keep, row]
-    else:
-        keep_ = list(keep)
-    found = None
-    for i in range(slices):
-        part, vocabulary = _window_slice(windows_, slices, i)
-        index = build_index(base, vocabulary, keep_)
-        lookup = Lookup(part, vocabulary, collection_counts(index, len(vocabulary)))
-
-        def run(batches: Iterator[pa.RecordBatch], lookup=lookup) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                lists = b.column(2)
-                row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-                term, place = lists.flatten().to_numpy(zero_copy_only=False), b.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                words = b.column(1).to_numpy()
-                r, at, w = lookup.find(row, place, term, words)
-                spans_, items_ = [[] for _ in range(b.num_rows)], [set() for _ in range(b.num_rows)]
-                for i in np.lexsort((at, r)).tolist():
-                    s, e, own = int(at[i]), int(at[i] + lookup.length[w[i]]), spans_[r[i]]
-                    if own and s <= own[-1][1]:
-                        own[-1][1] = max(own[-1][1], e)
-                    else:
-                        own.append([s, e])
-                    items_[r[i]].update(lookup.items[w[i]])
+    return index.mapInArrow(run, T.StructType([index.schema["kept"], T.StructField("n_words", T.LongType()), T.StructField("spans", spans_type), T.StructField("items", T.ArrayType(T.StringType()))]))
+
+
+def _around(index: DataFrame, part: DataFrame, counts: np.ndarray, reach: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(row, place, anchor, context): every posting of a term that is the rarest of some window,
+    with the terms up to ``reach`` places before and after it (-1 for other words and beyond the
+    text), ``row`` being the index's column ``name``; (anchor, offset, item, terms): the windows
+    by their rarest term, the first of equally rare ones, without those that lack one in the index."""
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offset = [min(range(len(t)), key=lambda i: (counts[t[i]], i)) for t in b.column(1).to_pylist()]
+            first = np.array([t[i] for t, i in zip(b.column(1).to_pylist(), offset, strict=True)], np.int32)
+            out = pa.RecordBatch.from_arrays([pa.array(first), pa.array(offset, pa.int32()), b.column(0), b.column(1)], names=["anchor", "offset", "item", "terms"])
+            yield out.filter(pa.array(counts[first] > 0))
+
+    found = written(part.mapInArrow(anchored, "anchor int, offset int, item string, terms array<int>"), "anchored-windows")
+    wanted = np.zeros(len(counts), bool)
+    wanted[found.select("anchor").distinct().toArrow()["anchor"].to_numpy()] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length = np.diff(b.column(1).offsets.to_numpy()).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), length)
+            term, place = (b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (1, 2))
+            key = row * (1 << 32) + place
+            anchors = np.flatnonzero(wanted[term])
+            for at in range(0, len(anchors), 1 << 14):
+                some = anchors[at : at + (1 << 14)]
+                want = key[some][:, None] + np.arange(-reach, reach + 1)
+                i = np.minimum(np.searchsorted(key, want), len(key) - 1)
+                # Places before a text's first word would run into the row before it.
+                inside = (place[some][:, None] + np.arange(-reach, reach + 1)) >= 0
+                context = np.where((key[i] == want) & inside, term[i], -1).astype(np.int32)
+                flat = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * (2 * reach + 1), pa.array(context.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(spans_, pa.list_(pa.list_(pa.int32()))), pa.array([sorted(x) for x in items_], pa.list_(pa.string()))],
-                    names=["kept", "n_words", "spans", "items"],
+                    [b.column(0).take(pa.array(row[some])), pa.array(place[some].astype(np.int32)), pa.array(term[some].astype(np.int32)), flat],
+                    names=["row", "place", "anchor", "context"],
                 )
 
-        schema = T.StructType([index.schema["kept"], T.StructField("n_words", T.LongType()), T.StructField("spans", spans_type), T.StructField("items", T.ArrayType(T.StringType()))])
-        some = index.mapInArrow(run, schema).select("kept.*", "n_words", "spans", "items")
-        found = some if found is None else found.unionByName(some)
-    if slices > 1:
-        found = found.groupBy(row).agg(
-            *[F.first(c).alias(c) for c in keep], F.max("n_words").alias("n_words"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-    return found.select(*keep, "n_words", "spans", "items")
+    rows = index.select(F.col(name).alias("row"), "terms", "places")
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([rows.schema["row"], T.StructField("place", T.IntegerType()), T.StructField("anchor", T.IntegerType()), T.StructField("context", ints)])
+    return rows.mapInArrow(run, schema), found
 
 
 def _merged(spans_: Column) -> Column:
@@ -236,39 +332,19 @@ def _merged(spans_: Column) -> Column:
     return F.aggregate(F.array_sort(spans_), F.array().cast("array<array<int>>"), add)
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, size: int = WINDOW, keep=("doc_id",)) -> DataFrame:
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = SLOP, size: int = WINDOW, keep=("doc_id",)) -> DataFrame:
     """The columns ``keep``, item and place: each occurrence of a window's rarest term that has
-    all its other terms within ``slop`` words on either side, in any order.
+    all its other terms within ``slop`` words on either side, in any order. Equal lines are one.
 
     Looked up in the same index, with null, empty and repeated rows as in ``matches``.
     """
-    found = None
-    windows_, slices = _window_table(items, size)
-    for i in range(slices):
-        part, vocabulary = _window_slice(windows_, slices, i)
-        index = build_index(docs, vocabulary, list(keep))
-        lookup = Lookup(part, vocabulary, collection_counts(index, len(vocabulary)))
-
-        def run(batches: Iterator[pa.RecordBatch], lookup=lookup) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                terms, places = b.column(2).to_pylist(), b.column(3).to_pylist()
-                row, item, at = [], [], []
-                for i in range(b.num_rows):
-                    t, p = np.array(terms[i], np.int64), np.array(places[i], np.int64)
-                    for j in np.flatnonzero((lookup.start[1:] - lookup.start[:-1])[t]).tolist():
-                        near = set(t[(p >= p[j] - slop) & (p <= p[j] + slop)].tolist())
-                        for w in lookup.by_term[lookup.start[t[j]] : lookup.start[t[j] + 1]].tolist():
-                            if near.issuperset(lookup.terms[lookup.first[w] : lookup.first[w] + lookup.length[w]].tolist()):
-                                for x in lookup.items[w]:
-                                    row.append(i)
-                                    item.append(x)
-                                    at.append(int(p[j]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.string()), pa.array(at, pa.int64())], names=["kept", "item", "place"])
-
-        schema = T.StructType([index.schema["kept"], T.StructField("item", T.StringType()), T.StructField("place", T.LongType())])
-        some = index.mapInArrow(run, schema).select("kept.*", "item", "place").distinct()
-        found = some if found is None else found.unionByName(some).distinct()
-    return found
+    names, found = list(dict.fromkeys(keep)), None
+    for part, vocabulary, _, _ in _parts(items, size):
+        index = build_index(docs, vocabulary, names)
+        near, anchored = _around(index, part, collection_counts(index, len(vocabulary)), slop, "kept")
+        some = near.join(anchored, "anchor").where(F.size(F.array_except("terms", "context")) == 0).select("row", "item", "place")
+        found = some if found is None else found.unionByName(some)
+    return found.select("row.*", "item", F.col("place").cast("long").alias("place")).distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep=("doc_id",), share: int = 20) -> DataFrame:
@@ -286,6 +362,10 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def proximity_decontamination(spark, sf_dir: str) -> DataFrame:
+    return proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
@@ -316,3 +396,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
+
+
+PROXIMITY_ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, w[i:i + 12] AS terms
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
+places AS (SELECT r, unnest(w) AS term, unnest(generate_series(1, len(w))) AS p FROM d),
+counts AS (SELECT term, count(*) AS n FROM places GROUP BY term),
+ranked AS (
+  SELECT item, terms, x.term, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY item, terms ORDER BY coalesce(n, 0), o) AS nth
+  FROM (SELECT item, terms, unnest(terms) AS term, unnest(generate_series(1, len(terms))) AS o FROM bw) AS x LEFT JOIN counts USING (term))
+SELECT DISTINCT doc_id, item, CAST(p - 1 AS BIGINT) AS place
+FROM (SELECT item, terms, term FROM ranked WHERE nth = 1) JOIN places USING (term) JOIN d USING (r)
+WHERE list_has_all(w[greatest(p - 20, 1):p + 20], terms)
+"""

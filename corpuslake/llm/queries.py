@@ -11,6 +11,7 @@ def queries() -> dict:
         langmodel.op2_lm_scoring,
         substrings.op3_substring_dedup,
         decontaminate.op4_decontamination,
+        decontaminate.proximity_decontamination,
         quality.op5_quality_fm,
         mixing.op6_source_mixing,
         suffixes.op7_suffix_dedup,
@@ -25,6 +26,7 @@ def oracle_sql() -> dict[str, str]:
     found = {
         "op3_substring_dedup": substrings.ORACLE,
         "op4_decontamination": decontaminate.ORACLE,
+        "proximity_decontamination": decontaminate.PROXIMITY_ORACLE,
         "op6_source_mixing": mixing.ORACLE,
         "op7_suffix_dedup": suffixes.ORACLE,
         "op8_block_matrix_knn": nearest.ORACLE,

@@ -237,7 +237,7 @@ def test_components_of_a_chain(spark):
 # Decontamination
 
 
-def test_decontamination(spark, texts):
+def test_decontamination(spark, texts, monkeypatch):
     items = [t[: 40 * (i + 2)] for i, t in enumerate(texts[:12])] + ["the of", None, "", "!!!", (texts[5] or "")[:200]]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(3, items[3])], "item_id long, text string")
     split = lambda t: [w for w in "".join(c if not ord(c) < 128 or c.isalnum() else " " for c in (t or "").translate({x: x + 32 for x in range(65, 91)})).split(" ") if w]
@@ -256,15 +256,37 @@ def test_decontamination(spark, texts):
                     hit |= set(range(at, at + n))
                     found |= windows[k]
         want[i] = (len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w))
-    for slices in (200_000, 7):
-        decontaminate.SLICE_WINDOWS = slices
+    for task_windows, vocabulary_bytes in ((200_000, 1 << 25), (7, 1 << 25), (7, 4000)):
+        monkeypatch.setattr(decontaminate, "TASK_WINDOWS", task_windows)
+        monkeypatch.setattr(decontaminate, "VOCABULARY_BYTES", vocabulary_bytes)
         got = decontaminate.contamination(docs_of(spark, texts), bench).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in got} == want
-    decontaminate.SLICE_WINDOWS = 200_000
+    monkeypatch.undo()
     assert not any(r.contaminated for r in decontaminate.contamination(docs_of(spark, texts), bench.where("false")).collect())
     assert decontaminate.contamination(docs_of(spark, texts).where("false"), bench).count() == 0
 
 
+def test_terms_are_compared_byte_by_byte(monkeypatch):
+    words = [b"alpha", b"beta", b"gamma", b"delta"]
+    monkeypatch.setattr(decontaminate, "range_hash", lambda prefix, start, end: np.ones(len(start), np.uint64))
+    vocabulary = decontaminate.Vocabulary(words)
+    row, place, number, n = decontaminate._postings([b"Delta omega beta", None, b"", b"gamma beta x"], vocabulary)
+    term = [bytes(vocabulary.data[vocabulary.first[i] : vocabulary.first[i] + vocabulary.size[i]]) for i in number.tolist()]
+    assert list(zip(row.tolist(), place.tolist(), term, strict=True)) == [(0, 0, b"delta"), (0, 2, b"beta"), (3, 0, b"gamma"), (3, 1, b"beta")]
+    assert n.tolist() == [3, 0, 0, 3]
+
+
+def test_many_windows_read_the_documents_once(spark, monkeypatch):
+    built = []
+    make = decontaminate.build_index
+    monkeypatch.setattr(decontaminate, "build_index", lambda *a: built.append(1) or make(*a))
+    monkeypatch.setattr(decontaminate, "TASK_WINDOWS", 3)
+    bench = spark.createDataFrame([(i, f"{i} " * 13 + f"t{i}") for i in range(1500)], "item_id long, text string")
+    df = docs_of(spark, [f"a {i} " + f"{i} " * 12 + "z" for i in range(0, 1500, 50)] + ["7 " * 12])
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(df, bench).collect()}
+    assert got == {i: (13, [str(50 * i)]) for i in range(30)} | {30: (0, [])} and len(built) == 1
+
+
 def test_spans_are_merged_whatever_their_order(spark):
     rows = [([[5, 9], [0, 3], [2, 4], [9, 12], [20, 21]],), ([],), ([[1, 2], [1, 2]],)]
     df = spark.createDataFrame(rows, "s array<array<int>>").select(decontaminate._merged(F.col("s")).alias("m"))
