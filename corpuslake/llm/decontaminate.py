@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.llm.common import table, written
+from corpuslake.llm.common import finished, table, written
 from corpuslake.llm.numtext import pieces, prefix_hash, range_hash, spans
 
 WINDOW = 13
@@ -357,13 +357,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep=("
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = finished("contamination", lambda: contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
 def proximity_decontamination(spark, sf_dir: str) -> DataFrame:
-    return proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return finished("proximity", lambda: proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def items_digest(items: list[str]) -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.llm.common import table, written
+from corpuslake.llm.common import finished, table, written
 from corpuslake.llm.graph import components
 
 #: Distinct fingerprints that the cost estimates look at.
@@ -230,5 +230,5 @@ def least_row(name: str) -> Column:
 
 
 def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:
-    found = simhash_components(table(spark, sf_dir, "documents"))
+    found = finished("simhash", lambda: simhash_components(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -256,11 +256,17 @@ def test_decontamination(spark, texts, monkeypatch):
                     hit |= set(range(at, at + n))
                     found |= windows[k]
         want[i] = (len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w))
-    for task_windows, vocabulary_bytes in ((200_000, 1 << 25), (7, 1 << 25), (7, 4000)):
+    for task_windows, vocabulary_bytes in ((200_000, 1 << 25), (7, 1 << 25)):
         monkeypatch.setattr(decontaminate, "TASK_WINDOWS", task_windows)
         monkeypatch.setattr(decontaminate, "VOCABULARY_BYTES", vocabulary_bytes)
         got = decontaminate.contamination(docs_of(spark, texts), bench).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in got} == want
+    # Terms too large to be sent at once: two items in parts with an index each.
+    few, ids = bench.where("item_id IN (0, 3)"), ["0", "3"]
+    whole = decontaminate.contamination(docs_of(spark, texts), few).collect()
+    assert {i for r in whole for i in r["items"]} == set(ids)
+    monkeypatch.setattr(decontaminate, "VOCABULARY_BYTES", 1000)
+    assert Counter(map(str, decontaminate.contamination(docs_of(spark, texts), few).collect())) == Counter(map(str, whole))
     monkeypatch.undo()
     assert not any(r.contaminated for r in decontaminate.contamination(docs_of(spark, texts), bench.where("false")).collect())
     assert decontaminate.contamination(docs_of(spark, texts).where("false"), bench).count() == 0
