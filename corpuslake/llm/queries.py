@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslake.llm import decontaminate, langmodel, language, mixing, nearest, quality, simhash, substrings, suffixes, toxicity
+from corpuslake.llm import decontaminate, langmodel, language, mixing, nearest, quality, resampling, simhash, substrings, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         nearest.op8_block_matrix_knn,
         simhash.op9_simhash_dedup,
         toxicity.op10_toxicity,
+        resampling.op11_importance_resampling,
     )
     return {f.__name__: f for f in found}
 
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_source_mixing": mixing.ORACLE,
         "op7_suffix_dedup": suffixes.ORACLE,
         "op8_block_matrix_knn": nearest.ORACLE,
+        "op11_importance_resampling": resampling.ORACLE,
     }
     return found
