@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslake.llm import decontaminate, langmodel, language, mixing, nearest, quality, resampling, simhash, substrings, suffixes, toxicity
+from corpuslake.llm import alignment, decontaminate, langmodel, language, mixing, nearest, personal, quality, resampling, simhash, substrings, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,8 @@ def queries() -> dict:
         simhash.op9_simhash_dedup,
         toxicity.op10_toxicity,
         resampling.op11_importance_resampling,
+        alignment.op12_tokenizer_alignment,
+        personal.op13_personal_data,
     )
     return {f.__name__: f for f in found}
 
