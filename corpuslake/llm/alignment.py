@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment by tokenizer spans.
 
 Two tokenizers cut the same bytes, and the places where both end a token cut the tokens into
-groups. The spans that the libraries report (characters for one, bytes for the other) are the
-coarse cuts; where they fall short, inside characters of several bytes and runs of byte-fallback
+groups. The spans that the libraries report (characters for one, bytes for the other, whose immutable
+protos the installed version has replaced by offset mappings of the same spans) are the coarse cuts; where they fall short, inside characters of several bytes and runs of byte-fallback
 tokens, the bytes that the tokens decode to place the rest.
 
 A single space between two plain characters is a cut of both tokenizers whatever stands around it
@@ -38,7 +38,6 @@ SENT_PAIRS = 1 << 20
 GROUP_LINKS = 1 << 16
 #: A space between characters that are neither white space nor can melt into their neighbours.
 CUT = re.compile(r"(?:(?<=[!-~])|(?<=[^\W_])) (?=[!-~]|[^\W_])")
-PLAIN = re.compile(r"[!-~]|[^\W_]")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -68,6 +67,8 @@ class Tokenizers:
         self.b_single = np.array([self.b.is_byte(i) for i in range(n)])
         names = [self.b.id_to_piece(i) for i in range(n)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if s else p.replace("▁", " ").encode() for p, s in zip(names, self.b_single, strict=True)]
+        #: Ids as written before a token of their side, the other side, another group and nothing.
+        self.digits = [[f"{i}{mark}" for i in range(max(len(self.a_bytes), n))] for mark in (",", "|", ";", "")]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         # A space ends what stands before it in the first tokenizer if its words are made as byte-level
         # vocabularies make them, and in the second if no piece but those of spaces alone holds one inside.
@@ -104,8 +105,11 @@ class Pieces:
 
 
 def _plain(word: str) -> bool:
-    """Whether spaces around a word are cuts on its side."""
-    return bool(word and PLAIN.match(word) and PLAIN.match(word[-1]))
+    """Whether spaces around a word are cuts on its side: both its ends are characters of CUT."""
+    if not word:
+        return False
+    a, b = word[0], word[-1]
+    return ("!" <= a <= "~" or a.isalnum()) and ("!" <= b <= "~" or b.isalnum())
 
 
 def split(text: str, known: dict[str, int], cuts: bool) -> list[str]:
@@ -156,15 +160,15 @@ def align(tok: Tokenizers, texts: list[str]) -> tuple[list[str], np.ndarray, np.
     first = np.where(np.append(True, last[:-1])[: len(last)], begin[:-1][of_a], -1)
     ends_a = _ends(tok.a_size[ids_a], coarse, clean, first)
 
-    found = [[(p.id, p.end) for p in o.pieces] for o in tok.b.encode(texts, return_type="proto", num_threads=1)]
-    nb = np.array([len(f) for f in found], np.int64)
-    flat = np.fromiter(chain.from_iterable(chain.from_iterable(found)), np.int64, 2 * nb.sum()).reshape(-1, 2)
-    ids_b, of_b = flat[:, 0], np.repeat(np.arange(len(texts)), nb)
+    found = tok.b.encode(texts, return_type="offset_mapping", return_bytes=True, num_threads=1)
+    nb = np.array([len(f["ids"]) for f in found], np.int64)
+    ids_b, of_b = np.fromiter(chain.from_iterable(f["ids"] for f in found), np.int64, nb.sum()), np.repeat(np.arange(len(texts)), nb)
+    spans = np.fromiter(chain.from_iterable(chain.from_iterable(f["offsets"] for f in found)), np.int64, 2 * nb.sum()).reshape(-1, 2)
     last = np.append(of_b[1:] != of_b[:-1], True)[: len(of_b)]
     first = np.where(np.append(True, last[:-1])[: len(last)], begin[:-1][of_b], -1)
-    ends_b = _ends(tok.b_size[ids_b], begin[:-1][of_b] + 1 + flat[:, 1], ~tok.b_single[ids_b], first)
+    ends_b = _ends(tok.b_size[ids_b], begin[:-1][of_b] + 1 + spans[:, 1], ~tok.b_single[ids_b], first)
 
-    bad = _different(tok.a_bytes, ids_a, na, raw) | _different(tok.b_bytes, ids_b, nb, raw)
+    bad = _different(tok.a_bytes, tok.a_size, ids_a, na, raw) | _different(tok.b_bytes, tok.b_size, ids_b, nb, raw)
     if bad.any():
         keep_a, keep_b = ~bad[of_a], ~bad[of_b]
         ids_a, of_a, ends_a = ids_a[keep_a], of_a[keep_a], ends_a[keep_a]
@@ -177,11 +181,16 @@ def align(tok: Tokenizers, texts: list[str]) -> tuple[list[str], np.ndarray, np.
     sizes = np.stack([np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n), np.bincount(of_group, minlength=n), np.bincount(of_group, weights=per_a * per_b, minlength=n).astype(np.int64)], 1)
     sizes[bad] = -1
     pairs, links, of = _links(ids_a, ids_b, ga, gb, per_a, per_b, of_group, len(tok.b_size))
-    return _written(ids_a, ids_b, ga, gb, of_group, n), sizes, np.bincount(of, minlength=n), pairs, links
+    return _written(tok.digits, ids_a, ids_b, ga, gb, of_group, n), sizes, np.bincount(of, minlength=n), pairs, links
 
 
-def _different(entries: list[bytes], ids: np.ndarray, counts: np.ndarray, raw: list[bytes]) -> np.ndarray:
-    at, ids, out = 0, ids.tolist(), np.zeros(len(raw), bool)
+def _different(entries: list[bytes], sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    """Which texts the tokens do not give back; mostly none, so all are joined and compared at once first."""
+    at, out = 0, np.zeros(len(raw), bool)
+    ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.cumsum(counts)]
+    ids = ids.tolist()
+    if np.array_equal(ends, np.cumsum([len(r) for r in raw])) and b"".join([entries[i] for i in ids]) == b"".join(raw):
+        return out
     for k, n in enumerate(counts.tolist()):
         out[k] = b"".join([entries[i] for i in ids[at : at + n]]) != raw[k]
         at += n
@@ -212,7 +221,7 @@ def distinct_links(pairs: np.ndarray, links: np.ndarray, of: np.ndarray) -> tupl
     return pairs[first], np.add.reduceat(links, first) if len(first) else links, of[first]
 
 
-def _written(ids_a, ids_b, ga, gb, of_group, n: int) -> list[str]:
+def _written(digits: list[list[str]], ids_a, ids_b, ga, gb, of_group, n: int) -> list[str]:
     """``a1,a2|b1;a3|b2,b3`` for each text."""
     group, side = np.concatenate([ga, gb]), np.concatenate([np.zeros(len(ga), np.int64), np.ones(len(gb), np.int64)])
     order = np.argsort(group * 2 + side, kind="stable")
@@ -220,7 +229,7 @@ def _written(ids_a, ids_b, ga, gb, of_group, n: int) -> list[str]:
     of = of_group[group]
     follows = np.full(len(ids), 3)
     follows[:-1] = np.where(of[1:] != of[:-1], 3, np.where(group[1:] != group[:-1], 2, np.where(side[1:] != side[:-1], 1, 0)))
-    shown = [f"{i}{',|;'[f : f + 1]}" for i, f in zip(ids.tolist(), follows.tolist(), strict=True)]
+    shown = [digits[f][i] for i, f in zip(ids.tolist(), follows.tolist(), strict=True)]
     ends = np.cumsum(np.bincount(of, minlength=n)).tolist()
     return ["".join(shown[b:e]) for b, e in zip([0, *ends[:-1]], ends, strict=True)]
 
@@ -258,7 +267,7 @@ def _batch(held: Pieces, texts: list[str], groups: bool) -> list[pa.Array]:
     if held.full():
         held.clear()
     parts = [split(t, held.number, held.tok.cuts) if t else [] for t in texts]
-    if new := [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in held.number]:
+    if new := list({p: None for p in chain.from_iterable(parts) if p not in held.number}):
         held.learn(new)
     count = np.array([len(p) for p in parts], np.int64)
     idx = np.fromiter(map(held.number.__getitem__, chain.from_iterable(parts)), np.int64, count.sum())
