@@ -32,6 +32,8 @@ FOLDER = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 #: Bytes of texts that are aligned at a time, and what a task remembers of pieces at most.
 BATCH_BYTES, HELD_PIECES, HELD_CHARS = 1 << 20, 400_000, 1 << 26
+#: Pieces that the tokenizers get at a time.
+LEARNED_AT_ONCE = 8192
 #: Pairs whose counts are sent to the tasks at most; the others are joined.
 SENT_PAIRS = 1 << 20
 #: Links of one group that are written out; those of larger groups are counted by their distinct ids.
@@ -96,12 +98,13 @@ class Pieces:
     def learn(self, new: list[str]) -> None:
         """Align ``new`` pieces, all of them unknown; they get the next numbers."""
         self.number |= {p: len(self.groups) + i for i, p in enumerate(new)}
-        made = align(self.tok, new)
-        self.groups += made[0]
-        self.chars += sum(map(len, new)) + sum(map(len, made[0]))
-        self.sizes = np.concatenate([self.sizes, made[1]])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(made[2])])
-        self.pairs, self.links = np.concatenate([self.pairs, made[3]]), np.concatenate([self.links, made[4]])
+        made = [align(self.tok, new[i : i + LEARNED_AT_ONCE]) for i in range(0, len(new), LEARNED_AT_ONCE)]
+        lines = [line for m in made for line in m[0]]
+        self.groups += lines
+        self.chars += sum(map(len, new)) + sum(map(len, lines))
+        self.sizes = np.concatenate([self.sizes, *[m[1] for m in made]])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate([m[2] for m in made]))])
+        self.pairs, self.links = (np.concatenate([held, *[m[k] for m in made]]) for held, k in ((self.pairs, 3), (self.links, 4)))
 
 
 def _plain(word: str) -> bool:
