@@ -199,10 +199,10 @@ def classified(files: DataFrame, path: str = "path", override: str | None = None
 def enrich_gaps(rows: DataFrame, properties: DataFrame, path: str = "path") -> DataFrame:
     """``rows`` with vendor, product and doc_type filled from document properties (path, title, author,
     subject, keywords) where they are null, empty, ``geral`` or ``document``; nothing else changes, and
-    rows without properties stay as they are."""
+    rows without properties stay as they are. Of several properties of a path the greatest text counts."""
     words = F.filter(F.array("title", "subject", "author", "keywords"), lambda x: F.coalesce(x, F.lit("")) != "")
     text = F.regexp_replace(F.array_join(words, " "), r"[_\-/\\\\]", " ")
-    known = properties.select(F.col(path).alias("__path"), text.alias("__text")).dropDuplicates(["__path"])
+    known = properties.groupBy(F.col(path).alias("__path")).agg(F.max(text).alias("__text"))
     both = rows.join(known, F.col(path) == F.col("__path"), "left")
     use = F.trim(F.coalesce("__text", F.lit(""))) != ""
     concrete = F.when(~F.coalesce("product", F.lit("")).isin("", "geral"), F.col("product"))

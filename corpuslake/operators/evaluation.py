@@ -101,13 +101,35 @@ def overlap_judge(prompt: str) -> str:
     return f"{len(last & rest) / len(last):.4f}" if last else "no"
 
 
-def judge(prompts: DataFrame, reply: Callable[[str], str] = overlap_judge) -> DataFrame:
-    """``prompts`` with the reply of a judge, asked in Arrow batches."""
-    @F.pandas_udf("string")
-    def run(p: pd.Series) -> pd.Series:
-        return p.map(reply)
+#: Prompts that a judge gets at a time.
+JUDGE_BATCH = 20
 
-    return prompts.withColumn("reply", run("prompt"))
+
+def judge(prompts: DataFrame, reply: Callable[[str], str] = overlap_judge, invoke_batch: Callable[[list[str]], list[str]] | None = None, batch: int = JUDGE_BATCH) -> DataFrame:
+    """``prompts`` with the reply of a judge and error, asked in batches. Where ``invoke_batch`` is given it gets a batch at
+    once; a batch that it fails on is asked one by one by ``reply``, and a prompt that this fails on has no reply."""
+    def one(p: str) -> tuple[str | None, str | None]:
+        try:
+            return reply(p), None
+        except Exception as e:  # a model's own failures
+            return None, f"{type(e).__name__}: {e}"[:200]
+
+    def several(part: list[str]) -> list[tuple[str | None, str | None]]:
+        if invoke_batch is not None:
+            try:
+                found = invoke_batch(part)
+                if len(found) == len(part):
+                    return [(r, None) for r in found]
+            except Exception:  # asked again below, one by one
+                pass
+        return [one(p) for p in part]
+
+    @F.pandas_udf("reply string, error string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        asked = s.tolist()
+        return pd.DataFrame([x for at in range(0, len(asked), batch) for x in several(asked[at : at + batch])], columns=["reply", "error"])
+
+    return prompts.withColumn("__r", run("prompt")).select(*prompts.columns, "__r.reply", "__r.error")
 
 
 # Words that are scores, in the order in which they are looked for.
@@ -151,44 +173,10 @@ def baseline_of(runs: DataFrame) -> DataFrame:
     return each.withColumn("r", F.row_number().over(order)).where("r = 1").select("run_id")
 
 
-def sweep(hits: DataFrame, weights: Sequence[tuple[str, float, float]]) -> DataFrame:
-    """Fused lists of every variant (name, dense weight, sparse weight) in one job: hits with
-    dense_rank and sparse_rank, both null where absent, become (variant, query_id, item, rank)."""
-    spark = hits.sparkSession
-    # The variants are given in code: a handful of rows.
-    variants = F.broadcast(spark.createDataFrame(list(weights), "variant string, dense double, sparse double"))
-    part = lambda w, r: F.coalesce(F.col(w) / (60 + F.col(r)), F.lit(0.0))
-    fused = hits.join(variants).withColumn("score", part("dense", "dense_rank") + part("sparse", "sparse_rank")).where("score > 0")
-    order = Window.partitionBy("variant", "query_id").orderBy(F.desc("score"), "item")
-    return fused.withColumn("rank", F.row_number().over(order)).select("variant", "query_id", "item", "rank", "score")
-
-
 # Named weights of dense and sparse search, and whether hits are reranked.
 SCORING_VARIANTS = {"dense_only": (1.0, 0.0, False), "hybrid_default": (0.7, 0.3, True), "hybrid_dense_heavy": (0.9, 0.1, True), "sparse_heavy": (0.3, 0.7, False)}
 
 
-def scoring_experiment(hits: DataFrame, expected: DataFrame, k: int, variants: dict[str, tuple[float, float, bool]] = SCORING_VARIANTS, scorer: Column | None = None) -> DataFrame:
-    """(variant, dense_weight, sparse_weight, reranked, recall, mrr, ndcg): every variant over one fixed
-    index, in one job. ``hits`` has dense_rank and sparse_rank of each (query_id, item); ``scorer``, a
-    column of it, orders the fused lists anew in variants that rerank."""
-    fused = sweep(hits, [(name, d, s) for name, (d, s, _) in variants.items()])
-    if scorer is not None:
-        again = [name for name, v in variants.items() if v[2]]
-        scores = hits.select("query_id", "item", scorer.alias("again"))
-        fused = fused.join(scores, ["query_id", "item"])
-        by = F.when(F.col("variant").isin(*again), F.col("again")).otherwise(F.col("score"))
-        fused = fused.withColumn("rank", F.row_number().over(Window.partitionBy("variant", "query_id").orderBy(F.desc(by), "item")))
-    each = fused.where(F.col("rank") <= k).withColumn("query_id", F.struct("variant", "query_id"))
-    names = F.explode(F.array(*[F.lit(n) for n in variants])).alias("variant")
-    want = expected.select(names, "query_id", "item").select(F.struct("variant", "query_id").alias("query_id"), "item")
-    marked = mark_relevant(each, want)
-    per = recall_at_k(marked, want, k).join(reciprocal_rank(marked), "query_id", "full_outer").join(ndcg_at_k(marked, k), "query_id", "full_outer")
-    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 4).alias(c)
-    out = per.groupBy("query_id.variant").agg(mean("recall"), mean("rr").alias("mrr"), mean("ndcg"))
-    value = lambda i: F.coalesce(*[F.when(F.col("variant") == n, F.lit(v[i])) for n, v in variants.items()])
-    return out.select("variant", value(0).alias("dense_weight"), value(1).alias("sparse_weight"), value(2).alias("reranked"), "recall", "mrr", "ndcg")
-
-
 def chunking_experiment(docs: DataFrame, queries: DataFrame, expected: DataFrame, strategy: str, k: int = 5, **options: int) -> DataFrame:
     """One row (strategy, chunk_count, recall, mrr, ndcg) of the corpus ``docs`` (item, text) chunked by a
     strategy, embedded and searched by ``queries`` (query_id, text); a document counts at its best chunk."""
@@ -198,8 +186,6 @@ def chunking_experiment(docs: DataFrame, queries: DataFrame, expected: DataFrame
     made = made.select(F.concat_ws("::", F.col("item").cast("string"), F.lpad(F.col("pos").cast("string"), 9, "0")).alias("chunk_id"), "item", F.col("chunk").alias("text"))
     vectors = embedding.embed(made, "text")
     asked = embedding.embed(queries.select("query_id", "text"), "text")
-    hits = retrieval.dense_topk(asked, vectors, 4 * k, -1.0).join(made.select("chunk_id", "item"), "chunk_id")
-    best = hits.groupBy("query_id", "item").agg(F.min("rank").alias("first"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).where(F.col("rank") <= k)
+    ranked = retrieval.dense_topk_of(asked, vectors, k, "item")
     metrics = ir_metrics(mark_relevant(ranked, expected), expected, k)
     return metrics.join(made.agg(F.count(F.lit(1)).alias("chunk_count"))).select(F.lit(strategy).alias("strategy"), "chunk_count", "recall", "mrr", "ndcg")

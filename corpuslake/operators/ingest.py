@@ -3,6 +3,8 @@ label, embed; then two tables, chunks and registry."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,13 @@ def write_chunks(chunks: DataFrame, path: str, collection: str = "collection", f
     rows.write.partitionBy(collection).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
-def ingest_corpus(files: DataFrame, registry: DataFrame, old_chunks: DataFrame | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
+def ingest_corpus(files: DataFrame, registry: DataFrame, old_chunks: DataFrame | None = None, force: bool = False, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Chunks and registry after ingesting ``files`` (path, text, length).
 
     Files that fail validation or give no chunk become error rows and keep their old chunks;
     unchanged files are skipped. The chunks of a file are replaced only when new ones exist.
-    ``registry`` has path, sha256 and status.
+    ``registry`` has path, sha256 and status. ``store`` may put the new chunks into a table, so that they
+    are made once though both results need them.
     """
     hashed = files.withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     plan = tables.plan_ingest(hashed.select("path", "sha256"), registry, force)
@@ -40,7 +43,7 @@ def ingest_corpus(files: DataFrame, registry: DataFrame, old_chunks: DataFrame |
         F.col("chunk").alias("text"), "product", "doc_type", "vendor", "subsystem", "module", "version", tx.graph_id(path, F.col("product")).alias("doc_graph_id"),
         tx.topics(*labels).alias("graph_topics"), tx.related_hints(*labels).alias("graph_related"),
     )
-    made = embedding.embed_distinct(made, "text").where("error IS NULL").drop("error")
+    made = store(embedding.embed_distinct(made, "text").where("error IS NULL").drop("error"))
     done = made.groupBy(F.col("source_file").alias("path")).agg(F.count(F.lit(1)).alias("chunks"))
     reasons = validation.failure_reasons(checked, "path").groupBy("path").agg(F.min("reason").alias("reason"))
     state = todo.select("path", "sha256").join(done, "path", "left").join(reasons, "path", "left")

@@ -90,7 +90,9 @@ def histogram_quantile(buckets: DataFrame, label: str, q: float) -> DataFrame:
 
 def hit_ratio(events: DataFrame, hit: Column, miss: Column, width: str) -> DataFrame:
     """Hits among hits and misses in each window, and whether that is under a half."""
-    g = events.groupBy(F.window(F.col("ts").cast("timestamp"), width).alias("w")).agg(F.count_if(hit).alias("hits"), F.count_if(miss).alias("misses"))
+    # A stream's watermark goes with the column itself, not with a cast of it.
+    at = F.col("ts") if events.schema["ts"].dataType.typeName() == "timestamp" else F.col("ts").cast("timestamp")
+    g = events.groupBy(F.window(at, width).alias("w")).agg(F.count_if(hit).alias("hits"), F.count_if(miss).alias("misses"))
     ratio = F.try_divide(F.col("hits"), F.col("hits") + F.col("misses"))
     return g.select(F.col("w.start").alias("start"), "hits", "misses", ratio.alias("ratio"), (ratio < 0.5).alias("alert"))
 

@@ -55,37 +55,55 @@ def ranked(hits: DataFrame, k: int, *parts: str) -> DataFrame:
 QUERY_BLOCK, CHUNK_BLOCK = 512, 8192
 
 
-def block_hits(queries: DataFrame, chunks: DataFrame, k: int, threshold: float, part: str | None = None) -> DataFrame:
+def block_hits(queries: DataFrame, chunks: DataFrame, k: int, threshold: float, part: str | None = None, per: str | None = None) -> DataFrame:
     """Cosine hits of queries (cell, query_id, vector) among the chunks (cell, chunk_id, vector) of
-    their cell: of each block of chunks the ``k`` best of at least ``threshold``, or all with ``part``.
+    their cell: of each block of chunks the ``k`` best of at least ``threshold``, or all with ``part``. With
+    ``per`` the ``k`` best values of that column, each at its best chunk: (query_id, ``per``, score).
 
-    Within a cell queries are dealt into blocks and chunks into groups of bounded size, so that no
-    task gets a whole side; each block meets each group once, in one matrix product.
+    Each cell's queries are dealt into blocks and its chunks into groups of bounded size, as many as that cell
+    needs, so that no task gets a whole side; each block meets each group of its cell once, in one matrix
+    product. Chunks of cells that no query asks for are not moved. There must be few cells: their sizes
+    come to the driver.
     """
     dtype = lambda df, c: df.schema[c].dataType.simpleString()
-    schema = f"query_id {dtype(queries, 'query_id')}, chunk_id {dtype(chunks, 'chunk_id')}" + (f", {part} {dtype(chunks, part)}" if part else "") + ", score double"
+    found = [("query_id", queries), *[("chunk_id", chunks)] * (not per), *[(c, chunks) for c in (part, per) if c]]
+    names = [c for c, _ in found]
+    schema = ", ".join([f"{c} {dtype(df, c)}" for c, df in found] + ["score double"])
     some = lambda df: df.where(F.col("vector").isNotNull() & (F.size("vector") > 0))
-    blocks, groups = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-chunks.count() // CHUNK_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = some(queries).select("cell", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("s"), every(groups).alias("g"), "query_id", "vector")
-    c = some(chunks).select("cell", every(blocks).alias("s"), F.pmod(F.xxhash64("chunk_id"), F.lit(groups)).cast("int").alias("g"), "chunk_id", "vector", *[part] * bool(part))
+    queries, chunks = some(queries), some(chunks)
+    count = lambda df: {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
+    asked, held = count(queries), count(chunks)
+    met = [(int(c), -(-asked[c] // QUERY_BLOCK), -(-held[c] // CHUNK_BLOCK)) for c in sorted(asked.keys() & held.keys())]
+    cells = F.broadcast(queries.sparkSession.createDataFrame(met, "cell int, blocks int, groups int"))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # Columns get names of their own: queries may be rows of the chunks.
+    own = lambda *names: [F.col(n).alias(n) for n in names]
+    q = queries.join(cells, "cell").select(*own("cell"), deal("query_id", "blocks").alias("s"), every("groups").alias("g"), *own("query_id", "vector"))
+    c = chunks.join(cells, "cell").select("cell", every("blocks").alias("s"), deal("chunk_id", "groups").alias("g"), "chunk_id", "vector", *[x for x in (part, per) if x])
 
     def unit(f: pd.DataFrame) -> np.ndarray:
         v = np.array([np.asarray(x, np.float64) for x in f["vector"]])
         with np.errstate(divide="ignore", invalid="ignore"):
             return v / np.linalg.norm(v, axis=1, keepdims=True)
 
+    def best(s: np.ndarray) -> np.ndarray:
+        return np.where(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None], s, -np.inf) if s.shape[1] > k else s
+
     def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(cs):
-            return pd.DataFrame({n: [] for n in ("query_id", "chunk_id", *[part] * bool(part), "score")})
+            return pd.DataFrame({n: [] for n in (*names, "score")})
+        if per:
+            cs = cs.sort_values(per)
         s = unit(qs) @ unit(cs).T
         s = np.where(np.isfinite(s) & (s >= threshold), s, -np.inf)
-        if part is None and s.shape[1] > k:
-            s = np.where(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None], s, -np.inf)
+        if per:
+            firsts = np.flatnonzero(cs[per].ne(cs[per].shift()).to_numpy())
+            cs, s = cs.iloc[firsts], np.maximum.reduceat(s, firsts, axis=1)
+        if part is None:
+            s = best(s)
         i, j = np.nonzero(np.isfinite(s))
-        out = {"query_id": qs["query_id"].to_numpy()[i], "chunk_id": cs["chunk_id"].to_numpy()[j]}
-        if part:
-            out[part] = cs[part].to_numpy()[j]
+        out = {c: qs[c].to_numpy()[i] if c == "query_id" else cs[c].to_numpy()[j] for c in names}
         return pd.DataFrame(out | {"score": s[i, j]})
 
     return q.groupBy("cell", "s", "g").cogroup(c.groupBy("cell", "s", "g")).applyInPandas(score, schema)
@@ -99,6 +117,16 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, threshold: float =
     return ranked(hits, k, *[part] * bool(part))
 
 
+def dense_topk_of(queries: DataFrame, chunks: DataFrame, k: int, per: str, threshold: float = -1.0) -> DataFrame:
+    """The ``k`` best values of column ``per`` (query_id, ``per``, score, rank) for every query, each value at its best
+    chunk, ties to the smaller value: as many as there are, however many chunks one of them has."""
+    one = F.lit(0).alias("cell")
+    hits = block_hits(queries.select(one, "query_id", "vector"), chunks.select(one, "chunk_id", "vector", per), k, threshold, per=per)
+    best = hits.groupBy("query_id", per).agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), per)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     """(chunk_id, term, tf, length) of every term of every chunk."""
     t = terms(F.col(text))
@@ -170,7 +198,7 @@ def search(queries: DataFrame, chunks: DataFrame, options: SearchOptions, scorer
         hits = hybrid(queries, found, more, threshold=options.threshold) if options.hybrid else dense_topk(queries, found, more, options.threshold)
         if options.rerank:
             path += "+rerank"
-            texts = hits.select("query_id", "chunk_id").join(found.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+            texts = hits.select("query_id", "chunk_id", "rank", "score").join(found.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
             hits = rerank(texts, options.k, scorer or overlap_scorer)
     hits = hits.select("query_id", "chunk_id", "score", "rank")
     counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("result_count"), F.max("score").alias("max_score"))
@@ -201,13 +229,54 @@ def overlap_scorer(query: str, text: str) -> float:
     return 2 * both / (len(a) + len(b)) if both else 0.0
 
 
-def rerank(hits: DataFrame, k: int, scorer: Callable[[str, str], float] = overlap_scorer) -> DataFrame:
-    """``hits`` with query_text and text scored again in Arrow batches and ranked anew."""
-    @F.pandas_udf("double")
-    def run(q: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([scorer(a or "", b or "") for a, b in zip(q, t, strict=True)], dtype="float64")
+#: Pairs that a scorer gets at a time: one that it fails on spoils no more than these.
+SCORER_BATCH = 20
+
 
-    return ranked(hits.withColumn("score", run("query_text", "text")), k)
+def scored(hits: DataFrame, scorer: Callable[[str, str], float] = overlap_scorer, batch: int = SCORER_BATCH) -> DataFrame:
+    """``hits`` with again, the scorer's value for query_text and text, and outcome: ``ok``, or what it raised. Pairs go to it
+    in batches; those of a batch in which it raises have no value."""
+    @F.pandas_udf("again double, outcome string")
+    def run(q: pd.Series, t: pd.Series) -> pd.DataFrame:
+        out: list[tuple[float | None, str]] = []
+        pairs = [(a or "", b or "") for a, b in zip(q, t, strict=True)]
+        for at in range(0, len(pairs), batch):
+            part = pairs[at : at + batch]
+            try:
+                out += [(float(scorer(a, b)), "ok") for a, b in part]
+            except Exception as e:  # a model's own failures
+                out = out[:at] + [(None, f"{type(e).__name__}: {e}"[:200])] * len(part)
+        return pd.DataFrame(out, columns=["again", "outcome"])
+
+    return hits.withColumn("__s", run("query_text", "text")).select(*hits.columns, "__s.again", "__s.outcome")
+
+
+def rerank(hits: DataFrame, k: int, scorer: Callable[[str, str], float] = overlap_scorer, batch: int = SCORER_BATCH) -> DataFrame:
+    """The first ``k`` of each query by a scorer of query_text and text: query_id, chunk_id, score, rank and outcome.
+
+    A query's hits go to the scorer together, in batches in their old order (rank if there is one, else chunk_id). If it
+    raises on one of them, that query keeps the first ``k`` of its old order with their old scores, its outcome says why,
+    and no other query is touched.
+    """
+    old = [F.col(c) if c in hits.columns else F.lit(None).cast(t).alias(c) for c, t in (("rank", "long"), ("score", "double"))]
+    kind = lambda c: hits.schema[c].dataType.simpleString()
+    schema = f"query_id {kind('query_id')}, chunk_id {kind('chunk_id')}, score double, rank int, outcome string"
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["rank", "chunk_id"])
+        outcome, again = "ok", []
+        pairs = [(a or "", b or "") for a, b in zip(f["query_text"], f["text"], strict=True)]
+        try:
+            for at in range(0, len(pairs), batch):
+                again += [float(scorer(a, b)) for a, b in pairs[at : at + batch]]
+            f = f.assign(score=again).sort_values(["score", "chunk_id"], ascending=[False, True])
+        except Exception as e:  # a model's own failures
+            outcome = f"{type(e).__name__}: {e}"[:200]
+        f = f.head(k)
+        return pd.DataFrame({"query_id": f["query_id"], "chunk_id": f["chunk_id"], "score": f["score"].astype(float), "rank": np.arange(1, len(f) + 1), "outcome": outcome})
+
+    # A group is one query's hits, which searches bound.
+    return hits.select("query_id", "chunk_id", *old, "query_text", "text").groupBy("query_id").applyInPandas(run, schema)
 
 
 def context(chunks: DataFrame, targets: DataFrame, width: int) -> DataFrame:

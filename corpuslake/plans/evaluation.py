@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpuslake.operators import evaluation
+from corpuslake.operators import evaluation, experiments, retrieval
+from corpuslake.plans import corpus
 from corpuslake.plans.registry import query
 from corpuslake.plans.views import view
+from corpuslake.sources.stored import shared_dir
 
 
 def _hits(spark, sf_dir):
@@ -148,20 +153,92 @@ def k14_per_example_stats(spark, sf_dir):
     return evaluation.metric_stats(values)
 
 
-_VARIANTS = [("dense_only", 1.0, 0.0), ("default", 0.7, 0.3), ("dense_heavy", 0.9, 0.1), ("sparse_heavy", 0.3, 0.7)]
+# Experiments: documents that have a vector, asked by some of them; those of the same label are expected.
 
 
-@query("""
-WITH h AS (SELECT query_id, item, rank AS dense_rank, CASE WHEN item % 3 > 0 THEN 13 - rank END AS sparse_rank FROM {retrieved}),
-v AS (SELECT * FROM (VALUES ('dense_only', 1.0::DOUBLE, 0.0::DOUBLE), ('default', 0.7, 0.3), ('dense_heavy', 0.9, 0.1), ('sparse_heavy', 0.3, 0.7)) t(variant, dense, sparse)),
-s AS (SELECT variant, query_id, item, coalesce(dense / (60 + dense_rank), 0) + coalesce(sparse / (60 + sparse_rank), 0) AS score FROM h, v),
-r AS (SELECT variant, query_id, item, row_number() OVER (PARTITION BY variant, query_id ORDER BY score DESC, item) AS rank FROM s WHERE score > 0)
-SELECT variant, query_id, string_agg(item, ',' ORDER BY rank) AS items FROM r WHERE rank <= 5 GROUP BY 1, 2""")
+def _corpus(spark, sf_dir):
+    """Queries, chunks and expected chunks."""
+    e = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+    chunks = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text").join(e, "chunk_id")
+    asked = chunks.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.substring("text", 1, 120).alias("text"), "vector", "label")
+    expected = asked.select("query_id", "label").join(chunks.select("chunk_id", "label"), "label").where("query_id <> chunk_id").select("query_id", "chunk_id")
+    return asked, chunks, expected
+
+
+def _candidates(spark, sf_dir, depth=20):
+    asked, chunks, expected = _corpus(spark, sf_dir)
+    return experiments.candidates(asked, chunks, depth, -1.0), expected
+
+
+# What both searches find, fused by each row of v, reranked where it says so; then the metrics of the first k.
+_EXPERIMENT = f"""e AS (SELECT vec_id AS chunk_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label FROM {{embeddings}}),
+c AS (SELECT e.*, text FROM e JOIN {{documents}} d ON d.doc_id = chunk_id),
+q AS (SELECT chunk_id AS query_id, substr(text, 1, 120) AS text, vec, label FROM c WHERE chunk_id % 20 = 0),
+t AS (SELECT chunk_id, {corpus._TERMS} AS t FROM c),
+p AS (SELECT chunk_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT chunk_id, len(t) AS length, unnest(t) AS term FROM t) GROUP BY 1, 2),
+n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t), a AS (SELECT DISTINCT query_id, unnest({corpus._TERMS}) AS term FROM q), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+b AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / avgdl))), 9) AS score FROM a JOIN p USING (term) JOIN d USING (term), n GROUP BY 1, 2),
+s1 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS sparse_rank FROM b),
+d1 AS (SELECT query_id, c.chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(q.vec, c.vec) DESC, c.chunk_id) AS dense_rank FROM q, c),
+h AS (SELECT query_id, chunk_id, dense_rank, sparse_rank FROM (SELECT * FROM d1 WHERE dense_rank <= 20) FULL JOIN (SELECT * FROM s1 WHERE sparse_rank <= 20) USING (query_id, chunk_id)),
+y AS (SELECT h.*, list_filter(list_distinct(string_split_regex(lower(q.text), '[ \\t\\n\\x0B\\f\\r]+')), lambda w: w <> '') AS x, list_filter(list_distinct(string_split_regex(lower(c.text), '[ \\t\\n\\x0B\\f\\r]+')), lambda w: w <> '') AS z
+  FROM h JOIN q USING (query_id) JOIN c USING (chunk_id)),
+o AS (SELECT * EXCLUDE (x, z), round(2.0::DOUBLE * len(list_intersect(x, z)) / (len(x) + len(z)), 9) AS again FROM y),
+f AS (SELECT v.*, o.*, coalesce(v.dense_weight / (60 + dense_rank), 0) + coalesce(v.sparse_weight / (60 + sparse_rank), 0) AS fused FROM o, v),
+g AS (SELECT *, row_number() OVER (PARTITION BY variant, query_id ORDER BY fused DESC, chunk_id) AS first FROM f WHERE fused > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY variant, query_id ORDER BY CASE WHEN rerank THEN again ELSE fused END DESC, chunk_id) AS rank FROM g WHERE first <= CASE WHEN rerank THEN least(4 * k, 50) ELSE k END),
+w AS (SELECT variant, q.query_id, c.chunk_id FROM q JOIN c ON q.label = c.label AND q.query_id <> c.chunk_id, v),
+m AS (SELECT r.*, w.chunk_id IS NOT NULL AS relevant FROM r LEFT JOIN w USING (variant, query_id, chunk_id) WHERE rank <= k),
+u AS (SELECT variant, query_id, count(*) AS expected FROM w GROUP BY 1, 2),
+x AS (SELECT variant, query_id, any_value(expected) AS expected, count(*) FILTER (WHERE relevant) AS found, min(CASE WHEN relevant THEN rank END) AS first, sum(CASE WHEN relevant THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END) AS dcg
+  FROM u LEFT JOIN m USING (variant, query_id) GROUP BY 1, 2),
+z AS (SELECT variant, round(avg(found / expected::DOUBLE), 4) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 4) AS mrr,
+  round(avg(CASE WHEN found > 0 THEN dcg / list_sum(list_transform(generate_series(1, found), lambda i: 1 / log2(i + 1.0::DOUBLE))) ELSE 0 END), 4) AS ndcg FROM x GROUP BY 1)"""
+
+
+def _scorer(query: str, text: str) -> float:
+    return round(retrieval.overlap_scorer(query, text), 9)
+
+
+_NAMED = ", ".join(f"('{n}', {d}::DOUBLE, {s}::DOUBLE, 5, {str(r).lower()})" for n, (d, s, r) in evaluation.SCORING_VARIANTS.items())
+
+
+@query(f"WITH v AS (SELECT * FROM (VALUES {_NAMED}) t(variant, dense_weight, sparse_weight, k, rerank)), {_EXPERIMENT} SELECT variant, recall, mrr, ndcg FROM z")
+def k16_scoring_experiment(spark, sf_dir):
+    """Every registered variant over one stage of candidates."""
+    found, expected = _candidates(spark, sf_dir)
+    return experiments.variant_experiment(found, expected, 5, list(evaluation.SCORING_VARIANTS))
+
+
+_LISTS = {"dense_weight": [1.0, 0.7, 0.5, 0.3], "sparse_weight": [0.0, 0.3, 0.7], "k": [3, 5], "rerank": [False, True]}
+_SWEPT = """v AS (SELECT '{{"dense_weight": ' || dense_weight || ', "k": ' || k || ', "rerank": ' || rerank || ', "sparse_weight": ' || sparse_weight || '}}' AS variant, * FROM
+  (SELECT unnest([1.0, 0.7, 0.5, 0.3]::DOUBLE[]) AS dense_weight), (SELECT unnest([0.0, 0.3, 0.7]::DOUBLE[]) AS sparse_weight), (SELECT unnest([3, 5]) AS k), (SELECT unnest([false, true]) AS rerank))"""
+
+
+def _sweep(spark, sf_dir):
+    found, expected = _candidates(spark, sf_dir)
+    return experiments.sweep_parameters(found, expected, _LISTS, _scorer)
+
+
+@query(f"WITH {_SWEPT}, {_EXPERIMENT} SELECT v.*, recall, mrr, ndcg FROM z JOIN v USING (variant)")
 def k17_parameter_sweep(spark, sf_dir):
-    hits = _hits(spark, sf_dir).select("query_id", "item", F.col("rank").alias("dense_rank"), F.when(F.col("item") % 3 > 0, 13 - F.col("rank")).alias("sparse_rank"))
-    swept = evaluation.sweep(hits, _VARIANTS).where("rank <= 5")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"].cast("string"))
-    return swept.groupBy("variant", "query_id").agg(F.array_join(ordered, ",").alias("items"))
+    """48 combinations in one job."""
+    return _sweep(spark, sf_dir)
+
+
+@query(f"""WITH {_SWEPT}, {_EXPERIMENT}, s AS (SELECT 'run-' || md5(variant) AS run_id, variant AS params, recall, mrr, ndcg FROM z),
+s2 AS (SELECT * FROM s UNION ALL SELECT * REPLACE ('baseline' AS run_id) FROM s WHERE run_id = (SELECT min(run_id) FROM s))
+SELECT CAST(row_number() OVER (ORDER BY run_id) AS INT) AS place, * FROM s2""")
+def a15_save_and_load_runs(spark, sf_dir):
+    """The sweep's results saved as runs and read again; the first of them becomes the baseline."""
+    swept = _sweep(spark, sf_dir)
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("recall", "mrr", "ndcg")])).alias("m")
+    runs = swept.select(F.concat(F.lit("run-"), F.md5(F.col("variant").cast("binary"))).alias("run_id"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.col("variant").alias("params"), values).select("run_id", "ts", "params", "m.*")
+    store = experiments.run_store(spark, f"{shared_dir(spark)}/corpuslake/runs-{uuid.uuid4().hex}")
+    experiments.save_run(store, runs)
+    loaded = experiments.load_runs(store)
+    place = F.row_number().over(Window.orderBy(F.desc("ts"), "run_id")).alias("place")
+    return loaded.select(place, "run_id", "params", *[F.col("metrics")[m].alias(m) for m in ("recall", "mrr", "ndcg")])
 
 
 @query("""SELECT r.run_id, r.metric, r.value, b.value AS base, round(r.value - b.value, 6) AS delta FROM {runs} r LEFT JOIN (SELECT metric, value FROM {runs} WHERE run_id = 'run0') b ON r.metric = b.metric

@@ -19,7 +19,7 @@ from corpuslake.operators import embedding, evaluation, logs, tables
 from corpuslake.plans import corpus
 from corpuslake.plans.registry import query
 from corpuslake.plans.views import view
-from corpuslake.sources import connectors, extract, loaders
+from corpuslake.sources import connectors, extract, landed, loaders
 from corpuslake.sources.stored import shared_dir
 from corpuslake.streaming import events as ev
 
@@ -46,19 +46,26 @@ _WIKI = f"""SELECT CAST(page_id AS VARCHAR) AS remote_id, CASE WHEN page_id % 7
   ({_MTIME})::DOUBLE AS remote_mtime, 'S' || page_id % 5 AS space_key, CAST(page_id % 9 AS VARCHAR) AS version, md5({_PAGE_MD}) AS h FROM {{pages}}"""
 
 
-def _pages(spark, sf_dir, since=None):
-    found = connectors.fetch_documents("wiki", _wiki(spark, sf_dir), "wiki", "https://wiki.test", since)
+def _page_rows(found):
     return found.select("remote_id", "title", "remote_url", "remote_mtime", F.col("metadata")["space_key"].alias("space_key"), F.col("metadata")["version"].alias("version"), F.md5(F.col("content").cast("binary")).alias("h"))
 
 
 @query(_WIKI)
 def a8_scan_remote_pages(spark, sf_dir):
-    return _pages(spark, sf_dir)
+    return _page_rows(connectors.fetch_documents("wiki", _wiki(spark, sf_dir), "wiki", "https://wiki.test"))
 
 
-@query(f"SELECT * FROM ({_WIKI}) WHERE remote_mtime >= 1704100000")
+_SINCE = 1704200000
+
+
+@query(f"SELECT * FROM ({_WIKI}) WHERE remote_mtime >= {_SINCE}")
 def o4_fetch_since(spark, sf_dir):
-    return _pages(spark, sf_dir, 1704100000)
+    """From landed files; those of earlier days are not opened."""
+    path = f"{shared_dir(spark)}/corpuslake/landed-{uuid.uuid4().hex}"
+    raw = _wiki(spark, sf_dir)
+    at = F.unix_timestamp(F.to_timestamp(F.get_json_object("value", "$.version.when")))
+    landed.land(raw.withColumn("modified", at), path, 0)
+    return _page_rows(connectors.fetch_documents("wiki", landed.scan_landed(spark, path, _SINCE), "wiki", "https://wiki.test", _SINCE))
 
 
 def _text_node(c, *marks):
@@ -132,18 +139,45 @@ def _zipped(entries: dict[str, str | bytes]) -> bytes:
     return out.getvalue()
 
 
+_W = 'xmlns:w="w" xmlns:r="r"'
+_O = 'xmlns:office="o" xmlns:table="t" xmlns:text="x" xmlns:draw="d"'
+
+
 def _made(lines: list[str], kind: str) -> bytes:
+    """A small file of that kind, with what makes real ones hard: tabs and tables in texts, cells out of place and
+    repeated ones, sheets whose files are numbered otherwise."""
     safe = [escape(x) for x in lines]
     if kind == "docx":
         core = f'<c xmlns:dc="d"><dc:title>{safe[0]}</dc:title><dc:creator>A B</dc:creator><keywords>k</keywords></c>'
-        return _zipped({"word/document.xml": "<d>" + "".join(f"<p><t>{x}</t></p>" for x in safe) + "</d>", "docProps/core.xml": core})
+        run = lambda x: f"<w:r><w:t>{x}</w:t></w:r>"
+        tabbed = ((run(a) + "<w:r><w:tab/></w:r>" + run(b)) if sep else run(a) for a, sep, b in (x.partition(" ") for x in safe))
+        paras = "".join(f"<w:p><w:pPr><w:tab/></w:pPr>{x}</w:p>" for x in tabbed)
+        table = f"<w:tbl><w:tr><w:tc><w:p>{run('in a table')}</w:p></w:tc></w:tr></w:tbl>"
+        return _zipped({"word/document.xml": f"<w:document {_W}><w:body>{paras}{table}</w:body></w:document>", "docProps/core.xml": core})
     if kind == "xlsx":
-        rows = "".join(f'<row><c t="inlineStr"><is><t>{x}</t></is></c><c><v>{i}</v></c></row>' for i, x in enumerate(safe))
-        return _zipped({"xl/workbook.xml": '<w><sheet name="S"/></w>', "xl/worksheets/sheet1.xml": f"<s>{rows}</s>"})
+        # The second row of each line has its number in column C, a truth in A, nothing in B; cells stand in any order.
+        rows = "".join(
+            f'<row r="{2 * i + 1}"><c r="B{2 * i + 1}"><v>{i}</v></c><c r="A{2 * i + 1}" t="s"><v>{i}</v></c></row><row r="{2 * i + 2}"><c r="A{2 * i + 2}" t="b"><v>1</v></c><c r="C{2 * i + 2}"><v>{i}.50</v></c></row>'
+            for i in range(len(safe))
+        )
+        shared = "".join(f"<si><r><t>{x}</t></r><rPh><t>said</t></rPh></si>" for x in safe)
+        book = f'<w:workbook {_W}><w:sheets><w:sheet name="Second" r:id="a"/><w:sheet name="First" r:id="b"/></w:sheets></w:workbook>'
+        rels = '<R><S Id="a" Target="worksheets/sheet2.xml"/><S Id="b" Target="/xl/worksheets/sheet1.xml"/></R>'
+        dates = '<s><sheetData><row><c s="1"><v>45292.25</v></c><c s="0"><v>7</v></c></row></sheetData></s>'
+        styles = '<s><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></s>'
+        return _zipped({"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rels, "xl/worksheets/sheet1.xml": dates, "xl/worksheets/sheet2.xml": f"<s><sheetData>{rows}</sheetData></s>", "xl/sharedStrings.xml": f"<s>{shared}</s>", "xl/styles.xml": styles})
     if kind == "pptx":
         return _zipped({f"ppt/slides/slide{i}.xml": f"<s><sp><t>{x}</t></sp></s>" for i, x in enumerate(safe, 1)})
-    if kind == "odt":
-        return _zipped({"content.xml": "<o>" + "".join(f"<p>{x}</p>" for x in safe) + "</o>"})
+    para = lambda x: f"<text:p>{x}</text:p>"
+    cell = lambda x, n=1: f'<table:table-cell table:number-columns-repeated="{n}">{para(x) if x else ""}</table:table-cell>'
+    body = {
+        "odt": "<office:text>" + "".join(map(para, safe)) + f'<table:table table:name="T"><table:table-row>{cell("in a <text:span>table</text:span><text:tab/>cell")}</table:table-row></table:table></office:text>',
+        "ods": '<office:spreadsheet><table:table table:name="S">' + "".join(f'<table:table-row table:number-rows-repeated="2">{cell("x", 2)}{cell("", 3)}{cell(x)}{cell("", 1000)}</table:table-row>' for x in safe)
+        + f'<table:table-row table:number-rows-repeated="1000000">{cell("", 1000)}</table:table-row></table:table></office:spreadsheet>',
+        "odp": "<office:presentation>" + "".join(f"<draw:page>{para(x)}{para('a<text:s text:c=\"2\"/>b')}</draw:page>" for x in safe) + "</office:presentation>",
+    }
+    if kind in body:
+        return _zipped({"content.xml": f"<office:document-content {_O}><office:body>{body[kind]}</office:body></office:document-content>"})
     return _zipped({"a.txt": "\n".join(lines), "b.py": lines[0], "c.exe": "no", "d.zip": _zipped({"e.md": lines[-1]})})
 
 
@@ -161,18 +195,22 @@ def _sections(spark, sf_dir, kind: str):
     return found.select("path", "section_no", "source_path", "page", F.md5(F.col("text").cast("binary")).alias("h"))
 
 
-def _paras(kind: str) -> str:
-    return f"""SELECT doc_id || '.{kind}' AS path, 0 AS section_no, doc_id || '.{kind}' AS source_path, '' AS page, md5(array_to_string({_LINES.format('text')}, chr(10))) AS h
-FROM {{documents}} WHERE regexp_matches(text, '\\S')"""
+def _paras(kind: str, line: str = "x", last: str = "") -> str:
+    """Stripped lines that are not blank, each made by ``line``; then ``last``."""
+    lines = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace({line}, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+    lines = f"list_concat({lines}, [{last}])" if last else lines
+    return f"""SELECT doc_id || '.{kind}' AS path, 0 AS section_no, doc_id || '.{kind}' AS source_path, '' AS page, md5(array_to_string({lines}, chr(10))) AS h
+FROM {{documents}} WHERE text IS NOT NULL{"" if last else " AND regexp_matches(text, '\\S')"}"""
 
 
-@query(_paras("docx"))
+@query(_paras("docx", "regexp_replace(x, ' ', chr(9))"))
 def b3_docx_sections(spark, sf_dir):
     return _sections(spark, sf_dir, "docx")
 
 
-@query(r"""SELECT doc_id || '.xlsx' AS path, 0 AS section_no, doc_id || '.xlsx' AS source_path, 'S' AS page,
-  md5('[Planilha: S]' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: x || chr(9) || (i - 1)), chr(10))) AS h FROM {documents} WHERE text IS NOT NULL""")
+@query(r"""SELECT doc_id || '.xlsx' AS path, 0 AS section_no, doc_id || '.xlsx' AS source_path, 'Second' AS page,
+  md5('[Planilha: Second]' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: x || chr(9) || (i - 1) || chr(10) || 'True' || chr(9) || chr(9) || (i - 1) || '.5'), chr(10))) AS h FROM {documents} WHERE text IS NOT NULL
+UNION ALL SELECT doc_id || '.xlsx', 1, doc_id || '.xlsx', 'First', md5('[Planilha: First]' || chr(10) || '2024-01-01 06:00:00' || chr(9) || '7') FROM {documents} WHERE text IS NOT NULL""")
 def b4_xlsx_sections(spark, sf_dir):
     return _sections(spark, sf_dir, "xlsx")
 
@@ -184,11 +222,25 @@ def b5_pptx_sections(spark, sf_dir):
     return _sections(spark, sf_dir, "pptx")
 
 
-@query(_paras("odt"))
+@query(_paras("odt", last="'in a table' || chr(9) || 'cell'"))
 def b6_odt_sections(spark, sf_dir):
     return _sections(spark, sf_dir, "odt")
 
 
+@query(r"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM {documents} WHERE text IS NOT NULL)
+SELECT doc_id || '.ods' AS path, 0 AS section_no, doc_id || '.ods' AS source_path, 'S' AS page,
+  md5('[Sheet: S]' || chr(10) || array_to_string(list_transform(l, lambda x: CASE WHEN x = '' THEN 'x' || chr(9) || 'x' || chr(10) || 'x' || chr(9) || 'x' ELSE 'x' || chr(9) || 'x' || repeat(chr(9), 4) || x || chr(10) || 'x' || chr(9) || 'x' || repeat(chr(9), 4) || x END), chr(10))) AS h FROM l""")
+def b6_ods_sections(spark, sf_dir):
+    return _sections(spark, sf_dir, "ods")
+
+
+@query(r"""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {documents})
+SELECT doc_id || '.odp' AS path, CAST(i - 1 AS INT) AS section_no, doc_id || '.odp' AS source_path, CAST(i AS VARCHAR) AS page,
+  md5(CASE WHEN regexp_matches(t, '\S') THEN regexp_replace(t, '^\s+|\s+$', '', 'g') || chr(10) ELSE '' END || 'a  b') AS h FROM s""")
+def b6_odp_sections(spark, sf_dir):
+    return _sections(spark, sf_dir, "odp")
+
+
 @query("""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM {documents} WHERE text IS NOT NULL)
 SELECT doc_id || '.zip' AS path, 0 AS section_no, 'a.txt' AS source_path, '' AS page, md5(text) AS h FROM l
 UNION ALL SELECT doc_id || '.zip', 1, 'b.py', '', md5('```py' || chr(10) || l[1] || chr(10) || '```') FROM l
@@ -230,7 +282,9 @@ def a7_scan_meta_overrides(spark, sf_dir):
     folders = view(spark, sf_dir, "files").select((F.col("doc_id") % 50).alias("n")).distinct()
     kind = F.when(n % 7 == 0, "odd").when(n % 2 == 0, "howto").otherwise("standard")
     value = F.to_json(F.struct(F.struct(kind.alias("doc_type"), F.concat(F.lit("P"), n.cast("string")).alias("product")).alias("defaults")))
-    found, _, _ = loaders.parse_overrides(folders.select(F.concat(F.lit("d"), n.cast("string")).alias("folder"), value.alias("value")), ("howto", "standard"))
+    path = f"{shared_dir(spark)}/corpuslake/meta-{uuid.uuid4().hex}"
+    landed.write_overrides(folders.select(F.concat(F.lit("d"), n.cast("string")).alias("folder"), value.alias("value")), path)
+    found, _, _ = loaders.parse_overrides(landed.scan_overrides(spark, path), ("howto", "standard"))
     return found.select("folder", "doc_type", "product")
 
 
@@ -266,25 +320,6 @@ def g1_embed_texts(spark, sf_dir):
     return found.select("doc_id", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
 
 
-_VALUES = ", ".join(f"('{n}', {d}::DOUBLE, {s}::DOUBLE, {str(r).lower()})" for n, (d, s, r) in evaluation.SCORING_VARIANTS.items())
-
-
-@query(f"""
-WITH h AS (SELECT query_id, item, relevant, rank AS dense_rank, CASE WHEN item % 3 > 0 THEN 13 - rank END AS sparse_rank, (item * 13 + query_id) % 29 AS again FROM {{retrieved}}),
-v AS (SELECT * FROM (VALUES {_VALUES}) t(variant, dense_weight, sparse_weight, reranked)),
-s AS (SELECT *, coalesce(dense_weight / (60 + dense_rank), 0) + coalesce(sparse_weight / (60 + sparse_rank), 0) AS score FROM h, v),
-r AS (SELECT *, row_number() OVER (PARTITION BY variant, query_id ORDER BY CASE WHEN reranked THEN again ELSE score END DESC, item) AS rank FROM s WHERE score > 0),
-n AS (SELECT query_id, count(*) FILTER (WHERE relevant) AS expected FROM {{retrieved}} GROUP BY 1),
-q AS (SELECT variant, dense_weight, sparse_weight, reranked, query_id, any_value(expected) AS expected, count(*) FILTER (WHERE relevant) AS found, min(CASE WHEN relevant THEN rank END) AS first,
-  sum(CASE WHEN relevant THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END) AS dcg FROM r JOIN n USING (query_id) WHERE rank <= 5 GROUP BY ALL)
-SELECT variant, dense_weight, sparse_weight, reranked, round(avg(CASE WHEN expected > 0 THEN found / expected::DOUBLE ELSE 0 END), 4) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 4) AS mrr,
-  round(avg(CASE WHEN found > 0 THEN dcg / list_sum(list_transform(generate_series(1, found), lambda i: 1 / log2(i + 1.0::DOUBLE))) ELSE 0 END), 4) AS ndcg FROM q GROUP BY ALL""")
-def k16_scoring_experiment(spark, sf_dir):
-    r = view(spark, sf_dir, "retrieved")
-    hits = r.select("query_id", "item", F.col("rank").alias("dense_rank"), F.when(F.col("item") % 3 > 0, 13 - F.col("rank")).alias("sparse_rank"))
-    return evaluation.scoring_experiment(hits, r.where("relevant").select("query_id", "item"), 5, scorer=((F.col("item") * 13 + F.col("query_id")) % 29).cast("double"))
-
-
 def _experiment(spark, sf_dir, strategy: str, **options):
     docs = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text")
     asked = docs.where("item % 100 = 0")

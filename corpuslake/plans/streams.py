@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslake.operators import metrics
 from corpuslake.plans.registry import query
 from corpuslake.plans.views import view
 from corpuslake.streaming import events as ev
@@ -42,3 +43,20 @@ def n6_stream_sliding_usage(spark, sf_dir):
 @query("SELECT DISTINCT user_id, event_type FROM {events}")
 def n7_stream_dedup(spark, sf_dir):
     return ev.distinct(view(spark, sf_dir, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query("""
+WITH s AS (SELECT user_id AS label, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events})
+SELECT label, strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M') AS start,
+  round(sum(CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value ELSE value - before END) / 3600, 6) AS rate FROM s GROUP BY 1, 2""")
+def n5_counter_rate_hourly(spark, sf_dir):
+    """Batch twin of ``events.counter_rate``."""
+    samples = view(spark, sf_dir, "events").select(F.col("user_id").alias("label"), "ts", "value", F.col("event_id").alias("id"))
+    return metrics.counter_rate(samples, "1 hour").select("label", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), F.round("rate", 6).alias("rate"))
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M') AS start, count(*) FILTER (WHERE event_type = 'click') AS hits, count(*) FILTER (WHERE event_type = 'error') AS misses,
+  count(*) FILTER (WHERE event_type = 'click') < 0.5 * count(*) FILTER (WHERE event_type IN ('click', 'error')) AS alert FROM {events} GROUP BY 1""")
+def n5_hit_ratio_5_minutes(spark, sf_dir):
+    found = ev.hit_ratio(view(spark, sf_dir, "events"), F.col("event_type") == "click", F.col("event_type") == "error", "5 minutes")
+    return found.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "hits", "misses", F.coalesce("alert", F.lit(False)).alias("alert"))

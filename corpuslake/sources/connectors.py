@@ -8,7 +8,7 @@ remote_url, remote_mtime in epoch seconds, metadata). ``register`` adds further
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,41 +30,63 @@ NAMED = "struct<name:string>"
 ISSUE = f"key string, fields struct<summary:string,description:string,updated:string,labels:array<string>,status:{NAMED},priority:{NAMED},assignee:struct<displayName:string>,project:struct<key:string,name:string>>"
 
 
-def _pieces(node: dict) -> Iterator[str]:
-    """The text of a document tree in order, line breaks included."""
-    kind, children = node.get("type", ""), node.get("content") or []
-    inside = lambda n: (p for c in n for p in _pieces(c))
-    if kind == "text":
-        text = node.get("text", "")
-        for mark in node.get("marks") or []:
-            name = mark.get("type", "")
-            text = f"[{text}]({(mark.get('attrs') or {}).get('href', '')})" if name == "link" else MARKS.get(name, "{}").replace("{}", text)
-        if text.strip():
-            yield text
-    elif kind == "hardBreak":
-        yield "\n"
-    elif kind in ("bulletList", "orderedList"):
-        for i, item in enumerate(children, 1):
-            yield "- " if kind == "bulletList" else f"{i}. "
-            yield from inside(item.get("content") or [])
-            yield "\n"
-    elif kind == "codeBlock":
-        yield "\n```\n"
-        yield from inside(children)
-        yield "\n```\n"
-    else:
-        yield from inside(children)
-        yield {"paragraph": "\n\n", "heading": "\n\n", "tableCell": " | ", "tableHeader": " | "}.get(kind, "")
+# What follows the text of these nodes, and what stands before the children of others.
+AFTER = {"paragraph": "\n\n", "heading": "\n\n", "tableCell": " | ", "tableHeader": " | ", "codeBlock": "\n```\n"}
+BEFORE = {"codeBlock": "\n```\n", "hardBreak": "\n"}
+
+
+def _children(node) -> list:
+    found = node.get("content") if isinstance(node, dict) else None
+    return found if isinstance(found, list) else []
+
+
+def _marked(node: dict) -> str:
+    text, marks = node.get("text"), node.get("marks")
+    if not isinstance(text, str) or not text.strip():
+        return ""
+    for mark in (m for m in (marks if isinstance(marks, list) else []) if isinstance(m, dict)):
+        attrs = mark.get("attrs")
+        if mark.get("type") == "link":
+            text = f"[{text}]({attrs.get('href', '') if isinstance(attrs, dict) else ''})"
+        else:
+            text = MARKS.get(str(mark.get("type", "")), "{}").replace("{}", text)
+    return text
+
+
+def _tree_lines(root: dict) -> str:
+    """The text of a document tree in order, by a stack of nodes and texts that are still to come: trees may be of
+    any depth, and what is no object in them has no text."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, tuple):
+            out.append(node[0])
+            continue
+        if not isinstance(node, dict):
+            continue
+        kind, todo = str(node.get("type", "")), []
+        if kind == "text":
+            out.append(_marked(node))
+            continue
+        if kind in ("bulletList", "orderedList"):
+            for i, item in enumerate(_children(node), 1):
+                todo += [("- " if kind == "bulletList" else f"{i}. ",), *_children(item), ("\n",)]
+        elif kind == "hardBreak":
+            todo = [(BEFORE[kind],)]
+        else:
+            todo = [(BEFORE.get(kind, ""),), *_children(node), (AFTER.get(kind, ""),)]
+        stack += reversed(todo)
+    return "".join(out)
 
 
 def tree_text(tree: str | None) -> str:
     """Plain text of a document tree given as JSON; lines stripped, blank ones dropped. Null, what
-    is no JSON and what is no object have no text."""
+    is no JSON, too deep for its reader or no object has no text."""
     try:
         node = json.loads(tree or "null")
-    except ValueError:
+    except (ValueError, RecursionError):
         return ""
-    lines = "".join(_pieces(node)).splitlines() if isinstance(node, dict) else []
+    lines = _tree_lines(node).splitlines() if isinstance(node, dict) else []
     return "\n".join(x for x in (line.strip() for line in lines) if x)
 
 

@@ -6,6 +6,7 @@ gives no section and never fails the job. Archives are read to a depth of two.
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
 import zipfile
@@ -27,8 +28,9 @@ def _name(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def _texts(node, leaf: str) -> str:
-    return "".join(t.text or "" for t in node.iter() if _name(t.tag) == leaf)
+def _texts(node, leaf: str, without: str = "") -> str:
+    apart = {id(t) for x in node.iter() if without and _name(x.tag) == without for t in x.iter()}
+    return "".join(t.text or "" for t in node.iter() if _name(t.tag) == leaf and id(t) not in apart)
 
 
 def _tree(archive: zipfile.ZipFile, entry: str):
@@ -44,29 +46,111 @@ def plain(content: bytes) -> Sections:
     return [("", content.decode("utf-8", "replace"))]
 
 
+def _paragraph(node, breaks: dict[str, str], skipped: tuple[str, ...]) -> str:
+    """Text of a paragraph, with what tabs, breaks and the like stand for; parts that are set apart from it are left out."""
+    out, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        kind = _name(x.tag) if isinstance(x.tag, str) else ""
+        if x is not node and (kind in skipped or not kind):
+            stack.append(x.tail or "")
+            continue
+        times = next((int(v) for k, v in x.attrib.items() if _name(k) == "c" and v.isdigit()), 1)
+        inner = breaks[kind] * times if kind in breaks else ""
+        own = [inner, x.text or "" if kind in ("t", "p", "h", "span", "a") else "", *x]
+        stack += [*([x.tail or ""] if x is not node else []), *reversed(own)]
+    return "".join(out)
+
+
 def docx(content: bytes) -> Sections:
-    """Paragraphs that are not blank, stripped."""
+    """Paragraphs of the body that are not blank, stripped; those of tables and text boxes are left out."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        paras = (_texts(p, "t").strip() for p in _tree(z, "word/document.xml").iter() if _name(p.tag) == "p")
-        text = "\n".join(p for p in paras if p)
+        tree = _tree(z, "word/document.xml")
+    body = next((n for n in tree.iter() if _name(n.tag) == "body"), tree)
+    for t in tree.iter():  # white space between elements is layout
+        if _name(t.tag) != "t":
+            t.text = None
+        t.tail = None
+    breaks, skipped = {"tab": "\t", "br": "\n", "cr": "\n", "noBreakHyphen": "-"}, ("pPr", "rPr", "drawing", "pict", "object", "del", "tbl", "AlternateContent")
+    text = "\n".join(x for x in (_paragraph(p, breaks, skipped).strip() for p in body if _name(p.tag) == "p") if x)
     return [("", text)] if text else []
 
 
+def _column(reference: str) -> int | None:
+    """The column of a cell reference such as ``AB12``, from 0."""
+    n = 0
+    for c in reference:
+        if not "A" <= c <= "Z":
+            break
+        n = n * 26 + ord(c) - 64
+    return n - 1 if n else None
+
+
+# Built-in number formats that are dates or times.
+DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47)
+
+
+def _date_styles(archive: zipfile.ZipFile) -> list[bool]:
+    """Of each cell style, whether it shows a date or a time."""
+    if "xl/styles.xml" not in archive.namelist():
+        return []
+    tree = _tree(archive, "xl/styles.xml")
+    own = {int(f.get("numFmtId", -1)): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", "")).lower() for f in tree.iter() if _name(f.tag) == "numFmt"}
+    dated = lambda n: any(c in own[n] for c in "dmyhs") and "general" not in own[n] if n in own else n in DATE_FORMATS
+    return [dated(int(x.get("numFmtId", 0))) for xfs in tree.iter() if _name(xfs.tag) == "cellXfs" for x in xfs]
+
+
+def _value(cell, shared: list[str], dated: list[bool]) -> str:
+    kind, raw = cell.get("t", "n"), _texts(cell, "v")
+    if kind == "s":
+        return shared[int(raw)] if raw.isdigit() and int(raw) < len(shared) else ""
+    if kind == "inlineStr":
+        return _texts(cell, "t")
+    if kind == "b":
+        return {"1": "True", "0": "False"}.get(raw, raw)
+    if kind == "n" and raw:
+        try:
+            number = float(raw) if set(raw) & set(".eE") else int(raw)
+        except ValueError:
+            return raw
+        style = cell.get("s", "")
+        if style.isdigit() and int(style) < len(dated) and dated[int(style)]:
+            return str(dt.datetime(1899, 12, 30) + dt.timedelta(seconds=round(number * 86400)))
+        return str(number)
+    return raw
+
+
+def _sheets(archive: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, entry) of the worksheets in the workbook's order, by its relations; by number where it has none."""
+    sheets = [s for s in _tree(archive, "xl/workbook.xml").iter() if _name(s.tag) == "sheet"]
+    if "xl/_rels/workbook.xml.rels" not in archive.namelist():
+        return list(zip([s.get("name") for s in sheets], _numbered(archive, r"xl/worksheets/sheet(\d+)\.xml"), strict=False))
+    targets = {r.get("Id"): r.get("Target", "") for r in _tree(archive, "xl/_rels/workbook.xml.rels")}
+    entry = lambda t: t.lstrip("/") if t.startswith("/") else f"xl/{t}"
+    found = ((s.get("name"), entry(targets.get(next((v for k, v in s.attrib.items() if _name(k) == "id" and k != "id"), ""), ""))) for s in sheets)
+    return [(n, e) for n, e in found if e in archive.namelist() and "worksheets" in e]
+
+
 def xlsx(content: bytes) -> Sections:
-    """A section for each sheet: its name, then rows with tabs between cells; blank rows dropped."""
+    """A section for each sheet: its name, then rows with tabs between cells; blank rows dropped. Cells stand in
+    the column that their reference names, and rows are as wide as the sheet says."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = [_texts(s, "t") for s in _tree(z, "xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
-        names = [s.get("name") for s in _tree(z, "xl/workbook.xml").iter() if _name(s.tag) == "sheet"]
-        out = []
-        for name, entry in zip(names, _numbered(z, r"xl/worksheets/sheet(\d+)\.xml"), strict=False):
+        shared = [_texts(s, "t", "rPh") for s in _tree(z, "xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
+        dated, out = _date_styles(z), []
+        for name, entry in _sheets(z):
+            tree = _tree(z, entry)
+            wide = next((d.get("ref", "").rpartition(":")[2] for d in tree.iter() if _name(d.tag) == "dimension" and ":" in d.get("ref", "")), "")
             rows = []
-            for row in (r for r in _tree(z, entry).iter() if _name(r.tag) == "row"):
-                cells = []
+            for row in (r for r in tree.iter() if _name(r.tag) == "row"):
+                cells: dict[int, str] = {}
                 for c in (c for c in row if _name(c.tag) == "c"):
-                    value = _texts(c, "v") or _texts(c, "t")
-                    cells.append(shared[int(value)] if c.get("t") == "s" and value.isdigit() else value)
-                if any(x.strip() for x in cells):
-                    rows.append("\t".join(cells))
+                    at = _column(c.get("r", ""))
+                    cells[max(cells, default=-1) + 1 if at is None else at] = _value(c, shared, dated)
+                if any(x.strip() for x in cells.values()):
+                    rows.append("\t".join(cells.get(i, "") for i in range(max(*cells, _column(wide) or 0, 0) + 1)))
             if rows:
                 out.append((name, f"[Planilha: {name}]\n" + "\n".join(rows)))
     return out
@@ -84,24 +168,51 @@ def pptx(content: bytes) -> Sections:
     return out
 
 
+ODF_BREAKS = {"s": " ", "tab": "\t", "line-break": "\n"}
+ODF_SKIPPED = ("note", "annotation", "tracked-changes")
+#: Times that a repeated row or column with text is written out at most; more are none that a file's author made.
+MOST_REPEATS = 16384
+
+
+def _repeats(node, of: str) -> int:
+    found = next((v for k, v in node.attrib.items() if _name(k) == f"number-{of}-repeated"), "1")
+    return min(int(found), MOST_REPEATS) if found.isdigit() else 1
+
+
+def _odf_texts(node, between: str) -> str:
+    return between.join(x for x in (_paragraph(p, ODF_BREAKS, ODF_SKIPPED).strip() for p in node.iter() if _name(p.tag) in ("p", "h")) if x)
+
+
+def _table(table) -> list[str]:
+    """Rows with tabs between cells, repeated ones as often as they stand; blank rows and what is blank at the ends dropped."""
+    rows = []
+    for row in (r for r in table.iter() if _name(r.tag) == "table-row"):
+        cells: list[str] = []
+        blank = 0  # blank cells are written only if others follow
+        for c in (c for c in row if _name(c.tag) in ("table-cell", "covered-table-cell")):
+            text, n = _odf_texts(c, "").strip(), _repeats(c, "columns")
+            if text:
+                cells += [""] * blank + [text] * n
+                blank = 0
+            else:
+                blank += n
+        if line := "\t".join(cells).strip():
+            rows += [line] * _repeats(row, "rows")
+    return rows
+
+
 def open_document(content: bytes) -> Sections:
-    """Text of paragraphs; of spreadsheets a section for each table, of slides one for each page."""
+    """Paragraphs of texts, tables' among them; of spreadsheets a section for each table, of presentations one for each page."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         tree = _tree(z, "content.xml")
-    out: Sections = []
-    tables = [t for t in tree.iter() if _name(t.tag) == "table"]
-    pages = [p for p in tree.iter() if _name(p.tag) == "page"]
-    whole = lambda node: "\n".join(x for x in ("".join(p.itertext()).strip() for p in node.iter() if _name(p.tag) in ("p", "h")) if x)
-    key = lambda node: next((v for k, v in node.attrib.items() if _name(k) == "name"), "")
-    if pages:
-        out = [(str(i), whole(p)) for i, p in enumerate(pages, 1)]
-    elif tables:
-        for t in tables:
-            rows = ["\t".join("".join(c.itertext()) for c in r if _name(c.tag) == "table-cell") for r in t.iter() if _name(r.tag) == "table-row"]
-            rows = [r for r in rows if r.strip()]
-            out.append((key(t), f"[Sheet: {key(t)}]\n" + "\n".join(rows) if rows else ""))
+    named = lambda kind: [n for n in tree.iter() if _name(n.tag) == kind]
+    name = lambda node: next((v for k, v in node.attrib.items() if _name(k) == "name"), "") or "Sheet"
+    if named("presentation"):
+        out = [(str(i), _odf_texts(p, "\n")) for i, p in enumerate(named("page"), 1)]
+    elif named("spreadsheet"):
+        out = [(name(t), f"[Sheet: {name(t)}]\n" + "\n".join(rows)) for t in named("table") if (rows := _table(t))]
     else:
-        out = [("", whole(tree))]
+        out = [("", _odf_texts(tree, "\n"))]
     return [(p, t) for p, t in out if t]
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.functions.text import stripped
+
 GOLDEN = "query string, expected_answer string, expected_docs array<string>, metadata map<string,string>"
 OVERRIDE = "doc_type string, product string, vendor string, subsystem string, module string"
 DELIMITERS = (",", ";", "\t")
@@ -30,29 +34,37 @@ def save_golden(golden: DataFrame, path: str) -> None:
     golden.write.mode("overwrite").json(path)
 
 
+def delimiter_of(head: str) -> str:
+    """The delimiter that the first line that is not blank has most of, outside quotes; a comma if it has none."""
+    line = next((x for x in head.splitlines() if x.strip()), "")
+    bare = re.sub(r'"(?:[^"]|"")*(?:"|$)', "", line)
+    return max(DELIMITERS, key=bare.count)
+
+
 def load_golden_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header; the delimiter is the one that the first line has most of. Lists of
-    documents are split at commas; metadata that is no JSON object is kept under ``raw``."""
-    head = spark.read.text(path).where(F.trim("value") != "").first()
-    if head is None:
+    """A CSV with a header; quoted fields may hold line breaks. The delimiter is the one that the header has
+    most of. Texts are stripped, lists of documents are split at commas; metadata that is no JSON object is
+    kept under ``raw``, missing metadata is empty."""
+    first = spark.read.text(path, lineSep="\n").where(F.trim("value") != "").first()
+    if first is None:
         raise ValueError("empty file")
-    sep = max(DELIMITERS, key=head[0].count)
-    rows = spark.read.option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    sep = delimiter_of(first[0])
+    rows = spark.read.options(header=True, sep=sep, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, enforceSchema=False).csv(path)
     for need in ("query", "expected_answer"):
         if need not in rows.columns:
             raise ValueError(f"no column {need}")
-    docs = F.col("expected_docs") if "expected_docs" in rows.columns else F.lit("")
-    meta = F.col("metadata") if "metadata" in rows.columns else F.lit(None).cast("string")
-    listed = F.filter(F.transform(F.split(F.coalesce(docs, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    parsed = F.coalesce(F.from_json(meta, "map<string,string>"), F.create_map(F.lit("raw"), meta))
-    return rows.select("query", "expected_answer", listed.alias("expected_docs"), F.when(F.coalesce(meta, F.lit("")) != "", parsed).alias("metadata"))
+    text = lambda c: stripped(F.coalesce(F.col(c), F.lit(""))) if c in rows.columns else F.lit("")
+    listed = F.filter(F.transform(F.split(text("expected_docs"), ","), stripped), lambda x: x != "")
+    meta = text("metadata")
+    kept = F.coalesce(F.from_json(meta, "map<string,string>"), F.create_map(F.lit("raw"), meta))
+    none = F.create_map().cast("map<string,string>")
+    return rows.select(text("query").alias("query"), text("expected_answer").alias("expected_answer"), listed.alias("expected_docs"), F.when(meta != "", kept).otherwise(none).alias("metadata"))
 
 
 def parse_overrides(raw: DataFrame, doc_types: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Folder overrides, file overrides and rejects of ``_meta.json`` texts (folder, value): each an
     object with ``defaults`` and ``files``. Rows with an unknown doc_type and texts that are no JSON
-    are rejects. (Spark's readers pass over names that begin with an underscore, so the texts come
-    as a table.)"""
+    are rejects. ``landed.scan_overrides`` reads such texts from files."""
     one = raw.withColumn("m", F.from_json("value", f"defaults struct<{', '.join(c.replace(' ', ':', 1) for c in OVERRIDE.split(', '))}>, files map<string,struct<{', '.join(c.replace(' ', ':', 1) for c in OVERRIDE.split(', '))}>>"))
     folders = one.where("m.defaults IS NOT NULL").select("folder", "m.defaults.*")
     files = one.select("folder", F.explode("m.files").alias("name", "o")).select(F.concat("folder", F.lit("/"), "name").alias("path"), "o.*")

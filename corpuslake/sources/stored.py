@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -25,8 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Tables stored since each open ``scratch`` began.
-_open: list[list[DataFrame]] = []
+class _Open(threading.local):
+    """Tables stored since each open ``scratch`` of this thread began."""
+
+    def __init__(self):
+        self.lists: list[list[DataFrame]] = []
+
+
+_open = _Open()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,8 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    if _open:
-        _open[-1].append(out)
+    if _open.lists:
+        _open.lists[-1].append(out)
     return out
 
 
@@ -46,11 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def scratch() -> Iterator[None]:
     """Deletes what ``written`` has stored inside it once it is left."""
     own: list[DataFrame] = []
-    _open.append(own)
+    _open.lists.append(own)
     try:
         yield
     finally:
-        _open.pop()
+        _open.lists.pop()
         released(*own)
 
 
@@ -58,9 +65,9 @@ def finished(name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` returns, stored; the tables stored on the way are deleted."""
     with scratch():
         out = written(make(), name)
-        _open[-1].pop()
-    if _open:
-        _open[-1].append(out)
+        _open.lists[-1].pop()
+    if _open.lists:
+        _open.lists[-1].append(out)
     return out
 
 
