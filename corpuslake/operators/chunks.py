@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from corpuslake.functions.text import SPACE, stripped, terms
 
@@ -76,6 +77,27 @@ def chunk_with(sections: DataFrame, split: Callable[[str, str], list[str]], file
     return sections.select(*[c for c in sections.columns if c != "text"], F.posexplode(cut("text", kind)).alias("pos", "chunk"))
 
 
+@udtf(returnType="pos int, chunk string")
+class Chunk:
+    """``chunk(text, strategy, size, overlap)`` as a table function for SQL: pos and chunk of the chunks that
+    ``chunk_with`` keeps. ``size`` is the chunk size, or the words of a semantic chunk. A null text has none."""
+
+    def __init__(self):
+        self.splits: dict[tuple, Callable[[str, str], list[str]]] = {}
+
+    def eval(self, text: str | None, strategy: str, size: int, overlap: int):
+        key = (strategy, size, overlap)
+        if key not in self.splits:
+            self.splits[key] = create_strategy(strategy, chunk_size=size, overlap=overlap, max_tokens=size)
+        kept = (c for c in self.splits[key](text or "", "txt") if len(c.strip()) >= SHORTEST)
+        yield from enumerate(kept)
+
+
+def register_functions(spark) -> None:
+    """Make ``chunk`` callable from SQL, for a lateral join with a table of texts."""
+    spark.udtf.register("chunk", Chunk)
+
+
 def drop_short(chunks: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     return chunks.where(F.length(stripped(F.col("chunk"))) >= shortest)
 

@@ -215,3 +215,40 @@ def extractor_audit(outcomes: DataFrame, kind: str, worst: int = 5) -> DataFrame
         share(lost).alias("failed_share"), F.round(F.avg("seconds"), 4).alias("mean_seconds"),
     )
     return found.join(top, kind, "left").withColumn("largest_failures", F.coalesce("largest_failures", F.lit("")))
+
+
+def cancel_reingest(registry: DataFrame, paths: DataFrame) -> DataFrame:
+    """``registry`` with those of ``paths`` (path) that wait for a new ingest back at ``ok``."""
+    chosen = paths.select("path").distinct().withColumn("__chosen", F.lit(True))
+    back = F.when(F.col("__chosen") & (F.col("status") == "pending"), "ok").otherwise(F.col("status"))
+    return registry.join(chosen, "path", "left").withColumn("status", back).select(*registry.columns)
+
+
+def queue_reingest(chunks: DataFrame, registry: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks without those of ``paths`` (path), and the registry with these waiting for a new ingest."""
+    chosen = paths.select("path").distinct()
+    left = chunks.join(chosen.withColumnRenamed("path", "source_file"), "source_file", "left_anti").select(*chunks.columns)
+    marked = registry.join(chosen.withColumn("__chosen", F.lit(True)), "path", "left")
+    return left, marked.withColumn("status", F.when(F.col("__chosen"), "pending").otherwise(F.col("status"))).select(*registry.columns)
+
+
+def delete_with_status(registry: DataFrame, *statuses: str) -> DataFrame:
+    """``registry`` without the rows of these statuses (a null status is none of them); with none given, without any row."""
+    return registry.where(~F.coalesce(F.col("status").isin(*statuses), F.lit(False))) if statuses else registry.where(F.lit(False))
+
+
+def connector_get(state: DataFrame, source_key: str, remote_id: str) -> DataFrame:
+    """The state of one remote document: one row or none."""
+    return state.where((F.col("source_key") == source_key) & (F.col("remote_id") == remote_id))
+
+
+def connector_delete(state: DataFrame, gone: DataFrame) -> DataFrame:
+    """``state`` without the documents of ``gone`` (source_key, and remote_id where only one is meant: null stands for all of a source)."""
+    one = gone.where("remote_id IS NOT NULL").select("source_key", "remote_id").distinct()
+    whole = gone.where("remote_id IS NULL").select("source_key").distinct()
+    return state.join(one, ["source_key", "remote_id"], "left_anti").join(whole, "source_key", "left_anti").select(*state.columns)
+
+
+def prune_older(log: DataFrame, now: Column, days: int, ts: str = "ts") -> DataFrame:
+    """Rows of the last ``days`` before ``now``."""
+    return log.where(F.col(ts).cast("timestamp") >= now - F.make_interval(days=F.lit(days)))

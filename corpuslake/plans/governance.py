@@ -134,6 +134,13 @@ def m16_audit_log_read(spark, sf_dir):
     return tables.newest(log, "ts", "event_id", 100).select("event_id", "event_type")
 
 
+@query("SELECT event_id FROM {events} WHERE ts >= (SELECT max(ts) FROM {events}) - INTERVAL '5 days'")
+def m16_audit_log_prune(spark, sf_dir):
+    log = view(spark, sf_dir, "events")
+    now = log.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    return tables.prune_older(log, F.lit(now), 5).select("event_id")
+
+
 @query("""SELECT u.user_id, u.username, count(k.key_id) AS keys, coalesce(string_agg(k.prefix || ':' || k.key_id, ',' ORDER BY k.key_id), '') AS key_list FROM {users} u LEFT JOIN {api_keys} k ON u.user_id = k.user_id GROUP BY 1, 2""")
 def m17_export_user_data(spark, sf_dir):
     keys = view(spark, sf_dir, "api_keys").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("key_id", "prefix"))).alias("k"))

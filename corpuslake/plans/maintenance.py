@@ -118,6 +118,21 @@ def i13_reingest_queue(spark, sf_dir):
     return tables.newest(now.where("status = 'pending'"), "indexed_at", "path").select("path", "indexed_at")
 
 
+@query("SELECT path, CASE WHEN status = 'pending' AND vendor = 'ISO' THEN 'ok' ELSE status END AS status FROM {registry}")
+def i13_cancel_reingest(spark, sf_dir):
+    reg = _reg(spark, sf_dir)
+    return tables.cancel_reingest(reg, tables.matching(reg, {"vendor": "ISO"})).select("path", "status")
+
+
+@query("""SELECT path, CASE WHEN doc_id % 11 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE chunks END AS left FROM {registry}""")
+def i13_queue_reingest(spark, sf_dir):
+    reg = _reg(spark, sf_dir)
+    chunks = reg.select(F.col("path").alias("source_file"), F.explode(F.sequence(F.lit(1).cast("long"), "chunks")).alias("chunk_index"))
+    left, marked = tables.queue_reingest(chunks, reg, reg.where("doc_id % 11 = 0"))
+    counts = left.groupBy(F.col("source_file").alias("path")).agg(F.count(F.lit(1)).alias("left"))
+    return marked.select("path", "status").join(counts, "path", "left").select("path", "status", F.coalesce("left", F.lit(0)).alias("left"))
+
+
 @query("""SELECT path, action, tags FROM (SELECT path, 'set' AS action, tags, indexed_at AS moment FROM {registry} WHERE tags <> '' UNION ALL
 SELECT path, 'clear' AS action, '' AS tags, indexed_at + 60 AS moment FROM {registry} WHERE status = 'deleted') ORDER BY moment DESC, path LIMIT 200""")
 def i14_tag_audit(spark, sf_dir):
@@ -274,6 +289,19 @@ def j7_purge(spark, sf_dir):
     return _reg(spark, sf_dir).where("status <> 'deleted'").select("path", "status")
 
 
+@query("SELECT path, status FROM {registry} WHERE status NOT IN ('error', 'failed')")
+def j7_delete_failed(spark, sf_dir):
+    return tables.delete_with_status(_reg(spark, sf_dir), "error", "failed").select("path", "status")
+
+
+@query("SELECT r.product, r.n, 0 AS left FROM (SELECT product, count(*) AS n FROM {registry} GROUP BY 1) r")
+def j7_reset(spark, sf_dir):
+    """Rows of each product before and after."""
+    reg = _reg(spark, sf_dir)
+    left = tables.delete_with_status(reg).groupBy("product").agg(F.count(F.lit(1)).alias("left"))
+    return reg.groupBy("product").agg(F.count(F.lit(1)).alias("n")).join(left, "product", "left").select("product", "n", F.coalesce("left", F.lit(0)).cast("int").alias("left"))
+
+
 @query("""SELECT count(*) AS total, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'error') AS errors, count(*) FILTER (WHERE status = 'deleted') AS deleted,
 CAST(sum(chunks) AS BIGINT) AS chunks, min(indexed_at) AS first_indexed, max(indexed_at) AS last_indexed FROM {registry}""")
 def j8_registry_summary(spark, sf_dir):
@@ -333,6 +361,20 @@ def j18_connector_list(spark, sf_dir):
     return tables.newest(state, "ingested_at", "remote_id").select("remote_id", "ingested_at")
 
 
+@query("SELECT source_key, remote_id, remote_url, ingested_at FROM {remote} WHERE source_key = 'wiki' AND remote_id = '6'")
+def j18_connector_get(spark, sf_dir):
+    return tables.connector_get(view(spark, sf_dir, "remote"), "wiki", "6").select("source_key", "remote_id", "remote_url", "ingested_at")
+
+
+@query("SELECT source_key, remote_id FROM {remote} WHERE NOT (source_key = 'repo' OR (source_key = 'wiki' AND CAST(remote_id AS BIGINT) % 2 = 0))")
+def j18_connector_delete(spark, sf_dir):
+    """A whole source, and single documents of another."""
+    state = view(spark, sf_dir, "remote").select("source_key", "remote_id")
+    one = state.where("source_key = 'wiki' AND CAST(remote_id AS BIGINT) % 2 = 0")
+    whole = state.where("source_key = 'repo'").select("source_key", F.lit(None).cast("string").alias("remote_id"))
+    return tables.connector_delete(state, one.unionAll(whole))
+
+
 @query("""SELECT source_key, max(checkpoint) AS checkpoint FROM {remote} r WHERE checkpoint IS NOT NULL AND ingested_at = (SELECT max(ingested_at) FROM {remote} x WHERE x.source_key = r.source_key AND x.checkpoint IS NOT NULL) GROUP BY 1""")
 def j19_sync_checkpoint(spark, sf_dir):
     return tables.latest_checkpoints(view(spark, sf_dir, "remote"))

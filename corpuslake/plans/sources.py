@@ -61,7 +61,7 @@ _SINCE = 1704200000
 @query(f"SELECT * FROM ({_WIKI}) WHERE remote_mtime >= {_SINCE}")
 def o4_fetch_since(spark, sf_dir):
     """From landed files; those of earlier days are not opened."""
-    path = f"{shared_dir(spark)}/corpuslake/landed-{uuid.uuid4().hex}"
+    path = _folder(spark, "landed")
     raw = _wiki(spark, sf_dir)
     at = F.unix_timestamp(F.to_timestamp(F.get_json_object("value", "$.version.when")))
     landed.land(raw.withColumn("modified", at), path, 0)
@@ -282,7 +282,7 @@ def a7_scan_meta_overrides(spark, sf_dir):
     folders = view(spark, sf_dir, "files").select((F.col("doc_id") % 50).alias("n")).distinct()
     kind = F.when(n % 7 == 0, "odd").when(n % 2 == 0, "howto").otherwise("standard")
     value = F.to_json(F.struct(F.struct(kind.alias("doc_type"), F.concat(F.lit("P"), n.cast("string")).alias("product")).alias("defaults")))
-    path = f"{shared_dir(spark)}/corpuslake/meta-{uuid.uuid4().hex}"
+    path = _folder(spark, "meta")
     landed.write_overrides(folders.select(F.concat(F.lit("d"), n.cast("string")).alias("folder"), value.alias("value")), path)
     found, _, _ = loaders.parse_overrides(landed.scan_overrides(spark, path), ("howto", "standard"))
     return found.select("folder", "doc_type", "product")
@@ -342,6 +342,92 @@ def e9_chunk_with_strategy(spark, sf_dir):
     return made.select("doc_id", "pos", F.md5(F.col("chunk").cast("binary")).alias("h"))
 
 
+@query(f"SELECT doc_id, pos, md5(chunk) AS h FROM ({corpus._pieces(400, 60)}) WHERE length(regexp_replace(chunk, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) >= 30")
+def o1_chunk_table_function(spark, sf_dir):
+    """The strategy called from SQL, beside each text."""
+    from corpuslake.operators import chunks
+
+    chunks.register_functions(spark)
+    docs = view(spark, sf_dir, "documents").select("doc_id", "text")
+    return spark.sql("SELECT d.doc_id, c.pos, md5(CAST(c.chunk AS BINARY)) AS h FROM {docs} d, LATERAL chunk(d.text, 'overlap', 400, 60) c", docs=docs)
+
+
+# Files: documents and the benchmark written as files and read again.
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/corpuslake/{name}-{uuid.uuid4().hex}"
+
+
+def _files(spark, sf_dir) -> str:
+    """Documents as files of several types, one of them unknown, in folders."""
+    root, n = _folder(spark, "files"), F.col("doc_id")
+    ext = F.when(n % 3 == 0, "txt").when(n % 3 == 1, "py").otherwise("exe")
+    path = F.concat(F.lit("d"), (n % 20).cast("string"), F.lit("/"), n.cast("string"), F.lit("."), ext)
+    landed.write_files(view(spark, sf_dir, "documents").select(path.alias("path"), F.col("text").cast("binary").alias("content")), root)
+    return root
+
+
+_FILED = """SELECT 'd' || doc_id % 20 || '/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.py' END AS path, CAST(octet_length(encode(text)) AS BIGINT) AS length,
+  CASE WHEN doc_id % 3 = 0 THEN 'txt' ELSE 'code' END AS file_type, md5(text) AS h FROM {documents} WHERE doc_id % 3 < 2"""
+
+
+def _short():
+    return F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path")
+
+
+@query(_FILED)
+def a1_scan_documents(spark, sf_dir):
+    found = extract.scan_documents(spark, _files(spark, sf_dir))
+    return found.select(_short(), "length", "file_type", F.md5("content").alias("h"))
+
+
+@query(f"SELECT path FROM ({_FILED}) ORDER BY regexp_extract(path, '[^.]+$'), path LIMIT 60")
+def a3_scan_ordered(spark, sf_dir):
+    """The first files in order."""
+    return extract.scan_ordered(spark, _files(spark, sf_dir)).limit(60).select(_short())
+
+
+_GOLDEN = """SELECT 'q' || item_id AS query, md5(regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || 'and "so", on') AS h, 'd' || item_id || '|e' AS docs, CASE WHEN {n} % 3 = 0 THEN '' ELSE 'v' || {n} END AS source FROM {{benchmark}}"""
+_NTH = "CAST(regexp_extract(CAST(item_id AS VARCHAR), '[0-9]+$') AS BIGINT)"
+
+
+def _golden(spark, sf_dir):
+    """Benchmark items as examples with line breaks, quotes and delimiters in them; g deals them into files."""
+    n = F.regexp_extract(F.col("item_id").cast("string"), "[0-9]+$", 0).cast("long")
+    items = view(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("query"), F.concat(corpus.tx.stripped(F.col("text")), F.lit('\nand "so", on')).alias("expected_answer"), F.col("item_id").cast("string").alias("id"), n.alias("n"))
+    return items.withColumn("g", F.pmod("n", F.lit(4)))
+
+
+def _golden_rows(found):
+    value = F.when(F.size("metadata") == 0, "").otherwise(F.coalesce(F.col("metadata")["source"], F.col("metadata")["raw"]))
+    return found.select("query", F.md5(F.col("expected_answer").cast("binary")).alias("h"), F.array_join("expected_docs", "|").alias("docs"), value.alias("source"))
+
+
+@query(_GOLDEN.format(n=_NTH))
+def a5_load_golden_json(spark, sf_dir):
+    root = _folder(spark, "golden")
+    meta = F.when(F.col("n") % 3 == 0, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).otherwise(F.create_map(F.lit("source"), F.concat(F.lit("v"), F.col("n").cast("string"))))
+    one = F.to_json(F.struct("query", "expected_answer", F.array(F.concat(F.lit("d"), "id"), F.lit("e")).alias("expected_docs"), meta.alias("metadata")))
+    texts = _golden(spark, sf_dir).groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("t"))
+    landed.write_files(texts.select(F.concat("g", F.lit(".json")).alias("path"), F.col("t").cast("binary").alias("content")), root)
+    return _golden_rows(loaders.load_golden_json(spark, f"{root}/*.json"))
+
+
+@query(_GOLDEN.format(n=_NTH))
+def a6_load_golden_csv(spark, sf_dir):
+    """Quoted fields with line breaks, quotes and the delimiter in them; metadata as JSON, as other text, or none."""
+    root = _folder(spark, "golden")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    value = F.concat(F.lit("v"), F.col("n").cast("string"))
+    meta = F.when(F.col("n") % 3 == 0, " ").when(F.col("n") % 3 == 1, F.to_json(F.struct(value.alias("source")))).otherwise(value)
+    line = F.concat_ws(";", quoted(F.concat(F.lit("  "), "query")), quoted(F.concat("expected_answer", F.lit(" \n"))), quoted(F.concat(F.lit(" d"), "id", F.lit(" ,, e"))), quoted(meta))
+    head = '"query";"expected_answer";"expected_docs";metadata'
+    texts = _golden(spark, sf_dir).groupBy("g").agg(F.array_join(F.concat(F.array(F.lit(head)), F.collect_list(line)), "\n").alias("t"))
+    landed.write_files(texts.select(F.concat("g", F.lit(".csv")).alias("path"), F.col("t").cast("binary").alias("content")), root)
+    return _golden_rows(loaders.load_golden_csv(spark, f"{root}/*.csv"))
+
+
 # Batch twins of the streaming jobs.
 
 

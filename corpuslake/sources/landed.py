@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import datetime as dt
 import io
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -245,18 +244,20 @@ def scan_overrides(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("override_files").load(path)
 
 
-def write_overrides(overrides: DataFrame, path: str) -> None:
-    """Write (folder, value) as ``_meta.json`` files below ``path``."""
+def write_files(files: DataFrame, root: str) -> None:
+    """Write (path, content: binary) as single files below ``root``; tasks write what they hold."""
     def run(rows) -> None:
-        fs, root = _open(path)
+        fs, top = _open(root)
         for r in rows:
-            at = f"{root}/{r['folder']}".rstrip("/")
-            fs.create_dir(at, recursive=True)
-            with fs.open_output_stream(f"{at}/_meta.json") as out:
-                out.write((r["value"] or "").encode())
+            at = f"{top}/{r['path']}"
+            fs.create_dir(at.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(at) as out:
+                out.write(bytes(r["content"] or b""))
 
-    overrides.select("folder", "value").foreachPartition(run)
+    files.select("path", "content").foreachPartition(run)
 
 
-def meta_of(defaults: dict, files: dict | None = None) -> str:
-    return json.dumps({"defaults": defaults, "files": files or {}})
+def write_overrides(overrides: DataFrame, path: str) -> None:
+    """Write (folder, value) as ``_meta.json`` files below ``path``."""
+    name = F.concat_ws("/", F.nullif(F.col("folder"), F.lit("")), F.lit("_meta.json"))
+    write_files(overrides.select(name.alias("path"), F.col("value").cast("binary").alias("content")), path)

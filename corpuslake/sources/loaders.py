@@ -15,11 +15,11 @@ DELIMITERS = (",", ";", "\t")
 
 
 def load_golden_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of examples; only ``.json`` is taken. A file that is not there gives no example."""
+    """A JSON array of examples, or several by a pattern; only ``.json`` is taken. A file that is not there gives no example."""
     if not path.endswith(".json"):
         raise ValueError("golden datasets are .json or .csv")
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
         return spark.createDataFrame([], GOLDEN)
     return spark.read.schema(GOLDEN).option("multiLine", True).json(path)
 
