@@ -15,7 +15,7 @@ windows without moving every position of every text:
 3. What is left is where repeats begin and end: different units around one gram. Their
    contents, one of each, are dealt out by gram in groups of bounded size and an operator's
    own resolver finds the repeated windows inside a group (suffix trees, or a suffix sort).
-   A gram with more than GROUP_LIMIT contents makes too large a group, so its prefix is
+   A gram with more than GROUP_LIMIT contents, or with a heavy one, makes too large a group, so its prefix is
    lengthened to the whole window: windows are dealt out by the digest of their sequence and
    counted, with partial sums before the shuffle.
 
@@ -42,8 +42,10 @@ from corpuslake.llm.numtext import PIECE, SPACES, _power_table, mixed, prefix_ha
 
 #: Contents around one gram beyond which its windows are dealt out by their whole sequence.
 GROUP_LIMIT = 1000
-#: Rows that a resolver gets at a time, at least.
-BATCH = 8192
+#: Units of more bytes (of very long words) are heavy: so are the groups that hold them, whose windows are dealt out too.
+HEAVY = 1 << 14
+#: Rows, or bytes of units, that a resolver gets at a time, and the rest of the last group.
+BATCH, RESOLVED_BYTES = 8192, 32 << 20
 #: Windows that are looked at together; below 2**24.
 CHUNK = 1 << 17
 #: Words of more bytes are hashed one by one.
@@ -51,6 +53,8 @@ LONG_WORD = 1 << 12
 #: Bytes of text, or of what is made from it, that a task holds at a time besides one text.
 HELD = 4 << 20
 _LOW = (1 << 24) - 1
+#: Marks a heavy unit in the number that packs its windows and anchor.
+_HEAVY_BIT = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -61,6 +65,10 @@ class Alphabet:
     size: int
     gram: int
 
+    def __post_init__(self):
+        if not 0 < self.gram <= self.size < 1 << 12:
+            raise ValueError(f"windows of {self.size} elements with grams of {self.gram}: they must be 1 to 4095, and no shorter than grams")
+
     def line(self, text: bytes | None) -> Line:
         if not self.words:
             return Line(text or b"", None, None, len(text or b""))
@@ -183,6 +191,7 @@ def _digests(line: Line, first: list[int], end: list[int]) -> np.ndarray:
 
 def _unpack(at: int) -> tuple[int, int, int]:
     """First window, last window and anchor of a unit."""
+    at &= _HEAVY_BIT - 1
     return at >> 24, (at >> 24) + ((at >> 12) & 0xFFF), (at >> 24) + (at & 0xFFF)
 
 
@@ -224,7 +233,8 @@ def remove_repeats(docs: DataFrame, alphabet: Alphabet, resolve: Callable, keep:
             for text in b.column(4).to_pylist():
                 line = alphabet.line(text)
                 first, last, anchor, g = units(alphabet, line)
-                at.append((first << 24) | ((last - first) << 12) | (anchor - first))
+                heavy = line.end[last + size - 1] - line.start[first] > HEAVY if line.start is not None else np.zeros(len(first), bool)
+                at.append((first << 24) | ((last - first) << 12) | (anchor - first) | np.where(heavy, _HEAVY_BIT, 0))
                 keys.append(g.astype(np.int64))
                 c = _digests(line, first.tolist(), (last + size).tolist())
                 c1.append(c[:, 0])
@@ -249,7 +259,7 @@ def remove_repeats(docs: DataFrame, alphabet: Alphabet, resolve: Callable, keep:
     released(found)
     by_content = shared.groupBy("key", *_CONTENT).agg(F.sum("times").alias("n"), F.min(F.struct(*_ROW, "at")).alias("one"))
     by_content = written(by_content, "unit-contents")
-    contested = by_content.groupBy("key").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
+    contested = by_content.groupBy("key").agg(F.count(F.lit(1)).alias("contents"), F.max(F.col("one.at") >= _HEAVY_BIT).alias("heavy")).where("contents > 1")
     contested = written(contested, "contested-grams")
     # "full" units are repeated as a whole; one of each content around a contested gram is looked into.
     state = by_content.join(contested, "key", "left").where("n > 1 OR contents > 1")
@@ -257,7 +267,7 @@ def remove_repeats(docs: DataFrame, alphabet: Alphabet, resolve: Callable, keep:
     is_one = (F.col("one.k1") == F.col("k1")) & (F.col("one.k2") == F.col("k2")) & (F.col("one.at") == F.col("at"))
     marked = shared.join(state, ["key", *_CONTENT]).select(
         *_ROW, "times", "at", "key", (F.col("n") > 1).alias("full"),
-        F.when(is_one & F.col("contents").isNotNull(), F.when(F.col("contents") > GROUP_LIMIT, F.lit(2)).otherwise(F.lit(1))).otherwise(F.lit(0)).alias("look"),
+        F.when(is_one & F.col("contents").isNotNull(), F.when((F.col("contents") > GROUP_LIMIT) | F.col("heavy"), F.lit(2)).otherwise(F.lit(1))).otherwise(F.lit(0)).alias("look"),
     )
     # What all windows of a doubled row are is known; it is only looked into for the others' sake.
     marked = marked.where("times = 1 OR look > 0")
@@ -313,11 +323,12 @@ def remove_repeats(docs: DataFrame, alphabet: Alphabet, resolve: Callable, keep:
             lists = pa.list_(pa.int64())
             return _arrow([(*k, *v) for k, v in out.items()], [("k1", pa.int64()), ("k2", pa.int64()), ("firsts", lists), ("lasts", lists)])
 
-        held, rows = [], 0
-        for b in batches:
+        held, rows, size_of = [], 0, 0
+        for b in slices(batches, len(body_names) - 1, HELD):
             held.append(b)
             rows += b.num_rows
-            if rows >= BATCH:
+            size_of += b.column(len(body_names) - 1).nbytes
+            if rows >= BATCH or size_of >= RESOLVED_BYTES:
                 t = pa.Table.from_batches(held)
                 keys = t["key"].to_numpy()
                 # Whole groups only: the last one may go on in the next batch.
@@ -325,6 +336,7 @@ def remove_repeats(docs: DataFrame, alphabet: Alphabet, resolve: Callable, keep:
                 if whole:
                     yield settle(t.slice(0, whole))
                 held, rows = t.slice(whole).to_batches(), len(keys) - whole
+                size_of = sum(x.column(len(body_names) - 1).nbytes for x in held)
         if rows:
             yield settle(pa.Table.from_batches(held))
 

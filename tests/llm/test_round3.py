@@ -277,3 +277,31 @@ def test_registered_queries_return_every_document(spark):
     if os.path.exists(alignment.BYTE_LEVEL):
         found = alignment.op12_tokenizer_alignment(spark, SF)
         assert found.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"] and found.count() == n
+
+
+# Repeats with very long words.
+
+
+def test_windows_of_very_long_words(spark):
+    """Words of 30 kB: groups of such units are dealt out by their windows, and what is repeated stays the same."""
+    from corpuslake.llm import repeats, substrings
+
+    rng = np.random.default_rng(4)
+    long = ["".join(rng.choice(list("abcdef"), 30_000)) for _ in range(12)]
+    short = [f"w{i}" for i in range(90)]
+    shared = [x for i in range(40) for x in ((long[i % 12],) if i % 4 == 0 else (short[i],))]
+    texts = [" ".join([f"a{k}"] * 3 + shared[k : k + 37] + [f"b{k}", long[k]]) for k in range(4)] + [" ".join(shared), " ".join(short), " ".join(short[5:60]), None]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.substring_dedup(docs_of(spark, texts)).collect()}
+    lines = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(x[i : i + 35]) for x in lines for i in range(len(x) - 34))
+    for k, x in enumerate(lines):
+        hit = [False] * len(x)
+        for i in range(len(x) - 34):
+            if seen[tuple(x[i : i + 35])] > 1:
+                hit[i : i + 35] = [True] * 35
+        left = b" ".join(w for w, h in zip(x, hit, strict=True) if not h)
+        assert got[k] == (len(x), sum(hit), hashlib.sha256(left).hexdigest())
+    assert any(n for _, n, _ in got.values())
+    for bad in ((True, 4096, 6), (False, 3, 4)):
+        with pytest.raises(ValueError, match="windows of"):
+            repeats.Alphabet(*bad)
