@@ -23,9 +23,9 @@ def stripped(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Lower-case terms of three characters or more, without stop words and numbers, in order."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[_-]", " "), r"[^a-z0-9\s]", " ")
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![a-z0-9])(?![0-9]++(?![a-z0-9]))[a-z0-9]{3,}+"), F.lit(0))
     # A list this long becomes a hash set in Spark's plan.
-    return F.filter(F.split(plain, r"\s+"), lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS) & ~t.rlike("^[0-9]+$"))
+    return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
 
 
 def html_to_markdown(html: Column) -> Column:

@@ -6,15 +6,18 @@ Frames: queries (query_id, text or vector), chunks (chunk_id, text or vector, la
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.text import terms
+from corpuslake.sources.stored import written
 
 
 def matching(chunks: DataFrame, tag: str | None = None, **filters: str | None) -> DataFrame:
@@ -134,22 +137,95 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     return each.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
+#: Different terms that a set of queries may ask for at a time: they and their weights are sent to all tasks.
+ASKED_TERMS = 1 << 20
+#: Chunks whose scores for a block of queries stand in memory at a time.
+SCORED_CHUNKS = 2048
+
+
 def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 top-k of queries (query_id, text) over ``chunks`` (chunk_id, text).
 
-    Terms that no query asks for are dropped before anything is counted or shuffled.
+    The terms of every chunk are found once, counted inside the row and stored, those only that some query asks for; their
+    document frequencies are summed from that table. Then each block of chunks is scored against each block of queries
+    where it lies, and only the ``k`` best of a block (and those equal to the last of them) are moved. Queries that ask
+    for more than ASKED_TERMS terms together are dealt into parts.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    words = chunks.select("chunk_id", terms(F.col(text)).alias("t")).select("chunk_id", F.size("t").alias("length"), "t")
-    totals = words.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
-    each = words.select("chunk_id", "length", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    used = each.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = used.join(df, "term").join(F.broadcast(totals))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
-    hits = asked.join(weighed.select("term", "chunk_id", weight.alias("w")), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 9).alias("score"))
-    return ranked(hits, k)
+    spark = queries.sparkSession
+    asked = written(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")), "asked")
+    parts = -(-asked.select("term").distinct().count() // ASKED_TERMS)
+    if parts <= 1:
+        return ranked(_sparse_hits(spark, asked, chunks, k, text, k1, b), k)
+    # All terms of a query in one part: a part may ask for some more terms than it should, by those of its queries.
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(2 * parts)))
+    found = [_sparse_hits(spark, dealt.where(F.col("part") == i).drop("part"), chunks, k, text, k1, b) for i in range(2 * parts)]
+    whole = found[0]
+    for f in found[1:]:
+        whole = whole.unionByName(f)
+    return ranked(whole, k)
+
+
+def _sparse_hits(spark, asked: DataFrame, chunks: DataFrame, k: int, text: str, k1: float, b: float) -> DataFrame:
+    table = asked.toArrow()
+    vocabulary = pc.unique(table["term"])
+    names = pc.unique(table["query_id"])
+    number, which = (pc.index_in(table[c], value_set=v).to_numpy() for c, v in (("term", vocabulary), ("query_id", names)))
+    known = spark.sparkContext.broadcast(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            # A null text has no length, and no terms.
+            sizes = np.diff(lists.offsets.to_numpy()) * np.asarray(lists.is_valid())
+            flat = pc.index_in(lists.flatten(), value_set=known.value)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            hit = np.asarray(flat.is_valid())
+            pair, tf = np.unique(row[hit] * len(known.value) + flat.filter(flat.is_valid()).to_numpy().astype(np.int64), return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(pair // len(known.value), minlength=batch.num_rows))]).astype(np.int32)
+            made = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (pair % len(known.value), tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64(), mask=~np.asarray(lists.is_valid())), *made], names=["chunk_id", "length", "terms", "tfs"])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    found = chunks.select("chunk_id", terms(F.col(text)).alias("t")) if len(vocabulary) else chunks.select("chunk_id", F.lit(None).cast("array<string>").alias("t"))
+    held = written(found.mapInArrow(count, f"chunk_id {kind}, length long, terms array<int>, tfs array<int>"), "term-counts")
+    n, avgdl = held.agg(F.count(F.lit(1)), F.avg("length")).first()
+    frequency = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow()
+    df = np.zeros(len(vocabulary))
+    df[frequency["term"].to_numpy()] = frequency["df"].to_numpy()
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    # For each term the queries that ask for it.
+    order = np.argsort(number, kind="stable")
+    weights = spark.sparkContext.broadcast((idf, which[order], np.searchsorted(number[order], np.arange(len(vocabulary) + 1)), names))
+    query_kind = asked.schema["query_id"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, askers, first, names = weights.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, SCORED_CHUNKS):
+                batch = whole.slice(at, SCORED_CHUNKS)
+                sizes = np.diff(batch.column(2).offsets.to_numpy())
+                row = np.repeat(np.arange(batch.num_rows), sizes)
+                term, tf = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (2, 3))
+                length = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)[row]
+                weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / (avgdl or 1.0)))
+                by_term = np.argsort(term, kind="stable")
+                row, term, weight = row[by_term], term[by_term], weight[by_term]
+                edges = np.flatnonzero(np.diff(term, prepend=-1))
+                for block in range(0, len(names), QUERY_BLOCK):
+                    scores = np.zeros((min(QUERY_BLOCK, len(names) - block), batch.num_rows))
+                    for e, end in zip(edges.tolist(), [*edges[1:].tolist(), len(term)], strict=True):
+                        qs = askers[first[term[e]] : first[term[e] + 1]] - block
+                        qs = qs[(qs >= 0) & (qs < len(scores))]
+                        if len(qs):
+                            scores[qs[:, None], row[e:end]] += weight[e:end]
+                    scores = np.round(scores, 9)
+                    if scores.shape[1] > k:
+                        last = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                        scores[scores < last[:, None]] = 0
+                    q, c = np.nonzero(scores)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q + block)), batch.column(0).take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", "chunk_id", "score"])
+
+    return held.where(F.size("terms") > 0).mapInArrow(score, f"query_id {query_kind}, chunk_id {kind}, score double")
 
 
 def rrf_fuse(dense: DataFrame, sparse: DataFrame, k: int, w_dense: float = 0.7, w_sparse: float = 0.3, constant: int = 60) -> DataFrame:
