@@ -36,12 +36,12 @@ class _Open(threading.local):
 _open = _Open()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, read again: cuts the lineage, so that a lost
-    executor costs a reread and no step runs twice."""
+    executor costs a reread and no step runs twice. ``by``: a column with a folder for each value."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpuslake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     if _open.lists:
