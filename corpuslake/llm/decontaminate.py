@@ -1,38 +1,43 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is built once over the training texts and stored in the shared folder, partitioned
-by document: for each text the occurrences (term, position) of every term that any benchmark
-window uses. A term's number stands for the word itself: a word of a text is looked up by its
-hash and then compared byte by byte. Collection counts of the terms come from the stored
-index. A window is looked up from its rarest term: each posting of that term, moved back by
-the term's offset, is a candidate start, and the candidates are intersected with the
-offset-adjusted postings of the other terms, until all agree.
-
-Only the terms go to all tasks, and the windows too while they are few; a larger benchmark is
-joined with the postings of its windows' rarest terms, each with the terms around it, so the
-index is read as often for ten million windows as for ten. Should the terms take more than
-VOCABULARY_BYTES, the windows are dealt into as many parts as that needs, with an index each.
+The index is built once over all tokens of the training texts, whatever is asked of it later. Texts are
+taken in segments; a segment's postings (term, document, position) are sorted and dealt to partitions by
+the hash of their term, and each partition is a folder of the stored index, so a lookup opens only the
+folders of the terms that it asks for. Terms are 64-bit hashes of lower-case words.
+
+A window is looked up from its rarest terms by the index's own counts: the position lists of
+the RAREST first ones are moved back by their offsets and intersected, so what is left are starts at which all of them
+agree. These few candidates are compared with the words of their documents byte by byte, which gives exact
+phrase matches; proximity matches are taken from the rarest term's positions alike. Any number of
+benchmarks is answered from one build.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.llm.common import finished, table, written
+from corpuslake.llm.common import finished, slices, table, written
 from corpuslake.llm.numtext import pieces, prefix_hash, range_hash, spans
+from corpuslake.llm.repeats import row_keys
 
 WINDOW = 13
-#: Windows that are sent to the tasks; more are joined.
-TASK_WINDOWS = 200_000
-#: Bytes of terms, with 24 for each, that are sent to the tasks.
-VOCABULARY_BYTES = 1 << 25
+#: Rarest terms of a window whose position lists are intersected.
+RAREST = 3
+#: Partitions of the index, and bytes of the texts of a segment (a longer text is a segment of its own).
+PARTITIONS, SEGMENT_BYTES = 64, 8 << 20
+#: Different terms that are sent to the tasks at a time; windows that ask for more are dealt into parts.
+ASKED_TERMS = 1 << 22
+#: Documents whose keys are sent to all tasks; more candidates are joined.
+SENT_DOCUMENTS = 200_000
 #: Words on either side within which proximity matches are reported.
 SLOP = 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -40,288 +45,279 @@ _LOWER[65:91] += 32
 #: Words are runs of ASCII digits and letters and of bytes beyond ASCII.
 _INSIDE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_KEY = ("k1", "k2")
 
 
-class Vocabulary:
-    """Terms by number, in the order of their hashes."""
-
-    def __init__(self, words: list[bytes]):
-        data = np.frombuffer(b"".join(words) + b"\0", np.uint8)
-        size = np.array([len(w) for w in words], np.int64)
-        first = np.cumsum(size) - size
-        hashes = range_hash(prefix_hash(data), first, first + size)
-        order = np.argsort(hashes, kind="stable")
-        self.data, self.hash, self.first, self.size = data, hashes[order], first[order], size[order]
-        self.low = np.zeros(1 << 20, bool)
-        self.low[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        #: The most terms that share a hash.
-        self.sharing = int(np.unique(self.hash, return_counts=True)[1].max(initial=1))
-
-    def __len__(self) -> int:
-        return len(self.hash)
-
-    def find(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the words buf[start:end] are terms, in order, and their numbers."""
-        h = range_hash(prefix_hash(buf), start, end)
-        maybe = np.flatnonzero(self.low[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        nth = np.searchsorted(self.hash, h[maybe])
-        which, number = [], []
-        for step in range(self.sharing if len(self) else 0):
-            i = np.minimum(nth + step, len(self) - 1)
-            ok = np.flatnonzero((self.hash[i] == h[maybe]) & (self.size[i] == end[maybe] - start[maybe]))
-            at, i = maybe[ok], i[ok]
-            size = self.size[i]
-            ahead = np.cumsum(size) - size
-            along = np.arange(size.sum()) - np.repeat(ahead, size)
-            same = buf[np.repeat(start[at], size) + along] == self.data[np.repeat(self.first[i], size) + along]
-            if len(ahead):
-                ok = np.logical_and.reduceat(same, ahead)
-                which.append(at[ok])
-                number.append(i[ok])
-        if not which:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        which, number = np.concatenate(which), np.concatenate(number)
-        order = np.argsort(which, kind="stable")
-        return which[order], number[order]
-
-
-def _postings(texts: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position in the row and number of every occurrence of a term, in order; words of each row."""
-    words = np.zeros(len(texts), np.int64)
-    out = [(np.zeros(0, np.int64),) * 3]
+def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(item, terms): every distinct window of ``size`` words of each item (item_id, text); a
+    shorter item is one window, one without words has none."""
+    lower = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0)).alias("words"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
+    return words.where(F.size("words") > 0).select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("terms")).distinct()
+
+
+def _words(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Lower-case bytes, and the row, start and end of each word in them, some texts at a time."""
     for buf, row in pieces(texts):
         buf = _LOWER[buf]
         s, e = spans(buf, _INSIDE)
-        r = row[s]
+        yield buf, row[s], s, e
+
+
+def postings(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Term, row and place in the row of every word, in order; words of each row."""
+    words = np.zeros(len(texts), np.int64)
+    out = [(np.zeros(0, np.int64),) * 3]
+    for buf, r, s, e in _words(texts):
         first = np.flatnonzero(np.diff(r, prepend=-1))
-        ahead = words[r[first]] - first
-        place = np.arange(len(r)) + np.repeat(ahead, np.diff(np.append(first, len(r))))
-        which, number = vocabulary.find(buf, s, e)
-        out.append((r[which], place[which], number))
+        place = np.arange(len(r)) + np.repeat(words[r[first]] - first, np.diff(np.append(first, len(r))))
+        out.append((range_hash(prefix_hash(buf), s, e).view(np.int64), r, place))
         words += np.bincount(r, minlength=len(texts))
     return *(np.concatenate(x) for x in zip(*out, strict=True)), words
 
 
-def _lists(offsets_of: np.ndarray, n: int, *values: np.ndarray) -> list[pa.ListArray]:
-    """Lists of 32-bit numbers for ``n`` rows, from values sorted by the row that ``offsets_of`` names."""
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(offsets_of, minlength=n)))).astype(np.int32)
-    return [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in values]
+@dataclass
+class PositionalIndex:
+    """documents: seg, local, k1, k2, n_words and kept of each; lists: the sorted postings of each segment and
+    partition (part, seg, and terms, counts, rows and places as arrays of numbers)."""
 
+    documents: DataFrame
+    lists: DataFrame
+    parts: int
+    docs: DataFrame
+
+    def folders(self, terms: np.ndarray) -> DataFrame:
+        """The lists of the partitions that ``terms`` lie in."""
+        asked = np.unique(terms.view(np.uint64) % np.uint64(self.parts)).astype(int).tolist()
+        return self.lists.where(F.col("part").isin(asked)) if asked else self.lists.where("false")
 
-def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(item, terms): every distinct window of ``size`` words of each item (item_id, text); a
-    shorter item is one window, one without words has none."""
-    lower = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0)).alias("words"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
-    return words.where(F.size("words") > 0).select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("terms")).distinct()
 
+def build_index(docs: DataFrame, keep: list[str], parts: int = PARTITIONS) -> PositionalIndex:
+    """The stored index of all tokens of ``docs`` (doc_id, text), with the columns ``keep``."""
+    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), *row_keys(F.col("doc_id"), F.col("text")), F.col("text").cast("binary").alias("text"))
+    longs, blobs = ("seg", "k1", "k2", "n_words"), ("terms", "counts", "rows", "places")
+    schema = T.StructType(
+        [T.StructField("part", T.IntegerType()), T.StructField("local", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in longs]]
+        + [T.StructField(c, T.BinaryType()) for c in blobs] + [T.StructField("kept", rows.schema["kept"].dataType)]
+    )
+    names = schema.names
 
-def numbered(found: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The windows with their terms as numbers of ``vocabulary``, which has them all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = TaskContext.get().partitionId() << 32
+        for b in slices(batches, 3, SEGMENT_BYTES):
+            term, row, place, words = postings(b.column(3).to_pylist())
+            n = b.num_rows
+            whole = lambda v, n: pa.array(np.full(n, v), pa.int64())
+            none = lambda n: [pa.nulls(n, pa.binary())] * 4
+            own = [pa.array(np.full(n, -1, np.int32)), pa.array(np.arange(n, dtype=np.int32)), whole(seg, n), b.column(1), b.column(2), pa.array(words), *none(n), b.column(0)]
+            yield pa.RecordBatch.from_arrays(own, names=names)
+            order = np.argsort(term, kind="stable")
+            term = term[order]
+            first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+            terms, counts = term[first], np.diff(np.append(first, len(term)))
+            part = (terms.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            by_part = np.argsort(part, kind="stable")
+            terms, counts, first, part = terms[by_part], counts[by_part], first[by_part], part[by_part]
+            take = order[np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
+            row, place = row[take].astype(np.uint32), place[take].astype(np.uint32)
+            ends = np.cumsum(counts)
+            edges = np.flatnonzero(np.diff(part, prepend=-1))
+            held: dict[str, list] = {"part": [], **{c: [] for c in blobs}}
+            for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(part)][: len(edges)], strict=True):
+                lo, hi = int(ends[a] - counts[a]), int(ends[z - 1])
+                for c, v in (("part", int(part[a])), ("terms", terms[a:z].tobytes()), ("counts", counts[a:z].astype(np.uint32).tobytes()), ("rows", row[lo:hi].tobytes()), ("places", place[lo:hi].tobytes())):
+                    held[c].append(v)
+            m = len(held["part"])
+            empty = [pa.nulls(m, pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(held["part"], pa.int32()), pa.nulls(m, pa.int32()), whole(seg, m), *empty, *[pa.array(held[c], pa.binary()) for c in blobs], pa.nulls(m, b.column(0).type)], names=names)
+            seg += 1
+
+    # A partition comes to one task, unless it is so large that Spark splits it.
+    stored = written(rows.mapInArrow(run, schema).hint("rebalance", "part"), "positional-index", by="part")
+    documents = stored.where("part = -1").select("seg", "local", "k1", "k2", "n_words", "kept")
+    return PositionalIndex(documents, stored.where("part >= 0").select("part", "seg", *blobs), parts, docs)
+
+
+def _each(b: pa.RecordBatch, *columns: int) -> Iterator[list[np.ndarray]]:
+    kinds = {"terms": np.int64, "counts": np.uint32, "rows": np.uint32, "places": np.uint32}
+    for values in zip(*(b.column(c) for c in columns), strict=True):
+        yield [np.frombuffer(v.as_py(), kinds[b.schema.names[c]]) for c, v in zip(columns, values, strict=True)]
+
+
+def _found(asked: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``terms`` are among the sorted ``asked``, and where."""
+    at = np.minimum(np.searchsorted(asked, terms), max(0, len(asked) - 1))
+    hit = np.flatnonzero(asked[at] == terms) if len(asked) else np.zeros(0, np.int64)
+    return hit, at[hit]
+
+
+def collection_counts(index: PositionalIndex, asked: np.ndarray) -> np.ndarray:
+    """Occurrences of each of the sorted terms ``asked``."""
+    sent = index.lists.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(sent.value), np.int64)
         for b in batches:
-            row, _, number, _ = _postings(b.column(1).to_pylist(), vocabulary)
-            yield pa.RecordBatch.from_arrays([b.column(0), *_lists(row, b.num_rows, number)], names=["item", "terms"])
+            for terms, counts in _each(b, 0, 1):
+                hit, at = _found(sent.value, terms)
+                total[at] += counts[hit]  # a segment has each term once
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
 
-    return found.select("item", F.array_join("terms", " ").cast("binary")).mapInArrow(run, "item string, terms array<int>")
+    found = index.folders(asked).select("terms", "counts").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(asked), np.int64)
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
-def build_index(docs: DataFrame, vocabulary: Vocabulary, kept: list[str]) -> DataFrame:
-    """The stored index: for each document n_words and the occurrences (terms, places) of the
-    terms in ``vocabulary``, by their numbers."""
+def positions(index: PositionalIndex, asked: np.ndarray) -> DataFrame:
+    """(term, seg, local, place): the position lists of the sorted terms ``asked``, from their partitions alone."""
+    sent = index.lists.sparkSession.sparkContext.broadcast(asked)
+    names = ["term", "seg", "local", "place"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                row, place, number, words = _postings(b.column(1).to_pylist(), vocabulary)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), *_lists(row, b.num_rows, number, place)], names=["kept", "n_words", "terms", "places"])
+        for b in batches:
+            segs = b.column(0).to_pylist()
+            for seg, (terms, counts, rows, places) in zip(segs, _each(b, 1, 2, 3, 4), strict=True):
+                hit, _ = _found(sent.value, terms)
+                if len(hit):
+                    ends = np.cumsum(counts, dtype=np.int64)
+                    n = counts[hit].astype(np.int64)
+                    take = np.repeat(ends[hit] - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    made = [np.repeat(terms[hit], n), np.full(len(take), seg), rows[take].astype(np.int64), places[take].astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=names)
 
-    rows = docs.select(F.struct(*kept).alias("kept"), F.col("text").cast("binary").alias("text"))
-    ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([rows.schema["kept"], T.StructField("n_words", T.LongType()), T.StructField("terms", ints), T.StructField("places", ints)])
-    return written(rows.mapInArrow(run, schema), "positional-index")
+    return index.folders(asked).select("seg", "terms", "counts", "rows", "places").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def collection_counts(index: DataFrame, terms: int) -> np.ndarray:
-    """Occurrences of each term in the index."""
+def hashed(found: DataFrame) -> DataFrame:
+    """(w, phrase, terms): the different phrases of windows, a digest of each, and the hashes of its words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(terms, np.int64)
         for b in batches:
-            total += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False), minlength=terms)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["term", "n"])
+            term, row, _, _ = postings(b.column(1).to_pylist())
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(term))], names=["w", "phrase", "terms"])
+
+    once = found.select("w", F.col("phrase").cast("binary").alias("phrase")).distinct()
+    return once.mapInArrow(run, "w string, phrase binary, terms array<long>")
+
+
+def chosen(phrases: DataFrame, asked: np.ndarray, counts: np.ndarray, rarest: int) -> DataFrame:
+    """(w, term, at, need): the ``rarest`` terms of each phrase, rarest first, the first of equally rare ones, and how many they
+    are. Phrases with a term that the index lacks are left out."""
+    sent = phrases.sparkSession.sparkContext.broadcast((asked, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, counts = sent.value
+        for b in batches:
+            out: list[tuple] = []
+            for w, terms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = counts[np.searchsorted(asked, np.array(terms, np.int64))]
+                if n.all():
+                    first = np.lexsort((np.arange(len(n)), n))[:rarest].tolist()
+                    out += [(w, terms[i], i, len(first)) for i in first]
+            cols = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["w", "term", "at", "need"])
+
+    return phrases.select("w", "terms").mapInArrow(run, "w string, term long, at long, need long")
 
-    out = np.zeros(terms, np.int64)
-    found = index.select("terms").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out[found["term"].to_numpy()] = found["n"].to_numpy()
-    return out
 
+def _terms(frame: DataFrame, column: str) -> np.ndarray:
+    return np.unique(frame.select(column).distinct().toArrow()[column].to_numpy().astype(np.int64))
 
-class Lookup:
-    """Windows as arrays of term numbers, each in the order from its rarest term on."""
-
-    def __init__(self, found: pa.Table, counts: np.ndarray):
-        groups: dict[tuple, set] = {}
-        for item, terms in zip(found["item"].to_pylist(), found["terms"].to_pylist(), strict=True):
-            groups.setdefault(tuple(terms), set()).add(item)
-        self.items = [sorted(v) for v in groups.values()]
-        self.length = np.array([len(k) for k in groups], np.int64)
-        flat = np.array([t for k in groups for t in k], np.int64)
-        window = np.repeat(np.arange(len(self.length)), self.length)
-        offset = np.arange(len(flat)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
-        order = np.lexsort((offset, counts[flat], window))
-        self.first = np.cumsum(self.length) - self.length
-        self.terms, self.offsets = flat[order], offset[order]
-        # From each term to the windows of which it is the rarest.
-        rarest = self.terms[self.first]
-        self.by_term = np.argsort(rarest, kind="stable")
-        self.start = np.searchsorted(rarest[self.by_term], np.arange(len(counts) + 1))
-
-    def find(self, row: np.ndarray, place: np.ndarray, term: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, start and window of every occurrence among postings sorted by row and place."""
-        times = (self.start[1:] - self.start[:-1])[term].astype(np.int64)
-        hit = np.flatnonzero(times)
-        times = times[hit]
-        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        w = self.by_term[np.repeat(self.start[:-1][term[hit]], times) + nth]
-        r = np.repeat(row[hit], times)
-        at = np.repeat(place[hit], times) - self.offsets[self.first[w]]
-        fits = (at >= 0) & (at + self.length[w] <= words[r])
-        r, at, w = r[fits], at[fits], w[fits]
-        key = row * (1 << 32) + place
-        for j in range(1, int(self.length.max()) if len(self.length) else 0):
-            longer = self.length[w] > j
-            own = self.first[w] + np.where(longer, j, 0)
-            want = r * (1 << 32) + at + self.offsets[own]
-            i = np.minimum(np.searchsorted(key, want), len(key) - 1)
-            ok = ~longer | ((key[i] == want) & (term[i] == self.terms[own]))
-            r, at, w = r[ok], at[ok], w[ok]
-            if not len(r):
-                break
-        return r, at, w
-
-
-def _parts(items: DataFrame, size: int) -> Iterator[tuple[DataFrame, Vocabulary, int, int]]:
-    """Windows as numbers, their terms, how many they are, and the number of parts: more than one
-    if the terms are too many to send."""
-    found = written(windows(items, size), "windows")
-    weight = F.coalesce(F.sum(F.octet_length("term") + 24), F.lit(0))
-    terms = found.select(F.explode("terms").alias("term"))
-    parts = 1
-    if terms.distinct().agg(weight).first()[0] > VOCABULARY_BYTES:
-        parts = -(-terms.agg(weight).first()[0] // VOCABULARY_BYTES)
+
+def _parts(phrases: DataFrame) -> Iterator[DataFrame]:
+    """The phrases in as many parts as their terms need to be sent."""
+    n = phrases.select(F.explode("terms").alias("t")).distinct().count()
+    if n <= ASKED_TERMS:
+        yield phrases
+        return
+    parts = 2 * -(-n // ASKED_TERMS)
     for i in range(parts):
-        part = found.where(F.pmod(F.xxhash64("terms"), F.lit(parts)) == i)
-        words = part.select(F.explode("terms").alias("term")).distinct().select(F.col("term").cast("binary")).toArrow()
-        vocabulary = Vocabulary(words["term"].to_pylist())
-        yield numbered(part, vocabulary), vocabulary, part.count(), parts
+        yield phrases.where(F.pmod(F.xxhash64("w"), F.lit(parts)) == i)
+
+
+def candidates(index: PositionalIndex, phrases: DataFrame, rarest: int) -> DataFrame:
+    """(k1, k2, w, start): where the ``rarest`` terms of a phrase stand in a document as they do in the phrase; with
+    one term, every place of the rarest one (and the place of the phrase's first word)."""
+    found = None
+    for part in _parts(phrases):
+        asked = _terms(part.select(F.explode("terms").alias("t")), "t")
+        rare = written(chosen(part, asked, collection_counts(index, asked), rarest), "rarest-terms")
+        where = positions(index, _terms(rare, "term")).join(rare, "term").withColumn("start", F.col("place") - F.col("at"))
+        # The lists agree on a start where each of them has it.
+        hit = where.groupBy("w", "seg", "local", "start").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"), F.max("at").alias("at")).where("n = need")
+        hit = hit.select("seg", "local", "w", "start", "at")
+        found = hit if found is None else found.unionByName(hit)
+    return written(found.join(index.documents.select("seg", "local", *_KEY), ["seg", "local"]).select(*_KEY, "w", "start", "at").distinct(), "candidates")
+
+
+def texts_of(index: PositionalIndex, found: DataFrame) -> DataFrame:
+    """(k1, k2, text, and the candidates of each document as a list of structs): only documents that have some."""
+    keys = found.select(*_KEY).distinct()
+    texts = index.docs.select(*row_keys(F.col("doc_id"), F.col("text")), F.col("text").cast("binary").alias("text"))
+    keys = F.broadcast(keys) if keys.count() <= SENT_DOCUMENTS else keys
+    one = texts.join(keys, list(_KEY), "left_semi").dropDuplicates(list(_KEY))
+    return one.join(found.groupBy(*_KEY).agg(F.collect_list(F.struct(*[c for c in found.columns if c not in _KEY])).alias("asked")), list(_KEY))
+
+
+def _checked(rows: DataFrame, fits) -> DataFrame:
+    """(k1, k2, w, start, n) of the candidates that ``fits``(words, place, at, phrase) the document's words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2, SEGMENT_BYTES):
+            out: list[tuple] = []
+            for k1, k2, text, asked in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                words = [x for buf, _, s, e in _words([text]) for x in (lambda d: [d[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)])(buf.tobytes())]
+                for a in asked:
+                    phrase = a["phrase"].split(b" ")
+                    if fits(words, a["start"], a["at"], phrase):
+                        out.append((k1, k2, a["w"], a["start"], len(phrase), a["at"]))
+            cols = list(zip(*out, strict=True)) if out else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["k1", "k2", "w", "start", "n", "at"])
 
+    return rows.select(*_KEY, "text", "asked").mapInArrow(run, "k1 long, k2 long, w string, start long, n long, at long")
 
-def _row_name(columns: list[str]) -> str:
-    """A name that no column has."""
-    return "_" + "_".join(columns)
 
+def _asked(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(w, item) and (w, phrase, terms) of the windows of the items."""
+    phrase = F.array_join("terms", " ")
+    found = written(windows(items, size).select("item", F.md5(phrase.cast("binary")).alias("w"), phrase.alias("phrase")), "windows")
+    return found.select("w", "item").distinct(), written(hashed(found), "phrases")
 
-def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep=("doc_id",)) -> DataFrame:
+
+def _exact(words: list[bytes], start: int, at: int, phrase: list[bytes]) -> bool:
+    return start >= 0 and words[start : start + len(phrase)] == phrase
+
+
+def phrase_matches(index: PositionalIndex, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(k1, k2, spans, items) of the documents in which windows occur."""
+    of, phrases = _asked(items, size)
+    found = candidates(index, phrases, RAREST).join(phrases.select("w", "phrase"), "w")
+    hit = written(_checked(texts_of(index, found), _exact), "occurrences")
+    spans_ = hit.groupBy(*_KEY).agg(_merged(F.collect_set(F.array(F.col("start").cast("int"), (F.col("start") + F.col("n")).cast("int")))).alias("spans"))
+    named = hit.select(*_KEY, "w").distinct().join(of, "w").groupBy(*_KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return spans_.join(named, list(_KEY))
+
+
+def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep=("doc_id",), index: PositionalIndex | None = None) -> DataFrame:
     """The columns ``keep``, n_words, spans and items for every row of ``docs``.
 
     spans are the [start, end) word ranges covered by occurring windows, merged; items the
     sorted ids of the items that have one. Null or empty texts have no words and no match.
     Repeated items count once, a null item id as the empty string. With no items no document
-    matches; empty documents give empty output.
+    matches; empty documents give empty output. ``index`` may be one that ``build_index`` made of ``docs``
+    with these columns before.
     """
-    names, row = list(dict.fromkeys(keep)), _row_name(docs.columns)
-    base, rows, found = docs, None, None
-    for part, vocabulary, n, parts in _parts(items, size):
-        if parts == 1 and n <= TASK_WINDOWS:
-            index = build_index(docs, vocabulary, names)
-            return _looked_up(index, Lookup(part.toArrow(), collection_counts(index, len(vocabulary)))).select("kept.*", "n_words", "spans", "items")
-        if rows is None:
-            base = docs.withColumn(row, F.monotonically_increasing_id())
-            if parts > 1:
-                base = written(base.select(*dict.fromkeys([*names, "text", row])), "numbered")
-        index = build_index(base, vocabulary, [*names, row])
-        rows = index if rows is None else rows
-        near, anchored = _around(index, part, collection_counts(index, len(vocabulary)), size - 1, f"kept.{row}")
-        start = F.col("place") - F.col("offset")
-        hit = near.join(anchored, "anchor").where(F.slice("context", size - F.col("offset"), F.size("terms")) == F.col("terms"))
-        hit = hit.select("row", F.array(start, start + F.size("terms")).alias("span"), "item")
-        found = hit if found is None else found.unionByName(hit)
-    merged = found.groupBy("row").agg(_merged(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    names = list(dict.fromkeys(keep))
+    index = build_index(docs, names) if index is None else index
     # Stored, so that Spark knows their size and does not move the documents for a few.
-    merged = written(merged.withColumnRenamed("row", row), "matches")
-    rows = rows.select(F.col(f"kept.{row}").alias(row), "kept", "n_words").join(merged, row, "left")
+    merged = written(phrase_matches(index, items, size), "matches")
+    rows = index.documents.join(merged, list(_KEY), "left")
     return rows.select(*[F.col("kept")[c].alias(c) for c in names], "n_words", *[F.coalesce(c, F.array().cast(merged.schema[c].dataType)).alias(c) for c in ("spans", "items")])
 
 
-def _looked_up(index: DataFrame, lookup: Lookup) -> DataFrame:
-    """kept, n_words, spans and items of every row of the index."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(2)
-            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-            term, place = lists.flatten().to_numpy(zero_copy_only=False), b.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            r, at, w = lookup.find(row, place, term, b.column(1).to_numpy())
-            spans_, items_ = [[] for _ in range(b.num_rows)], [set() for _ in range(b.num_rows)]
-            for i in np.lexsort((at, r)).tolist():
-                s, e, own = int(at[i]), int(at[i] + lookup.length[w[i]]), spans_[r[i]]
-                if own and s <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], e)
-                else:
-                    own.append([s, e])
-                items_[r[i]].update(lookup.items[w[i]])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(spans_, pa.list_(pa.list_(pa.int32()))), pa.array([sorted(x) for x in items_], pa.list_(pa.string()))],
-                names=["kept", "n_words", "spans", "items"],
-            )
-
-    spans_type = T.ArrayType(T.ArrayType(T.IntegerType()))
-    return index.mapInArrow(run, T.StructType([index.schema["kept"], T.StructField("n_words", T.LongType()), T.StructField("spans", spans_type), T.StructField("items", T.ArrayType(T.StringType()))]))
-
-
-def _around(index: DataFrame, part: DataFrame, counts: np.ndarray, reach: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """(row, place, anchor, context): every posting of a term that is the rarest of some window,
-    with the terms up to ``reach`` places before and after it (-1 for other words and beyond the
-    text), ``row`` being the index's column ``name``; (anchor, offset, item, terms): the windows
-    by their rarest term, the first of equally rare ones, without those that lack one in the index."""
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            offset = [min(range(len(t)), key=lambda i: (counts[t[i]], i)) for t in b.column(1).to_pylist()]
-            first = np.array([t[i] for t, i in zip(b.column(1).to_pylist(), offset, strict=True)], np.int32)
-            out = pa.RecordBatch.from_arrays([pa.array(first), pa.array(offset, pa.int32()), b.column(0), b.column(1)], names=["anchor", "offset", "item", "terms"])
-            yield out.filter(pa.array(counts[first] > 0))
-
-    found = written(part.mapInArrow(anchored, "anchor int, offset int, item string, terms array<int>"), "anchored-windows")
-    wanted = np.zeros(len(counts), bool)
-    wanted[found.select("anchor").distinct().toArrow()["anchor"].to_numpy()] = True
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            length = np.diff(b.column(1).offsets.to_numpy()).astype(np.int64)
-            row = np.repeat(np.arange(b.num_rows), length)
-            term, place = (b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (1, 2))
-            key = row * (1 << 32) + place
-            anchors = np.flatnonzero(wanted[term])
-            for at in range(0, len(anchors), 1 << 14):
-                some = anchors[at : at + (1 << 14)]
-                want = key[some][:, None] + np.arange(-reach, reach + 1)
-                i = np.minimum(np.searchsorted(key, want), len(key) - 1)
-                # Places before a text's first word would run into the row before it.
-                inside = (place[some][:, None] + np.arange(-reach, reach + 1)) >= 0
-                context = np.where((key[i] == want) & inside, term[i], -1).astype(np.int32)
-                flat = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * (2 * reach + 1), pa.array(context.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row[some])), pa.array(place[some].astype(np.int32)), pa.array(term[some].astype(np.int32)), flat],
-                    names=["row", "place", "anchor", "context"],
-                )
-
-    rows = index.select(F.col(name).alias("row"), "terms", "places")
-    ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([rows.schema["row"], T.StructField("place", T.IntegerType()), T.StructField("anchor", T.IntegerType()), T.StructField("context", ints)])
-    return rows.mapInArrow(run, schema), found
-
-
 def _merged(spans_: Column) -> Column:
     """Spans [start, end) in any order as spans that neither overlap nor touch."""
     def add(out: Column, span: Column) -> Column:
@@ -332,19 +328,24 @@ def _merged(spans_: Column) -> Column:
     return F.aggregate(F.array_sort(spans_), F.array().cast("array<array<int>>"), add)
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = SLOP, size: int = WINDOW, keep=("doc_id",)) -> DataFrame:
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = SLOP, size: int = WINDOW, keep=("doc_id",), index: PositionalIndex | None = None) -> DataFrame:
     """The columns ``keep``, item and place: each occurrence of a window's rarest term that has
     all its other terms within ``slop`` words on either side, in any order. Equal lines are one.
 
     Looked up in the same index, with null, empty and repeated rows as in ``matches``.
     """
-    names, found = list(dict.fromkeys(keep)), None
-    for part, vocabulary, _, _ in _parts(items, size):
-        index = build_index(docs, vocabulary, names)
-        near, anchored = _around(index, part, collection_counts(index, len(vocabulary)), slop, "kept")
-        some = near.join(anchored, "anchor").where(F.size(F.array_except("terms", "context")) == 0).select("row", "item", "place")
-        found = some if found is None else found.unionByName(some)
-    return found.select("row.*", "item", F.col("place").cast("long").alias("place")).distinct()
+    names = list(dict.fromkeys(keep))
+    index = build_index(docs, names) if index is None else index
+    of, phrases = _asked(items, size)
+
+    def near(words: list[bytes], start: int, at: int, phrase: list[bytes]) -> bool:
+        place = start + at
+        return words[place] == phrase[at] and set(phrase) <= set(words[max(0, place - slop) : place + slop + 1])
+
+    found = candidates(index, phrases, 1).join(phrases.select("w", "phrase"), "w")
+    hit = written(_checked(texts_of(index, found), near), "near-occurrences")
+    some = hit.select(*_KEY, "w", (F.col("start") + F.col("at")).alias("place")).join(of, "w").join(index.documents.select(*_KEY, "kept"), list(_KEY))
+    return some.select(*[F.col("kept")[c].alias(c) for c in names], "item", "place").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep=("doc_id",), share: int = 20) -> DataFrame:

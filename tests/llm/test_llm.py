@@ -4,6 +4,7 @@ and extra columns with clashing names."""
 import hashlib
 import math
 import os
+import re
 import time
 import zlib
 from collections import Counter
@@ -256,41 +257,45 @@ def test_decontamination(spark, texts, monkeypatch):
                     hit |= set(range(at, at + n))
                     found |= windows[k]
         want[i] = (len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w))
-    for task_windows, vocabulary_bytes in ((200_000, 1 << 25), (7, 1 << 25)):
-        monkeypatch.setattr(decontaminate, "TASK_WINDOWS", task_windows)
-        monkeypatch.setattr(decontaminate, "VOCABULARY_BYTES", vocabulary_bytes)
+    for rarest, asked, sent in ((3, 1 << 22, 200_000), (1, 1 << 22, 0), (13, 150, 0)):
+        monkeypatch.setattr(decontaminate, "RAREST", rarest)
+        monkeypatch.setattr(decontaminate, "ASKED_TERMS", asked)
+        monkeypatch.setattr(decontaminate, "SENT_DOCUMENTS", sent)
         got = decontaminate.contamination(docs_of(spark, texts), bench).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in got} == want
-    # Terms too large to be sent at once: two items in parts with an index each.
-    few, ids = bench.where("item_id IN (0, 3)"), ["0", "3"]
-    whole = decontaminate.contamination(docs_of(spark, texts), few).collect()
-    assert {i for r in whole for i in r["items"]} == set(ids)
-    monkeypatch.setattr(decontaminate, "VOCABULARY_BYTES", 1000)
-    assert Counter(map(str, decontaminate.contamination(docs_of(spark, texts), few).collect())) == Counter(map(str, whole))
     monkeypatch.undo()
     assert not any(r.contaminated for r in decontaminate.contamination(docs_of(spark, texts), bench.where("false")).collect())
     assert decontaminate.contamination(docs_of(spark, texts).where("false"), bench).count() == 0
 
 
-def test_terms_are_compared_byte_by_byte(monkeypatch):
-    words = [b"alpha", b"beta", b"gamma", b"delta"]
-    monkeypatch.setattr(decontaminate, "range_hash", lambda prefix, start, end: np.ones(len(start), np.uint64))
-    vocabulary = decontaminate.Vocabulary(words)
-    row, place, number, n = decontaminate._postings([b"Delta omega beta", None, b"", b"gamma beta x"], vocabulary)
-    term = [bytes(vocabulary.data[vocabulary.first[i] : vocabulary.first[i] + vocabulary.size[i]]) for i in number.tolist()]
-    assert list(zip(row.tolist(), place.tolist(), term, strict=True)) == [(0, 0, b"delta"), (0, 2, b"beta"), (3, 0, b"gamma"), (3, 1, b"beta")]
-    assert n.tolist() == [3, 0, 0, 3]
-
-
-def test_many_windows_read_the_documents_once(spark, monkeypatch):
-    built = []
-    make = decontaminate.build_index
-    monkeypatch.setattr(decontaminate, "build_index", lambda *a: built.append(1) or make(*a))
-    monkeypatch.setattr(decontaminate, "TASK_WINDOWS", 3)
-    bench = spark.createDataFrame([(i, f"{i} " * 13 + f"t{i}") for i in range(1500)], "item_id long, text string")
-    df = docs_of(spark, [f"a {i} " + f"{i} " * 12 + "z" for i in range(0, 1500, 50)] + ["7 " * 12])
-    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(df, bench).collect()}
-    assert got == {i: (13, [str(50 * i)]) for i in range(30)} | {30: (0, [])} and len(built) == 1
+def test_candidates_are_compared_byte_by_byte(spark):
+    """What the lists agree on counts only if the words are there: such candidates come from terms of one hash."""
+    rows = [(1, 1, b"Delta omega, beta GAMMA", [("w", 0, 0, "delta omega"), ("x", 2, 0, "beta gamma"), ("y", 1, 1, "omega gamma"), ("z", 3, 0, "gamma beta"), ("v", -1, 0, "delta")])]
+    df = spark.createDataFrame(rows, "k1 long, k2 long, text binary, asked array<struct<w:string,start:long,at:long,phrase:string>>")
+    df = df.withColumn("asked", F.col("asked").cast("array<struct<w:string,start:long,at:long,phrase:binary>>"))
+    assert sorted(r.w for r in decontaminate._checked(df, decontaminate._exact).collect()) == ["w", "x"]
+
+
+def test_one_index_answers_two_benchmarks(spark, monkeypatch):
+    df = docs_of(spark, [f"a {i} " + f"{i} " * 12 + "z" for i in range(0, 1500, 50)] + ["7 " * 12, None, ""])
+    index = decontaminate.build_index(df, ["doc_id"])
+    monkeypatch.setattr(decontaminate, "build_index", lambda *a: pytest.fail("built again"))
+    for low, high in ((0, 1500), (400, 700)):
+        bench = spark.createDataFrame([(i, f"{i} " * 13 + f"t{i}") for i in range(low, high)], "item_id long, text string")
+        got = {r.doc_id: r["items"] for r in decontaminate.matches(df, bench, index=index).collect()}
+        assert got == {i: [str(50 * i)] if low <= 50 * i < high else [] for i in range(30)} | {30: [], 31: [], 32: []}
+    # Only the folders of the asked terms are opened, and postings are sorted by term, document and place.
+    term = decontaminate.postings([b"750"])[0]
+    plan = index.folders(term)._jdf.queryExecution().executedPlan().toString()
+    part = int(term.view(np.uint64)[0] % np.uint64(64))
+    assert re.search(rf"PartitionFilters: \[[^\]]*part#\d+ = {part}\)", plan)
+    assert index.lists.select("part").distinct().count() > 10
+    found = decontaminate.positions(index, term).collect()
+    assert len(found) == 13 and [r.place for r in sorted(found)] == sorted(r.place for r in found)
+    for lists in index.lists.collect():
+        terms, counts, rows, places = (np.frombuffer(lists[c], k) for c, k in (("terms", np.int64), ("counts", np.uint32), ("rows", np.uint32), ("places", np.uint32)))
+        own = list(zip(np.repeat(terms, counts).tolist(), rows.tolist(), places.tolist(), strict=True))
+        assert own == sorted(own)
 
 
 def test_spans_are_merged_whatever_their_order(spark):
