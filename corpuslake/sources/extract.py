@@ -209,7 +209,7 @@ def open_document(content: bytes) -> Sections:
     name = lambda node: next((v for k, v in node.attrib.items() if _name(k) == "name"), "") or "Sheet"
     if named("presentation"):
         out = [(str(i), _odf_texts(p, "\n")) for i, p in enumerate(named("page"), 1)]
-    elif named("spreadsheet"):
+    elif named("spreadsheet") or (named("table") and not named("text")):
         out = [(name(t), f"[Sheet: {name(t)}]\n" + "\n".join(rows)) for t in named("table") if (rows := _table(t))]
     else:
         out = [("", _odf_texts(tree, "\n"))]
