@@ -190,7 +190,7 @@ def _table(table) -> list[str]:
         cells: list[str] = []
         blank = 0  # blank cells are written only if others follow
         for c in (c for c in row if _name(c.tag) in ("table-cell", "covered-table-cell")):
-            text, n = _odf_texts(c, "").strip(), _repeats(c, "columns")
+            text, n = _odf_texts(c, "").strip() or "".join(c.itertext()).strip(), _repeats(c, "columns")
             if text:
                 cells += [""] * blank + [text] * n
                 blank = 0
