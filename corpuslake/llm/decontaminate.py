@@ -120,13 +120,12 @@ def build_index(docs: DataFrame, keep: list[str], parts: int = PARTITIONS) -> Po
             by_part = np.argsort(part, kind="stable")
             terms, counts, first, part = terms[by_part], counts[by_part], first[by_part], part[by_part]
             take = order[np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-            row, place = row[take].astype(np.uint32), place[take].astype(np.uint32)
-            ends = np.cumsum(counts)
+            row, place, ends, counts = _narrow(row[take]), _narrow(place[take]), np.cumsum(counts), _narrow(counts)
             edges = np.flatnonzero(np.diff(part, prepend=-1))
             held: dict[str, list] = {"part": [], **{c: [] for c in blobs}}
             for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(part)][: len(edges)], strict=True):
-                lo, hi = int(ends[a] - counts[a]), int(ends[z - 1])
-                for c, v in (("part", int(part[a])), ("terms", terms[a:z].tobytes()), ("counts", counts[a:z].astype(np.uint32).tobytes()), ("rows", row[lo:hi].tobytes()), ("places", place[lo:hi].tobytes())):
+                lo, hi = int(ends[a]) - int(counts[a]), int(ends[z - 1])
+                for c, v in (("part", int(part[a])), ("terms", terms[a:z].tobytes()), ("counts", counts[a:z].tobytes()), ("rows", row[lo:hi].tobytes()), ("places", place[lo:hi].tobytes())):
                     held[c].append(v)
             m = len(held["part"])
             empty = [pa.nulls(m, pa.int64())] * 3
@@ -139,10 +138,21 @@ def build_index(docs: DataFrame, keep: list[str], parts: int = PARTITIONS) -> Po
     return PositionalIndex(documents, stored.where("part >= 0").select("part", "seg", *blobs), parts, docs)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.uint32)
+
+
+def unpacked(terms: bytes, counts: bytes, *lists: bytes) -> list[np.ndarray]:
+    """The arrays of a segment and partition; how wide their numbers are follows from how many they must be."""
+    out = [np.frombuffer(terms, np.int64)]
+    out.append(np.frombuffer(counts, f"u{len(counts) // max(1, len(out[0]))}"))
+    total = int(out[1].sum(dtype=np.int64))
+    return out + [np.frombuffer(x, f"u{len(x) // max(1, total)}") for x in lists]
+
+
 def _each(b: pa.RecordBatch, *columns: int) -> Iterator[list[np.ndarray]]:
-    kinds = {"terms": np.int64, "counts": np.uint32, "rows": np.uint32, "places": np.uint32}
     for values in zip(*(b.column(c) for c in columns), strict=True):
-        yield [np.frombuffer(v.as_py(), kinds[b.schema.names[c]]) for c, v in zip(columns, values, strict=True)]
+        yield unpacked(*(v.as_py() for v in values))
 
 
 def _found(asked: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,6 +12,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import paths
@@ -382,13 +383,14 @@ def a1_scan_documents(spark, sf_dir):
     return found.select(_short(), "length", "file_type", F.md5("content").alias("h"))
 
 
-@query(f"SELECT path FROM ({_FILED}) ORDER BY regexp_extract(path, '[^.]+$'), path LIMIT 60")
+@query(f"SELECT path, CAST(row_number() OVER (ORDER BY regexp_extract(path, '[^.]+$'), path) AS INT) AS place FROM ({_FILED})")
 def a3_scan_ordered(spark, sf_dir):
-    """The first files in order."""
-    return extract.scan_ordered(spark, _files(spark, sf_dir)).limit(60).select(_short())
+    """Every file with its place in the order; ids rise in the order in which rows come."""
+    found = extract.scan_ordered(spark, _files(spark, sf_dir)).select(_short(), F.monotonically_increasing_id().alias("id"))
+    return found.select("path", F.row_number().over(Window.orderBy("id")).alias("place"))
 
 
-_GOLDEN = """SELECT 'q' || item_id AS query, md5(regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || 'and "so", on') AS h, 'd' || item_id || '|e' AS docs, CASE WHEN {n} % 3 = 0 THEN '' ELSE 'v' || {n} END AS source FROM {{benchmark}}"""
+_GOLDEN = r"""SELECT 'q' || item_id AS query, md5(regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || 'and "so", on') AS h, 'd' || item_id || '|e' AS docs, CASE WHEN {n} % 3 = 0 THEN '' ELSE 'v' || {n} END AS source FROM {{benchmark}}"""
 _NTH = "CAST(regexp_extract(CAST(item_id AS VARCHAR), '[0-9]+$') AS BIGINT)"
 
 
