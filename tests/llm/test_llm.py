@@ -293,7 +293,7 @@ def test_one_index_answers_two_benchmarks(spark, monkeypatch):
     found = decontaminate.positions(index, term).collect()
     assert len(found) == 13 and [r.place for r in sorted(found)] == sorted(r.place for r in found)
     for lists in index.lists.collect():
-        terms, counts, rows, places = (np.frombuffer(lists[c], k) for c, k in (("terms", np.int64), ("counts", np.uint32), ("rows", np.uint32), ("places", np.uint32)))
+        terms, counts, rows, places = decontaminate.unpacked(*(lists[c] for c in ("terms", "counts", "rows", "places")))
         own = list(zip(np.repeat(terms, counts).tolist(), rows.tolist(), places.tolist(), strict=True))
         assert own == sorted(own)
 
