@@ -367,6 +367,17 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep=("
     return found.select(*keep, "n_words", "n_hit", "n_items", "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def clean_rows(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
+    """The rows of ``docs`` that ``contamination`` does not find contaminated, as they are: of the index's documents only the
+    keys of contaminated rows come back to them, so their texts are not moved."""
+    index = build_index(docs, ["doc_id"])
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s[1] - s[0]))
+    found = phrase_matches(index, items, size).join(index.documents, list(_KEY)).where((hit > 0) & (share * hit >= F.col("n_words")))
+    gone = written(found.select(*[F.col(k).alias(f"__{k}") for k in _KEY]).distinct(), "contaminated")
+    keys = [k.alias(f"__{n}") for n, k in zip(_KEY, row_keys(F.col("doc_id"), F.col("text")), strict=True)]
+    return docs.select(*docs.columns, *keys).join(gone, [f"__{k}" for k in _KEY], "left_anti").select(*docs.columns)
+
+
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     found = finished("contamination", lambda: contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
