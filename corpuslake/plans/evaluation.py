@@ -157,12 +157,11 @@ def k14_per_example_stats(spark, sf_dir):
 
 
 def _corpus(spark, sf_dir):
-    """Queries, chunks and expected chunks."""
+    """Queries, chunks and expected chunks, these by label."""
     e = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
     chunks = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text").join(e, "chunk_id")
     asked = chunks.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.substring("text", 1, 120).alias("text"), "vector", "label")
-    expected = asked.select("query_id", "label").join(chunks.select("chunk_id", "label"), "label").where("query_id <> chunk_id").select("query_id", "chunk_id")
-    return asked, chunks, expected
+    return asked, chunks, experiments.SameLabel(asked.select("query_id", "label"), chunks.select("chunk_id", "label"))
 
 
 def _candidates(spark, sf_dir, depth=20):
