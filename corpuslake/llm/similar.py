@@ -1,8 +1,13 @@
 """Near-duplicates by the Jaccard similarity of word shingles.
 
-Candidates come from min-hash bands: texts that agree on one of ``BANDS`` bands of ``ROWS``
-min-hashes each are put into one group, and groups that share a text are one group. At a
-similarity of 0.8 two texts share a band with a probability of 0.9995, above it with more.
+Candidates come first from SimHash: fingerprints of the shingle sets are linked at up to ``RADIUS``
+differing bits by the generalised pigeonhole principle (``simhash.links``). That finds texts that
+differ in a few words. At a similarity of 0.8 fingerprints differ in about 10 bits and up to 17,
+where partitions of 64 bits leave nearly all pairs as candidates; what lies beyond the radius
+comes from min-hash bands: texts that agree on one of ``BANDS`` bands of ``ROWS``
+min-hashes each are candidates too. Texts that either way links are put into one group, and groups
+that share a text are one group. At a similarity of 0.8 two texts share a band with a probability
+of 0.9995, above it with more.
 Inside a group texts are compared on their whole shingle sets, whether they share a band or
 not, so a link is never false. A text that nothing is linked to yet is compared with all others;
 once every text belongs to a cluster, only those outside the largest one are. So near copies by
@@ -23,9 +28,11 @@ from pyspark.sql import types as T
 
 from corpuslake.llm.common import written
 from corpuslake.llm.graph import components
-from corpuslake.llm.simhash import BLOCK, keep_rows, least_row, row_digest, row_key
+from corpuslake.llm.simhash import BLOCK, keep_rows, least_row, links, row_digest, row_key
 
 BANDS, ROWS = 32, 7
+#: Bits in which the fingerprints of candidates may differ.
+RADIUS = 2
 #: Shingles of a block of a group.
 BLOCK_SHINGLES = 1 << 20
 _RANDOM = np.random.default_rng(11).integers(0, 2**63, (2, BANDS * ROWS)).astype(np.uint64)
@@ -61,6 +68,16 @@ def bands(found: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def fingerprint(found: np.ndarray) -> int | None:
+    """The SimHash of a shingle set: majority bits of its hashes, as a signed number; none where there is no shingle."""
+    if not len(found):
+        return None
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), BLOCK):
+        counts += np.unpackbits(found[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big", signed=True)
+
+
 def _signer(size: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -68,8 +85,8 @@ def _signer(size: int):
         for b in batches:
             found = [shingles(t, size) for t in b.column(1).to_pylist()]
             ids = pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in found], pa.string())
-            columns = [b.column(0), ids, pa.array([len(s) for s in found], pa.int64()), pa.array([bands(s) for s in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "n", "bands"])
+            columns = [b.column(0), ids, pa.array([len(s) for s in found], pa.int64()), pa.array([bands(s) for s in found], pa.list_(pa.int64())), pa.array([fingerprint(s) for s in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "n", "bands", "fp"])
 
     return sign
 
@@ -116,18 +133,27 @@ def _linker(similarity: float):
     return link
 
 
+def _near_fingerprints(classes: DataFrame) -> DataFrame:
+    """(a, b) ids whose fingerprints are within the radius, or that the same linked fingerprints hold together."""
+    held = written(classes.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least")), "set-fingerprints")
+    same = classes.join(held, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    first, second = (held.select(F.col("fp").alias(c), F.col("least").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    near = links(held.select("fp"), RADIUS).join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.unionAll(near)
+
+
 def similar_classes(docs: DataFrame, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(id, doc_id) of each distinct shingle set, doc_id being the least row key, and (node, root)
     of the sets linked to another one."""
     digest = row_digest()
     rows = docs.select(F.struct("doc_id", digest.alias("digest")).alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("id", T.StringType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("id", T.StringType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())])
     signed = written(rows.mapInArrow(_signer(size), schema), "signatures")
-    classes = written(signed.groupBy("id").agg(least_row("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "shingle-classes")
+    classes = written(signed.groupBy("id").agg(least_row("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "shingle-classes")
     each = classes.select("id", F.explode("bands").alias("key"))
     least = each.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("held")).where("held > 1").select("key", "a")
     stars = each.join(least, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    groups = components(stars).withColumnRenamed("node", "id").withColumnRenamed("root", "grp")
+    groups = components(stars.unionAll(_near_fingerprints(classes))).withColumnRenamed("node", "id").withColumnRenamed("root", "grp")
     members = written(classes.join(groups, "id").select("id", "doc_id", "n", "grp"), "group-members")
     blocks = members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("long").alias("k"))
     placed = members.join(blocks, "grp").select(*row_key(F.col("doc_id")["doc_id"], F.col("doc_id")["digest"]), "id", "grp", "k", F.pmod(F.xxhash64("id"), "k").alias("block"))
@@ -137,8 +163,8 @@ def similar_classes(docs: DataFrame, size: int, similarity: float) -> tuple[Data
     sets = texts.mapInArrow(_adder(size), schema)
     cell = F.expr("explode(transform(sequence(0L, k - 1), j -> struct(least(block, j) AS x, greatest(block, j) AS y)))")
     cells = sets.select("id", "grp", "block", "shingles", cell.alias("cell")).select("id", "grp", "block", "shingles", "cell.x", "cell.y")
-    links = cells.groupBy("grp", "x", "y").applyInArrow(_linker(similarity), "a string, b string")
-    return classes.select("id", "doc_id"), components(links)
+    linked = cells.groupBy("grp", "x", "y").applyInArrow(_linker(similarity), "a string, b string")
+    return classes.select("id", "doc_id"), components(linked)
 
 
 def similar_texts_removed(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
