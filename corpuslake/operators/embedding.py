@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.operators.retrieval import block_hits, ranked
 
 DIM = 64
+#: Vectors that a task hands on at a time, about.
+HANDED_ON = 1024
 
 
 def hash_provider(texts: list[str], dim: int = DIM) -> np.ndarray:
@@ -31,22 +34,28 @@ def embed(texts: DataFrame, column: str, *providers: Callable[[list[str]], np.nd
     batch that it fails on go to the next, and get an error if all fail."""
     providers = providers or (hash_provider,)
 
-    @F.pandas_udf("vector array<float>, error string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in parts:
-            rows: list[tuple] = []
-            for at in range(0, len(s), batch):
-                part = s.iloc[at : at + batch].tolist()
+    kind = pa.struct([("vector", pa.list_(pa.float32())), ("error", pa.string())])
+
+    @F.arrow_udf("vector array<float>, error string")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in parts:
+            made: list[dict] = []
+            for at in range(0, len(whole), batch):
+                part = whole.slice(at, batch).to_pylist()
                 error = None
                 for p in providers:
                     try:
-                        rows += [(v.astype(np.float32).tolist(), None) for v in p(part)]
+                        made += [{"vector": v.astype(np.float32).tolist(), "error": None} for v in p(part)]
                         break
                     except Exception as e:  # a provider's own failures
                         error = str(e)[:200]
                 else:
-                    rows += [(None, error)] * len(part)
-            yield pd.DataFrame(rows, columns=["vector", "error"])
+                    made += [{"vector": None, "error": error}] * len(part)
+                if len(made) >= HANDED_ON:
+                    yield pa.array(made, kind)
+                    made = []
+            if made:
+                yield pa.array(made, kind)
 
     return texts.withColumn("e", run(F.col(column))).select(*texts.columns, "e.vector", "e.error")
 
