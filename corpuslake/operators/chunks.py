@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from corpuslake.functions.text import SPACE, stripped, terms
+from corpuslake.sources.batches import BATCH_BYTES, cuts
 
 # Chunk size and overlap by file type.
 CHUNK_SETTINGS = {"pdf": (800, 100), "docx": (700, 80), "xlsx": (500, 50), "pptx": (600, 80), "txt": (600, 80), "code": (400, 60)}
@@ -69,14 +71,23 @@ def create_strategy(name: str, **options: int) -> Callable[[str, str], list[str]
 def chunk_with(sections: DataFrame, split: Callable[[str, str], list[str]], file_type: str | None = None) -> DataFrame:
     """The rows of ``sections``, one for each chunk that a strategy makes of its text (in Arrow
     batches), with pos and chunk; chunks shorter than SHORTEST once stripped are dropped."""
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([[c for c in split(t or "", k or "txt") if len(c.strip()) >= SHORTEST] for t, k in zip(texts, kinds, strict=True)])
-
     kind = F.col(file_type) if file_type else F.lit("txt")
+    cut = _cutter(lambda text, kind: [c for c in split(text, kind) if len(c.strip()) >= SHORTEST])
     return sections.select(*[c for c in sections.columns if c != "text"], F.posexplode(cut("text", kind)).alias("pos", "chunk"))
 
 
+def _cutter(split: Callable[[str, str], list[str]]):
+    """A function of text and file type columns to arrays of chunks; of a batch some bytes of texts are taken at a time."""
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, kinds in batches:
+            for at, end in cuts(texts, BATCH_BYTES):
+                part = zip(texts[at:end].to_pylist(), kinds[at:end].to_pylist(), strict=True)
+                yield pa.array([split(t or "", k or "txt") for t, k in part], pa.list_(pa.string()))
+
+    return cut
+
+
 @udtf(returnType="pos int, chunk string")
 class Chunk:
     """``chunk(text, strategy, size, overlap)`` as a table function for SQL: pos and chunk of the chunks that
@@ -144,11 +155,8 @@ def split_recursive(text: str, size: int, overlap: int, separators=SEPARATORS) -
 
 def chunk_recursive(sections: DataFrame, size: int, overlap: int) -> DataFrame:
     """As ``chunk_fixed``, cut by ``split_recursive`` in Arrow batches; short chunks are dropped."""
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [c for c in split_recursive(t or "", size, overlap) if len(c) >= SHORTEST])
-
-    return sections.select(*[c for c in sections.columns if c != "text"], F.posexplode(cut("text")).alias("pos", "chunk"))
+    cut = _cutter(lambda text, _: [c for c in split_recursive(text, size, overlap) if len(c) >= SHORTEST])
+    return sections.select(*[c for c in sections.columns if c != "text"], F.posexplode(cut("text", F.lit("txt"))).alias("pos", "chunk"))
 
 
 def chunk_semantic(sections: DataFrame, key: str, words: int) -> DataFrame:

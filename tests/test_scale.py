@@ -1,8 +1,10 @@
 """What must not grow faster than the input, on small tables."""
 
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from corpuslake.operators import experiments
+from corpuslake.operators import chunks, embedding, experiments, retrieval
 from corpuslake.sources import batches, extract
 
 
@@ -42,3 +44,31 @@ def test_sections_of_files_in_lots(spark, monkeypatch):
     df = spark.createDataFrame(files, "path string, content binary").coalesce(1)
     got = {r.path: r.text for r in extract.extract_sections(df).collect()}
     assert got == {p: (c or b"").decode() for p, c in files if p != "b.exe"}
+
+
+def test_vectors_and_chunks_keep_their_rows(spark, monkeypatch):
+    """Vectors and chunks that are handed on in lots within a batch stand beside their own texts; a task gets few texts at a time."""
+    def provider(texts):
+        if any(t == "bad" for t in texts):
+            raise ValueError("no")
+        return np.array([[float(len(t or ""))] for t in texts])
+
+    monkeypatch.setattr(embedding, "HANDED_ON", 8)
+    df = spark.createDataFrame([(i, "bad" if i == 50 else None if i % 9 == 0 else "x" * i) for i in range(90)], "i int, text string").coalesce(1)
+    for r in embedding.embed(df, "text", provider, batch=4).collect():
+        assert (r.vector is None and r.error == "no") if 48 <= r.i < 52 else r.vector == [float(len(r.text or ""))]
+    monkeypatch.setattr(chunks, "BATCH_BYTES", 200)
+    made = chunks.chunk_with(df, chunks.create_strategy("fixed", chunk_size=40, overlap=5)).groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()
+    want = {r.i: len([c for c in chunks.create_strategy("fixed", chunk_size=40, overlap=5)(r.text or "", "txt") if len(c) >= 30]) for r in df.collect()}
+    assert {r.i: r.n for r in made} == {i: n for i, n in want.items() if n}
+
+
+def test_terms_are_counted_in_lots(spark, monkeypatch):
+    """Sparse scores are the same when a task counts few terms at a time."""
+    texts = [(i, " ".join(f"word{(i * j) % 11}" for j in range(1, i % 17))) for i in range(80)]
+    held = spark.createDataFrame([*texts, (99, None)], "chunk_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "word1 word7"), (2, "word3"), (3, "none")], "query_id long, text string")
+    rows = lambda: sorted(map(tuple, retrieval.sparse_topk(asked, held, 6).collect()))
+    whole = rows()
+    monkeypatch.setattr(retrieval, "BATCH_ITEMS", 12)
+    assert rows() == whole and len(whole) == 12
