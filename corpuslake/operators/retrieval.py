@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.text import terms
+from corpuslake.sources.batches import BATCH_ITEMS, bounded
 from corpuslake.sources.stored import written
 
 
@@ -173,7 +174,7 @@ def _sparse_hits(spark, asked: DataFrame, chunks: DataFrame, k: int, text: str,
     known = spark.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1, BATCH_ITEMS):
             lists = batch.column(1)
             # A null text has no length, and no terms.
             sizes = np.diff(lists.offsets.to_numpy()) * np.asarray(lists.is_valid())
