@@ -55,19 +55,21 @@ def ranked(hits: DataFrame, k: int, *parts: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Queries, and chunks, that meet in one task at a time, about.
+#: Queries, and chunks, that are multiplied at a time, about.
 QUERY_BLOCK, CHUNK_BLOCK = 512, 8192
+#: Query blocks that a task gets, numbers in the vectors of its chunks, and tasks below which chunks are dealt into smaller groups.
+TASK_BLOCKS, TASK_FLOATS, LEAST_TASKS = 16, 1 << 22, 64
 
 
 def block_hits(queries: DataFrame, chunks: DataFrame, k: int, threshold: float, part: str | None = None, per: str | None = None) -> DataFrame:
     """Cosine hits of queries (cell, query_id, vector) among the chunks (cell, chunk_id, vector) of
-    their cell: of each block of chunks the ``k`` best of at least ``threshold``, or all with ``part``. With
-    ``per`` the ``k`` best values of that column, each at its best chunk: (query_id, ``per``, score).
+    their cell: of each group of chunks the ``k`` best of at least ``threshold``, with ``part`` those of each of its
+    values. With ``per`` the ``k`` best values of that column, each at its best chunk: (query_id, ``per``, score).
 
     Each cell's queries are dealt into blocks and its chunks into groups of bounded size, as many as that cell
-    needs, so that no task gets a whole side; each block meets each group of its cell once, in one matrix
-    product. Chunks of cells that no query asks for are not moved. There must be few cells: their sizes
-    come to the driver.
+    needs, so that no task gets a whole side; each block meets each group of its cell once, in matrix
+    products of bounded size, and hands on the best of the group alone. Chunks of cells that no query asks
+    for are not moved. There must be few cells: their sizes come to the driver.
     """
     dtype = lambda df, c: df.schema[c].dataType.simpleString()
     found = [("query_id", queries), *[("chunk_id", chunks)] * (not per), *[(c, chunks) for c in (part, per) if c]]
@@ -75,9 +77,14 @@ def block_hits(queries: DataFrame, chunks: DataFrame, k: int, threshold: float,
     schema = ", ".join([f"{c} {dtype(df, c)}" for c, df in found] + ["score double"])
     some = lambda df: df.where(F.col("vector").isNotNull() & (F.size("vector") > 0))
     queries, chunks = some(queries), some(chunks)
-    count = lambda df: {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
+    count = lambda df: {r["cell"]: (r["n"], r["wide"]) for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("wide")).collect()}
     asked, held = count(queries), count(chunks)
-    met = [(int(c), -(-asked[c] // QUERY_BLOCK), -(-held[c] // CHUNK_BLOCK)) for c in sorted(asked.keys() & held.keys())]
+
+    def dealt(cell) -> tuple[int, int, int]:
+        (n, wide), blocks = held[cell], -(-asked[cell][0] // (QUERY_BLOCK * TASK_BLOCKS))
+        return int(cell), blocks, max(-(-n * wide // TASK_FLOATS), min(-(-n // CHUNK_BLOCK), -(-LEAST_TASKS // blocks)))
+
+    met = [dealt(c) for c in sorted(asked.keys() & held.keys())]
     cells = F.broadcast(queries.sparkSession.createDataFrame(met, "cell int, blocks int, groups int"))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -97,18 +104,35 @@ def block_hits(queries: DataFrame, chunks: DataFrame, k: int, threshold: float,
     def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(cs):
             return pd.DataFrame({n: [] for n in (*names, "score")})
-        if per:
-            cs = cs.sort_values(per)
-        s = unit(qs) @ unit(cs).T
+        by = per or part
+        if by:
+            cs = cs.sort_values(by)
+        of = pd.factorize(cs[by], use_na_sentinel=False)[0] if by else np.zeros(len(cs), np.int64)
+        qv, cv, out = unit(qs), unit(cs), []
+        for first in range(0, len(qs), QUERY_BLOCK):
+            found = [tile(qv[first : first + QUERY_BLOCK], cv[at : at + CHUNK_BLOCK], of[at : at + CHUNK_BLOCK], at) for at in range(0, len(cs), CHUNK_BLOCK)]
+            h = pd.DataFrame({"i": np.concatenate([f[0] for f in found]) + first, "j": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
+            if len(found) > 1:
+                h["of"] = of[h["j"]]
+                if per:  # a value may stand in two tiles
+                    h = h.sort_values("score", ascending=False).drop_duplicates(["i", "of"])
+                h = h[h.groupby(["i", "of"] if part else "i")["score"].rank(method="min", ascending=False) <= k]
+            out.append(h)
+        h = pd.concat(out)
+        got = {c: qs[c].to_numpy()[h["i"]] if c == "query_id" else cs[c].to_numpy()[h["j"]] for c in names}
+        return pd.DataFrame(got | {"score": h["score"].to_numpy()})
+
+    def tile(qv: np.ndarray, cv: np.ndarray, of: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, places from ``at`` and scores of the best of one matrix product."""
+        s = qv @ cv.T
         s = np.where(np.isfinite(s) & (s >= threshold), s, -np.inf)
+        place, firsts = np.arange(at, at + len(cv)), np.flatnonzero(np.diff(of, prepend=-1))
         if per:
-            firsts = np.flatnonzero(cs[per].ne(cs[per].shift()).to_numpy())
-            cs, s = cs.iloc[firsts], np.maximum.reduceat(s, firsts, axis=1)
-        if part is None:
-            s = best(s)
+            place, s = place[firsts], np.maximum.reduceat(s, firsts, axis=1)
+        for low, high in zip(firsts, [*firsts[1:], len(of)], strict=True) if part else [(0, s.shape[1])]:
+            s[:, low:high] = best(s[:, low:high])
         i, j = np.nonzero(np.isfinite(s))
-        out = {c: qs[c].to_numpy()[i] if c == "query_id" else cs[c].to_numpy()[j] for c in names}
-        return pd.DataFrame(out | {"score": s[i, j]})
+        return i, place[j], s[i, j]
 
     return q.groupBy("cell", "s", "g").cogroup(c.groupBy("cell", "s", "g")).applyInPandas(score, schema)
 

@@ -72,3 +72,24 @@ def test_terms_are_counted_in_lots(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(retrieval, "BATCH_ITEMS", 12)
     assert rows() == whole and len(whole) == 12
+
+
+def test_blocks_hand_on_the_best_of_each_part(spark, monkeypatch):
+    """Of many chunks above the threshold a task hands on few, whatever the tiles; the result is that of all pairs."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(400, 6)) + 2
+    held = spark.createDataFrame([(i, x.tolist(), f"p{i % 3}" if i % 13 else None, i // 7) for i, x in enumerate(v)], "chunk_id long, vector array<double>, part string, doc int")
+    asked = held.where("chunk_id < 40").withColumnRenamed("chunk_id", "query_id")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u[:40] @ u.T
+    part = lambda i: f"p{i % 3}" if i % 13 else None
+    want = {(q, c) for q in range(40) for p in ("p0", "p1", "p2", None) for c in sorted((i for i in range(400) if part(i) == p), key=lambda i: -s[q, i])[:4]}
+    docs = {(q, d) for q in range(40) for d in np.argsort([-max(s[q, i] for i in range(400) if i // 7 == d) for d in range(58)], kind="stable")[:4].tolist()}
+    for tiles in ((512, 8192, 64), (7, 50, 1)):
+        for name, n in zip(("QUERY_BLOCK", "CHUNK_BLOCK", "LEAST_TASKS"), tiles):
+            monkeypatch.setattr(retrieval, name, n)
+        one = F.lit(0).alias("cell")
+        hits = retrieval.block_hits(asked.select(one, "query_id", "vector"), held.select(one, "chunk_id", "vector", "part"), 4, -1.0, "part")
+        assert hits.count() <= 40 * 4 * 4
+        assert {(r.query_id, r.chunk_id) for r in retrieval.dense_topk(asked, held, 4, -1.0, "part").collect()} == want
+        assert {(r.query_id, r.doc) for r in retrieval.dense_topk_of(asked, held, 4, "doc").collect()} == docs
