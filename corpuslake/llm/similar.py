@@ -102,14 +102,14 @@ def _adder(size: int):
 
 def _linker(similarity: float):
     def link(cell: pa.Table) -> pa.Table:
-        """Links that join all texts of the cell which hang together, one for each merger."""
+        """Links of all texts of the cell which hang together: the least id of each cluster with its others."""
         ids = cell["id"].to_pylist()
         sets = [np.asarray(s, np.int64) for s in cell["shingles"].combine_chunks().to_numpy(zero_copy_only=False)]
         sizes = np.array([len(s) for s in sets])
         values, owners = np.concatenate(sets), np.repeat(np.arange(len(ids)), sizes)
         order = np.argsort(values, kind="stable")
         values, owners = values[order], owners[order]
-        root, linked, out = np.arange(len(ids)), np.zeros(len(ids), bool), []
+        root, linked = np.arange(len(ids)), np.zeros(len(ids), bool)
 
         def compare(i: int) -> None:
             lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
@@ -117,7 +117,6 @@ def _linker(similarity: float):
             near = np.flatnonzero(common >= similarity * (sizes + sizes[i] - common) - 1e-9)
             linked[near] = True
             for r in np.setdiff1d(root[near], [root[i]]).tolist():
-                out.append((ids[i], ids[near[root[near] == r][0]]))
                 root[root == r] = root[i]
 
         for i in range(len(ids)):
@@ -128,6 +127,10 @@ def _linker(similarity: float):
         for i in np.flatnonzero(root != largest).tolist():
             if root[i] != largest:
                 compare(i)
+        least: dict[int, str] = {}
+        for r, i in zip(root.tolist(), ids, strict=True):
+            least[r] = min(i, least.get(r, i))
+        out = [(least[r], i) for r, i in zip(root.tolist(), ids, strict=True) if least[r] != i]
         return pa.table({"a": pa.array([a for a, _ in out], pa.string()), "b": pa.array([b for _, b in out], pa.string())})
 
     return link
@@ -138,7 +141,9 @@ def _near_fingerprints(classes: DataFrame) -> DataFrame:
     held = written(classes.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least")), "set-fingerprints")
     same = classes.join(held, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     first, second = (held.select(F.col("fp").alias(c), F.col("least").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-    near = links(held.select("fp"), RADIUS).join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # Stored apart: one plan of everything would hold all its stages at once.
+    pairs = written(links(held.select("fp"), RADIUS), "fingerprint-links")
+    near = pairs.join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return same.unionAll(near)
 
 
@@ -152,7 +157,7 @@ def similar_classes(docs: DataFrame, size: int, similarity: float) -> tuple[Data
     classes = written(signed.groupBy("id").agg(least_row("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "shingle-classes")
     each = classes.select("id", F.explode("bands").alias("key"))
     least = each.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("held")).where("held > 1").select("key", "a")
-    stars = each.join(least, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    stars = written(each.join(least, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "band-stars")
     groups = components(stars.unionAll(_near_fingerprints(classes))).withColumnRenamed("node", "id").withColumnRenamed("root", "grp")
     members = written(classes.join(groups, "id").select("id", "doc_id", "n", "grp"), "group-members")
     blocks = members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("long").alias("k"))
