@@ -248,9 +248,12 @@ def write_files(files: DataFrame, root: str) -> None:
     """Write (path, content: binary) as single files below ``root``; tasks write what they hold."""
     def run(rows) -> None:
         fs, top = _open(root)
+        made = set()
         for r in rows:
             at = f"{top}/{r['path']}"
-            fs.create_dir(at.rpartition("/")[0], recursive=True)
+            if (folder := at.rpartition("/")[0]) not in made:
+                fs.create_dir(folder, recursive=True)
+                made.add(folder)
             with fs.open_output_stream(at) as out:
                 out.write(bytes(r["content"] or b""))
 

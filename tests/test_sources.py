@@ -47,6 +47,22 @@ def test_scan(spark, tmp_path):
     assert [(r.length, r.file_type) for r in extract.scan_documents(spark, str(tmp_path)).collect()] == [(1, "txt")]
 
 
+def test_scan_of_many_small_files(spark, tmp_path):
+    """A task reads many small files, and files of unknown types are not listed for reading."""
+    for i in range(3000):
+        (tmp_path / f"{i}.{('Txt', 'PY', 'exe')[i % 3]}").write_text(str(i))
+    (tmp_path / ".txt").write_text("hidden")
+    (tmp_path / "txt").write_text("no suffix")
+    (tmp_path / "a.tar.Zip").write_text("z")
+    found = extract.scan_documents(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < 3000 // 32
+    assert not [f for f in found.inputFiles() if f.endswith(".exe")]
+    want = {(f"{i}.{('Txt', 'PY')[i % 3]}", str(i).encode(), ("txt", "code")[i % 3]) for i in range(3000) if i % 3 < 2} | {("a.tar.Zip", b"z", "zip")}
+    assert {(r.path.rpartition("/")[2], bytes(r.content), r.file_type) for r in found.collect()} == want
+    (tmp_path / "none").mkdir()
+    assert extract.scan_documents(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_golden(spark, tmp_path):
     csv = tmp_path / "g.csv"
     csv.write_text('query;expected_answer;expected_docs;metadata\nq1;a1;doc1.pdf, doc2.pdf;not-json\nq2;a2;;{"k":"v"}\n')
