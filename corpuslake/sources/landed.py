@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -245,7 +246,8 @@ def scan_overrides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_files(files: DataFrame, root: str) -> None:
-    """Write (path, content: binary) as single files below ``root``; tasks write what they hold."""
+    """Write (path, content: binary) as single files below ``root``; tasks write what they hold. A local file stands
+    whole at its path or not at all, also where an attempt of a task is ended while another one writes it."""
     def run(rows) -> None:
         fs, top = _open(root)
         made = set()
@@ -254,8 +256,12 @@ def write_files(files: DataFrame, root: str) -> None:
             if (folder := at.rpartition("/")[0]) not in made:
                 fs.create_dir(folder, recursive=True)
                 made.add(folder)
-            with fs.open_output_stream(at) as out:
+            # Other stores publish a file when it is closed.
+            to = f"{folder}/.{uuid.uuid4().hex}" if fs.type_name == "local" else at
+            with fs.open_output_stream(to) as out:
                 out.write(bytes(r["content"] or b""))
+            if to != at:
+                fs.move(to, at)
 
     files.select("path", "content").foreachPartition(run)
 
@@ -264,3 +270,52 @@ def write_overrides(overrides: DataFrame, path: str) -> None:
     """Write (folder, value) as ``_meta.json`` files below ``path``."""
     name = F.concat_ws("/", F.nullif(F.col("folder"), F.lit("")), F.lit("_meta.json"))
     write_files(overrides.select(name.alias("path"), F.col("value").cast("binary").alias("content")), path)
+
+
+def _listed(name: str) -> bool:
+    """Whether Spark's readers list a file or folder of that name."""
+    hidden = (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+    return not hidden or name.startswith(("_metadata", "_common_metadata"))
+
+
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, modified) of the files without a byte below ``root``, or ``root`` itself: Spark's readers pass over them.
+    Each folder right below is walked by a task; in a store that ``pyarrow.fs`` does not know the driver lists all."""
+    sc, folders, rows = spark.sparkContext, [], []
+    at = sc._jvm.org.apache.hadoop.fs.Path(root)
+    store = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    for s in store.globStatus(at) or []:
+        top = s.getPath()
+        try:
+            fs, base = _rooted(top.toString())
+            inner = _below(fs, base) if s.isDirectory() else []
+            folders += [(top.toString(), base, False)] + [(top.toString(), f.path, True) for f in inner if f.type == pafs.FileType.Directory and _listed(f.base_name)]
+        except (pa.ArrowInvalid, OSError):
+            found = store.listFiles(top, True)
+            while found.hasNext():
+                f = found.next()
+                below = f.getPath().toString()[len(top.toString()) :].strip("/").split("/")
+                if not f.getLen() and all(map(_listed, filter(None, below))):
+                    rows.append((f.getPath().toString(), dt.datetime.fromtimestamp(f.getModificationTime() / 1000, dt.UTC)))
+
+    def walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for top, path, recursive in (r.values() for p in parts for r in p.to_pylist()):
+            fs, base = _rooted(top)
+            one = fs.get_file_info(path)
+            infos = [one] if one.is_file else _below(fs, path, recursive)
+            empty = [f for f in infos if f.is_file and not f.size and all(map(_listed, filter(None, f.path[len(base) :].strip("/").split("/"))))]
+            times = pa.array([f.mtime_ns // 10**6 * 1000 for f in empty], pa.int64()).cast(pa.timestamp("us", "UTC"))
+            yield pa.RecordBatch.from_arrays([pa.array([top + f.path[len(base) :] for f in empty], pa.string()), times], names=["path", "modified"])
+
+    if rows or not folders:
+        listed = spark.createDataFrame(rows, "path string, modified timestamp").coalesce(1)
+        if not folders:
+            return listed
+    dealt = spark.createDataFrame(sc.parallelize(folders, min(len(folders), sc.defaultParallelism)), "top string, path string, recursive boolean")
+    walked = dealt.mapInArrow(walk, "path string, modified timestamp")
+    return walked.unionAll(listed) if rows else walked
+
+
+def _rooted(top: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a path as Hadoop writes it: local ones are not escaped."""
+    return (pafs.LocalFileSystem(), top.removeprefix("file:").rstrip("/") or "/") if top.startswith("file:/") else _open(top)
