@@ -121,6 +121,13 @@ def test_scan_of_odd_documents(spark, tmp_path):
     assert len(got) == 16 and sum(r[1] is None for r in got) == 2 and sum(r[1] == 0 for r in got) == 2
 
 
+def test_order_of_odd_documents(spark, tmp_path):
+    """The order of the files is that of their names without marks, whatever rows share a doc_id."""
+    odd_documents(spark, tmp_path)
+    got = same_as_sql(spark, tmp_path, "a3_scan_ordered")
+    assert [p for p, _ in sorted(got, key=lambda r: r[1])][:4] == ["d-1/-1.py", "d-2/-2.py", "d0/100.py", "d0/1000.py"]
+
+
 def test_golden(spark, tmp_path):
     csv = tmp_path / "g.csv"
     csv.write_text('query;expected_answer;expected_docs;metadata\nq1;a1;doc1.pdf, doc2.pdf;not-json\nq2;a2;;{"k":"v"}\n')
