@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,13 +21,12 @@ HANDED_ON = 1024
 
 def hash_provider(texts: list[str], dim: int = DIM) -> np.ndarray:
     """A deterministic stand-in for a model: signed hashing of words, of unit length."""
-    import zlib
-
-    out = np.zeros((len(texts), dim))
-    for i, t in enumerate(texts):
-        for w in (t or "").lower().split():
-            h = zlib.crc32(w.encode())
-            out[i, h % dim] += 1 if h & 0x80000000 else -1
+    words = [(t or "").lower().split() for t in texts]
+    counts = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter(map(zlib.crc32, map(str.encode, chain.from_iterable(words))), np.int64, counts.sum())
+    at = np.repeat(np.arange(len(texts)), counts) * dim + h % dim
+    # Sums of ones are exact in any order.
+    out = np.bincount(at, np.where(h & 0x80000000, 1.0, -1.0), len(texts) * dim).reshape(len(texts), dim)
     return out / np.maximum(1e-12, np.linalg.norm(out, axis=1, keepdims=True))
 
 
@@ -34,28 +35,37 @@ def embed(texts: DataFrame, column: str, *providers: Callable[[list[str]], np.nd
     batch that it fails on go to the next, and get an error if all fail."""
     providers = providers or (hash_provider,)
 
-    kind = pa.struct([("vector", pa.list_(pa.float32())), ("error", pa.string())])
+    def table(vectors: list[np.ndarray | None], errors: list[str | None]) -> pa.StructArray:
+        none = np.array([v is None for v in vectors])
+        ends = np.cumsum([0, *(0 if v is None else len(v) for v in vectors)])
+        flat = np.concatenate([np.zeros(0, np.float32), *(v for v in vectors if v is not None)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.float32()), mask=pa.array(none))
+        return pa.StructArray.from_arrays([lists, pa.array(errors, pa.string())], ["vector", "error"])
 
     @F.arrow_udf("vector array<float>, error string")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for whole in parts:
-            made: list[dict] = []
+            vectors: list[np.ndarray | None] = []
+            errors: list[str | None] = []
             for at in range(0, len(whole), batch):
                 part = whole.slice(at, batch).to_pylist()
                 error = None
                 for p in providers:
                     try:
-                        made += [{"vector": v.astype(np.float32).tolist(), "error": None} for v in p(part)]
+                        made = [np.asarray(v, np.float32) for v in p(part)]
+                        vectors += made
+                        errors += [None] * len(made)
                         break
                     except Exception as e:  # a provider's own failures
                         error = str(e)[:200]
                 else:
-                    made += [{"vector": None, "error": error}] * len(part)
-                if len(made) >= HANDED_ON:
-                    yield pa.array(made, kind)
-                    made = []
-            if made:
-                yield pa.array(made, kind)
+                    vectors += [None] * len(part)
+                    errors += [error] * len(part)
+                if len(vectors) >= HANDED_ON:
+                    yield table(vectors, errors)
+                    vectors, errors = [], []
+            if vectors:
+                yield table(vectors, errors)
 
     return texts.withColumn("e", run(F.col(column))).select(*texts.columns, "e.vector", "e.error")
 

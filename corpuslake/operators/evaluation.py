@@ -189,6 +189,7 @@ def chunking_experiment(docs: DataFrame, queries: DataFrame, expected: DataFrame
     # Embedded once: the search counts its chunks before it reads them.
     vectors = written(embedding.embed(made, "text").select("chunk_id", "item", "vector"), "vectors")
     asked = embedding.embed(queries.select("query_id", "text"), "text")
-    ranked = retrieval.dense_topk_of(asked, vectors, k, "item")
+    # The metrics read the hits several times.
+    ranked = written(retrieval.dense_topk_of(asked, vectors, k, "item"), "ranked")
     metrics = ir_metrics(mark_relevant(ranked, expected), expected, k)
     return metrics.join(vectors.agg(F.count(F.lit(1)).alias("chunk_count"))).select(F.lit(strategy).alias("strategy"), "chunk_count", "recall", "mrr", "ndcg")

@@ -61,10 +61,15 @@ QUERY_BLOCK, CHUNK_BLOCK = 512, 8192
 TASK_BLOCKS, TASK_FLOATS, LEAST_TASKS = 16, 1 << 22, 64
 
 
-def block_hits(queries: DataFrame, chunks: DataFrame, k: int, threshold: float, part: str | None = None, per: str | None = None) -> DataFrame:
+def _unit(v: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def block_hits(queries: DataFrame, chunks: DataFrame, k: int, threshold: float, part: str | None = None) -> DataFrame:
     """Cosine hits of queries (cell, query_id, vector) among the chunks (cell, chunk_id, vector) of
     their cell: of each group of chunks the ``k`` best of at least ``threshold``, with ``part`` those of each of its
-    values. With ``per`` the ``k`` best values of that column, each at its best chunk: (query_id, ``per``, score).
+    values.
 
     Each cell's queries are dealt into blocks and its chunks into groups of bounded size, as many as that cell
     needs, so that no task gets a whole side; each block meets each group of its cell once, in matrix
@@ -72,7 +77,7 @@ def block_hits(queries: DataFrame, chunks: DataFrame, k: int, threshold: float,
     for are not moved. There must be few cells: their sizes come to the driver.
     """
     dtype = lambda df, c: df.schema[c].dataType.simpleString()
-    found = [("query_id", queries), *[("chunk_id", chunks)] * (not per), *[(c, chunks) for c in (part, per) if c]]
+    found = [("query_id", queries), ("chunk_id", chunks), *[(part, chunks)] * bool(part)]
     names = [c for c, _ in found]
     schema = ", ".join([f"{c} {dtype(df, c)}" for c, df in found] + ["score double"])
     some = lambda df: df.where(F.col("vector").isNotNull() & (F.size("vector") > 0))
@@ -91,12 +96,7 @@ def block_hits(queries: DataFrame, chunks: DataFrame, k: int, threshold: float,
     # Columns get names of their own: queries may be rows of the chunks.
     own = lambda *names: [F.col(n).alias(n) for n in names]
     q = queries.join(cells, "cell").select(*own("cell"), deal("query_id", "blocks").alias("s"), every("groups").alias("g"), *own("query_id", "vector"))
-    c = chunks.join(cells, "cell").select("cell", every("blocks").alias("s"), deal("chunk_id", "groups").alias("g"), "chunk_id", "vector", *[x for x in (part, per) if x])
-
-    def unit(f: pd.DataFrame) -> np.ndarray:
-        v = np.array([np.asarray(x, np.float64) for x in f["vector"]])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return v / np.linalg.norm(v, axis=1, keepdims=True)
+    c = chunks.join(cells, "cell").select("cell", every("blocks").alias("s"), deal("chunk_id", "groups").alias("g"), "chunk_id", "vector", *[part] * bool(part))
 
     def best(s: np.ndarray) -> np.ndarray:
         return np.where(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None], s, -np.inf) if s.shape[1] > k else s
@@ -104,18 +104,15 @@ def block_hits(queries: DataFrame, chunks: DataFrame, k: int, threshold: float,
     def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(cs):
             return pd.DataFrame({n: [] for n in (*names, "score")})
-        by = per or part
-        if by:
-            cs = cs.sort_values(by)
-        of = pd.factorize(cs[by], use_na_sentinel=False)[0] if by else np.zeros(len(cs), np.int64)
-        qv, cv, out = unit(qs), unit(cs), []
+        if part:
+            cs = cs.sort_values(part)
+        of = pd.factorize(cs[part], use_na_sentinel=False)[0] if part else np.zeros(len(cs), np.int64)
+        qv, cv, out = (*(_unit(np.array([np.asarray(x, np.float64) for x in f["vector"]])) for f in (qs, cs)), [])
         for first in range(0, len(qs), QUERY_BLOCK):
             found = [tile(qv[first : first + QUERY_BLOCK], cv[at : at + CHUNK_BLOCK], of[at : at + CHUNK_BLOCK], at) for at in range(0, len(cs), CHUNK_BLOCK)]
             h = pd.DataFrame({"i": np.concatenate([f[0] for f in found]) + first, "j": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
             if len(found) > 1:
                 h["of"] = of[h["j"]]
-                if per:  # a value may stand in two tiles
-                    h = h.sort_values("score", ascending=False).drop_duplicates(["i", "of"])
                 h = h[h.groupby(["i", "of"] if part else "i")["score"].rank(method="min", ascending=False) <= k]
             out.append(h)
         h = pd.concat(out)
@@ -127,8 +124,6 @@ def block_hits(queries: DataFrame, chunks: DataFrame, k: int, threshold: float,
         s = qv @ cv.T
         s = np.where(np.isfinite(s) & (s >= threshold), s, -np.inf)
         place, firsts = np.arange(at, at + len(cv)), np.flatnonzero(np.diff(of, prepend=-1))
-        if per:
-            place, s = place[firsts], np.maximum.reduceat(s, firsts, axis=1)
         for low, high in zip(firsts, [*firsts[1:], len(of)], strict=True) if part else [(0, s.shape[1])]:
             s[:, low:high] = best(s[:, low:high])
         i, j = np.nonzero(np.isfinite(s))
@@ -145,11 +140,139 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, threshold: float =
     return ranked(hits, k, *[part] * bool(part))
 
 
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    wide = pc.unique(pc.list_value_length(vectors))
+    if len(wide) > 1:
+        raise ValueError(f"vectors of several lengths: {wide.to_pylist()}")
+    return np.asarray(pc.list_flatten(vectors)).astype(np.float64).reshape(len(vectors), -1)
+
+
+#: Numbers in the vectors of the queries that all tasks get at a time, chunks by which the driver finds first bounds, and tasks for each core.
+ASKED_FLOATS, BOUND_CHUNKS, CORE_TASKS = 1 << 22, 1 << 14, 8
+#: Queries and chunks in one product of ``Best``, hits of a query in it beyond which it is looked through once more, and
+#: pairs whose exact scores are made at a time.
+TILES, MANY, EXACT_PAIRS = (1024, 1024), 64, 1 << 16
+
+
+class Best:
+    """The ``k`` best values of each query, each value at its best chunk, ties to the smaller value.
+
+    A query's bound is the score of its ``k``-th value so far. Products are of single precision; only where one comes
+    to the bound less what rounding can amount to, the score is made in double precision. So the result is that of
+    all pairs, and nearly all of them cost one product and one comparison. What is held does not grow with the chunks.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, threshold: float, bound: np.ndarray | None = None, tiles: tuple[int, int] = TILES):
+        self.exact = _unit(queries)
+        self.rough = self.exact.astype(np.float32)
+        self.k, self.threshold, self.tiles = k, threshold, tiles
+        self.bound = np.full(len(queries), threshold, np.float64) if bound is None else bound.copy()
+        self.slack = (queries.shape[1] + 8) * 2.0**-23
+        self.best = pd.DataFrame({"i": np.zeros(0, np.int64), "value": [], "score": np.zeros(0)})
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pending = 0
+        self.space = np.empty(tiles[0] * tiles[1], np.float32)
+
+    def add(self, vectors: np.ndarray, values: np.ndarray) -> None:
+        """Chunks, and the value of each."""
+        many, wide = self.tiles
+        vectors = _unit(vectors)
+        some = np.isfinite(vectors).all(axis=1)
+        vectors, values = (vectors, values) if some.all() else (vectors[some], values[some])
+        for at in range(0, len(vectors), wide):
+            of = pd.factorize(values[at : at + wide], use_na_sentinel=False)[0]
+            order = np.argsort(of, kind="stable")
+            c, of, own = vectors[at : at + wide][order], of[order], values[at : at + wide][order]
+            firsts, columns = np.flatnonzero(np.diff(of, prepend=-1)), c.astype(np.float32).T
+            for first in range(0, len(self.exact), many):
+                rough = self.rough[first : first + many]
+                s = np.matmul(rough, columns, out=self.space[: len(rough) * len(c)].reshape(len(rough), len(c)))
+                low = (self.bound[first : first + many] - self.slack).astype(np.float32)
+                rows = np.flatnonzero(s.max(axis=1) >= low)
+                if not len(rows):
+                    continue
+                s = s[rows]
+                hit = s >= low[rows, None]
+                if np.count_nonzero(hit) > MANY * len(rows):
+                    hit &= s >= self._least(np.where(hit, s, -np.inf), firsts)[:, None]
+                i, j = np.divmod(np.flatnonzero(hit), len(c))
+                self._hits(first + rows[i], c, j, own)
+
+    def _least(self, s: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """The ``k``-th score of the values of a product, less what rounding can amount to."""
+        s = np.maximum.reduceat(s, firsts, axis=1)
+        return np.partition(s, -self.k, axis=1)[:, -self.k] - np.float32(2 * self.slack) if s.shape[1] > self.k else np.full(len(s), -np.inf, np.float32)
+
+    def _hits(self, i: np.ndarray, c: np.ndarray, j: np.ndarray, values: np.ndarray) -> None:
+        for at in range(0, len(i), EXACT_PAIRS):
+            x, y = i[at : at + EXACT_PAIRS], j[at : at + EXACT_PAIRS]
+            score = np.einsum("ij,ij->i", self.exact[x], c[y])
+            keep = score >= self.threshold
+            self.found.append((x[keep], values[y[keep]], score[keep]))
+            self.pending += int(keep.sum())
+        if self.pending > max(1 << 18, 4 * self.k * len(self.exact)):
+            self.settled()
+
+    def settled(self) -> pd.DataFrame:
+        """(i, value, score) of the best so far, by which the bounds are raised."""
+        if self.pending:
+            i, value, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
+            h = pd.DataFrame({"i": i, "value": value, "score": score})
+            h = pd.concat([self.best, h]) if len(self.best) else h
+            h = h.sort_values(["i", "score", "value"], ascending=[True, False, True], na_position="first").drop_duplicates(["i", "value"])
+            place = h.groupby("i").cumcount().to_numpy()
+            last = place == self.k - 1
+            self.bound[h["i"].to_numpy()[last]] = h["score"].to_numpy()[last]
+            self.best, self.found, self.pending = h[place < self.k], [], 0
+        return self.best
+
+
 def dense_topk_of(queries: DataFrame, chunks: DataFrame, k: int, per: str, threshold: float = -1.0) -> DataFrame:
     """The ``k`` best values of column ``per`` (query_id, ``per``, score, rank) for every query, each value at its best
-    chunk, ties to the smaller value: as many as there are, however many chunks one of them has."""
-    one = F.lit(0).alias("cell")
-    hits = block_hits(queries.select(one, "query_id", "vector"), chunks.select(one, "chunk_id", "vector", per), k, threshold, per=per)
+    chunk, ties to the smaller value: as many as there are, however many chunks one of them has.
+
+    Chunks, best a stored table, are read where they lie, once for each ASKED_FLOATS numbers in the vectors of queries;
+    those are sent to all tasks, with bounds that BOUND_CHUNKS chunks have given, and a task hands on its best alone.
+    """
+    spark = queries.sparkSession
+    some = lambda df: df.where(F.col("vector").isNotNull() & (F.size("vector") > 0))
+    asked, held = written(some(queries).select("query_id", "vector"), "asked"), some(chunks).select(per, "vector")
+    n, wide = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    parts = max(1, -(-n * (wide or 1) // ASKED_FLOATS))
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, {per} {held.schema[per].dataType.simpleString()}, score double"
+    early, tiles, lots = held.limit(BOUND_CHUNKS).toArrow(), TILES, 1 << 16
+    column = lambda c: c.to_pandas(integer_object_nulls=True).to_numpy()
+
+    def of(part: DataFrame) -> DataFrame | None:
+        table = part.toArrow()
+        if not len(table):
+            return None
+        first = Best(_matrix(table["vector"]), k, threshold, tiles=tiles)
+        if len(early):
+            first.add(_matrix(early["vector"]), column(early[per]))
+            first.settled()
+        names = pa.schema([("query_id", table.schema.field("query_id").type), (per, early.schema.field(per).type), ("score", pa.float64())])
+        sent = spark.sparkContext.broadcast((table["query_id"].combine_chunks(), _matrix(table["vector"]), first.bound))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vectors, bound = sent.value
+            best = Best(vectors, k, threshold, bound, tiles)
+            for b in batches:
+                if len(b):
+                    best.add(_matrix(b.column("vector")), column(b.column(per)))
+            h = best.settled()
+            for at in range(0, len(h), lots):
+                x = h.iloc[at : at + lots]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x["i"].to_numpy())), pa.array(x["value"].to_list(), names.field(per).type), pa.array(x["score"].to_numpy())], schema=names)
+
+        return held.coalesce(CORE_TASKS * spark.sparkContext.defaultParallelism).mapInArrow(run, kinds)
+
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    found = [h for i in range(parts) if (h := of(dealt.where(F.col("part") == i).drop("part"))) is not None]
+    hits = found[0] if found else spark.createDataFrame([], kinds)
+    for h in found[1:]:
+        hits = hits.unionAll(h)
     best = hits.groupBy("query_id", per).agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), per)
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -93,3 +93,66 @@ def test_blocks_hand_on_the_best_of_each_part(spark, monkeypatch):
         assert hits.count() <= 40 * 4 * 4
         assert {(r.query_id, r.chunk_id) for r in retrieval.dense_topk(asked, held, 4, -1.0, "part").collect()} == want
         assert {(r.query_id, r.doc) for r in retrieval.dense_topk_of(asked, held, 4, "doc").collect()} == docs
+
+
+def test_best_values_are_those_of_all_pairs(spark, monkeypatch):
+    """Bounds and single precision leave nothing out: copies tie to the smaller value, vectors without a direction have no
+    score, queries come in several parts; a task hands on its best alone, and chunks are not shuffled."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 6)) + 1
+    v[100:160] = v[7]  # exact copies, in many values
+    v[20] = 0
+    doc = rng.permutation(600) // 4
+    q = np.vstack([v[:30], v[:30] * 3])
+    u = v / np.maximum(1e-300, np.linalg.norm(v, axis=1, keepdims=True))
+    held = spark.createDataFrame([(i, v[i].tolist(), int(doc[i])) for i in range(600)] + [(600, None, 1), (601, [], 2), (602, [float("nan")] * 6, 3)], "chunk_id long, vector array<double>, doc int").repartition(3)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, vector array<double>")
+    want = {}
+    for i in range(60):
+        each = {}
+        for j in range(600):
+            if i % 30 != 20 and j != 20:
+                each[doc[j]] = max(each.get(doc[j], -2), round(float(u[i % 30] @ u[j]), 9))
+        want[i] = sorted(each, key=lambda d: (-each[d], d))[:7]
+    for tiles, floats, first in (((1024, 1024), 1 << 22, 1 << 14), ((7, 50), 100, 10), ((1, 3), 1, 1)):
+        for name, n in (("TILES", tiles), ("ASKED_FLOATS", max(60, floats)), ("BOUND_CHUNKS", first), ("CORE_TASKS", 1), ("MANY", 2)):
+            monkeypatch.setattr(retrieval, name, n)
+        found = retrieval.dense_topk_of(asked, held, 7, "doc")
+        got = {}
+        for r in found.withColumn("s", F.round("score", 9)).collect():
+            got.setdefault(r.query_id, []).append((-r.s, r.doc))
+        assert {i: [d for _, d in sorted(x)] for i, x in got.items()} == {i: w for i, w in want.items() if i % 30 != 20}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapCoGroups" not in plan and "Join" not in plan
+
+
+def test_few_pairs_get_exact_scores(monkeypatch):
+    """With bounds nearly all pairs cost a comparison, and what is held stays small."""
+    rng = np.random.default_rng(6)
+    v, q = rng.normal(size=(20000, 16)), rng.normal(size=(50, 16))
+    best, pairs = retrieval.Best(q, 5, -1.0, tiles=(64, 256)), []
+    hits = best._hits
+    best._hits = lambda i, c, j, values: (pairs.append(len(i)), hits(i, c, j, values))
+    for at in range(0, 20000, 1000):
+        best.add(v[at : at + 1000], np.arange(at, at + 1000) // 3)
+        best.settled()
+    h = best.settled()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ u.T
+    top = np.maximum.reduceat(s, np.arange(0, 20000, 3), axis=1)
+    assert {(r.i, r.value) for r in h.itertuples()} == {(i, d) for i in range(50) for d in np.argsort(-top[i])[:5].tolist()}
+    assert sum(pairs) < 50 * 20000 / 20 and len(h) == 250
+
+
+def test_hashed_words(monkeypatch):
+    """The vectors are those of one word after another."""
+    import zlib
+
+    texts = ["One two  two\tTHREE\n", None, "", " ", "Stra\u00dfe \u0130x \u039f\u03a3 a\u00a0b\u2003c\x1cd \u00e9", "x" * 500 + " y", "\U0001f600 z\x85w"]
+    want = np.zeros((len(texts), 64))
+    for i, t in enumerate(texts):
+        for w in (t or "").lower().split():
+            h = zlib.crc32(w.encode())
+            want[i, h % 64] += 1 if h & 0x80000000 else -1
+    want /= np.maximum(1e-12, np.linalg.norm(want, axis=1, keepdims=True))
+    assert np.array_equal(embedding.hash_provider(texts), want) and embedding.hash_provider([]).shape == (0, 64)
