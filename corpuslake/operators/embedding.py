@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,14 +19,38 @@ DIM = 64
 HANDED_ON = 1024
 
 
+#: CRC-32 of each byte, bytes between words, white space that is no ASCII, and bytes of a word that are hashed side by side with others.
+_CRCS = np.array([zlib.crc32(bytes([i ^ 255])) ^ 0xFF000000 for i in range(256)], np.uint32)
+_GAPS = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "))
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SIDE_BY_SIDE = 32
+
+
+def _word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of lower-cased texts the text's place and the CRC-32, in no order."""
+    parts = [(t if t.isascii() else _WIDE.sub(" ", t)).lower().encode() for t in texts]
+    whole = b"\n".join([b"", *parts, b""])
+    held = np.frombuffer(whole, np.uint8)
+    gap = _GAPS[held]
+    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    h = np.full(len(starts), 0xFFFFFFFF, np.uint32)
+    for i in range(min(int(sizes[0]) if len(sizes) else 0, _SIDE_BY_SIDE)):
+        n = int(np.searchsorted(-sizes, -i))  # longer ones
+        h[:n] = _CRCS[(h[:n] ^ held[starts[:n] + i]) & 255] ^ (h[:n] >> 8)
+    h ^= 0xFFFFFFFF
+    for i in range(int(np.searchsorted(-sizes, -_SIDE_BY_SIDE))):
+        h[i] = zlib.crc32(whole[starts[i] : starts[i] + sizes[i]])
+    return np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), starts), h.astype(np.int64)
+
+
 def hash_provider(texts: list[str], dim: int = DIM) -> np.ndarray:
     """A deterministic stand-in for a model: signed hashing of words, of unit length."""
-    words = [(t or "").lower().split() for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    h = np.fromiter(map(zlib.crc32, map(str.encode, chain.from_iterable(words))), np.int64, counts.sum())
-    at = np.repeat(np.arange(len(texts)), counts) * dim + h % dim
+    row, h = _word_codes([t or "" for t in texts])
     # Sums of ones are exact in any order.
-    out = np.bincount(at, np.where(h & 0x80000000, 1.0, -1.0), len(texts) * dim).reshape(len(texts), dim)
+    out = np.bincount(row * dim + h % dim, np.where(h & 0x80000000, 1.0, -1.0), len(texts) * dim).reshape(len(texts), dim)
     return out / np.maximum(1e-12, np.linalg.norm(out, axis=1, keepdims=True))
 
 

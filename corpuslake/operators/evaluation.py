@@ -179,15 +179,19 @@ def baseline_of(runs: DataFrame) -> DataFrame:
 SCORING_VARIANTS = {"dense_only": (1.0, 0.0, False), "hybrid_default": (0.7, 0.3, True), "hybrid_dense_heavy": (0.9, 0.1, True), "sparse_heavy": (0.3, 0.7, False)}
 
 
+#: Chunks of an experiment that a provider gets at a time.
+EMBED_BATCH = 512
+
+
 def chunking_experiment(docs: DataFrame, queries: DataFrame, expected: DataFrame, strategy: str, k: int = 5, **options: int) -> DataFrame:
     """One row (strategy, chunk_count, recall, mrr, ndcg) of the corpus ``docs`` (item, text) chunked by a
     strategy, embedded and searched by ``queries`` (query_id, text); a document counts at its best chunk."""
     from corpuslake.operators import chunks, embedding, retrieval
 
     made = chunks.chunk_with(docs.select("item", "text"), chunks.create_strategy(strategy, **options))
-    made = made.select(F.concat_ws("::", F.col("item").cast("string"), F.lpad(F.col("pos").cast("string"), 9, "0")).alias("chunk_id"), "item", F.col("chunk").alias("text"))
+    made = made.select("item", F.col("chunk").alias("text"))
     # Embedded once: the search counts its chunks before it reads them.
-    vectors = written(embedding.embed(made, "text").select("chunk_id", "item", "vector"), "vectors")
+    vectors = written(embedding.embed(made, "text", batch=EMBED_BATCH).select("item", "vector"), "vectors")
     asked = embedding.embed(queries.select("query_id", "text"), "text")
     # The metrics read the hits several times.
     ranked = written(retrieval.dense_topk_of(asked, vectors, k, "item"), "ranked")
